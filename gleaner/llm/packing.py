@@ -123,6 +123,20 @@ def best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
+def inverse_of(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with the largest pivot; element by element, as threads of a BLAS can wait for those of the JVM."""
+    n = len(a)
+    m = np.hstack([a, np.eye(n)])
+    for i in range(n):
+        k = i + int(np.argmax(np.abs(m[i:, i])))
+        m[[i, k]] = m[[k, i]]
+        m[i] /= m[i, i]
+        rest = m[:, i].copy()
+        rest[i] = 0
+        m -= rest[:, None] * m[i]
+    return m[:, n:]
+
+
 def solve(demand: np.ndarray, capacity: int, rounds: int = 40_000) -> tuple[list[np.ndarray], np.ndarray]:
     """Patterns and how often to use each (real numbers): revised simplex with priced columns.
 
@@ -140,8 +154,8 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = 40_000) -> tuple[list
     value = np.zeros(int(sizes.max()))
     for turn in range(rounds):
         if turn and turn % 4000 == 0:  # against rounding errors
-            inverse = np.linalg.inv(np.array(basis, float).T)
-            use = np.maximum(inverse @ need, 0)
+            inverse = inverse_of(np.array(basis, float).T)
+            use = np.maximum(np.einsum("ij,j->i", inverse, need), 0)
         value[:] = 0
         value[classes] = inverse.sum(axis=0)  # the duals: every sequence costs one
         worth, pattern = best_pattern(np.maximum(value, 0), capacity)
