@@ -17,6 +17,7 @@ import heapq
 import json
 import struct
 import unicodedata
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, ship
+from .common import mapped, most_frequent, settle, ship
 
 #: Words that the lexicon holds at most; its size is bounded by this, whatever the corpus is.
 LEXICON_SIZE = 65_536
 #: Pieces of text whose ids a worker remembers.
-MEMO_SIZE = 250_000
+MEMO_SIZE = 400_000
 
 # The pre-tokenizer pattern of the vocabulary file is read from the file itself.
 
@@ -62,6 +63,7 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        self.packed = {a << 20 | b: rank << 20 | new for (a, b), (rank, new) in self.merges.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.tokens: dict[int, str] = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
@@ -74,16 +76,21 @@ class Vocabulary:
         return self._merge_long(ids) if len(ids) > 48 else self._merge_short(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        get = self.merges.get
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = get((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, i
-            if best is None:
+        """Ranks of all neighbours stand in a list; a merge renews the two beside it."""
+        get, none = self.packed.get, 1 << 60
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            ids[at : at + 2] = [best[1]]
+            at = ranks.index(best)
+            new = best & 0xFFFFF
+            ids[at : at + 2] = [new]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << 20 | new, none)
+            if at < len(ranks):
+                ranks[at] = get(new << 20 | ids[at + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -258,14 +265,37 @@ class Encoder:
         """Parts of a normalised text that no pre-token crosses: what blanks part."""
         return [text] if self.odd(text) else text.split()
 
+    def words_in(self, piece: str) -> list[str]:
+        """The pattern's matches; letters alone, or with one mark behind them, need no search."""
+        if piece.isalpha():
+            return [piece]
+        if piece[-1:] in ",.;:!?" and piece[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.find(piece)
+
     def ids_of(self, piece: str) -> list[int]:
         ids: list[int] = []
-        for word in self.find(piece):
+        for word in self.words_in(piece):
             raw = word.encode("utf-8", "surrogatepass")
             known = self.lexicon.get(raw) if self.lexicon else None
             ids += self.v.merge(raw) if known is None else known
         return ids
 
+    def learn(self, piece: str) -> tuple[bytes, str]:
+        """A piece's ids and decoded text, from now on remembered."""
+        base = None
+        if piece[-1] in ",.;:!?" and piece[:-1].isalpha():  # letters and a mark: the letters alone are worth knowing
+            base = self.memo.get(piece[:-1]) or self.learn(piece[:-1])
+            got = self.v.merge(piece[-1].encode())
+        else:
+            got = self.ids_of(piece)
+        known = array("I", got).tobytes(), " ".join([self.v.tokens[x] for x in got])
+        if base:
+            known = base[0] + known[0], base[1] + " " + known[1]
+        if len(piece) < 64:
+            self.memo[piece] = known
+        return known
+
     def __call__(self, text: str | None) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit integers, and the decoded text."""
         if not text:
@@ -277,19 +307,16 @@ class Encoder:
                 ids.append(struct.pack("<I", self.v.special[part]))
                 decoded.append(part)
                 continue
-            memo = self.memo
-            for piece in self.pieces(self.normal(part)):
-                known = memo.get(piece)
-                if known is None:
-                    if len(memo) >= MEMO_SIZE:
-                        memo.clear()
-                    got = self.ids_of(piece)
-                    known = np.array(got, "<u4").tobytes(), " ".join([self.v.tokens[x] for x in got])
-                    if len(piece) < 64:
-                        memo[piece] = known
-                if known[0]:
-                    ids.append(known[0])
-                    decoded.append(known[1])
+            pieces = self.pieces(self.normal(part))
+            if len(self.memo) > MEMO_SIZE:
+                self.memo.clear()
+            found = list(map(self.memo.get, pieces))
+            if None in found:
+                for at, known in enumerate(found):
+                    if known is None:
+                        found[at] = self.memo.get(pieces[at]) or self.learn(pieces[at])
+            ids += [f[0] for f in found]
+            decoded += [f[1] for f in found if f[1]]
         return b"".join(ids), " ".join(decoded)
 
 
@@ -303,7 +330,7 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
         def flush(c: Counter):
             words: Counter = Counter()
             for piece, n in c.items():
-                for w in encoder.find(piece):
+                for w in encoder.words_in(piece):
                     words[w] += n
             return pa.record_batch([pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
@@ -322,8 +349,8 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
 
 
 def fit_lexicon(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = LEXICON_SIZE) -> bytes:
-    """The lexicon of the `size` most frequent words that occur twice at least; ties by byte order."""
-    top = count_words(docs, vocabulary, text).where("n > 1 and length(word) < 256").orderBy(F.desc("n"), "word").limit(size).collect()
+    """The lexicon of the most frequent words, `size` at most, that occur twice at least."""
+    top = most_frequent(settle(count_words(docs, vocabulary, text).where("n > 1 and length(word) < 256")), size, 2)
     return build_lexicon({bytes(r.word): tuple(vocabulary.merge(bytes(r.word))) for r in top})
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import tempfile
 import uuid
 import zipfile
@@ -43,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, schema_only: bool = False) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends at files that outlive executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
@@ -116,6 +115,22 @@ def runs(h: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     return mix(out)
 
 
+def most_frequent(counts: DataFrame, size: int, least: int = 1) -> list:
+    """Rows of settled counts (word, n) with the largest n, `size` at most; a count that would go beyond is left out whole.
+
+    The histogram of counts gives the threshold, so that no task sends more than what is kept.
+    """
+    top = 1_000_000
+    n, taken, threshold = F.least("n", F.lit(top)).alias("n"), 0, None
+    for r in sorted(counts.where(f"n >= {least}").groupBy(n).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["n"]):
+        if taken + r["words"] > size:
+            break
+        taken, threshold = taken + r["words"], r["n"]
+    if threshold is None:
+        return []
+    return sorted(counts.where(f"n >= {threshold}").collect(), key=lambda r: (-r["n"], bytes(r["word"])))
+
+
 # -- connected components -----------------------------------------------------------------
 
 
@@ -162,5 +177,3 @@ def unpack_arrays(blob: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(blob)) as z:
         return {k: z[k] for k in z.files}
 
-
-_NAME = re.compile(r"\W+")

@@ -14,21 +14,24 @@ length are cut; an empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import settle, ship
 
 SEQUENCE = 2048
 GRAIN = 8
 END_ID = 1
-MEMO_SIZE = 250_000
+MEMO_SIZE = 600_000
 
 
 class FastIds:
@@ -36,7 +39,8 @@ class FastIds:
 
     The byte-level pattern lets a token begin with one space and never cross to the next, so a text in
     which no space is followed by a blank or by the end can be cut before each space; other texts, and
-    texts with a special token's string, go to the library whole.
+    texts with a special token's string, go to the library whole. A chunk of a space and letters is one
+    pre-token, whose merges tiktoken makes from the same vocabulary's ranks; a mark behind is another.
     """
 
     def __init__(self, path: str):
@@ -49,36 +53,60 @@ class FastIds:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r" (?=\s|$)", r" \Z", *map(re.escape, special)])).search
         self.memo: dict[str, bytes] = {}
+        self.single = _single_piece(path)
+
+    def of_chunk(self, chunk: str) -> bytes:
+        """ids of a chunk that begins with its only space, if it has one."""
+        memo, single = self.memo, self.single
+        body = chunk[1:] if chunk[0] == " " else chunk
+        if single and body.isalpha():
+            return array("I", single(chunk.encode())).tobytes()
+        if single and body[-1:] in ",.;:!?" and body[:-1].isalpha():
+            base = memo.get(body[:-1]) if body is not chunk else None
+            if base is None:
+                base = array("I", single(chunk[:-1].encode())).tobytes()
+                if body is not chunk and len(body) < 64:
+                    memo[body[:-1]] = base
+            return base + array("I", single(chunk[-1].encode())).tobytes()
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        memo, chunks, alone = self.memo, {}, {}
-        for i, x in enumerate(texts):
-            if self.whole(x):
-                alone[i] = x
-            elif x:
-                first, *rest = x.split(" ")
-                chunks[i] = [first, *(" " + r for r in rest)] if first else [" " + r for r in rest]
-        missing = list({c for own in chunks.values() for c in own if c not in memo})
-        fresh = {} if len(memo) + len(missing) > MEMO_SIZE else memo
-        if fresh is not memo:
-            memo.clear()
-        for at in range(0, len(missing), 5000):
-            part = missing[at : at + 5000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[c] = np.array(e.ids, "<u4").tobytes()
-        if fresh is not memo:  # more chunks than are kept: those of this call, old ones encoded again
-            again = list({c for own in chunks.values() for c in own if c not in fresh})
-            for c, e in zip(again, self.tokenizer.encode_batch_fast(again, add_special_tokens=False), strict=True):
-                fresh[c] = np.array(e.ids, "<u4").tobytes()
-            self.memo = fresh if len(fresh) <= MEMO_SIZE else {}
-        out = [b""] * len(texts)
-        for i, own in chunks.items():
-            out[i] = b"".join([fresh[c] for c in own])
-        for (i, _), e in zip(alone.items(), self.tokenizer.encode_batch_fast(list(alone.values()), add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+        out = []
+        for x in texts:
+            if not x or self.whole(x):
+                out.append(array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() if x else b"")
+                continue
+            first, *rest = x.split(" ")
+            got = [self.of_chunk(first)] if first else []
+            if len(self.memo) > MEMO_SIZE:
+                self.memo.clear()
+            found = list(map(self.memo.get, rest))  # keys without the space
+            if None in found:
+                for i, known in enumerate(found):
+                    if known is None:
+                        c = rest[i]
+                        known = found[i] = self.memo.get(c) or self.of_chunk(" " + c)
+                        if len(c) < 64:
+                            self.memo[c] = known
+            out.append(b"".join(got + found))
         return out
 
 
+def _single_piece(path: str):
+    """tiktoken's merging of one pre-token, if the file's ids follow the order of its merges; else None."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    raw = {s: bytes([i]) for i, s in enumerate(byte_symbols())}
+    ranks = {b"".join(raw[c] for c in token): i for token, i in model["vocab"].items()}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    order = [model["vocab"][a + b] for a, b in pairs]
+    if len(ranks) != 256 + len(order) or order != sorted(order) or max(ranks[raw[s]] for s in raw) > order[0]:
+        return None
+    return tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens) of every piece: full sequences and a rest."""
     ship(docs.sparkSession)
