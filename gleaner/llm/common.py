@@ -105,14 +105,24 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
 
 
 def runs(h: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
-    """Hash of every k consecutive values of h (order counts)."""
+    """Hash of every k consecutive values of h (order counts), joined from runs of 1, 2, 4, ... values."""
     if len(h) < k:
         return np.empty(0, np.uint64)
-    odd = odd_numbers(k, seed)
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        out += mix(h[i : len(h) - k + 1 + i] + odd[i]) * odd[i]
-    return mix(out)
+    odd = odd_numbers(130, seed)
+    power, have, out, step = mix(h + odd[0]), 1, None, 1
+    while True:
+        if k & have:  # this run joins on the right of what there is
+            if out is None:
+                out, size = power, have
+            else:
+                n = len(h) - size - have + 1
+                out = mix(out[:n] * odd[step] + power[size : size + n] * odd[step + 1])
+                size += have
+        if 2 * have > k:
+            return out[: len(h) - k + 1]
+        n = len(power) - have
+        power = mix(power[:n] * odd[step + 64] + power[have:])
+        have, step = 2 * have, step + 2
 
 
 def most_frequent(counts: DataFrame, size: int, least: int = 1) -> list:
@@ -131,6 +141,33 @@ def most_frequent(counts: DataFrame, size: int, least: int = 1) -> list:
     return sorted(counts.where(f"n >= {threshold}").collect(), key=lambda r: (-r["n"], bytes(r["word"])))
 
 
+# -- which ids are asked for: a bitmap of fixed size that only prunes ------------------------
+
+BITS = 1 << 24
+
+
+def places(key: str = "doc") -> list:
+    """The key's three places in the bitmap."""
+    return [F.pmod(F.xxhash64(F.lit(i), F.col(key)), F.lit(BITS)) for i in range(3)]
+
+
+def bitmap(ids: DataFrame, key: str = "doc") -> np.ndarray:
+    """2 MB, whatever the number of ids; when it fills up it prunes less, and the join behind it is exact."""
+    rows = ids.select(F.explode(F.array(*places(key))).alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toPandas()
+    out = np.zeros(BITS // 64, np.uint64)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def asked(bits: np.ndarray, columns) -> np.ndarray:
+    """Rows whose places are all set."""
+    hit = np.ones(len(columns[0]), bool)
+    for c in columns:
+        p = c.to_numpy(zero_copy_only=False)
+        hit &= (bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    return hit
+
+
 # -- connected components -----------------------------------------------------------------
 
 
@@ -154,6 +191,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def groups(batches, keys: int):
+    """(key, rows) of a partition that is sorted by its first `keys` columns; holds one group at a time."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield at, rows
+
+
 # -- memory-mapped blobs ------------------------------------------------------------------
 
 

@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, components, doc_key, lower_words_of, odd_numbers, runs, settle, ship
+from .common import Hashes, asked, bitmap, components, doc_key, groups, lower_words_of, odd_numbers, places, runs, settle, ship
 
 #: SetSketch parameters: base, rate, largest register value; bands and registers in each.
 BASE, RATE, LIMIT = 1.02, 20.0, 2**14 - 2
 BANDS, ROWS = 24, 5
 #: A candidate goes on to verification if its estimate is no further than this below the threshold:
-#: over five standard errors of 120 registers.
-SLACK = 0.2
+#: about four standard errors of 120 registers.
+SLACK = 0.13
+#: Classes of a bucket that a task of the sweep takes on each side.
+BLOCK = 1024
 
 
 def shingle_hashes(words: list[bytes], size: int, hashes: Hashes) -> np.ndarray:
@@ -109,7 +111,8 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 def _bands(classes: DataFrame) -> DataFrame:
     """(band, rep): one row for each band of each class; the key is a hash of band number and register values."""
     w = 2 * ROWS
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", i * w + 1, w)) for i in range(BANDS)))
+    # the low five bits are the band's number
+    keys = F.array(*(F.xxhash64(F.substring("sketch", i * w + 1, w)).bitwiseAND(F.lit(-32)).bitwiseOR(F.lit(i)) for i in range(BANDS)))
     return classes.select("rep", F.explode(keys).alias("band"))
 
 
@@ -130,17 +133,29 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return full.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(judge, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Of pairs (settled), those whose full sets have 100 * intersection >= percent * union."""
-    needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(doc, shingles) of the ids in needed (settled): distinct shingle hashes. Of rows that share an id, one is taken.
+
+    A bitmap of fixed size rules out most other documents as they are read; what travels are sets, not texts.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(needed))
 
     def sets(batches):
         hashes = Hashes()
         for batch in batches:
+            batch = batch.filter(pa.array(asked(bits.value, batch.columns[2:5]))) if batch.num_rows else batch
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 yield pa.record_batch([part.column(0), pa.array([shingle_hashes(lower_words_of(x), size, hashes).tobytes() for x in part.column(1).to_pylist()], pa.binary())], names=["doc", "shingles"])
 
+    rows = docs.select(doc_key(key).alias("doc"), F.col(text).alias("text")).select("doc", "text", *(p.alias(f"p{i}") for i, p in enumerate(places())))
+    return rows.mapInArrow(sets, "doc long, shingles binary").join(needed, "doc", "left_semi").dropDuplicates(["doc"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Of pairs (settled), those whose full sets have 100 * intersection >= percent * union."""
+    needed = settle(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
+
     def judge(batches):
         for batch in batches:
             a, b, keep = batch.column(2).to_pylist(), batch.column(3).to_pylist(), []
@@ -151,12 +166,94 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
             keep = pa.array(keep, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    # of rows with one id, any text is in the id's class or has a class of its own: take the class's
-    found = settle(docs.select(doc_key(key).alias("doc"), F.col(text).alias("text")).join(needed, "doc", "left_semi").mapInArrow(sets, "doc long, shingles binary").dropDuplicates(["doc"]))
+    found = settle(_sets(docs, needed, key, text, size))
     one = lambda c: found.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}"))
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
+def _roots(parent: dict[int, int], i: int) -> int:
+    while parent.setdefault(i, i) != i:
+        parent[i] = parent[parent[i]]
+        i = parent[i]
+    return i
+
+
+def _sweep(rows: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """(a, b): of links between different components, within buckets, enough to join what they join.
+
+    rows: (band, rep, component, blocks). A bucket's classes are parted in blocks by hash, and each pair of
+    blocks is compared in a task of its own, in memory: first by sketches, to find who may have a link at
+    all, then by the full sets of these. What a task returns grows with its classes, not with their pairs.
+    """
+    threshold, least = percent / 100, (BANDS * ROWS) * (percent / 100 - SLACK) * 0.9
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    spread = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select(F.col("band"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+    def ask(batches):
+        for (band, i, j), held in groups(batches, 3):
+            ids, comps, side, n = (np.array([r[c] for r in held]) for c in range(4))
+            k = np.frombuffer(b"".join(r[4] for r in held), "<u2").reshape(-1, BANDS * ROWS)
+            one, two = (np.arange(len(ids)),) * 2 if i == j else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            if len(one) * len(two) <= 4096:
+                same = (k[one][:, None] == k[two]).sum(2)
+            else:
+                same = np.zeros((len(one), len(two)), np.int16)
+                for c in range(BANDS * ROWS):
+                    same += k[one, c][:, None] == k[two, c]
+            near = (same >= least) & (comps[one][:, None] != comps[two]) & (np.minimum(n[one][:, None], n[two]) >= (threshold - 1e-9) * np.maximum(n[one][:, None], n[two]))
+            p, q = np.nonzero(np.triu(near, 1) if i == j else near)
+            p, q = one[p], two[q]
+            wanted: set[int] = set()
+            for at in range(0, len(p), 20_000):
+                u, v = p[at : at + 20_000], q[at : at + 20_000]
+                # a pair is judged in the first band that it shares
+                shared = (k[u].reshape(-1, BANDS, ROWS) == k[v].reshape(-1, BANDS, ROWS)).all(2).argmax(1) == band % 32
+                u, v = u[shared], v[shared]
+                if not len(u):
+                    continue
+                fit = estimate(k[u], k[v], n[u].astype(float), n[v].astype(float)) >= threshold - SLACK
+                wanted.update(u[fit].tolist(), v[fit].tolist())
+            w = sorted(wanted)
+            yield pa.record_batch([pa.array([band] * len(w), pa.int64()), pa.array([i] * len(w), pa.int32()), pa.array([j] * len(w), pa.int32()), pa.array(side[w], pa.int32()), pa.array(ids[w], pa.int64()), pa.array(comps[w], pa.int64())], names=["band", "i", "j", "side", "rep", "component"])
+
+    def judge(batches):
+        for (_, i, j), held in groups(batches, 3):
+            sets = [np.frombuffer(r[3], np.uint64) for r in held]
+            n = np.array([len(x) for x in sets])
+            every = np.concatenate(sets)
+            known, where, often = np.unique(every, return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(sets)), n)[often[where] > 1]  # what one set alone holds is in no intersection
+            column = np.cumsum(often > 1)[where[often[where] > 1]] - 1
+            both = np.zeros((len(sets), len(sets)), np.float32)
+            for at in range(0, int((often > 1).sum()), 2048):
+                m = np.zeros((len(sets), 2048), np.float32)
+                own = (column >= at) & (column < at + 2048)
+                m[row[own], column[own] - at] = 1
+                both += m @ m.T
+            union = n[:, None] + n - both
+            side, comps = np.array([r[0] for r in held]), np.array([r[2] for r in held])
+            link = (100 * both.astype(np.float64) >= percent * union) & (comps[:, None] != comps)
+            if i != j:
+                link &= side[:, None] != side
+            parent: dict[int, int] = {}
+            a, b = [], []
+            for x, y in zip(*np.nonzero(np.triu(link, 1)), strict=True):
+                u, v = _roots(parent, int(comps[x])), _roots(parent, int(comps[y]))
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    a.append(held[x][1])
+                    b.append(held[y][1])
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    group = ["band", "i", "j"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketches = spread.join(classes.select("rep", "n", "sketch"), "rep").select(*group, "rep", "component", "side", "n", "sketch")
+    wanted = settle(sketches.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(ask, "band long, i int, j int, side int, rep long, component long"))
+    sets = _sets(docs, settle(wanted.select(F.col("rep").alias("doc")).distinct()), key, text, size).withColumnRenamed("doc", "rep")
+    return wanted.join(sets, "rep").select(*group, "side", "rep", "component", "shingles").repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(judge, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(doc, n_shingles, component) for each row; linked are sets with 100 * intersection >= percent * union."""
     threshold = percent / 100
@@ -172,14 +269,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     # the sweep: buckets that hold several components still
     now = settle(members.select("band", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    mixed = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    open_ = now.join(mixed, "band")
-    a = open_.select("band", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    b = open_.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    rest = a.join(b, "band").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = settle(_likely(rest, classes, threshold).join(pairs, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        labels = components(links.union(_verified(rest, docs, key, text, size, percent)))
+    mixed = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    more = settle(_sweep(now.join(mixed, "band"), classes, docs, key, text, size, percent))
+    if more.limit(1).count():
+        labels = components(links.union(more))
 
     of_class = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return rows.join(of_class, "digest", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
