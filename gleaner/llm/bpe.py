@@ -69,6 +69,33 @@ class Vocabulary:
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         self.pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
 
+    def ranked(self):
+        """The same merges by tiktoken, or None if a token comes from several pairs.
+
+        A last byte is marked by 0xFF, which UTF-8 never has, and the pair of both is the first to merge.
+        """
+        import tiktoken
+
+        n, strings, merged = len(self.merges), {}, set()
+        for b in range(256):
+            strings[self.inner[b]], strings[self.last[b]] = bytes([b]), bytes([b, 255])
+        ranks, back = {bytes([b]): b for b in range(256)}, [*self.inner]
+        if self.suffix:
+            ranks |= {bytes([b, 255]): 256 + b for b in range(256)}
+            back += self.last
+        for (a, b), (_, new) in sorted(self.merges.items(), key=lambda m: m[1][0]):
+            if a not in strings or b not in strings or new in merged or (raw := strings[a] + strings[b]) in ranks:
+                return None
+            merged.add(new)
+            strings[new] = raw
+            ranks[raw] = len(back)
+            back.append(new)
+        if min(back) < 0 or len(merged) != n:
+            return None
+        core = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        at, end = back.__getitem__, b"\xff" if self.suffix else b""
+        return lambda word: list(map(at, core(word + end)))
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word: the pair of lowest rank, leftmost first, is merged until none is left."""
         ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
@@ -249,10 +276,14 @@ class Encoder:
 
         self.v = vocabulary
         self.lexicon = Lexicon(lexicon) if lexicon else None
+        self.merge = vocabulary.ranked() or vocabulary.merge
+        self.names = [b""] * (1 + max(vocabulary.tokens))
+        for i, t in vocabulary.tokens.items():
+            self.names[i] = t.encode()
         self.find = regex.compile(vocabulary.pattern).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")").split if vocabulary.special else None
         self.odd = regex.compile(r"[\x1c-\x1f]").search
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.memo: dict[str, tuple[bytes, bytes]] = {}
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -278,34 +309,34 @@ class Encoder:
         for word in self.words_in(piece):
             raw = word.encode("utf-8", "surrogatepass")
             known = self.lexicon.get(raw) if self.lexicon else None
-            ids += self.v.merge(raw) if known is None else known
+            ids += self.merge(raw) if known is None else known
         return ids
 
-    def learn(self, piece: str) -> tuple[bytes, str]:
+    def learn(self, piece: str) -> tuple[bytes, bytes]:
         """A piece's ids and decoded text, from now on remembered."""
         base = None
         if piece[-1] in ",.;:!?" and piece[:-1].isalpha():  # letters and a mark: the letters alone are worth knowing
             base = self.memo.get(piece[:-1]) or self.learn(piece[:-1])
-            got = self.v.merge(piece[-1].encode())
+            got = self.merge(piece[-1].encode())
         else:
             got = self.ids_of(piece)
-        known = array("I", got).tobytes(), " ".join([self.v.tokens[x] for x in got])
+        known = array("I", got).tobytes(), b" ".join([self.names[x] for x in got])
         if base:
-            known = base[0] + known[0], base[1] + " " + known[1]
+            known = base[0] + known[0], base[1] + b" " + known[1]
         if len(piece) < 64:
             self.memo[piece] = known
         return known
 
-    def __call__(self, text: str | None) -> tuple[bytes, str]:
-        """The ids as little-endian 32-bit integers, and the decoded text."""
+    def __call__(self, text: str | None) -> tuple[bytes, bytes]:
+        """The ids as little-endian 32-bit integers, and the decoded text in UTF-8."""
         if not text:
-            return b"", ""
+            return b"", b""
         ids, decoded = [], []
         parts = self.split_special(text) if self.split_special and "<|" in text else [text]
         for i, part in enumerate(parts):
             if i % 2:
                 ids.append(struct.pack("<I", self.v.special[part]))
-                decoded.append(part)
+                decoded.append(part.encode())
                 continue
             pieces = self.pieces(self.normal(part))
             if len(self.memo) > MEMO_SIZE:
@@ -317,7 +348,7 @@ class Encoder:
                         found[at] = self.memo.get(pieces[at]) or self.learn(pieces[at])
             ids += [f[0] for f in found]
             decoded += [f[1] for f in found if f[1]]
-        return b"".join(ids), " ".join(decoded)
+        return b"".join(ids), b" ".join(decoded)
 
 
 def count_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -356,12 +387,12 @@ def fit_lexicon(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", siz
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = LEXICON_SIZE) -> DataFrame:
     """(key, ids binary, decoded string) for each row. `path`: the tokenizer's file, read by the driver."""
-    return _mapped(docs, path, key, text, size, "ids binary, decoded string", lambda ids, decoded: (ids, decoded))
+    return _mapped(docs, path, key, text, size, "ids binary, decoded string", lambda ids, decoded: (ids, decoded.decode()))
 
 
 def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = LEXICON_SIZE) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): digests of what encode() gives, made where the ids are."""
-    return _mapped(docs, path, key, text, size, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda ids, decoded: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+    return _mapped(docs, path, key, text, size, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda ids, decoded: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
 
 
 def _mapped(docs: DataFrame, path: str, key: str, text: str, size: int, out: str, of) -> DataFrame:
