@@ -25,15 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, doc_key, mix, runs, settle, ship, words_of
+from .common import Hashes, asked, bitmap, doc_key, mix, places, runs, settle, ship, words_of
 
 WIDTH = 20
 #: Words that a minimiser spans.
 SEED_WORDS = 2
 #: Text that a task looks through at once before it sends; bounds its memory.
-SHARE_BYTES = 12 << 20
+SHARE_BYTES = 6 << 20
 #: Packed text that a bucket is meant to hold.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -46,57 +46,60 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
-def super_kmers(h: np.ndarray, width: int, seed_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, first window, end) of runs of windows over word hashes h that share a minimiser."""
-    least = sliding_min(runs(h, seed_words, seed=3), width - seed_words + 1)
-    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    return least[first], first, np.append(first[1:], len(least))
-
-
-class _Windows:
-    """Windows of one share or bucket: hash, order of the document, place; words for exact comparison."""
-
-    def __init__(self, width: int):
-        self.width, self.hashes, self.docs, self.starts, self.words, self.runs = width, [], [], [], [], []
-
-    def add(self, h: np.ndarray, doc: int, start: int, words: list[bytes]) -> None:
-        w = runs(h, self.width)
-        self.hashes.append(w)
-        self.docs.append(np.full(len(w), doc))
-        self.starts.append(np.arange(start, start + len(w)))
-        self.runs.append(np.full(len(w), len(self.words)))
-        self.words.append((start, words))
-
-    def repeats(self) -> np.ndarray:
-        """Which windows aren't the earliest of their words, in the order of adding. Documents: in order of doc."""
-        h, doc, start, run = map(np.concatenate, (self.hashes, self.docs, self.starts, self.runs))
-        order = np.lexsort((start, doc, h))
-        hs = h[order]
-        same = np.concatenate([[False], hs[1:] == hs[:-1]])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(hs))))  # the earliest of each run of equal hashes
-        out = np.zeros(len(h), bool)
-        strays: dict[int, list[int]] = {}
-        for at in np.flatnonzero(same):
-            i, j = order[at], order[head[at]]
-            if doc[i] == doc[j] and start[i] == start[j]:
-                continue
-            if self._words(i, run, start) == self._words(j, run, start):
-                out[i] = True
+def windows_in(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with `lengths` words laid end to end: (text, start in the text, place) of every window within one."""
+    n = np.maximum(lengths - width + 1, 0)
+    text = np.repeat(np.arange(len(lengths)), n)
+    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return text, start, start + np.repeat(np.cumsum(lengths) - lengths, n)
+
+
+def repeats(h: np.ndarray, doc: np.ndarray, start: np.ndarray, place: np.ndarray, words: list[bytes], width: int) -> np.ndarray:
+    """Which windows aren't the earliest of their words. doc: the document's order; place: of the first word in words."""
+    order = np.lexsort((start, doc, h))
+    hs = h[order]
+    same = np.concatenate([[False], hs[1:] == hs[:-1]])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(hs))))  # the earliest of each run of equal hashes
+    i, j = order[same], order[head[same]]
+    other = (doc[i] != doc[j]) | (start[i] != start[j])
+    i, j, run = i[other], j[other], head[same][other]
+    out = np.zeros(len(h), bool)
+    back = np.argsort(i, kind="stable")
+    i, p, q, run = i[back], place[i[back]], place[j[back]], run[back]
+    # neighbours that repeat neighbours are compared at once, word by word
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(p) != 1) | (np.diff(q) != 1)])) if len(i) else np.empty(0, int)
+    strays: dict[int, list[int]] = {}
+    for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(i)][: len(cut)], strict=True):
+        n = z - a + width - 1
+        if words[p[a] : p[a] + n] == words[q[a] : q[a] + n]:
+            out[i[a:z]] = True
+            continue
+        for k in range(a, z):
+            own = words[p[k] : p[k] + width]
+            if own == words[q[k] : q[k] + width]:
+                out[i[k]] = True
             else:  # two texts with one hash: compare with the others of the run that differ from the earliest
-                rest = strays.setdefault(head[at], [])
-                out[i] = any(self._words(i, run, start) == self._words(k, run, start) for k in rest)
-                rest.append(i)
-        return out
-
-    def _words(self, i: int, run: np.ndarray, start: np.ndarray) -> list[bytes]:
-        at, words = self.words[run[i]]
-        return words[start[i] - at : start[i] - at + self.width]
-
-
-def _ranges(mask: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """[from, to) of the runs of true values, moved by start."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return [(int(a) + start, int(b) + start) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                strays.setdefault(int(run[k]), []).append(k)
+    for ks in strays.values():
+        firsts: list[list[bytes]] = []
+        for k in sorted(ks, key=lambda k: (doc[i[k]], start[i[k]])):
+            own = words[p[k] : p[k] + width]
+            if own in firsts:
+                out[i[k]] = True
+            else:
+                firsts.append(own)
+    return out
+
+
+def _ranges(mask: np.ndarray, text: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, from, to) of the runs of true windows within a text; `to` is excluded."""
+    at = np.flatnonzero(mask)
+    if not len(at):
+        return []
+    cut = np.concatenate([[True], (np.diff(at) != 1) | (text[at[1:]] != text[at[:-1]])])
+    head = at[cut]
+    tail = at[np.append(np.flatnonzero(cut)[1:] - 1, len(at) - 1)]
+    return list(zip(text[head].tolist(), start[head].tolist(), (start[tail] + 1).tolist(), strict=True))
 
 
 _SENT = "bucket int, packed binary, doc long, text_hash long, first int, last int"
@@ -110,34 +113,34 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _send(share: list[tuple], width: int, seed_words: int, buckets: int, hashes: Hashes):
     """Rows of a share of documents: repeats found here, and the packed super-k-mers that travel, by bucket."""
     share.sort(key=lambda d: (d[0], d[1]))
-    windows, seen, kept = _Windows(width), set(), []
-    for doc, text_hash, words in share:
-        if (doc, text_hash) not in seen and len(words) >= width:
-            seen.add((doc, text_hash))
-            h = hashes.array(words)
-            kept.append((doc, text_hash, words, h))
-            windows.add(h, len(kept), 0, words)
+    kept, last = [], None
+    for d in share:
+        if d[:2] != last and len(d[2]) >= width:
+            kept.append(d)
+        last = d[:2]
     if not kept:
         return
-    rows, by_bucket = [], {}
-    repeat, at = windows.repeats(), 0
-    for doc, text_hash, words, h in kept:
-        n = len(words) - width + 1
-        own, at = repeat[at : at + n], at + n
-        rows += [(-1, None, doc, text_hash, a, b) for a, b in _ranges(own, 0)]
-        least, first, last = super_kmers(h, width, seed_words)
-        target = (mix(least) % np.uint64(buckets)).tolist()
-        new = ~own
-        some = np.concatenate([[0], np.cumsum(new)])
-        for b, a, z in zip(target, first.tolist(), last.tolist(), strict=True):
-            if some[z] == some[a]:
-                continue
-            if some[z] - some[a] < z - a:  # only from the first to the last window that is new here
-                inside = np.flatnonzero(new[a:z])
-                a, z = a + int(inside[0]), a + int(inside[-1]) + 1
-            by_bucket.setdefault(b, []).append(b"%d %d %d " % (doc, text_hash, a) + b" ".join(words[a : z + width - 1]))
+    words = [w for d in kept for w in d[2]]
+    h = hashes.array(words)
+    text, start, place = windows_in(np.array([len(d[2]) for d in kept]), width)
+    repeat = repeats(runs(h, width)[place], text, start, place, words, width)
+    rows = [(kept[t][1] % buckets, None, *kept[t][:2], a, b) for t, a, b in _ranges(repeat, text, start)]  # found already; any bucket hands them on
+    least = sliding_min(runs(h, seed_words, seed=3), width - seed_words + 1)[place]
+    # a super-k-mer ends where the minimiser or the text changes, or a window isn't new
+    cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (repeat[1:] != repeat[:-1])]))
+    end = np.append(cut[1:], len(least))
+    new = ~repeat[cut]
+    cut, end = cut[new], end[new]
+    target = (mix(least[cut]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(target, kind="stable")
+    text, start, place, n, target = text[cut][order], start[cut][order], place[cut][order], (end - cut)[order] + width - 1, target[order]
+    docs, text_hashes = (np.array([d[i] for d in kept], np.int64)[text] for i in (0, 1))
+    lines = [b" ".join(words[p : p + m]) for p, m in zip(place.tolist(), n.tolist(), strict=True)]
+    edge = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else np.empty(0, int)
     pack = zstandard.ZstdCompressor(level=3).compress
-    rows += [(b, pack(b"\n".join(x)), None, None, None, None) for b, x in by_bucket.items()]
+    for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(target)][: len(edge)], strict=True):
+        head = np.array([z - a], "<i4").tobytes() + docs[a:z].astype("<i8").tobytes() + b"".join(x[a:z].astype("<i4").tobytes() for x in (text_hashes, start, n))
+        rows.append((int(target[a]), pack(head + b" ".join(lines[a:z])), None, None, None, None))
     for i in range(0, len(rows), 2000):
         yield _batch(rows[i : i + 2000])
 
@@ -146,7 +149,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """(doc, text_hash, first, last): runs of windows, by their first words, that start earlier elsewhere."""
     spark = docs.sparkSession
     ship(spark)
-    source = docs.select(doc_key(key).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    source = docs.select(doc_key(key).alias("doc"), _text_hash(text).alias("text_hash"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     if buckets is None:
         size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
         buckets = max(8, int(size * 3 / BUCKET_BYTES))
@@ -163,15 +166,15 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
                         share, size = [], 0
         yield from _send(share, width, seed_words, buckets, hashes)
 
-    sent = source.mapInArrow(scan, _SENT)
-    sent = settle(sent)  # repeats found at once, and packed strings: read twice, packed once
-
     def judge(batches):
         """A partition may hold several buckets; each is judged whole when the next one begins."""
         held: list[bytes] = []
         at = None
         hashes = Hashes()
         for batch in batches:
+            known = batch.filter(batch.column(1).is_null())
+            yield known.select(["doc", "text_hash", "first", "last"])
+            batch = batch.filter(batch.column(1).is_valid())
             for b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != at and held:
                     yield from _judge(held, width, hashes)
@@ -181,31 +184,24 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         if held:
             yield from _judge(held, width, hashes)
 
-    found = sent.where("bucket >= 0").select("bucket", "packed").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, "doc long, text_hash long, first int, last int")
-    return sent.where("bucket < 0").select("doc", "text_hash", "first", "last").union(found)
+    return source.mapInArrow(scan, _SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, "doc long, text_hash long, first int, last int")
 
 
 def _judge(packed: list[bytes], width: int, hashes: Hashes):
     unpack = zstandard.ZstdDecompressor().decompress
-    runs_ = []
+    heads, words = [], []
     for blob in packed:
-        for line in unpack(blob).split(b"\n"):
-            doc, text_hash, start, words = line.split(b" ", 3)
-            runs_.append((int(doc), int(text_hash), int(start), words))
-    runs_.sort(key=lambda r: r[:3])
-    windows, number, last = _Windows(width), -1, None
-    spans = []
-    for doc, text_hash, start, line in runs_:
-        number += (doc, text_hash) != last
-        last = doc, text_hash
-        words = line.split(b" ")
-        windows.add(hashes.array(words), number, start, words)
-        spans.append((doc, text_hash, start, len(words) - width + 1))
-    repeat, at, rows = windows.repeats(), 0, []
-    for doc, text_hash, start, n in spans:
-        own, at = repeat[at : at + n], at + n
-        if own.any():
-            rows += [(doc, text_hash, a, b) for a, b in _ranges(own, start)]
+        raw = unpack(blob)
+        n = int(np.frombuffer(raw, "<i4", 1)[0])
+        heads.append((np.frombuffer(raw, "<i8", n, 4), *(np.frombuffer(raw, "<i4", n, 4 + 8 * n + 4 * n * i).astype(np.int64) for i in range(3))))
+        words += raw[4 + 20 * n :].split(b" ")
+    doc, text_hash, first, lengths = map(np.concatenate, zip(*heads, strict=True))
+    text, start, place = windows_in(lengths, width)
+    order = np.lexsort((text_hash, doc))
+    number = np.empty(len(doc), np.int64)
+    number[order] = np.cumsum(np.concatenate([[0], (np.diff(doc[order]) != 0) | (np.diff(text_hash[order]) != 0)]))
+    repeat = repeats(runs(hashes.array(words), width)[place], number[text], first[text] + start, place, words, width)
+    rows = [(int(doc[t]), int(text_hash[t]), int(first[t]) + a, int(first[t]) + b) for t, a, b in _ranges(repeat, text, start)]
     for i in range(0, len(rows), 20_000):
         part = rows[i : i + 20_000]
         yield pa.record_batch([pa.array([r[j] for r in part], _KINDS[j + 2]) for j in range(4)], names=["doc", "text_hash", "first", "last"])
@@ -220,35 +216,62 @@ def _kept(words: list, ranges: list[tuple[int, int]], width: int) -> list:
     return [w for w, k in zip(words, keep, strict=True) if k]
 
 
-def _joined(docs: DataFrame, key: str, text: str, width: int, seed_words: int) -> DataFrame:
-    """Every row with the list of its repeated windows."""
-    rows = docs.withColumns({"_doc_": doc_key(key), "_hash_": F.xxhash64(text)})
-    found = repeated_windows(docs, key, text, width, seed_words).groupBy(F.col("doc").alias("_doc_"), F.col("text_hash").alias("_hash_")).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_ranges_"))
-    return rows.join(found, ["_doc_", "_hash_"], "left")
+def _text_hash(text: str):
+    """31 bits that tell rows apart that share an id."""
+    return F.pmod(F.xxhash64(text), F.lit(2**31))
+
+
+def _found(docs: DataFrame, key: str, text: str, width: int, seed_words: int) -> DataFrame:
+    """(doc, text_hash, ranges): repeated windows of each document that has any, written to the shared folder."""
+    return settle(repeated_windows(docs, key, text, width, seed_words).groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges")))
+
+
+def _digests(words: list[bytes], kept: list[bytes]) -> tuple[int, int, str]:
+    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
 def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed_words: int = SEED_WORDS) -> DataFrame:
-    """(key, n_words, n_removed, kept_sha256) for each row."""
-    joined = _joined(docs.select(F.col(key), F.col(text)), key, text, width, seed_words)
+    """(key, n_words, n_removed, kept_sha256) for each row.
+
+    Rows that the bitmap of documents with repeats rules out are done where they are read; only the others' texts
+    travel to their ranges.
+    """
+    found = _found(docs, key, text, width, seed_words)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(found))
+    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"), doc_key(key).alias("doc"), _text_hash(text).alias("text_hash"))
 
-    def run(batches):
+    def first(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out = []
+                hit, out = asked(bits.value, part.columns[4:7]).tolist(), []
+                for x, h in zip(part.column(1).to_pylist(), hit, strict=True):
+                    words = [] if h else words_of(x)
+                    out.append((None, None, None, x) if h else (*_digests(words, words), None))
+                yield pa.record_batch([part.column(0), part.column(2), part.column(3), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))], names=[key, "doc", "text_hash", "n_words", "n_removed", "kept_sha256", "text"])
+
+    def second(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part, out = batch.slice(at, 500), []
                 for x, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     words = words_of(x)
-                    kept = _kept(words, [(r["first"], r["last"]) for r in ranges], width) if ranges else words
-                    out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-                yield pa.record_batch([part.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], names=[key, "n_words", "n_removed", "kept_sha256"])
+                    out.append(_digests(words, _kept(words, [(r["first"], r["last"]) for r in ranges], width) if ranges else words))
+                yield pa.record_batch([part.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string())))], names=names)
 
-    return joined.select(F.col(key).cast("long").alias(key), text, "_ranges_").mapInArrow(run, f"{key} long, n_words long, n_removed long, kept_sha256 string")
+    names = [key, "n_words", "n_removed", "kept_sha256"]
+    schema = f"{key} long, n_words long, n_removed long, kept_sha256 string"
+    spot = [p.alias(f"p{i}") for i, p in enumerate(places())]
+    seen = settle(rows.select("*", *spot).mapInArrow(first, f"{key} long, doc long, text_hash long, n_words long, n_removed long, kept_sha256 string, text string"))
+    rest = seen.where("n_words is null").join(found, ["doc", "text_hash"], "left").select(key, "text", "ranges").mapInArrow(second, schema)
+    return seen.where("n_words is not null").select(*names).union(rest)
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed_words: int = SEED_WORDS) -> DataFrame:
     """docs with repeated passages cut out of text. Texts without one stay as they are, blanks included;
     of others the kept words are joined by one space. Other columns pass through."""
-    joined = _joined(docs, key, text, width, seed_words)
+    found = _found(docs, key, text, width, seed_words).withColumnsRenamed({"doc": "_doc_", "text_hash": "_hash_", "ranges": "_ranges_"})
+    joined = docs.withColumns({"_doc_": doc_key(key), "_hash_": _text_hash(text)}).join(found, ["_doc_", "_hash_"], "left")
 
     @F.pandas_udf("string")
     def cut(texts, ranges):
