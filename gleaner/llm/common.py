@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
 import tempfile
@@ -100,6 +101,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hash_words(raw: bytes) -> np.ndarray:
+    """Hashes of words joined by one space each: eight bytes of every word at once, then the next eight of longer ones."""
+    n = len(raw)
+    padded = raw + bytes(8)
+    gaps = np.flatnonzero(np.frombuffer(padded, np.uint8, n) == 32)
+    starts = np.concatenate([[0], gaps + 1])
+    sizes = np.concatenate([gaps, [n]]) - starts
+    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    h = mix(sizes.astype(np.uint64) + np.uint64(1))
+    at, left = starts, sizes
+    on = np.arange(len(starts))
+    while len(on):
+        part = eight[at] & np.where(left < 8, (np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1), np.uint64(2**64 - 1))
+        h[on] = mix(h[on] ^ part)
+        more = left > 8
+        on, at, left = on[more], at[more] + 8, left[more] - 8
+    return h
+
+
 def odd_numbers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -205,6 +225,14 @@ def groups(batches, keys: int):
         yield at, rows
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker outlives its task, and C's allocator would keep it."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # -- memory-mapped blobs ------------------------------------------------------------------
 
 

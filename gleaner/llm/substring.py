@@ -25,15 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, asked, bitmap, doc_key, mix, places, runs, settle, ship, words_of
+from .common import asked, bitmap, doc_key, hash_words, mix, places, runs, settle, ship, trim, words_of
 
 WIDTH = 20
 #: Words that a minimiser spans.
 SEED_WORDS = 2
 #: Text that a task looks through at once before it sends; bounds its memory.
-SHARE_BYTES = 6 << 20
+SHARE_BYTES = 4 << 20
 #: Packed text that a bucket is meant to hold.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -110,7 +110,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], names=[x.split()[0] for x in _SENT.split(", ")])
 
 
-def _send(share: list[tuple], width: int, seed_words: int, buckets: int, hashes: Hashes):
+def _send(share: list[tuple], width: int, seed_words: int, buckets: int):
     """Rows of a share of documents: repeats found here, and the packed super-k-mers that travel, by bucket."""
     share.sort(key=lambda d: (d[0], d[1]))
     kept, last = [], None
@@ -121,7 +121,7 @@ def _send(share: list[tuple], width: int, seed_words: int, buckets: int, hashes:
     if not kept:
         return
     words = [w for d in kept for w in d[2]]
-    h = hashes.array(words)
+    h = hash_words(b" ".join(words))
     text, start, place = windows_in(np.array([len(d[2]) for d in kept]), width)
     repeat = repeats(runs(h, width)[place], text, start, place, words, width)
     rows = [(kept[t][1] % buckets, None, *kept[t][:2], a, b) for t, a, b in _ranges(repeat, text, start)]  # found already; any bucket hands them on
@@ -155,52 +155,55 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         buckets = max(8, int(size * 3 / BUCKET_BYTES))
 
     def scan(batches):
-        hashes, share, size = Hashes(), [], 0
+        share, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 for doc, text_hash, x in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
                     share.append((doc, text_hash, words_of(x)))
                     size += len(x)
                     if size > SHARE_BYTES:
-                        yield from _send(share, width, seed_words, buckets, hashes)
+                        yield from _send(share, width, seed_words, buckets)
                         share, size = [], 0
-        yield from _send(share, width, seed_words, buckets, hashes)
+        yield from _send(share, width, seed_words, buckets)
+        trim()
 
     def judge(batches):
         """A partition may hold several buckets; each is judged whole when the next one begins."""
         held: list[bytes] = []
         at = None
-        hashes = Hashes()
         for batch in batches:
             known = batch.filter(batch.column(1).is_null())
             yield known.select(["doc", "text_hash", "first", "last"])
             batch = batch.filter(batch.column(1).is_valid())
-            for b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for b, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if b != at and held:
-                    yield from _judge(held, width, hashes)
+                    yield from _judge(held, width)
                     held = []
                 at = b
-                held.append(packed)
+                held.append(packed.as_py())
         if held:
-            yield from _judge(held, width, hashes)
+            yield from _judge(held, width)
+        trim()
 
     return source.mapInArrow(scan, _SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, "doc long, text_hash long, first int, last int")
 
 
-def _judge(packed: list[bytes], width: int, hashes: Hashes):
+def _judge(packed: list[bytes], width: int):
     unpack = zstandard.ZstdDecompressor().decompress
-    heads, words = [], []
+    heads, texts = [], []
     for blob in packed:
         raw = unpack(blob)
         n = int(np.frombuffer(raw, "<i4", 1)[0])
         heads.append((np.frombuffer(raw, "<i8", n, 4), *(np.frombuffer(raw, "<i4", n, 4 + 8 * n + 4 * n * i).astype(np.int64) for i in range(3))))
-        words += raw[4 + 20 * n :].split(b" ")
+        texts.append(raw[4 + 20 * n :])
+    raw = b" ".join(texts)
+    words = raw.split(b" ")
     doc, text_hash, first, lengths = map(np.concatenate, zip(*heads, strict=True))
     text, start, place = windows_in(lengths, width)
     order = np.lexsort((text_hash, doc))
     number = np.empty(len(doc), np.int64)
     number[order] = np.cumsum(np.concatenate([[0], (np.diff(doc[order]) != 0) | (np.diff(text_hash[order]) != 0)]))
-    repeat = repeats(runs(hashes.array(words), width)[place], number[text], first[text] + start, place, words, width)
+    repeat = repeats(runs(hash_words(raw), width)[place], number[text], first[text] + start, place, words, width)
     rows = [(int(doc[t]), int(text_hash[t]), int(first[t]) + a, int(first[t]) + b) for t, a, b in _ranges(repeat, text, start)]
     for i in range(0, len(rows), 20_000):
         part = rows[i : i + 20_000]
@@ -252,8 +255,8 @@ def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
 
     def second(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, out = batch.slice(at, 500), []
+            for at in range(0, batch.num_rows, 200):
+                part, out = batch.slice(at, 200), []
                 for x, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     words = words_of(x)
                     out.append(_digests(words, _kept(words, [(r["first"], r["last"]) for r in ranges], width) if ranges else words))
