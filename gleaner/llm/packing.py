@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import settle, ship
+from .common import settle, ship, trim
 
 SEQUENCE = 2048
 GRAIN = 8
 END_ID = 1
-MEMO_SIZE = 600_000
+MEMO_SIZE = 450_000
 
 
 class FastIds:
@@ -123,6 +123,8 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                     n = len(ids) // 4
                     rows += [(doc, s, min(sequence, n - s), zlib.crc32(ids[4 * s : 4 * (s + sequence)]), n) for s in range(0, n, sequence)]
                 yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=names)
+        del ids_of
+        trim()
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 

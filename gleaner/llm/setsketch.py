@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, asked, bitmap, components, doc_key, groups, lower_words_of, odd_numbers, places, runs, settle, ship
+from .common import Hashes, asked, bitmap, components, doc_key, groups, lower_words_of, odd_numbers, places, runs, settle, ship, trim
 
 #: SetSketch parameters: base, rate, largest register value; bands and registers in each.
 BASE, RATE, LIMIT = 1.02, 20.0, 2**14 - 2
@@ -104,6 +104,8 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
                     s = shingle_hashes(lower_words_of(x), size, hashes)
                     out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), registers(s).tobytes()) if len(s) else (0, None, None))
                 yield pa.record_batch([part.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["doc", "n", "digest", "sketch"])
+        del hashes
+        trim()
 
     return docs.select(doc_key(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, digest binary, sketch binary")
 
@@ -147,6 +149,8 @@ def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, size: int) ->
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 yield pa.record_batch([part.column(0), pa.array([shingle_hashes(lower_words_of(x), size, hashes).tobytes() for x in part.column(1).to_pylist()], pa.binary())], names=["doc", "shingles"])
+        del hashes
+        trim()
 
     rows = docs.select(doc_key(key).alias("doc"), F.col(text).alias("text")).select("doc", "text", *(p.alias(f"p{i}") for i, p in enumerate(places())))
     return rows.mapInArrow(sets, "doc long, shingles binary").join(needed, "doc", "left_semi").dropDuplicates(["doc"])
