@@ -1,11 +1,11 @@
-"""Job boards: which platform a url belongs to, its API url, and what its JSON says."""
+"""Job boards: which platform a url belongs to, and its API url; records.py reads what the API says."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, prettify_slug, url_host, url_path
+from .text import url_host, url_path
 
 
 def platform(url) -> Column:
@@ -27,26 +27,3 @@ def api_url(url) -> Column:
         .when((kind == "lever") & (part(two, 2) != ""), F.concat(F.lit("https://api.lever.co/v0/postings/"), part(two, 1), F.lit("/"), part(two, 2)))
         .when((kind == "workday") & (part(day, 2) != ""), F.concat(F.lit("https://"), host, F.lit("/wday/cxs/"), F.substring_index(host, ".", 1), F.lit("/"), part(day, 1), F.lit("/job/"), F.regexp_replace(part(day, 2), "/+", "/")))
     )
-
-
-def greenhouse(json, board) -> Column:
-    v = F.try_parse_json(col(json))
-    g = lambda p: F.try_variant_get(v, p, "string")
-    return F.struct(g("$.title").alias("title"), prettify_slug(board).alias("company"), g("$.id").alias("req_id"), g("$.location.name").alias("location"), F.lit(None).cast("boolean").alias("remote"), g("$.content").alias("body"))
-
-
-def lever(json, board) -> Column:
-    v = F.try_parse_json(col(json))
-    g = lambda p: F.try_variant_get(v, p, "string")
-    return F.struct(g("$.text").alias("title"), prettify_slug(board).alias("company"), g("$.id").alias("req_id"), g("$.categories.location").alias("location"), F.lit(None).cast("boolean").alias("remote"), F.concat_ws("\n", g("$.descriptionPlain"), g("$.additionalPlain")).alias("body"))
-
-
-def workday(json, tenant) -> Column:
-    v = F.try_parse_json(col(json))
-    g = lambda p: F.try_variant_get(v, "$.jobPostingInfo." + p, "string")
-    return F.struct(g("title").alias("title"), prettify_slug(tenant).alias("company"), g("jobReqId").alias("req_id"), g("location").alias("location"), F.lit(None).cast("boolean").alias("remote"), g("jobDescription").alias("body"))
-
-
-def remote_flags(remote, hybrid) -> Column:
-    """A feed's two flags: hybrid is not remote, else what remote says."""
-    return F.when(col(hybrid), F.lit(False)).otherwise(col(remote))

@@ -121,7 +121,7 @@ def html_text(html: pd.Series) -> pd.Series:
     """Visible text of HTML in lines, one for each block; scripts, styles and heads don't show."""
     from html.parser import HTMLParser
 
-    hidden, blocks = {"script", "style", "head", "template", "noscript"}, {"p", "div", "li", "ul", "ol", "br", "tr", "table", "article", "main", "section", "nav", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
+    hidden, blocks = {"script", "style", "head", "title", "template", "noscript"}, {"p", "div", "li", "ul", "ol", "br", "tr", "table", "article", "main", "section", "nav", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
 
     class Reader(HTMLParser):
         def __init__(self):

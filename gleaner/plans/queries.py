@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import boards, extraction, text
+from ..functions import boards, extraction, records, text
 from ..operators import decide, discovery, resolve, triage, views
 from ..streaming.fold import marks_and_outcomes
 from .inputs import BOOK_SQL, EVENTS_SQL, POSTINGS_SQL, events, postings, table
@@ -353,7 +353,7 @@ def null_rates(spark, d):
 @query(f"WITH {POSTINGS_SQL} SELECT pos, title, 'Acme Corp' AS company, pos::VARCHAR AS req_id, location FROM p")
 def board_json_map(spark, d):
     j = F.to_json(F.struct("title", F.col("pos").alias("id"), F.struct(F.col("location").alias("name")).alias("location"), F.col("raw_text").alias("content")))
-    return postings(spark, d).withColumn("g", boards.greenhouse(j, F.lit("acme-corp"))).select("pos", "g.title", "g.company", "g.req_id", "g.location")
+    return postings(spark, d).withColumn("g", records.greenhouse(j, F.lit("acme-corp"))).select("pos", "g.title", "g.company", "g.req_id", "g.location")
 
 
 @query("SELECT doc_id, (contains(lower(text), 'reha') OR contains(lower(text), 'thion')) AS hit FROM documents")
@@ -368,3 +368,6 @@ def gate_red_lines(spark, d):
 @query("SELECT s_suppkey, format('{:,}', round(s_acctbal)::BIGINT) AS grouped FROM supplier")
 def thousands(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", text.thousands(F.round("s_acctbal")).alias("grouped"))
+
+
+from . import commands as _commands  # noqa: E402, F401  registers its queries here
