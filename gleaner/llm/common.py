@@ -21,12 +21,12 @@ _shipped: dict[str, str] = {}
 def ship(spark: SparkSession) -> None:
     """Make this package importable in every Python worker, once for each application.
 
-    Also keeps batches for Python small: with texts of any length, Spark's default of 10,000 rows a batch is held
-    twice by the executor and once by the worker. A value that the session sets itself stays.
+    Also keeps batches for Python small, in rows and in bytes: a batch is held twice by the executor and once by the
+    worker, and texts may have any length. A value that the session sets itself stays.
     """
     sc = spark.sparkContext
-    for name, usual, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),):
-        if spark.conf.get(name, usual) == usual:
+    for name, usual, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")):
+        if spark.conf.get(name, usual) in (usual, usual.rstrip("b")):
             spark.conf.set(name, own)
     if sc.applicationId in _shipped:
         return

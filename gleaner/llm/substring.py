@@ -17,6 +17,7 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -34,6 +35,8 @@ SEED_WORDS = 2
 SHARE_BYTES = 4 << 20
 #: Packed text that a bucket is meant to hold.
 BUCKET_BYTES = 4 << 20
+#: Packed text beyond which a bucket's windows go on to other buckets.
+HOT_BYTES = 32 << 20
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -125,34 +128,51 @@ def _send(share: list[tuple], width: int, seed_words: int, buckets: int):
     text, start, place = windows_in(np.array([len(d[2]) for d in kept]), width)
     repeat = repeats(runs(h, width)[place], text, start, place, words, width)
     rows = [(kept[t][1] % buckets, None, *kept[t][:2], a, b) for t, a, b in _ranges(repeat, text, start)]  # found already; any bucket hands them on
-    least = sliding_min(runs(h, seed_words, seed=3), width - seed_words + 1)[place]
+    docs, text_hashes = (np.array([d[i] for d in kept], np.int64)[text] for i in (0, 1))
+    rows += _parcels(words, h, text, start, place, ~repeat, docs, text_hashes, width, _seeds(width, seed_words)[0], buckets)
+    for i in range(0, len(rows), 2000):
+        yield _batch(rows[i : i + 2000])
+
+
+def _seeds(width: int, seed_words: int) -> list[tuple[int, int]]:
+    """(words that a minimiser spans, seed of its order) by level; the last one is the window itself."""
+    return [(seed_words, 3), (max(seed_words, width // 3), 5), (width, 9)]
+
+
+def _parcels(words: list[bytes], h: np.ndarray, text: np.ndarray, start: np.ndarray, place: np.ndarray, new: np.ndarray, docs: np.ndarray, text_hashes: np.ndarray, width: int, seed: tuple[int, int], buckets: int) -> list[tuple]:
+    """Super-k-mers of the windows that are new, packed by bucket; the arrays have a value for each window."""
+    least = sliding_min(runs(h, seed[0], seed=seed[1]), width - seed[0] + 1)[place]
     # a super-k-mer ends where the minimiser or the text changes, or a window isn't new
-    cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (repeat[1:] != repeat[:-1])]))
+    cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (new[1:] != new[:-1])]))
     end = np.append(cut[1:], len(least))
-    new = ~repeat[cut]
-    cut, end = cut[new], end[new]
+    fresh = new[cut]
+    cut, end = cut[fresh], end[fresh]
     target = (mix(least[cut]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(target, kind="stable")
-    text, start, place, n, target = text[cut][order], start[cut][order], place[cut][order], (end - cut)[order] + width - 1, target[order]
-    docs, text_hashes = (np.array([d[i] for d in kept], np.int64)[text] for i in (0, 1))
+    cut, n, target = cut[order], (end - cut)[order] + width - 1, target[order]
+    start, place, docs, text_hashes = start[cut], place[cut], docs[cut], text_hashes[cut]
     lines = [b" ".join(words[p : p + m]) for p, m in zip(place.tolist(), n.tolist(), strict=True)]
     edge = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else np.empty(0, int)
     pack = zstandard.ZstdCompressor(level=3).compress
+    rows = []
     for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(target)][: len(edge)], strict=True):
         head = np.array([z - a], "<i4").tobytes() + docs[a:z].astype("<i8").tobytes() + b"".join(x[a:z].astype("<i4").tobytes() for x in (text_hashes, start, n))
         rows.append((int(target[a]), pack(head + b" ".join(lines[a:z])), None, None, None, None))
-    for i in range(0, len(rows), 2000):
-        yield _batch(rows[i : i + 2000])
+    return rows
 
 
-def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed_words: int = SEED_WORDS, buckets: int | None = None) -> DataFrame:
-    """(doc, text_hash, first, last): runs of windows, by their first words, that start earlier elsewhere."""
+def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed_words: int = SEED_WORDS, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(doc, text_hash, first, last): runs of windows, by their first words, that start earlier elsewhere.
+
+    A bucket beyond hot_bytes is never held: its windows go on, by share, to buckets of a longer minimiser in another
+    order, and those of one that is still too large to buckets of the windows themselves. Nothing else takes that way.
+    """
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(doc_key(key).alias("doc"), _text_hash(text).alias("text_hash"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    if buckets is None:
-        size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
-        buckets = max(8, int(size * 3 / BUCKET_BYTES))
+    size = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(8, int(size * 3 / BUCKET_BYTES))
+    seeds = _seeds(width, seed_words)
 
     def scan(batches):
         share, size = [], 0
@@ -167,28 +187,41 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         yield from _send(share, width, seed_words, buckets)
         trim()
 
-    def judge(batches):
-        """A partition may hold several buckets; each is judged whole when the next one begins."""
+    def judge(batches, level):
+        """A partition may hold several buckets; each is judged whole when the next one begins, unless it is hot."""
+        onward = (seeds[level + 1], buckets) if level + 1 < len(seeds) else None
         held: list[bytes] = []
-        at = None
+        at, size, hot = None, 0, False
         for batch in batches:
-            known = batch.filter(batch.column(1).is_null())
-            yield known.select(["doc", "text_hash", "first", "last"])
+            yield batch.filter(batch.column(1).is_null())
             batch = batch.filter(batch.column(1).is_valid())
             for b, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if b != at and held:
-                    yield from _judge(held, width)
-                    held = []
-                at = b
+                if b != at:
+                    yield from _judge(held, width, onward if hot else None)
+                    held, at, size, hot = [], b, 0, False
                 held.append(packed.as_py())
-        if held:
-            yield from _judge(held, width)
+                size += zstandard.frame_content_size(held[-1])
+                if onward and size > (min(SHARE_BYTES, hot_bytes) if hot else hot_bytes):
+                    hot = True
+                    yield from _judge(held, width, onward)
+                    held, size = [], 0
+        yield from _judge(held, width, onward if hot else None)
         trim()
 
-    return source.mapInArrow(scan, _SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, "doc long, text_hash long, first int, last int")
+    sent, out = source.mapInArrow(scan, _SENT), []
+    for level in range(len(seeds)):
+        judged = settle(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda x, at=level: judge(x, at), _SENT))
+        out.append(judged.where("packed is null").select("doc", "text_hash", "first", "last"))
+        sent = judged.where("packed is not null")
+        if level + 1 == len(seeds) or sent.isEmpty():
+            return functools.reduce(DataFrame.union, out)
+    raise AssertionError("not reached")
 
 
-def _judge(packed: list[bytes], width: int):
+def _judge(packed: list[bytes], width: int, onward: tuple[tuple[int, int], int] | None = None):
+    """Repeats among the packed windows; with onward (seed, buckets) also the others, packed for their next buckets."""
+    if not packed:
+        return
     unpack = zstandard.ZstdDecompressor().decompress
     heads, texts = [], []
     for blob in packed:
@@ -203,11 +236,14 @@ def _judge(packed: list[bytes], width: int):
     order = np.lexsort((text_hash, doc))
     number = np.empty(len(doc), np.int64)
     number[order] = np.cumsum(np.concatenate([[0], (np.diff(doc[order]) != 0) | (np.diff(text_hash[order]) != 0)]))
-    repeat = repeats(runs(hash_words(raw), width)[place], number[text], first[text] + start, place, words, width)
-    rows = [(int(doc[t]), int(text_hash[t]), int(first[t]) + a, int(first[t]) + b) for t, a, b in _ranges(repeat, text, start)]
-    for i in range(0, len(rows), 20_000):
-        part = rows[i : i + 20_000]
-        yield pa.record_batch([pa.array([r[j] for r in part], _KINDS[j + 2]) for j in range(4)], names=["doc", "text_hash", "first", "last"])
+    h = hash_words(raw)
+    repeat = repeats(runs(h, width)[place], number[text], first[text] + start, place, words, width)
+    rows = [(None, None, int(doc[t]), int(text_hash[t]), int(first[t]) + a, int(first[t]) + b) for t, a, b in _ranges(repeat, text, start)]
+    if onward:
+        rows += _parcels(words, h, text, first[text] + start, place, ~repeat, doc[text], text_hash[text], width, *onward)
+    step = 2_000 if onward else 20_000
+    for i in range(0, len(rows), step):
+        yield _batch(rows[i : i + step])
 
 
 def _kept(words: list, ranges: list[tuple[int, int]], width: int) -> list:
@@ -224,22 +260,22 @@ def _text_hash(text: str):
     return F.pmod(F.xxhash64(text), F.lit(2**31))
 
 
-def _found(docs: DataFrame, key: str, text: str, width: int, seed_words: int) -> DataFrame:
+def _found(docs: DataFrame, key: str, text: str, width: int, seed_words: int, hot_bytes: int) -> DataFrame:
     """(doc, text_hash, ranges): repeated windows of each document that has any, written to the shared folder."""
-    return settle(repeated_windows(docs, key, text, width, seed_words).groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges")))
+    return settle(repeated_windows(docs, key, text, width, seed_words, hot_bytes).groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges")))
 
 
 def _digests(words: list[bytes], kept: list[bytes]) -> tuple[int, int, str]:
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
-def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed_words: int = SEED_WORDS) -> DataFrame:
+def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed_words: int = SEED_WORDS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) for each row.
 
     Rows that the bitmap of documents with repeats rules out are done where they are read; only the others' texts
     travel to their ranges.
     """
-    found = _found(docs, key, text, width, seed_words)
+    found = _found(docs, key, text, width, seed_words, hot_bytes)
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(found))
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"), doc_key(key).alias("doc"), _text_hash(text).alias("text_hash"))
 
@@ -270,10 +306,10 @@ def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     return seen.where("n_words is not null").select(*names).union(rest)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed_words: int = SEED_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed_words: int = SEED_WORDS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """docs with repeated passages cut out of text. Texts without one stay as they are, blanks included;
     of others the kept words are joined by one space. Other columns pass through."""
-    found = _found(docs, key, text, width, seed_words).withColumnsRenamed({"doc": "_doc_", "text_hash": "_hash_", "ranges": "_ranges_"})
+    found = _found(docs, key, text, width, seed_words, hot_bytes).withColumnsRenamed({"doc": "_doc_", "text_hash": "_hash_", "ranges": "_ranges_"})
     joined = docs.withColumns({"_doc_": doc_key(key), "_hash_": _text_hash(text)}).join(found, ["_doc_", "_hash_"], "left")
 
     @F.pandas_udf("string")

@@ -176,6 +176,8 @@ def test_op6(docs, empty, monkeypatch):
         got = table(substring.dedup_digests(docs), "doc_id")
         assert [(got[i].n_words, got[i].n_removed, got[i].kept_sha256) for i in range(len(TEXTS))] == want
     assert sum(w[1] for w in want) > 200
+    for hot in (1, 3_000):  # buckets beyond the limit go on: some, or all of them down to single windows
+        assert table(substring.dedup_digests(docs, hot_bytes=hot), "doc_id") == got
     cut = table(substring.dedup(docs), "doc_id")
     assert cut[7].text == "" and cut[6].text == BASE and cut[0].text is None and cut[2].text == "  "
     assert substring.dedup_digests(empty).count() == 0
