@@ -193,7 +193,8 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         held: list[bytes] = []
         at, size, hot = None, 0, False
         for batch in batches:
-            yield batch.filter(batch.column(1).is_null())
+            known = batch.filter(batch.column(1).is_null())
+            yield pa.record_batch(known.columns, names=known.schema.names)  # without the plan's notes on nulls
             batch = batch.filter(batch.column(1).is_valid())
             for b, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if b != at:
