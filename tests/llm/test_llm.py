@@ -138,6 +138,17 @@ def test_op4(spark):
     assert forest.search(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_op4_recall_with_production_parameters(spark):
+    x = np.random.default_rng(2000).normal(size=(2000, 64))
+    got = forest.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=20).toPandas()
+    hits = 0
+    for q in range(0, 2000, 20):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(got["vec_id"][got["query_id"] == q]) & set(np.argsort(d)[:10].tolist()))
+    assert hits / 1000 >= 0.9
+
+
 def test_op5(spark, monkeypatch):
     monkeypatch.setattr(covertree, "CELL", 40)
     monkeypatch.setattr(covertree, "LEAF", 4)
