@@ -104,7 +104,7 @@ def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k:
         limit = np.partition(rough[i], keep - 1)[keep - 1]
         if not np.isfinite(limit):
             limit = np.finfo(float).max
-        near = np.flatnonzero(rough[i] <= limit + 1e-9 * (1 + abs(limit)))
+        near = np.flatnonzero((rough[i] <= limit + 1e-9 * (1 + abs(limit))) & (ids != qids[i]))  # the bound may be infinite
         d = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
         best = np.lexsort((ids[near], d))[:k]
         out.append((np.full(len(best), i), ids[near][best], d[best]))

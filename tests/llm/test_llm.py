@@ -149,6 +149,14 @@ def test_op4_recall_with_production_parameters(spark):
     assert hits / 1000 >= 0.9
 
 
+@pytest.mark.parametrize("n", [1, 2, 10])
+def test_op4_few_vectors(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 4))
+    got = forest.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=1).collect()
+    near = lambda q: sorted((i for i in range(n) if i != q), key=lambda i: ((x[i] - x[q]) ** 2).sum())
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(q, rank, i) for q in range(n) for rank, i in enumerate(near(q), 1)]
+
+
 def test_op5(spark, monkeypatch):
     monkeypatch.setattr(covertree, "CELL", 40)
     monkeypatch.setattr(covertree, "LEAF", 4)
