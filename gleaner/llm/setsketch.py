@@ -34,8 +34,8 @@ from .common import Hashes, asked, bitmap, components, doc_key, groups, lower_wo
 BASE, RATE, LIMIT = 1.02, 20.0, 2**14 - 2
 BANDS, ROWS = 24, 5
 #: A candidate goes on to verification if its estimate is no further than this below the threshold:
-#: about four standard errors of 120 registers.
-SLACK = 0.13
+#: over five standard errors of 120 registers.
+SLACK = 0.2
 #: Classes of a bucket that a task of the sweep takes on each side.
 BLOCK = 1024
 

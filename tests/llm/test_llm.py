@@ -261,6 +261,19 @@ def test_op8_estimate():
     assert (setsketch.merge(setsketch.registers(x), setsketch.registers(y)) == setsketch.registers(np.union1d(x, y))).all()
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_op8_estimate_drops_no_pair_at_the_threshold(similarity):
+    """Pairs of equal-sized sets of just that similarity, with independent registers."""
+    r = np.random.default_rng(5)
+    n, m = 1000.0, setsketch.BANDS * setsketch.ROWS
+    union = 2 * n / (1 + similarity)
+    for _ in range(3):
+        both, one, two = (r.exponential(size=(20_000, m)) / (size * setsketch.RATE) for size in (similarity * union, *[(1 - similarity) / 2 * union] * 2))
+        a, b = (np.floor(1 - np.log(np.minimum(both, x)) / np.log(setsketch.BASE)) for x in (one, two))
+        size = np.full(20_000, n)
+        assert (setsketch.estimate(a, b, size, size) >= similarity - setsketch.SLACK).all()
+
+
 def check_packing(rows, texts, encode):
     by_doc, by_sequence = {}, {}
     for r in rows:
