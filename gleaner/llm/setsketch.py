@@ -14,9 +14,10 @@ components are swept: each pair of classes of different components is compared.
 is emitted once the group is joined, and no pair that shares a band goes unjudged.
 
 Defined cases: null text, empty text or text without words gives an empty set, linked with nothing; fewer
-words than a shingle has give one shingle of all words; null doc_id counts as the largest id; repeated rows
-are copies, so a row with the smallest id of its component is kept as often as it stands; an empty table
-gives an empty result. Other columns are ignored.
+words than a shingle has give one shingle of all words; null doc_id counts as the largest id; rows that share
+an id (null too) but not their text are judged each by its own text; repeated rows are copies, so a row with the
+smallest id of its component is kept as often as it stands; an empty table gives an empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +48,15 @@ def shingle_hashes(words: list[bytes], size: int, hashes: Hashes) -> np.ndarray:
     return np.unique(runs(hashes.array(words), min(size, len(words)), seed=5))
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _text_hash(text: str):
+    """Tells texts apart whose rows share an id; never null."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 _SALTS = odd_numbers(2 * BANDS * ROWS, 23)
 
 
@@ -92,7 +102,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """(doc, n, digest, sketch) of each row: set size, digest of the set, registers."""
+    """(doc, text_hash, n, digest, sketch) of each row: set size, digest of the set, registers."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -100,14 +110,14 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part, out = batch.slice(at, 1000), []
-                for x in part.column(1).to_pylist():
+                for x in part.column(2).to_pylist():
                     s = shingle_hashes(lower_words_of(x), size, hashes)
-                    out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), registers(s).tobytes()) if len(s) else (0, None, None))
-                yield pa.record_batch([part.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["doc", "n", "digest", "sketch"])
+                    out.append((len(s), _digest(s), registers(s).tobytes()) if len(s) else (0, None, None))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["doc", "text_hash", "n", "digest", "sketch"])
         del hashes
         trim()
 
-    return docs.select(doc_key(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, digest binary, sketch binary")
+    return docs.select(doc_key(key).alias("doc"), _text_hash(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, "doc long, text_hash binary, n long, digest binary, sketch binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -136,7 +146,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
 
 
 def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(doc, shingles) of the ids in needed (settled): distinct shingle hashes. Of rows that share an id, one is taken.
+    """(rep, shingles) of the classes in needed (rep, doc, digest; settled): distinct shingle hashes.
+
+    A row is of a class if its id and the digest of its set are; its id alone is not enough, as rows may share it.
 
     A bitmap of fixed size rules out most other documents as they are read; what travels are sets, not texts.
     """
@@ -148,17 +160,23 @@ def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, size: int) ->
             batch = batch.filter(pa.array(asked(bits.value, batch.columns[2:5]))) if batch.num_rows else batch
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield pa.record_batch([part.column(0), pa.array([shingle_hashes(lower_words_of(x), size, hashes).tobytes() for x in part.column(1).to_pylist()], pa.binary())], names=["doc", "shingles"])
+                found = [shingle_hashes(lower_words_of(x), size, hashes) for x in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc", "digest", "shingles"])
         del hashes
         trim()
 
     rows = docs.select(doc_key(key).alias("doc"), F.col(text).alias("text")).select("doc", "text", *(p.alias(f"p{i}") for i, p in enumerate(places())))
-    return rows.mapInArrow(sets, "doc long, shingles binary").join(needed, "doc", "left_semi").dropDuplicates(["doc"])
+    return rows.mapInArrow(sets, "doc long, digest binary, shingles binary").join(needed, ["doc", "digest"]).dropDuplicates(["doc", "digest"]).select("rep", "shingles")
+
+
+def _needed(reps: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, doc, digest) of these classes, settled."""
+    return settle(reps.distinct().join(classes.select("rep", "doc", "digest"), "rep"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """Of pairs (settled), those whose full sets have 100 * intersection >= percent * union."""
-    needed = settle(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
+    needed = _needed(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), classes)
 
     def judge(batches):
         for batch in batches:
@@ -171,7 +189,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     found = settle(_sets(docs, needed, key, text, size))
-    one = lambda c: found.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}"))
+    one = lambda c: found.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}"))
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
@@ -254,21 +272,23 @@ def _sweep(rows: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketches = spread.join(classes.select("rep", "n", "sketch"), "rep").select(*group, "rep", "component", "side", "n", "sketch")
     wanted = settle(sketches.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(ask, "band long, i int, j int, side int, rep long, component long"))
-    sets = _sets(docs, settle(wanted.select(F.col("rep").alias("doc")).distinct()), key, text, size).withColumnRenamed("doc", "rep")
+    sets = _sets(docs, _needed(wanted.select("rep"), classes), key, text, size)
     return wanted.join(sets, "rep").select(*group, "side", "rep", "component", "shingles").repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(judge, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc, n_shingles, component) for each row; linked are sets with 100 * intersection >= percent * union."""
+    """(doc, text_hash, n_shingles, component) for each row; linked are sets with 100 * intersection >= percent * union."""
     threshold = percent / 100
     rows = settle(sketch(docs, key, text, size))
-    classes = settle(rows.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch"), F.first("n").alias("n")).select("rep", "sketch", "n", "digest"))
+    # doc, the smallest id of a class, may be that of other classes too: rep is a number of its own
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    classes = settle(classes.select(F.monotonically_increasing_id().alias("rep"), "doc", "sketch", "n", "digest"))
     leaders = [F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep"))]
     bands = _bands(classes)
     buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.array_distinct(F.array(*leaders)).alias("leaders")).where("n > 1").select("band", "leaders")
     members = settle(bands.join(buckets, "band"))
     pairs = members.select("rep", F.explode("leaders").alias("leader")).where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    links = settle(_verified(settle(_likely(pairs, classes, threshold)), docs, key, text, size, percent))
+    links = settle(_verified(settle(_likely(pairs, classes, threshold)), classes, docs, key, text, size, percent))
     labels = components(links)
 
     # the sweep: buckets that hold several components still
@@ -278,8 +298,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     if more.limit(1).count():
         labels = components(links.union(more))
 
-    of_class = classes.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return rows.join(of_class, "digest", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    # a component is named by the smallest id of its classes
+    labelled = classes.select("digest", "rep", "doc").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    lowest = labelled.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
+    of_class = labelled.join(lowest, "component", "left").select("digest", F.coalesce("least", "doc").alias("component"))
+    return rows.join(of_class, "digest", "left").select("doc", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
@@ -292,5 +315,5 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows that are near-duplicates of one with a smaller id; columns stay."""
-    gone = near_duplicates(docs, key, text, size, percent).where("doc <> component").select(F.col("doc").alias("_doc_")).distinct()
-    return docs.withColumn("_doc_", doc_key(key)).join(gone, "_doc_", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, key, text, size, percent).where("doc <> component").select(F.col("doc").alias("_doc_"), F.col("text_hash").alias("_text_hash_")).distinct()
+    return docs.withColumn("_doc_", doc_key(key)).withColumn("_text_hash_", _text_hash(text)).join(gone, ["_doc_", "_text_hash_"], "left_anti").select(*docs.columns)

@@ -235,6 +235,21 @@ def test_op8(spark, docs, empty):
     assert setsketch.digests(empty).count() == 0 and setsketch.dedup(empty).columns == docs.columns
 
 
+def test_op8_ids_shared_by_different_texts(spark):
+    """Null ids and a repeated id: each row is judged by its own text, and goes by its own text."""
+    near = lambda x: x.rsplit(" ", 1)[0] + " other"
+    r = random.Random(9)
+    a, b, c, d, e = (" ".join(r.choices(WORDS, k=120)) for _ in range(5))
+    rows = [(1, a), (2, b), (9, c), (9, d), (12, near(c)), (13, near(d)), (None, a), (None, near(b)), (None, e), (7, near(a)), (7, "all its own"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(1, a), (2, b), (9, c), (9, d), (None, e), (7, "all its own"), (None, None), (None, "")]
+    assert sorted(map(tuple, setsketch.dedup(df).collect()), key=str) == sorted(kept, key=str)
+    n = {x: len(set(zip(*(x.split()[i:] for i in range(3)), strict=False))) for _, x in rows if x}
+    want = [(1, n[a], 1, True), (2, n[b], 2, True), (9, n[c], 9, True), (9, n[d], 9, True), (12, n[near(c)], 9, False), (13, n[near(d)], 9, False), (None, n[a], 1, False)]
+    want += [(None, n[near(b)], 2, False), (None, n[e], None, True), (7, n[near(a)], 1, False), (7, 1, 7, True), (None, 0, None, True), (None, 0, None, True)]
+    assert sorted(map(tuple, setsketch.digests(df).collect()), key=str) == sorted(want, key=str)
+
+
 def test_op8_large_near_group(spark, monkeypatch):
     """Copies whose pairs lie around the threshold: stars alone would part them, the sweep must not."""
     monkeypatch.setattr(setsketch, "BLOCK", 16)
