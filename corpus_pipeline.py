@@ -18,9 +18,10 @@ from gleaner.llm.common import settle, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is undetermined (no letter) go; the columns stay as they are."""
     model = language.train(language.training_rows(docs))
-    names = [c for c in docs.columns if c != "text"]
-    judged = language.predict(docs, model, "doc_id", "text", tuple(n for n in [*names, "text"] if n != "doc_id"))
-    return judged.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    # numbered names: documents may have columns that are called as those that predict() appends
+    names = {c: f"_{i}_" for i, c in enumerate(docs.columns)}
+    judged = language.predict(docs.toDF(*names.values()), model, names["doc_id"], names["text"], tuple(n for c, n in names.items() if c != "doc_id"))
+    return judged.where(F.col("lang_pred") != language.UNDETERMINED).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -360,6 +360,13 @@ def test_op10_beats_unigrams(spark):
     assert got["score"].sum() > got["base_score"].sum()
 
 
+def test_pipeline_language_with_clashing_columns(spark):
+    rows = [(0, "some words", "xx", 3.5, "a", "m", "t"), (1, "...", "xx", None, None, None, None), (2, "more words", None, 0.0, "und", None, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, Score double, lang_pred string, mixture string, _text_ string")
+    got = corpus_pipeline.language_id(spark, df, SF)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
 def test_pipeline(spark, docs, empty):
     held = docs
     kept = []
