@@ -17,6 +17,7 @@ import hashlib
 import zlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from .common import doc_key, settle, shared_dir, ship
 SEGMENT_BYTES = 8192
 CHUNK_BYTES = 4096
 FILE_BYTES = 32 << 20
+#: A digest of one in so many repeated rows, or more, is looked up in a broadcast.
+HOT_SHARE = 1000
 _EPOCH = "2024-01-01T00:00:00Z"
 
 RECORDS = "page_key long, kind string, origin string, number int, total long, block binary, digest string, refers_key long"
@@ -80,14 +83,24 @@ def records_of(page: int, url: str, payload: bytes, refers: int | None, segment:
     return out
 
 
+def members(data: bytes, window: int = 1 << 15):
+    """What each gzip member of an archive holds; compressed bytes are handed on in windows, from where the last member ended."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            part = view[at : at + window]
+            if not len(part):
+                raise ValueError("a gzip member ends early")
+            out.append(z.decompress(part))
+            at += len(part)
+        at -= len(z.unused_data)
+        yield b"".join(out)
+
+
 def parse(data: bytes):
     """(headers with lower-case names, block) of every record of an archive."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        if not z.eof:
-            raise ValueError("a gzip member ends early")
-        data = z.unused_data
+    for raw in members(data):
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "surrogatepass").split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -105,17 +118,24 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
+def with_types(pages: DataFrame, least: int = 0, hot_share: int = HOT_SHARE) -> DataFrame:
     """(page_id, page_key, url, payload, refers_key): refers_key is null for responses.
 
-    Each digest's smallest page is found by an aggregate that combines before the shuffle, so that a
-    payload that a third of all pages share stays small; the join back is split where it is skewed.
+    Each repeated digest's smallest page is found by an aggregate that combines before the shuffle. Digests of at
+    least one in `hot_share` of the repeated rows, so `hot_share` at most, are looked up in a broadcast; payloads
+    of all others meet their digest's row in a join of which no key is that frequent.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), doc_key("page_id").alias("page_key"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b"")).alias("payload"))
-    base = base.withColumn("digest", F.sha1("payload"))
-    first = base.groupBy("digest").agg(F.min("page_key").alias("first"))
+    base = base.withColumn("digest", F.unhex(F.sha1("payload")))
+    first = settle(base.groupBy("digest").agg(F.min("page_key").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    repeated = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * hot_share >= repeated
+    known = base.join(F.broadcast(first.where(is_hot).select("digest", F.col("first").alias("hot"))), "digest", "left")
+    # rows that are done get keys of their own, so that they don't meet in one task
+    at = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.encode(F.concat_ws(" ", "page_key", F.xxhash64("url")), "UTF-8"))
+    found = known.withColumn("_at", at).join(first.where(~is_hot).select(F.col("digest").alias("_at"), "first"), "_at", "left").withColumn("first", F.coalesce("hot", "first"))
     refers = F.when((F.col("first") != F.col("page_key")) & (F.length("payload") >= least), F.col("first"))
-    return base.join(first, "digest").withColumn("refers_key", refers).select("page_id", "page_key", "url", "payload", "refers_key")
+    return found.withColumn("refers_key", refers).select("page_id", "page_key", "url", "payload", "refers_key")
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, least: int = 0) -> DataFrame:
@@ -197,52 +217,75 @@ def payload_of(block: bytes, kind: str) -> tuple[bytes, int]:
     return body, len(body)
 
 
-def reassemble(records: DataFrame) -> DataFrame:
+_JUDGED = "page_key long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_key long, origin string, number int, total long"
+_JUDGED_KINDS = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64())
+
+
+def _judged(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(_JUDGED_KINDS)], names=[x.split()[0] for x in _JUDGED.split(", ")])
+
+
+def _verified(page: int, kind: str, origin: str, block: bytes, digest: str | None, refers: int | None, payloads: bool) -> tuple:
+    payload, n = payload_of(block, kind)
+    stated = (digest or "").removeprefix("sha1:")
+    if kind != "revisit" and stated != digest_of(payload):
+        raise ValueError(f"{origin}: the digest differs")
+    return page, payload if payloads else None, n, stated, kind, refers, origin, 0, None
+
+
+def _joined(group: list[tuple], payloads: bool) -> list[tuple]:
+    """The record of all its segments, in order of number, as often as the record itself is repeated."""
+    page, _, _, digest, kind, refers, origin, number, _ = group[0]
+    if number != 1 or kind == "continuation":
+        raise ValueError(f"{origin}: no first segment")
+    copies = sum(g[7] == 1 for g in group)  # a repeated row has the same identifier and the same segments
+    group = group[::copies]
+    block = b"".join(g[1] for g in group)
+    if [g[7] for g in group] != [*range(1, len(group) + 1)] or group[-1][8] != len(block):
+        raise ValueError(f"{origin}: segments are missing or their total length differs")
+    return [_verified(page, kind, origin, block, digest, refers, payloads)] * copies
+
+
+def reassemble(records: DataFrame, payloads: bool = True) -> DataFrame:
     """(page_key, payload, payload_bytes, payload_digest, record_type, refers_key) of whole records.
 
-    Segments travel to one place by origin and are streamed there in order of number: a task holds the
-    segments of one record at a time. Unsegmented records don't travel.
+    Archives are read once: a record that isn't segmented is decoded and verified where it is read, and then travels
+    with the segments (without its payload, if payloads are not asked for). Segments meet by origin and are streamed
+    in order of number: a task holds those of one record at a time.
     """
-    names = "page_key long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_key long"
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
-
-    def whole(group: list[tuple]):
-        page, kind, origin, number, total, _, digest, refers = group[0]
-        if number > 1 or kind == "continuation":
-            raise ValueError(f"{origin}: no first segment")
-        copies = sum(g[3] == number for g in group)  # a repeated row has the same identifier and the same segments
-        group = group[::copies]
-        block = b"".join(g[5] for g in group)
-        if number and ([g[3] for g in group] != [*range(1, len(group) + 1)] or group[-1][4] != len(block)):
-            raise ValueError(f"{origin}: segments are missing or their total length differs")
-        payload, n = payload_of(block, kind)
-        stated = (digest or "").removeprefix("sha1:")
-        if kind != "revisit" and stated != digest_of(payload):
-            raise ValueError(f"{origin}: the digest differs")
-        return [(page, payload, n, stated, kind, refers)] * copies
 
-    def run(batches):
+    def first(batches):
+        for batch in batches:
+            rows, size = [], 0
+            for page, kind, origin, number, total, block, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append((page, block, None, digest, kind, refers, origin, number, total) if number else _verified(page, kind, origin, block, digest, refers, payloads))
+                size += len(rows[-1][1] or b"")
+                if size > 8 << 20:
+                    yield _judged(rows)
+                    rows, size = [], 0
+            yield _judged(rows)
+
+    def second(batches):
         group: list[tuple] = []
         for batch in batches:
+            whole = pc.equal(batch.column(7), 0)
+            known = batch.filter(whole)
+            yield pa.record_batch(known.columns, names=known.schema.names)  # without the plan's notes on nulls
             done, size = [], 0
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # a first segment begins a record, as does a whole one, also where an identifier is repeated
-                if group and (row[2] != group[0][2] or row[3] == 0):
-                    done += whole(group)
-                    size += len(done[-1][1])
+            for row in zip(*(c.to_pylist() for c in batch.filter(pc.invert(whole)).columns), strict=True):
+                if group and row[6] != group[0][6]:
+                    done += _joined(group, payloads)
+                    size += len(done[-1][1] or b"")
                     group = []
                 group.append(row)
                 if size > 8 << 20:
-                    yield pa.record_batch([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in names.split(", ")])
+                    yield _judged(done)
                     done, size = [], 0
-            yield pa.record_batch([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in names.split(", ")])
+            yield _judged(done)
         if group:
-            done = whole(group)
-            yield pa.record_batch([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in names.split(", ")])
+            yield _judged(_joined(group, payloads))
 
-    single = records.where("number = 0").mapInArrow(run, names)
-    parted = records.where("number > 0").repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(run, names)
-    return single.union(parted)
+    return records.mapInArrow(first, _JUDGED).repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(second, _JUDGED).drop("origin", "number", "total")
 
 
 def round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES, least: int = 0) -> DataFrame:
@@ -251,7 +294,7 @@ def round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES, least: int = 0) -
     path = shared_dir(spark)
     if not write_archives(pages, path, segment, least).limit(1).count():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    found = reassemble(read_records(spark, path))
+    found = reassemble(read_records(spark, path), payloads=False)
     null = F.lit(2**63 - 1)
     back = lambda c: F.when(F.col(c) != null, F.col(c))
     return found.select(back("page_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", back("refers_key").alias("refers_to"))
