@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
-import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,11 +44,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a local temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.environ.get("GLEANER_SHARED")
-    if not base:
-        base = os.environ["GLEANER_SHARED"] = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-    return f"{base.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, where all of the application's go when it ends.
+
+    Where that is unset a local master (tests) gets a temporary one, and a cluster an error: executors share no local folder.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _folders:
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        own = _folders[sc.applicationId] = f"{base.rstrip('/')}/gleaner-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return f"{_folders[sc.applicationId]}/{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -152,20 +165,45 @@ def runs(h: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
         have, step = 2 * have, step + 2
 
 
+def _narrowed(rows: DataFrame, value, size: int, near: int) -> tuple[int, int, int]:
+    """(low, high, above): the `size`-th largest value, which is not negative, lies between low and high; `above` rows are beyond.
+
+    Histograms of 1,024 bins, each over the bin before that holds it, until that has `near` rows at most or one value.
+    """
+    low, high, n = rows.agg(F.min(value), F.max(value), F.count("*")).first()
+    above = 0
+    while n > near and high > low:
+        step = (high - low) // 1024 + 1
+        bins = rows.where(value.between(low, high)).groupBy(F.floor((value - F.lit(low)) / step) if high < 2**50 else F.shiftright(value - F.lit(low), step.bit_length())).count().collect()
+        width = step if high < 2**50 else 1 << step.bit_length()
+        for at, n in sorted(map(tuple, bins), reverse=True):
+            if above + n >= size:
+                low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+                break
+            above += n
+    return low, high, above
+
+
 def most_frequent(counts: DataFrame, size: int, least: int = 1) -> list:
-    """Rows of settled counts (word, n) with the largest n, `size` at most; a count that would go beyond is left out whole.
+    """Rows of settled counts (word, n) with the largest n: `size` of them, or all if there are fewer.
 
-    The histogram of counts gives the threshold, so that no task sends more than what is kept.
+    Ties at the cut go by a hash of the word, then by its bytes. Exact for counts of any size; what comes to the
+    driver is `size` rows and a bounded rest.
     """
-    top = 1_000_000
-    n, taken, threshold = F.least("n", F.lit(top)).alias("n"), 0, None
-    for r in sorted(counts.where(f"n >= {least}").groupBy(n).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["n"]):
-        if taken + r["words"] > size:
-            break
-        taken, threshold = taken + r["words"], r["n"]
-    if threshold is None:
-        return []
-    return sorted(counts.where(f"n >= {threshold}").collect(), key=lambda r: (-r["n"], bytes(r["word"])))
+    rows, near, n = counts.where(f"n >= {least}"), 1000, F.col("n")
+    if rows.count() <= size + near:
+        found = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64("word"), 1)).collect()
+    else:
+        low, high, above = _narrowed(rows, n, size, near)
+        h = F.shiftrightunsigned(F.xxhash64("word"), 1)
+        rows = rows.withColumn("_h", h)
+        own = n.between(low, high)
+        if low == high:  # perhaps many words of one count: of these the ones with the least hashes
+            back = F.lit(2**63 - 1) - F.col("_h")
+            own = own & (back >= _narrowed(rows.where(own), back, size - above, near)[0])
+        found = rows.where((n > high) | own).collect()
+    best = sorted(found, key=lambda r: (-r["n"], r["_h"], bytes(r["word"])))[:size]
+    return sorted(best, key=lambda r: (-r["n"], bytes(r["word"])))
 
 
 # -- which ids are asked for: a bitmap of fixed size that only prunes ------------------------
@@ -240,6 +278,16 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_made: dict[str, tuple] = {}
+
+
+def once(kind: str, of, make):
+    """make(of), once for each worker process: kept for its later tasks until another `of` is asked for."""
+    if kind not in _made or _made[kind][0] != of:
+        _made[kind] = of, make(of)
+    return _made[kind][1]
+
+
 # -- memory-mapped blobs ------------------------------------------------------------------
 
 

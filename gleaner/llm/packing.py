@@ -26,104 +26,85 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import settle, ship, trim
+from .common import once, settle, ship, trim
 
 SEQUENCE = 2048
 GRAIN = 8
 END_ID = 1
-MEMO_SIZE = 450_000
 
 
-class FastIds:
-    """ids as tokenizers gives them, chunk by chunk with a memory of chunks.
+#: Fixed value: the pattern of byte-level pre-tokenizers.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    The byte-level pattern lets a token begin with one space and never cross to the next, so a text in
-    which no space is followed by a blank or by the end can be cut before each space; other texts, and
-    texts with a special token's string, go to the library whole. A chunk of a space and letters is one
-    pre-token, whose merges tiktoken makes from the same vocabulary's ranks; a mark behind is another.
+#: Blanks in a row from which on a text goes to the library: well below what tiktoken's pattern can step back over.
+LONG_BLANK = 20_000
+
+
+class TextIds:
+    """ids as tokenizers gives them, from the text of the vocabulary's file.
+
+    Where the file is a plain byte-level one whose ids follow the order of its merges, tiktoken gives the same
+    ids from the same merges (tested on every code point). Texts with a special token's string or a run of blanks
+    that its pattern could not step back over, and all texts of other files, go to the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core's work
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" (?=\s|$)", r" \Z", *map(re.escape, special)])).search
-        self.memo: dict[str, bytes] = {}
-        self.single = _single_piece(path)
-
-    def of_chunk(self, chunk: str) -> bytes:
-        """ids of a chunk that begins with its only space, if it has one."""
-        memo, single = self.memo, self.single
-        body = chunk[1:] if chunk[0] == " " else chunk
-        if single and body.isalpha():
-            return array("I", single(chunk.encode())).tobytes()
-        if single and body[-1:] in ",.;:!?" and body[:-1].isalpha():
-            base = memo.get(body[:-1]) if body is not chunk else None
-            if base is None:
-                base = array("I", single(chunk[:-1].encode())).tobytes()
-                if body is not chunk and len(body) < 64:
-                    memo[body[:-1]] = base
-            return base + array("I", single(chunk[-1].encode())).tobytes()
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for x in texts:
-            if not x or self.whole(x):
-                out.append(array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() if x else b"")
-                continue
-            first, *rest = x.split(" ")
-            got = [self.of_chunk(first)] if first else []
-            if len(self.memo) > MEMO_SIZE:
-                self.memo.clear()
-            found = list(map(self.memo.get, rest))  # keys without the space
-            if None in found:
-                for i, known in enumerate(found):
-                    if known is None:
-                        c = rest[i]
-                        known = found[i] = self.memo.get(c) or self.of_chunk(" " + c)
-                        if len(c) < 64:
-                            self.memo[c] = known
-            out.append(b"".join(got + found))
-        return out
-
-
-def _single_piece(path: str):
-    """tiktoken's merging of one pre-token, if the file's ids follow the order of its merges; else None."""
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
+        self.blank = re.compile(rf"\s{{{LONG_BLANK}}}").search
+        self.plain = _by_ranks(spec)
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.plain and not self.special(text) and (len(text) < LONG_BLANK or not self.blank(text)):
+            return array("I", self.plain(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def _by_ranks(spec: str):
+    """tiktoken's encoding of ordinary text, if the file says just what that does; else None."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+    spec = json.loads(spec)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
     raw = {s: bytes([i]) for i, s in enumerate(byte_symbols())}
-    ranks = {b"".join(raw[c] for c in token): i for token, i in model["vocab"].items()}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {b"".join(raw[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
     pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     order = [model["vocab"][a + b] for a, b in pairs]
     if len(ranks) != 256 + len(order) or order != sorted(order) or max(ranks[raw[s]] for s in raw) > order[0]:
         return None
-    return tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE) -> DataFrame:
-    """(key, start, length, ids_crc32, doc_tokens) of every piece: full sequences and a rest."""
-    ship(docs.sparkSession)
+    """(key, start, length, ids_crc32, doc_tokens) of every piece: full sequences and a rest. `path` is read by the driver."""
+    spark = docs.sparkSession
+    ship(spark)
     names = [key, "start", "length", "ids_crc32", "doc_tokens"]
+    with open(path, encoding="utf-8") as f:
+        spec = spark.sparkContext.broadcast(f.read())  # a vocabulary's size
 
     def run(batches):
-        ids_of = FastIds(path)
+        ids_of = once("text_ids", spec.value, TextIds)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part, rows = batch.slice(at, 400), []
-                for doc, ids in zip(part.column(0).to_pylist(), ids_of([x or "" for x in part.column(1).to_pylist()]), strict=True):
-                    ids += end
+                for doc, x in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    ids = ids_of(x) + end
                     n = len(ids) // 4
                     rows += [(doc, s, min(sequence, n - s), zlib.crc32(ids[4 * s : 4 * (s + sequence)]), n) for s in range(0, n, sequence)]
                 yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=names)
-        del ids_of
         trim()
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
@@ -263,7 +244,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", se
     salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # a third of all pieces may be of one class: ranks are counted by class and salt, then shifted
     dealt = cut.withColumns({"_class": F.expr(f"cast((length + {grain - 1}) div {grain} - 1 as int)"), "_salt": F.pmod(F.xxhash64(key, "start"), F.lit(salts))})
-    counts = settle(dealt.groupBy("_class", "_salt").agg(F.count("*").alias("_n")))
+    counts = settle(dealt.groupBy("_class", "_salt").agg(F.count("*").alias("_n")).coalesce(8))  # capacity * salts rows at most
     demand = np.zeros(capacity, np.int64)
     for r in counts.groupBy("_class").agg(F.sum("_n").alias("n")).collect():  # a row for each class: `capacity` at most
         demand[r["_class"]] = r["n"]
