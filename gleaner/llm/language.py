@@ -5,7 +5,8 @@ estimates the proportions of its languages from the likelihoods of its trigrams;
 grows from the best single one while the likelihood gains more than a penalty for the added parameter.
 
 Defined cases: null text, empty text or text without a letter gives `und` with score 0; no usable
-training rows give `und` for all; a tie goes to the language first in byte order; repeated rows give a
+training rows give `und` for all; a tie goes to the language first in byte order; a null doc_id has a null fold,
+so `held_out` is null and the row isn't learnt from; repeated rows give a
 row each; an empty table gives an empty result. Whole texts are used, of any length.
 """
 
@@ -27,6 +28,10 @@ SMOOTHING = 0.5
 PENALTY = 2.0
 STEPS = 12
 UNDETERMINED = "und"
+#: Characters that are counted at once.
+SLICE = 1 << 20
+#: Languages that a model may have: a bound of the driver's table and of what is broadcast.
+MOST_LANGUAGES = 400
 
 _letters: np.ndarray | None = None
 
@@ -40,19 +45,25 @@ def letters() -> np.ndarray:
 
 
 def trigram_counts(text: str | None) -> np.ndarray | None:
-    """How often each cell occurs among trigrams of lower-cased letters; other characters are one blank. None without letters."""
+    """How often each cell occurs among trigrams of lower-cased letters; other characters are one blank. None without letters.
+
+    Slices of a long text go one after the other, each with the two characters before it.
+    """
     if not text:
         return None
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where(letters()[c], c, 32)
-    if not (c != 32).any():
-        return None
-    c = np.concatenate([[32], c, [32]]).astype(np.uint64)
-    c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
+    text, out, tail, some = text.lower(), np.zeros(CELLS, np.int64), np.array([32], np.uint32), False
     a, b, d = odd_numbers(3, 11)
-    h = c[:-2] * a + (c[1:-1] * b ^ (c[1:-1] * b >> np.uint64(29))) + c[2:] * d
-    h = (h ^ (h >> np.uint64(31))) * a
-    return np.bincount((h >> np.uint64(50)).astype(np.int64) % CELLS, minlength=CELLS)
+    for at in range(0, len(text), SLICE):
+        c = np.frombuffer(text[at : at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.where(letters()[c], c, 32)
+        some = some or bool((c != 32).any())
+        c = np.concatenate([tail, c, [32] if at + SLICE >= len(text) else []]).astype(np.uint64)
+        c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
+        tail = c[-2:]
+        h = c[:-2] * a + (c[1:-1] * b ^ (c[1:-1] * b >> np.uint64(29))) + c[2:] * d
+        h = (h ^ (h >> np.uint64(31))) * a
+        out += np.bincount((h >> np.uint64(50)).astype(np.int64) % CELLS, minlength=CELLS)
+    return out if some else None
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -69,6 +80,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             cells = np.flatnonzero(n)
             yield pa.record_batch([pa.array([y] * len(cells), pa.string()), pa.array(cells, pa.int32()), pa.array(n[cells], pa.int64())], names=["lang", "cell", "n"])
 
+    if docs.select(F.col(lang).cast("string")).distinct().limit(MOST_LANGUAGES + 2).count() > MOST_LANGUAGES + 1:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()  # languages x CELLS rows at most
     langs = sorted(rows["lang"].unique(), key=lambda x: x.encode())
     n = np.zeros((len(langs), CELLS))
@@ -116,12 +129,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
     names = [key, *keep]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     mixture = pa.map_(pa.string(), pa.float64())
+    at = names.index(text) if text in names else len(names)  # a kept text travels once
 
     def run(batches):
         langs, p = shared.value
         for batch in batches:
             pred, score, mix = [], [], []
-            for x in batch.column(len(names)).to_pylist():
+            for x in batch.column(at).to_pylist():
                 n = trigram_counts(x) if langs else None
                 w = np.zeros(0) if n is None else infer(n, p)
                 i = int(np.argmax(w)) if len(w) else -1
@@ -130,7 +144,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
                 mix.append([(langs[j], float(w[j])) for j in np.flatnonzero(w)])
             yield pa.record_batch([*batch.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mix, mixture)], names=[*names, "lang_pred", "score", "mixture"])
 
-    return docs.select(*names, F.col(text).alias("_text_")).mapInArrow(run, f"{kinds}, lang_pred string, score double, mixture map<string,double>")
+    return docs.select(*names, *([] if text in names else [F.col(text).alias("_text_")])).mapInArrow(run, f"{kinds}, lang_pred string, score double, mixture map<string,double>")
 
 
 def fold(key: str = "doc_id"):

@@ -39,6 +39,8 @@ BANDS, ROWS = 24, 5
 SLACK = 0.2
 #: Classes of a bucket that a task of the sweep takes on each side.
 BLOCK = 1024
+#: Bytes of their sets, on average.
+BLOCK_BYTES = 64 << 20
 
 
 def shingle_hashes(words: list[bytes], size: int, hashes: Hashes) -> np.ndarray:
@@ -293,8 +295,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     # the sweep: buckets that hold several components still
     now = settle(members.select("band", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    mixed = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    more = settle(_sweep(now.join(mixed, "band"), classes, docs, key, text, size, percent))
+    mixed = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("band", "size")
+    mixed = settle(now.join(mixed, "band").join(classes.select("rep", "n"), "rep"))
+    blocks = mixed.groupBy("band").agg(F.greatest(F.ceil(F.max("size") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    more = settle(_sweep(mixed.select("band", "rep", "component").join(blocks, "band"), classes, docs, key, text, size, percent))
     if more.limit(1).count():
         labels = components(links.union(more))
 
@@ -315,5 +319,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows that are near-duplicates of one with a smaller id; columns stay."""
-    gone = near_duplicates(docs, key, text, size, percent).where("doc <> component").select(F.col("doc").alias("_doc_"), F.col("text_hash").alias("_text_hash_")).distinct()
-    return docs.withColumn("_doc_", doc_key(key)).withColumn("_text_hash_", _text_hash(text)).join(gone, ["_doc_", "_text_hash_"], "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, key, text, size, percent).where("doc <> component").select("doc", "text_hash").distinct()
+    names = {c: f"_{i}_" for i, c in enumerate(docs.columns)}  # docs may have columns of any name
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), doc_key(key).alias("doc"), _text_hash(text).alias("text_hash"))
+    return rows.join(gone, ["doc", "text_hash"], "left_anti").select(*(F.col(n).alias(c) for c, n in names.items()))
