@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .extraction import HOURS_A_YEAR, comp, html_text, remote, req_id
-from .text import canonical_url, col, prettify_slug
+from .text import canonical_url, col, let, prettify_slug
 
 # The script blocks that hold JSON-LD, and the words of a refusal for want of credits.
 JSON_LD = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
@@ -195,4 +195,5 @@ def comp_disagrees(a: Column, b: Column) -> Column:
 def mismatches(record: str) -> Column:
     """Of comp and remote, those in which a record's own text says something else."""
     r = lambda k: F.col(f"{record}.{k}")
-    return F.array_compact(F.array(F.when(comp_disagrees(comp(r("raw_text")), r("comp")), F.lit("comp")), F.when(~remote(r("location"), r("raw_text")).eqNullSafe(r("remote")), F.lit("remote"))))
+    differs = let(comp(r("raw_text")), lambda c: comp_disagrees(c, r("comp")))
+    return F.array_compact(F.array(F.when(differs, F.lit("comp")), F.when(~remote(r("location"), r("raw_text")).eqNullSafe(r("remote")), F.lit("remote"))))

@@ -15,50 +15,104 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def lower(c) -> Column:
-    """Lower case letter by letter: no final form of sigma."""
-    return F.translate(F.lower(col(c)), "ς", "σ")
+def let(value: Column, make) -> Column:
+    """make(value), with value computed once however often make uses it."""
+    return F.element_at(F.transform(F.array(value), make), 1)
 
 
 def slugify(c) -> Column:
-    """Letters and digits in lower case; whatever lies between them is one dash."""
-    return F.regexp_replace(F.regexp_replace(lower(c), r"[^\p{IsAlphabetic}\p{N}]+", "-"), "^-|-$", "")
+    """Letters and digits, each lower-cased by itself (no final form of sigma); whatever lies between them is one dash."""
+    low = F.lower(F.replace(col(c), F.lit("Σ"), F.lit("σ")))
+    return F.regexp_replace(F.regexp_replace(low, r"[^\p{IsAlphabetic}\p{N}]+", "-"), "^-|-$", "")
 
 
 def normalize_req(c) -> Column:
-    return lower(F.regexp_replace(col(c), r"\p{IsWhite_Space}+", ""))
+    return F.lower(F.regexp_replace(col(c), r"\p{IsWhite_Space}+", ""))
 
 
 def normalize_text(c) -> Column:
-    return lower(F.trim(F.regexp_replace(col(c), r"\p{IsWhite_Space}+", " ")))
+    return F.lower(F.trim(F.regexp_replace(col(c), r"\p{IsWhite_Space}+", " ")))
+
+
+def strip(c) -> Column:
+    """Without any blanks of Unicode at both ends."""
+    return F.regexp_replace(col(c), r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+
+
+def prefix_bytes(c: Column, n: Column) -> Column:
+    """The shortest prefix of n bytes or more that cuts no character."""
+    raw = F.encode(c, "UTF-8")
+    cut = [F.try_validate_utf8(F.substring(raw, F.lit(1), (n + i).cast("int")).cast("string")) for i in range(4)]
+    return F.coalesce(*cut, c)
 
 
 def sha256(c) -> Column:
     return F.sha2(F.encode(col(c), "UTF-8"), 256)
 
 
+#: What a path may hold as it is; all else is escaped. Names of one and two dots, escaped or not.
+PATH_SAFE = r"[!$-;=@-_a-z|~&&[^\"<>`]]"
+ONE_DOT, TWO_DOTS = [".", "%2e"], ["..", ".%2e", "%2e.", "%2e%2e"]
+
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):[/\\]*"
+_AUTHORITY = _SCHEME + r"(?:([^/\\?#]*)@)?(\[[^\]/?#]*\]|[^/\\?#:]*)(:[0-9]*)?"
+
+
+def _tidy(u: Column) -> Column:
+    """Without blanks and control characters at the ends, and without tabs and line breaks."""
+    return F.regexp_replace(u, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]+", "")
+
+
 def url_host(u) -> Column:
-    return F.lower(F.regexp_extract(col(u), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.lower(F.regexp_extract(_tidy(col(u)), _AUTHORITY, 3))
 
 
 def url_path(u) -> Column:
-    return F.regexp_extract(col(u), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(_tidy(col(u)), _AUTHORITY + r"([^?#]*)", 5)
+
+
+def _escaped(path: Column) -> Column:
+    """Characters that a path can't hold as percent escapes of their bytes."""
+    runs = F.regexp_extract_all(path, F.lit(rf"(?s)({PATH_SAFE}+|.)"), F.lit(1))
+    one = lambda x: F.when(x.rlike(rf"^{PATH_SAFE}"), x).otherwise(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")))
+    return F.when(path.rlike(rf"(?s)^{PATH_SAFE}*$"), path).otherwise(F.array_join(F.transform(runs, one), ""))
+
+
+def _resolved(path: Column) -> Column:
+    """Segments of one dot go, those of two take the one before with them; slashes at the end go."""
+
+    def step(done, x):
+        low = F.lower(x)
+        return F.when(low.isin(ONE_DOT), done).when(low.isin(TWO_DOTS), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.array_append(done, x))
+
+    folded = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    dots = path.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)")
+    return F.regexp_replace(F.when(dots, folded).otherwise(path), "/+$", "")
 
 
 def canonical_url(u) -> Column:
-    """Without fragment, tracking parameters and trailing slashes; other parameters sorted and encoded anew."""
-    u = col(u)
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    port = F.regexp_extract(u, r"^[^/]*//(?:[^/?#@]*@)?[^/?#:]*(:[0-9]+)", 1)
-    port = F.when((scheme == "http") & (port == ":80") | (scheme == "https") & (port == ":443"), "").otherwise(port)
-    decode = lambda x: F.coalesce(F.try_url_decode(x), x)
-    pairs = F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda x: x != "")
-    # the name ends at the first =, the value may hold more of them
-    parted = F.transform(pairs, lambda x: F.struct(decode(F.regexp_extract(x, "^[^=]*", 0)).alias("k"), decode(F.regexp_extract(x, "^[^=]*=?(.*)$", 1)).alias("v")))
-    kept = F.array_sort(F.filter(parted, lambda p: ~p["k"].startswith("utm_") & ~p["k"].isin(TRACKING)))
-    query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
-    path = F.regexp_replace(url_path(u), "/+$", "")
-    return F.concat(scheme, F.lit("://"), url_host(u), port, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    """Without fragment, tracking parameters and trailing slashes; dots resolved, the path escaped, other parameters sorted
+    and encoded anew. Hosts are lower-cased; those with letters beyond ASCII stay in letters."""
+
+    def made(u):
+        scheme = F.lower(F.regexp_extract(u, _SCHEME, 1))
+        port = F.regexp_extract(u, _AUTHORITY, 4)
+        port = F.when(port.isin("", ":") | (scheme == "http") & (port == ":80") | (scheme == "https") & (port == ":443"), "").otherwise(port)
+        user = F.regexp_extract(u, _AUTHORITY, 2)
+        # a percent sign that begins no escape is itself
+        decode = lambda x: F.coalesce(F.try_url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")), x)
+        pairs = F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda x: x != "")
+        # the name ends at the first =, the value may hold more of them
+        parted = F.transform(pairs, lambda x: F.struct(decode(F.regexp_extract(x, "^[^=]*", 0)).alias("k"), decode(F.regexp_extract(x, "^[^=]*=?(.*)$", 1)).alias("v")))
+        kept = F.array_sort(F.filter(parted, lambda p: ~p["k"].startswith("utm_") & ~p["k"].isin(TRACKING)))
+        query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+        path = let(F.translate(F.regexp_extract(u, _AUTHORITY + r"([^?#]*)", 5), "\\", "/"), lambda p: _escaped(_resolved(p)))
+        end = let(path, lambda p: F.when(p == "", "/").otherwise(p))
+        # a user without a name or a password leaves no trace
+        at = F.when(user.isin("", ":"), "").otherwise(F.concat(F.regexp_replace(user, ":$", ""), F.lit("@")))
+        return F.concat(scheme, F.lit("://"), at, F.lower(F.regexp_extract(u, _AUTHORITY, 3)), port, end, let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
+
+    return F.when(col(u).isNotNull(), let(_tidy(col(u)), made))
 
 
 def token_in(token: str, c) -> Column:

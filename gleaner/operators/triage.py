@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extraction import level
-from ..functions.text import canonical_url, java_quote, normalize_req, normalize_text, sha256, slugify, token_in, weight_text
+from ..functions.text import canonical_url, java_quote, let, normalize_req, normalize_text, prefix_bytes, sha256, slugify, token_in, weight_text
 
 
 @dataclass(frozen=True)
@@ -64,8 +64,11 @@ def gate_failures(c: Config) -> Column:
         out.append(_failure(F.coalesce(company_matches(F.col("company"), F.lit(entry)), F.lit(False)), "blacklist", F.concat(F.lit("company '"), F.col("company"), F.lit(f"' matches blacklist entry '{entry}'"))))
     for line in c.red_lines:
         if line:
-            snippet = F.regexp_extract(F.col("raw_text"), r"(?isu)" + java_quote(line) + r".{0,40}", 0)
-            out.append(_failure(snippet != "", "ideological", F.concat(F.lit(f"posting matches red line '{line}': …"), snippet, F.lit("…"))))
+            # the match and what follows it, up to the character that holds its 40th byte
+            parts = r"(?isu)(" + java_quote(line) + r")(.{0,40})"
+            found = F.struct(*(F.regexp_extract(F.col("raw_text"), parts, i).alias(n) for i, n in ((1, "line"), (2, "after"))))
+            said = let(found, lambda m: F.when(m["line"] != "", F.concat(F.lit(f"posting matches red line '{line}': …"), m["line"], prefix_bytes(m["after"], F.lit(40)), F.lit("…"))))
+            out.append(let(said, lambda reason: _failure(reason.isNotNull(), "ideological", reason)))
     return F.array_compact(F.array(*out)) if out else F.array().cast("array<struct<gate:string,reason:string>>")
 
 
@@ -128,7 +131,8 @@ def identity() -> Column:
     req = F.concat(F.lit("req:"), slugify("company"), F.lit(":"), normalize_req("req_id"))
     url = F.concat(F.lit("url:"), canonical_url("url"))
     tc = F.concat(F.lit("tc:"), sha256(F.concat(normalize_text("title"), F.lit("\n"), normalize_text("company"))))
-    return F.struct(F.coalesce(req, url, tc, F.concat(F.lit("raw:"), sha256("raw_text"))).alias("dedupe_key"), req.alias("req"), url.alias("url"), tc.alias("tc"))
+    forms = F.struct(req.alias("req"), url.alias("url"), tc.alias("tc"))
+    return let(forms, lambda x: F.struct(F.coalesce(x["req"], x["url"], x["tc"], F.concat(F.lit("raw:"), sha256("raw_text"))).alias("dedupe_key"), x["req"].alias("req"), x["url"].alias("url"), x["tc"].alias("tc")))
 
 
 FIELDS = ["title", "company", "req_id", "location", "remote", "comp", "raw_text", "url"]
