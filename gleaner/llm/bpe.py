@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, most_frequent, settle, ship
+from .common import mapped, most_frequent, once, settle, ship
 
 #: Words that the lexicon holds at most; its size is bounded by this, whatever the corpus is.
 LEXICON_SIZE = 65_536
@@ -53,7 +53,11 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model = spec["model"]
+        model, normal = spec["model"], spec["normalizer"] or {}
+        kinds = [n["type"] for n in normal.get("normalizers", [normal])]
+        if kinds != ["NFC", "Replace", "Lowercase"] or model["type"] != "BPE":
+            raise ValueError(f"{path}: this kind of vocabulary is not known here: {kinds}")
+        self.spec = json.dumps(spec)
         vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         symbols = byte_symbols()
@@ -269,7 +273,7 @@ class Lexicon:
 
 
 class Encoder:
-    """Whole texts to ids and back. One for each task."""
+    """Whole texts to ids and back. One for each worker process, with its lexicon's map and its memo."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: bytes | None = None):
         import regex
@@ -283,6 +287,9 @@ class Encoder:
         self.find = regex.compile(vocabulary.pattern).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")").split if vocabulary.special else None
         self.odd = regex.compile(r"[\x1c-\x1f]").search
+        self.nameless = regex.compile(r"\p{Cn}").match
+        self.fine: set[str] = set()
+        self.library = None
         self.memo: dict[str, tuple[bytes, bytes]] = {}
 
     def normal(self, text: str) -> str:
@@ -327,10 +334,31 @@ class Encoder:
             self.memo[piece] = known
         return known
 
+    def agreed(self, text: str) -> bool:
+        """Whether all characters have a meaning in the tables of Python and of `regex`: without one, libraries may differ in them."""
+        for c in set(text) - self.fine:
+            if unicodedata.category(c) == "Cn" or self.nameless(c):
+                return False
+            self.fine.add(c)
+        return True
+
+    def by_library(self, text: str) -> tuple[bytes, bytes]:
+        """The same from the library itself, for texts with characters that tables of Unicode don't agree on."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.v.spec)
+            self.library.no_truncation()
+            self.library.no_padding()
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes(), self.library.decode(ids, skip_special_tokens=False).encode()
+
     def __call__(self, text: str | None) -> tuple[bytes, bytes]:
         """The ids as little-endian 32-bit integers, and the decoded text in UTF-8."""
         if not text:
             return b"", b""
+        if not text.isascii() and not self.agreed(text):
+            return self.by_library(text)
         ids, decoded = [], []
         parts = self.split_special(text) if self.split_special and "<|" in text else [text]
         for i, part in enumerate(parts):
@@ -354,9 +382,10 @@ class Encoder:
 def count_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """(word, n): how often each pre-token occurs in all texts; counted by task before the shuffle."""
     ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
-        encoder = Encoder(vocabulary)
+        encoder = once("bpe words", shared.value, Encoder)
 
         def flush(c: Counter):
             words: Counter = Counter()
@@ -404,7 +433,7 @@ def _mapped(docs: DataFrame, path: str, key: str, text: str, size: int, out: str
     fields = [(n, kinds[k]) for n, k in (x.split() for x in out.split(", "))]
 
     def run(batches):
-        encoder = Encoder(*shared.value)
+        encoder = once("bpe", shared.value, lambda of: Encoder(*of))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
