@@ -9,9 +9,10 @@ The share of leaves that is probed is a parameter, as recall depends on it: on v
 (64 independent components) no tree prunes well, and 0.35 of the leaves of 4 trees are what 0.95 takes at 1,000
 to 4,000 rows. Tables below about 1,000 rows have so few leaves that two for each tree are more; none gets less.
 
-Scale: equal vectors are one class, of which only the `k + 1` smallest ids can be among the nearest; rows lie in
-blocks of leaves, and for each block only the queries that probe it come there, in batches. A task
-sends `k` rows for each of its queries, not one for each pair.
+Scale: equal vectors are one class, of which only the `k + 1` smallest ids can be among the nearest. Rows lie in blocks
+of leaves, of BLOCK_ROWS on average; trees are MOST_DEPTH deep at most, and leaves that outgrow a block are parted by a
+hash. For each block only the queries that probe it come there, and are streamed behind its rows, so a task holds one
+block's rows and a batch of queries; it sends `k` rows for each query, not one for each pair.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components neither ask nor are
 found; vectors of other lengths than the most frequent one take no part; null ids take no part; a repeated id
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, ship
+from .common import mix, settle, ship
 
 TREES = 4
 LEAF = 192
@@ -130,48 +131,80 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id
     depth = int(min(MOST_DEPTH, max(0, np.ceil(np.log2(max(1, n / leaf))))))
     forest = Forest(sample, trees, depth)
     shared = spark.sparkContext.broadcast(forest)  # trees x 2 ** depth directions
-    blocks = max(1, round(n * trees / BLOCK_ROWS))
+    leaves_ = trees * 2**depth
+    blocks = min(leaves_, max(1, round(n * trees / BLOCK_ROWS)))
+    parts = max(1, -(-n * trees // (leaves_ * BLOCK_ROWS)))  # of a leaf: 1, until there are more rows than leaves can hold
     most = max(2 * trees, int(np.ceil(probes * trees * 2**depth)))
 
+    names = ["block", "part", "kind", "leaves", "id", "v"]
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
     def put(batches):
         for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column(1).to_pylist())
-                leaves = shared.value.leaves(x) + np.arange(trees) * 2**depth
-                yield pa.record_batch([pa.array(leaves.ravel() % blocks, pa.int32()), pa.array(leaves.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), trees))), batch.column(1).take(pa.array(np.repeat(np.arange(len(x)), trees)))], names=["block", "leaf", "id", "v"])
+            x, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
+            home = (shared.value.leaves(x) + np.arange(trees) * 2**depth).ravel()
+            row = np.repeat(np.arange(len(x)), trees)
+            leaf_ = pa.ListArray.from_arrays(np.arange(len(home) + 1, dtype=np.int32), home)
+            part = mix(ids[row].astype(np.uint64)) % np.uint64(parts)
+            yield pa.record_batch([pa.array(home % blocks, pa.int32()), pa.array(part.astype(np.int32)), pa.array(np.zeros(len(home), np.int32)), leaf_, batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=names)
 
     def ask(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows_, block, leaf_ = [], [], []
-                for i, q in enumerate(part.column(1).to_pylist()):
+                rows_, block, of, leaf_ = [], [], [], []
+                for i, q in enumerate(matrix(part.column(1))):
                     by: dict[int, list] = {}
-                    for t, x in shared.value.probe(np.array(q), most):
+                    for t, x in shared.value.probe(q, most):
                         by.setdefault((t * 2**depth + x) % blocks, []).append(t * 2**depth + x)
-                    rows_ += [i] * len(by)
-                    block += by
-                    leaf_ += by.values()
-                yield pa.record_batch([pa.array(block, pa.int32()), pa.array(leaf_, pa.list_(pa.int64())), part.column(0).take(pa.array(rows_, pa.int64())), part.column(1).take(pa.array(rows_, pa.int64()))], names=["block", "leaves", "id", "v"])
-
-    def find(points, queries):
-        x, ids, home = np.array(points["v"].tolist()).reshape(-1, dims), points["id"].to_numpy(), points["leaf"].to_numpy()
-        out = []
-        order = np.argsort(home, kind="stable")
-        x, ids, home = x[order], ids[order], home[order]
-        for q, qid, leaves in zip(queries["v"], queries["id"], queries["leaves"], strict=True):
-            low, high = np.searchsorted(home, np.sort(leaves)), np.searchsorted(home, np.sort(leaves), side="right")
-            at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)]) if len(low) else np.empty(0, int)
-            if len(at):
-                own, first = np.unique(ids[at], return_index=True)
-                _, found, d = nearest(x[at[first]], own, np.asarray(q)[None], np.array([qid]), k)
-                out.append((qid, found, d))
-        import pandas as pd
-
-        return pd.DataFrame({"query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype("int64"), "vec_id": np.concatenate([o[1] for o in out]).astype("int64"), "score": np.concatenate([o[2] for o in out])}) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    points = held.mapInArrow(put, "block int, leaf long, id long, v array<double>")
-    queries = rows.where(F.col("id") % every == 0).mapInArrow(ask, "block int, leaves array<long>, id long, v array<double>")
-    found = points.groupBy("block").cogroup(queries.groupBy("block")).applyInPandas(find, "query_id long, vec_id long, score double").where("score < double('infinity')")
+                    for b, leaves in by.items():
+                        rows_ += [i] * parts
+                        block += [b] * parts
+                        of += range(parts)
+                        leaf_ += [leaves] * parts
+                yield pa.record_batch([pa.array(block, pa.int32()), pa.array(of, pa.int32()), pa.array([1] * len(block), pa.int32()), pa.array(leaf_, pa.list_(pa.int64())), part.column(0).take(pa.array(rows_, pa.int64())), part.column(1).take(pa.array(rows_, pa.int64()))], names=names)
+
+    def find(batches):
+        """Sorted by block, part and kind: a block's rows come first, then its queries."""
+        at, held, points = None, [], None
+        for batch in batches:
+            block, of, kind = (batch.column(i).to_numpy() for i in range(3))
+            cut = np.flatnonzero(np.diff(block) | np.diff(of) | np.diff(kind)) + 1
+            out = []
+            for a, z in zip([0, *cut], [*cut, len(block)], strict=True):
+                own = batch.slice(a, z - a)
+                if a == z:
+                    continue
+                if at != (block[a], of[a]):
+                    at, held, points = (block[a], of[a]), [], None
+                if not kind[a]:
+                    held.append((own.column(3).flatten().to_numpy(), own.column(4).to_numpy(), matrix(own.column(5))))
+                    continue
+                if points is None and held:
+                    home, ids, x = map(np.concatenate, zip(*held, strict=True))
+                    order, held = np.argsort(home, kind="stable"), []
+                    points = home[order], ids[order], x[order]
+                if points is None:
+                    continue
+                home, ids, x = points
+                for leaves, qid, q in zip(own.column(3), own.column(4).to_numpy(), matrix(own.column(5)), strict=True):
+                    leaves = np.sort(leaves.values.to_numpy())
+                    low, high = np.searchsorted(home, leaves), np.searchsorted(home, leaves, side="right")
+                    near = np.concatenate([np.arange(i, j) for i, j in zip(low, high, strict=True)])
+                    if len(near):
+                        some, first = np.unique(ids[near], return_index=True)
+                        _, found, d = nearest(x[near[first]], some, q[None], np.array([qid]), k)
+                        out.append((np.full(len(found), qid), found, d))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    shape = "block int, part int, kind int, leaves array<long>, id long, v array<double>"
+    points = held.mapInArrow(put, shape)
+    queries = rows.where(F.col("id") % every == 0).mapInArrow(ask, shape)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks * parts // 8)
+    together = points.union(queries).repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "kind")
+    found = together.mapInArrow(find, "query_id long, vec_id long, score double").where("score < double('infinity')")
     ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
