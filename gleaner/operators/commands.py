@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import str_at
-from ..functions.text import col, sanitize
+from ..functions.text import col, let, sanitize
 from .decide import _PENDING, _event
 from .triage import changed
 
@@ -114,6 +114,7 @@ def cheat_sheet(resume) -> Column:
     """array<struct<question, answer>> from a résumé's JSON; questions without an answer are left out."""
     v = F.try_parse_json(col(resume))
     place = F.concat_ws(", ", *(str_at(v, f"$.basics.location.{k}") for k in ("city", "region", "countryCode")))
+    # The questions.
     known = {"Full name": "$.basics.name", "Email address": "$.basics.email", "Phone number": "$.basics.phone"}
     last = {"Current or most recent title": "$.work[0].position", "Current or most recent employer": "$.work[0].name"}
     answers = [(q, str_at(v, p)) for q, p in known.items()] + [("Location", F.when(place != "", place))] + [(q, str_at(v, p)) for q, p in last.items()]
@@ -132,10 +133,39 @@ def dump(events: DataFrame, lead: str | None = None, kind: str | None = None, st
     return events.orderBy("ordinal").select(F.to_json(F.struct(*(c for c in events.columns if c != "ordinal"))).alias("value"))
 
 
-def list_line(rank: Column, lead_id: Column, title: Column, company: Column, composite: Column, status: Column) -> Column:
+def lead_prefix(lead_id: Column) -> Column:
+    return F.substring(lead_id.cast("string"), 1, 8)
+
+
+def _named(title: Column, company: Column, between: str) -> Column:
+    """Title and company; some titles end with the company already."""
+    title, company = F.coalesce(sanitize(title), F.lit("Untitled")), F.coalesce(sanitize(company), F.lit(""))
+    return let(F.struct(title.alias("t"), company.alias("c")), lambda x: F.when(F.lower(x["t"]).endswith(F.lower(x["c"])), x["t"]).otherwise(F.concat(x["t"], F.lit(between), x["c"])))
+
+
+def list_line(rank: Column, lead_id: Column, title: Column, company: Column, composite: Column, status: Column, deferrals: Column | None = None) -> Column:
     """One line of a ranked list; control characters of postings never reach a terminal."""
-    name = F.concat_ws(" - ", F.coalesce(sanitize(title), F.lit("Untitled")), sanitize(company))
-    return F.concat_ws("  ", F.format_string("%3d.", rank), F.substring(lead_id.cast("string"), 1, 8), F.coalesce(composite.cast("string"), F.lit("-")), name, F.concat(F.lit("["), status, F.lit("]")))
+    deferred = F.lit("") if deferrals is None else F.when(deferrals > 0, F.concat(F.lit("  (deferred "), deferrals.cast("string"), F.lit("×)"))).otherwise("")
+    wide = lambda c: F.when(F.char_length(c) < 3, F.lpad(c, 3, " ")).otherwise(c)
+    score = F.coalesce(wide(composite.cast("string")), F.lit("  -"))
+    return F.concat(F.concat_ws("  ", wide(rank.cast("string")), score, lead_prefix(lead_id), _named(title, company, " @ ")), deferred, F.lit("  ["), sanitize(status), F.lit("]"))
+
+
+def card(status: Column) -> Column:
+    """A record (row of views.lead_record) as a card in Markdown: heading, score or rejection, a table, the url."""
+    f, clean = (lambda n: F.col(n)), sanitize
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    row = lambda name, v: F.when(v.isNotNull(), line(f"| {name} | ", v, " |\n"))
+    remote = F.when(f("extracted.remote"), "Yes").when(~f("extracted.remote"), "No").otherwise("Unknown")
+    judged = F.when(f("latest_score").isNotNull(), line("**Score: ", f("latest_score.composite").cast("string"), "**\n`", clean("latest_score.breakdown"), "`\n\n")).when(
+        f("latest_rejection").isNotNull(), line("**Rejected: ", clean("latest_rejection.gate"), "**\n`", clean("latest_rejection.reason"), "`\n\n")
+    )
+    parts = [
+        line("# ", _named(f("extracted.title"), f("extracted.company"), " - "), " - ", lead_prefix(f("lead_id")), "\n\n"), judged, F.lit("| Field | Value |\n|---|---|\n"),
+        row("Location", clean("extracted.location")), row("Remote", remote), row("Compensation", clean(f("extracted.comp.raw"))),
+        F.when(f("deferral_count") > 0, row("Deferral Count", f("deferral_count").cast("string"))), row("Status", clean(status)), row("Source", clean("source")), F.lit("\n"), line(clean("url"), "\n"),
+    ]
+    return F.concat_ws("", *parts)
 
 
 def score_rgb(score: Column) -> Column:

@@ -1,67 +1,82 @@
 """Batch identity resolution: postings of one batch see the effects of earlier ones.
 
 Postings interact only through identifiers that they share, so components over shared forms are
-independent. Those with one posting need joins only; the others are replayed in order, one component to a
-task, as a posting can point an identifier to another lead for those behind it.
+independent. Those with one posting need joins only; the others are replayed in order, as a posting can point an
+identifier to another lead for those behind it. A component's rows are streamed in order, so a task holds the
+identifiers that it has met, never a frame of rows.
+
+A title and company alone find a lead only for a posting that has neither requisition nor url, so they link the
+postings of a batch only where there is such a one among them.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .triage import lookup
 
 
+def _keep(df: DataFrame) -> DataFrame:
+    """df, computed once: checkpointed where a folder is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def _components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, component) by least labels with pointer jumping; each round is checkpointed where a folder is set."""
-    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-    both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    """(id, component) by least labels with pointer jumping; what a round no longer needs is given back."""
+    both = _keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = _keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         up = labels.select(F.col("id").alias("to"), F.col("component").alias("above"))
-        new = keep(step.join(up, "to", "left").select("id", F.least("to", "above").alias("component"), "was"))
+        new = _keep(step.join(up, "to", "left").select("id", F.least("to", "above").alias("component"), "was"))
+        moved = new.where("component <> was").limit(1).count()
+        labels.unpersist()
         labels = new.select("id", "component")
-        if not new.where("component <> was").limit(1).count():
+        if not moved:
+            both.unpersist()
             return labels
     raise RuntimeError("components did not settle")
 
 
+def _replay(batches):
+    """Rows (component, pos, req, url, tc, dedupe_key, known) in order of component and pos -> (pos, lead_id, is_new)."""
+    at, here = None, {}
+    for batch in batches:
+        out = []
+        for component, pos, req, url, tc, key, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if component != at:
+                at, here = component, {}
+            for form, lead in known or ():  # what the log knows counts until the batch points it elsewhere
+                here.setdefault(form, lead)
+            asked = (req, url, tc if req is None and url is None else None, key)
+            lead = next((here[k] for k in asked if k is not None and k in here), None)
+            out.append((pos, lead or f"new-{pos}", lead is None))
+            here.update((k, out[-1][1]) for k in (req, url, tc, key) if k is not None)
+        yield pa.record_batch([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.string(), pa.bool_()))], names=["pos", "lead_id", "is_new"])
+
+
 def resolve(postings: DataFrame, index: DataFrame) -> DataFrame:
     """(pos, lead_id, is_new) for postings (pos, identity): an existing lead's id, or `new-<pos>` of the posting that made it.
 
     index: (form, lead_id). Postings that share no form with another are joined; the rest is replayed.
     """
     i = F.col("identity")
-    forms = postings.select("pos", F.explode(F.array_distinct(F.array_compact(F.array(i["req"], i["url"], i["tc"], i["dedupe_key"])))).alias("form"))
-    known = forms.join(index, "form", "left")
-    first = forms.groupBy("form").agg(F.min("pos").alias("a"))
-    edges = forms.join(first, "form").where("a <> pos").select("a", F.col("pos").alias("b"))
-    by_lead = known.where("lead_id is not null")
-    lead_first = by_lead.groupBy("lead_id").agg(F.min("pos").alias("a"))
-    edges = edges.union(by_lead.join(lead_first, "lead_id").where("a <> pos").select("a", F.col("pos").alias("b")))
+    postings = _keep(postings.select(F.col("pos").cast("long").alias("pos"), "identity"))
+    bare = i["req"].isNull() & i["url"].isNull()
+    forms = _keep(postings.select("pos", bare.alias("bare"), F.explode(F.array_distinct(F.array_compact(F.array(i["req"], i["url"], i["tc"], i["dedupe_key"])))).alias("form")))
+    # a title and company that no posting asks for links nothing
+    groups = forms.groupBy("form").agg(F.min("pos").alias("a"), F.max("bare").alias("asked"), F.count("*").alias("n"))
+    groups = groups.where(F.col("n") > 1).where(F.col("asked") | ~F.col("form").startswith("tc:"))
+    edges = forms.join(groups, "form").where("a <> pos").select("a", F.col("pos").alias("b"))
     labels = _components(edges).withColumnRenamed("id", "pos")
     grouped = postings.join(labels, "pos", "left")
 
     alone = lookup(grouped.where("component is null"), index).select("pos", F.coalesce("matched_lead", F.concat(F.lit("new-"), F.col("pos").cast("string"))).alias("lead_id"), F.col("matched_lead").isNull().alias("is_new"))
-    own = known.where("lead_id is not null").groupBy("pos").agg(F.map_from_entries(F.collect_set(F.struct("form", "lead_id"))).alias("known"))
-    together = grouped.where("component is not null").join(own, "pos", "left").select("component", "pos", i["req"].alias("req"), i["url"].alias("url"), i["tc"].alias("tc"), i["dedupe_key"].alias("dedupe_key"), "known")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        here: dict[str, str] = {}
-        for k in pdf["known"]:
-            here.update(dict(k) if k is not None else {})
-        out = []
-        for r in pdf.sort_values("pos").itertuples():
-            keys = [r.req, r.url, r.tc if pd.isna(r.req) and pd.isna(r.url) else None, r.dedupe_key]
-            lead = next((here[k] for k in keys if isinstance(k, str) and k in here), None)
-            new = lead is None
-            lead = lead or f"new-{r.pos}"
-            here.update({k: lead for k in (r.req, r.url, r.tc, r.dedupe_key) if isinstance(k, str)})
-            out.append((r.pos, lead, new))
-        return pd.DataFrame(out, columns=["pos", "lead_id", "is_new"])
-
-    return alone.union(together.groupBy("component").applyInPandas(replay, "pos long, lead_id string, is_new boolean"))
+    own = forms.join(index, "form").groupBy("pos").agg(F.collect_list(F.struct("form", "lead_id")).alias("known"))
+    columns = ("component", "pos", i["req"].alias("req"), i["url"].alias("url"), i["tc"].alias("tc"), i["dedupe_key"].alias("dedupe_key"))
+    together = grouped.where("component is not null").join(own, "pos", "left").select(*columns, F.transform("known", lambda k: F.array(k["form"], k["lead_id"])).alias("known"))
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return alone.union(together.repartition(parts, "component").sortWithinPartitions("component", "pos").mapInArrow(_replay, "pos long, lead_id string, is_new boolean"))

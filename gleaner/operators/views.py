@@ -1,8 +1,9 @@
-"""Read models: folds of the event log in closed form, one shuffle by lead each.
+"""Read models: folds of the event log in closed form.
 
 An events DataFrame has: ordinal (log order), lead_id, type, occurred_at, recorded_at, and the payload
-columns that a view needs (mark, composite, gate, revision, method). No order-dependent state is
-carried: latest-wins is max_by over the ordinal, which combines before the shuffle.
+columns that a view needs (mark, composite, gate, revision, method; for whole records also snapshot, score, rejection
+and note). No order-dependent state is carried: latest-wins is max_by over the ordinal, which combines before the
+shuffle. The book reads the log twice, first for each lead's first snapshot; both sides are dealt by lead.
 """
 
 from __future__ import annotations
@@ -22,24 +23,57 @@ def _latest(value: Column, among: Column, order: Column) -> Column:
     return F.max_by(F.when(among, F.struct(value.alias("v"))), F.when(among, order))["v"]
 
 
-def lead_book(events: DataFrame) -> DataFrame:
-    """One row for each lead that has a snapshot; events before its first snapshot don't count."""
+def _from_first_snapshot(events: DataFrame) -> DataFrame:
+    """Events of leads that have a snapshot, from the first one on."""
+    first = events.where(F.col("type").isin(SNAPSHOTS)).groupBy("lead_id").agg(F.min("ordinal").alias("_first"))
+    return events.join(first, "lead_id").where("ordinal >= _first")
+
+
+def _folds(whole: bool) -> list[Column]:
     t, o = F.col("type"), F.col("ordinal")
-    snap = t.isin(SNAPSHOTS)
-    first = events.where(snap).groupBy("lead_id").agg(F.min("ordinal").alias("_first"))
-    rows = events.join(first, "lead_id").where("ordinal >= _first")
-    outcome = t.isin(OUTCOMES)
-    return rows.groupBy("lead_id").agg(
+    snap, outcome, judged = t.isin(SNAPSHOTS), t.isin(OUTCOMES), t.isin(EVALUATIONS)
+    score, rejection = ("score", "rejection") if whole else ("composite", "gate")
+    told = F.struct(t.alias("type"), *((F.col("note"),) if whole else ()), F.col("method"), *((F.col("occurred_at"),) if whole else ()))
+    return [
+        *([_latest(F.col("snapshot"), snap, o).alias("snapshot")] if whole else []),
         _latest(F.col("mark"), t == "reviewed", o).alias("latest_mark"),
         F.count_if((t == "reviewed") & (F.col("mark") == "defer")).alias("deferral_count"),
         F.coalesce(_latest(t == "apply_queued", t.isin("reviewed", "apply_queued"), o), F.lit(False)).alias("apply_queued"),
-        _latest(F.when(t == "scored", F.col("composite")), t.isin(EVALUATIONS), o).alias("latest_score"),
-        _latest(F.when(t == "rejected", F.col("gate")), t.isin(EVALUATIONS), o).alias("latest_rejection"),
-        F.max_by(F.when(outcome, F.struct(t.alias("type"), F.col("method"))), F.when(outcome, F.struct("occurred_at", "ordinal"))).alias("latest_outcome"),
+        _latest(F.when(t == "scored", F.col(score)), judged, o).alias("latest_score"),
+        _latest(F.when(t == "rejected", F.col(rejection)), judged, o).alias("latest_rejection"),
+        F.max_by(F.when(outcome, told), F.when(outcome, F.struct("occurred_at", "ordinal"))).alias("latest_outcome"),
         F.min_by(F.when(snap, F.col("recorded_at")), F.when(snap, o)).alias("first_seen"),
         F.max_by("recorded_at", "ordinal").alias("last_event"),
         F.count("*").alias("event_count"),
-    )
+    ]
+
+
+def lead_book(events: DataFrame) -> DataFrame:
+    """One row for each lead that has a snapshot; events before its first snapshot don't count."""
+    return _from_first_snapshot(events).groupBy("lead_id").agg(*_folds(False))
+
+
+def lead_record(events: DataFrame) -> DataFrame:
+    """The book with all that the latest snapshot holds: 16 fields by the names that JSON results have.
+
+    latest_score and latest_rejection are whole payloads; latest_outcome has type, note, method and occurred_at.
+    """
+    rows = _from_first_snapshot(events).groupBy("lead_id").agg(*_folds(True))
+    return rows.select("lead_id", *(F.col(f"snapshot.{f}").alias(f) for f in ("dedupe_key", "identifiers", "adapter", "source", "url", "extracted")), *(c for c in rows.columns if c not in ("lead_id", "snapshot")))
+
+
+def aggregate_state(events: DataFrame) -> DataFrame:
+    """What decisions need of each stream: latest snapshot, mark and score, the revision counter, the last seq.
+
+    All events count, also those before the first snapshot; a rejection doesn't clear the score here.
+    """
+    t, o = F.col("type"), F.col("ordinal")
+    snap = t.isin(SNAPSHOTS)
+    folded = events.groupBy("lead_id").agg(
+        F.max(snap).alias("exists"), _latest(F.col("snapshot"), snap, o).alias("snapshot"), _latest(F.col("mark"), t == "reviewed", o).alias("latest_mark"),
+        _latest(F.when(t == "scored", F.col("composite")), snap | (t == "scored"), o).alias("latest_score"), F.max_by("seq", "ordinal").alias("seq"),
+    )
+    return folded.join(eval_revision(events), "lead_id")
 
 
 def mark_method() -> Column:
@@ -91,15 +125,21 @@ def rescore_targets(book: DataFrame) -> DataFrame:
 def ranked(book: DataFrame) -> DataFrame:
     """rank: by score (none counts as 0), then first seen, then id, over all partitions.
 
-    Rows are numbered within bands of one score and one day; the sizes of the bands before, a table of
-    scores times days, are added. No task holds all rows.
+    Rows are numbered within bands of one score, one second and, as a bulk load has one time, a range of 65,536 ids
+    (of text ids: of one first letter pair). Sizes of the bands before are added: within a score and day by a window
+    over its bands, and before these by one over scores and days. No task holds all rows.
     """
-    score = F.coalesce(F.col("latest_score"), F.lit(0))
-    banded = book.withColumns({"_score": -score, "_day": F.to_date("first_seen")})
-    sizes = banded.groupBy("_score", "_day").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_score", "_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = banded.withColumn("_row", F.row_number().over(Window.partitionBy("_score", "_day").orderBy("first_seen", "lead_id")))
-    return within.join(before, ["_score", "_day"]).withColumn("rank", F.col("_row") + F.col("_before")).drop("_score", "_day", "_row", "_before")
+    kind = dict(book.dtypes)["lead_id"]
+    band = F.substring("lead_id", 1, 2) if kind == "string" else F.floor(F.col("lead_id") / 65_536)
+    day, rest = ["_score", "_day"], ["_second", "_band"]
+    banded = book.withColumns({"_score": -F.coalesce(F.col("latest_score"), F.lit(0)), "_day": F.to_date("first_seen"), "_second": F.date_trunc("second", "first_seen"), "_band": band})
+    sizes = banded.groupBy(*day, *rest).agg(F.count("*").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = sizes.groupBy(*day).agg(F.sum("_n").alias("_n")).withColumn("_days", before(Window.orderBy(*day))).drop("_n")
+    bands = sizes.withColumn("_bands", before(Window.partitionBy(*day).orderBy(*rest))).drop("_n").join(days, day).withColumn("_before", F.col("_days") + F.col("_bands")).drop("_days", "_bands")
+    within = banded.withColumn("_row", F.row_number().over(Window.partitionBy(*day, *rest).orderBy("first_seen", "lead_id")))
+    joined = within.join(bands, [*day, *rest])
+    return joined.withColumn("rank", F.col("_row") + F.col("_before")).drop(*day, *rest, "_row", "_before")
 
 
 def eval_revision(events: DataFrame) -> DataFrame:
@@ -117,3 +157,40 @@ def lead_index(rows: DataFrame) -> DataFrame:
 
 def by_prefix(book: DataFrame, prefix: str) -> DataFrame:
     return book.where(F.col("lead_id").cast("string").startswith(prefix)).orderBy("first_seen", "lead_id")
+
+
+class NoSuchLead(LookupError):
+    pass
+
+
+class AmbiguousLead(LookupError):
+    pass
+
+
+def select_lead(book: DataFrame, prefix: str, named: int = 20):
+    """The one lead whose id begins with the prefix, as a row; none or several are errors (`named` ids are listed)."""
+    found = by_prefix(book, prefix)
+    rows = found.limit(2).collect()
+    if not rows:
+        raise NoSuchLead(f"no lead matches id prefix '{prefix}'")
+    if len(rows) > 1:
+        ids = [str(r.lead_id) for r in found.select("lead_id").limit(named).collect()]
+        raise AmbiguousLead(f"id prefix '{prefix}' is ambiguous (matches {found.count()} leads: {', '.join(ids)})")
+    return rows[0]
+
+
+# -- rows as they are shown --------------------------------------------------------------------------
+
+
+def queue_rows(book: DataFrame) -> DataFrame:
+    """Ranked records as rows of the list: nine columns."""
+    score = F.col("latest_score.composite")
+    rows = ranked(book.withColumns({"_record": F.struct("*"), "latest_score": score}))
+    r = lambda f: F.col(f"_record.{f}")
+    status = rows.withColumn("status", lifecycle_status())
+    return status.select(F.col("rank").cast("long").alias("rank"), F.col("latest_score").alias("composite"), "lead_id", r("extracted.title").alias("title"), r("extracted.company").alias("company"), "deferral_count", F.col("latest_mark").alias("mark"), r("latest_outcome.type").alias("outcome"), "status")
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(value): each row as JSON; fields without a value are left out."""
+    return rows.select(F.to_json(F.struct("*")).alias("value"))

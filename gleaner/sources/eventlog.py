@@ -1,7 +1,12 @@
-"""The event log: JSON lines, append-only. A Python data source reads it; the driver appends.
+"""The event log: JSON lines, append-only. A Python data source reads and writes it, in batches and as a stream.
 
 A file that doesn't end in a line feed has an uncommitted last line, which is dropped (by bytes, so a character
 cut in two does no harm). A committed line that can't be read, or has an unknown version, is an error.
+
+`ordinal`, the order of the log, is the byte at which a line begins: so neither the driver nor a task has to know
+what lies before its own range, and ranges of one file are read, and streamed, by many tasks. The number of a
+line is counted only for the message of an error. Files are reached through pyarrow's file systems; appending
+needs a local or mounted one, as it locks.
 """
 
 from __future__ import annotations
@@ -9,91 +14,198 @@ from __future__ import annotations
 import fcntl
 import json
 import os
+import uuid
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = "ordinal long, envelope_version int, id string, stream string, seq long, type string, schema_version int, occurred_at timestamp, recorded_at timestamp, causation_id string, correlation_id string, payload string"
 _REQUIRED = ["envelope_version", "id", "stream", "seq", "type", "schema_version", "occurred_at", "recorded_at", "correlation_id", "payload"]
-
-
-def committed(data: bytes) -> list[bytes]:
-    """Lines with a line feed behind them."""
-    return data.split(b"\n")[:-1]
-
-
-def decode(line: bytes, number: int) -> tuple | None:
+SPLIT_BYTES = 32 << 20
+_STEP = 1 << 16
+
+#: What brings a payload of (type, version) to the next version.
+Upcasts = dict[tuple[str, int], Callable[[dict], dict]]
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _size(path: str) -> int:
+    """Bytes of the file; 0 if there is none."""
+    store, name = _store(path)
+    info = store.get_file_info(name)
+    return info.size if info.is_file else 0
+
+
+def committed_end(path: str, least: int = 0) -> int:
+    """The byte behind the last line feed, looked for from the end."""
+    end = _size(path)
+    if end <= least:
+        return end if end < least else least
+    store, name = _store(path)
+    with store.open_input_file(name) as f:
+        while end > least:
+            at = max(least, end - _STEP)
+            f.seek(at)
+            found = f.read(end - at).rfind(b"\n")
+            if found >= 0:
+                return at + found + 1
+            end = at
+    return least
+
+
+def lines(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(byte, line) of the committed lines that begin in [start, end); the last one may go on behind it."""
+    store, name = _store(path)
+    with store.open_input_file(name) as f:
+        at, held = start, b""
+        if start:  # a line that begins before is the range's before
+            f.seek(start - 1)
+            while (part := f.read(_STEP)) and (cut := part.find(b"\n")) < 0:
+                at += len(part)
+            if not part:
+                return
+            at, held = at + cut, part[cut + 1 :]
+        while at < end:
+            while (cut := held.find(b"\n")) < 0:
+                part = f.read(max(_STEP, len(held)))
+                if not part:
+                    return  # not committed
+                held += part
+            begin = 0
+            while cut >= 0 and at < end:
+                yield at, held[begin:cut]
+                at += cut + 1 - begin
+                begin = cut + 1
+                cut = held.find(b"\n", begin)
+            held = held[begin:]
+
+
+def _number(path: str, ordinal: int) -> int:
+    """The number of the line that begins at this byte."""
+    store, name = _store(path)
+    n = 1
+    with store.open_input_file(name) as f:
+        while ordinal > 0 and (part := f.read(min(ordinal, 1 << 20))):
+            n, ordinal = n + part.count(b"\n"), ordinal - len(part)
+    return n
+
+
+def decode(line: bytes, ordinal: int, upcasts: Upcasts | None = None, current: dict[str, int] | None = None) -> tuple | None:
+    """A line as a row; None for a blank one. Older payloads are brought to the type's current version (1 if none is named)."""
     if not line.strip():
         return None
     try:
         e = json.loads(line.decode("utf-8"))
     except ValueError as x:
-        raise ValueError(f"line {number}: not JSON: {x}") from None
+        raise ValueError(f"not JSON: {x}") from None
     if not isinstance(e, dict) or (missing := [k for k in _REQUIRED if k not in e]):
-        raise ValueError(f"line {number}: fields are missing: {missing if isinstance(e, dict) else 'all'}")
-    if e["envelope_version"] != 1 or e["schema_version"] != 1:
-        raise ValueError(f"line {number}: unknown version {e['envelope_version']}/{e['schema_version']}")
+        raise ValueError(f"fields are missing: {missing if isinstance(e, dict) else 'all'}")
+    version, wanted, payload = e["schema_version"], (current or {}).get(e["type"], 1), e["payload"]
+    while version != wanted and (step := (upcasts or {}).get((e["type"], version))) is not None:
+        version, payload = version + 1, step(payload)
+    if e["envelope_version"] != 1 or version != wanted:
+        raise ValueError(f"unknown version {e['envelope_version']}/{e['schema_version']} of {e['type']}")
     when = lambda k: datetime.fromisoformat(e[k].replace("Z", "+00:00"))
-    return (number, 1, e["id"], e["stream"], int(e["seq"]), e["type"], 1, when("occurred_at"), when("recorded_at"), e.get("causation_id"), e["correlation_id"], json.dumps(e["payload"], separators=(",", ":"), ensure_ascii=False))
+    return (ordinal, 1, e["id"], e["stream"], int(e["seq"]), e["type"], version, when("occurred_at"), when("recorded_at"), e.get("causation_id"), e["correlation_id"], json.dumps(payload, separators=(",", ":"), ensure_ascii=False))
+
+
+class _Range(InputPartition):
+    def __init__(self, at: int, end: int):
+        self.at, self.end = at, end
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.split = options["path"], int(options.get("splitbytes", 32 << 20))
+    def __init__(self, options, upcasts: Upcasts, current: dict[str, int]):
+        self.path, self.split = options["path"], int(options.get("splitbytes", SPLIT_BYTES))
+        self.upcasts, self.current = upcasts, current
+
+    def ranges(self, start: int, end: int):
+        return [_Range(at, min(end, at + self.split)) for at in range(start, end, self.split)] or [_Range(0, 0)]
 
     def partitions(self):
-        """Byte ranges; the ordinals of a range begin with the lines before it, which one pass over the file counts."""
-        if not os.path.exists(self.path):
-            return [_Range(0, 0, 0)]
-        out, at, number = [], 0, 1
-        with open(self.path, "rb") as f:
-            while chunk := f.read(self.split):
-                if not chunk.endswith(b"\n"):
-                    chunk += f.readline()
-                out.append(_Range(at, len(chunk), number))
-                at, number = at + len(chunk), number + chunk.count(b"\n")
-        return out or [_Range(0, 0, 0)]
+        """Ranges of bytes, from the file's size alone."""
+        return self.ranges(0, _size(self.path))
 
     def read(self, partition):
-        if not partition.size:
+        if partition.at == partition.end:
             return
-        with open(self.path, "rb") as f:
-            f.seek(partition.at)
-            data = f.read(partition.size)
-        for i, line in enumerate(committed(data)):
-            if (row := decode(line, partition.number + i)) is not None:
+        for at, line in lines(self.path, partition.at, partition.end):
+            try:
+                row = decode(line, at, self.upcasts, self.current)
+            except ValueError as x:
+                raise ValueError(f"line {_number(self.path, at)}: {x}") from None
+            if row is not None:
                 yield row
 
 
-class _Range(InputPartition):
-    def __init__(self, at: int, size: int, number: int):
-        self.at, self.size, self.number = at, size, number
-
-
 class _StreamReader(_Reader, DataSourceStreamReader):
-    """Offsets are committed bytes and lines, so an uncommitted tail waits for its line feed."""
+    """Offsets are committed bytes, so an uncommitted tail waits for its line feed; a backlog is read in ranges."""
+
+    last = 0
 
     def initialOffset(self):
-        return {"bytes": 0, "lines": 0}
+        return {"bytes": 0}
 
     def latestOffset(self):
-        if not os.path.exists(self.path):
-            return self.initialOffset()
-        with open(self.path, "rb") as f:
-            data = f.read()
-        end = data.rfind(b"\n") + 1
-        return {"bytes": end, "lines": data[:end].count(b"\n")}
+        self.last = committed_end(self.path, self.last)
+        return {"bytes": self.last}
 
     def partitions(self, start, end):
-        return [_Range(start["bytes"], end["bytes"] - start["bytes"], start["lines"] + 1)]
+        return self.ranges(start["bytes"], end["bytes"])
 
     def commit(self, end):
         pass
 
 
+class _Staged(WriterCommitMessage):
+    def __init__(self, file: str, size: int):
+        self.file, self.size = file, size
+
+
+class _Writer(DataSourceWriter):
+    """Tasks put their events, which have ids and sequence numbers, in files beside the log; the driver's commit appends them."""
+
+    def __init__(self, options):
+        self.path, self.batch = options["path"], uuid.uuid4().hex
+        self.as_of = int(options["asof"]) if "asof" in options else None
+
+    def write(self, rows):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        file = f"{self.path}.{self.batch}-{context.partitionId()}-{context.taskAttemptId()}"
+        with open(file, "wb") as f:
+            size = sum(f.write(line_of(r.asDict())) for r in rows)
+        return _Staged(file, size)
+
+    def commit(self, messages):
+        with _locked(self.path, self.as_of) as log:
+            for m in messages:
+                if m is not None:
+                    with open(m.file, "rb") as f:
+                        while part := f.read(1 << 20):
+                            log.write(part)
+        self.abort(messages)
+
+    def abort(self, messages):
+        for m in messages:
+            if m is not None and os.path.exists(m.file):
+                os.remove(m.file)
+
+
 class EventLog(DataSource):
-    """format("eventlog").option("path", ...): see the module."""
+    """format("eventlog").option("path", ...): see the module. Subclasses may name UPCASTS, and a CURRENT version by type."""
+
+    UPCASTS: Upcasts = {}
+    CURRENT: dict[str, int] = {}
 
     @classmethod
     def name(cls):
@@ -103,40 +215,90 @@ class EventLog(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return _Reader(self.options, self.UPCASTS, self.CURRENT)
 
     def streamReader(self, schema):
-        return _StreamReader(self.options)
+        return _StreamReader(self.options, self.UPCASTS, self.CURRENT)
+
+    def writer(self, schema, overwrite):
+        if overwrite:
+            raise ValueError("a log is never overwritten")
+        return _Writer(self.options)
+
+
+def register(spark: SparkSession, upcasts: Upcasts | None = None, current: dict[str, int] | None = None) -> None:
+    """Make the source known, with upcasts if there are any; types without a current version are at version 1."""
+    spark.dataSource.register(type("EventLog", (EventLog,), {"UPCASTS": upcasts or {}, "CURRENT": current or {}}) if upcasts or current else EventLog)
+
+
+def stream_of(log: DataFrame, stream: str) -> DataFrame:
+    return log.where(F.col("stream") == stream)
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(EventLog)
+def overlay(log: DataFrame, more: DataFrame) -> DataFrame:
+    """log with the rows of `more` behind it, in their own order: what a dry run reads; nothing is written."""
+    last = log.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("_last"))
+    shifted = more.crossJoin(F.broadcast(last)).withColumn("ordinal", F.col("ordinal") + F.col("_last") + 1).drop("_last")  # one row
+    return log.unionByName(shifted, allowMissingColumns=True)
 
 
 class Conflict(Exception):
     """Another writer has appended to the stream."""
 
 
-def append(path: str, events: list[dict], expected: dict[str, int]) -> None:
-    """One commit by the driver: lock, cut a torn tail, check each stream's sequence, write at once, sync."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "a+b") as f:
-        fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        f.seek(0)
-        data = f.read()
-        end = data.rfind(b"\n") + 1
-        if end < len(data):
-            f.truncate(end)
-        last: dict[str, int] = {}
-        for i, line in enumerate(committed(data[:end])):
-            if row := decode(line, i + 1):
+def line_of(event: dict) -> bytes:
+    time = lambda v: v.isoformat().replace("+00:00", "Z") + ("" if v.tzinfo else "Z") if isinstance(v, datetime) else v
+    e = {k: time(v) for k, v in event.items() if v is not None and k != "ordinal"}
+    if isinstance(e.get("payload"), str):
+        e["payload"] = json.loads(e["payload"])
+    return json.dumps(e, separators=(",", ":"), ensure_ascii=False).encode() + b"\n"
+
+
+class _locked:
+    """The log open for appending by this process alone, its torn tail cut off; synced at the end.
+
+    as_of: the committed end that the caller has read; a log that has grown since is a conflict.
+    """
+
+    def __init__(self, path: str, as_of: int | None = None):
+        self.path, self.as_of = path, as_of
+
+    def __enter__(self):
+        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
+        self.f = open(self.path, "a+b")
+        fcntl.flock(self.f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        self.end = committed_end(self.path)
+        if self.as_of is not None and self.as_of != self.end:
+            self.f.close()
+            raise Conflict(f"the log has grown from {self.as_of} to {self.end} bytes")
+        if self.end < _size(self.path):
+            self.f.truncate(self.end)
+        self.f.seek(0, 2)
+        return self.f
+
+    def __exit__(self, kind, *_):
+        if kind is None:
+            self.f.flush()
+            os.fsync(self.f.fileno())
+        self.f.close()
+
+
+def append(path: str, events: list[dict], expected: dict[str, int], as_of: int = 0) -> int:
+    """One commit by the driver: lock, cut a torn tail, check each stream's sequence, write at once, sync; the log's new end.
+
+    expected: the last seq of each stream as it was when the committed end was `as_of`; only what was appended since
+    is looked through, line by line.
+    """
+    with _locked(path) as f:
+        last = dict(expected) if as_of else dict.fromkeys(expected, 0)
+        end = committed_end(path)
+        for at, line in lines(path, as_of, end) if end > as_of else ():
+            if row := decode(line, at):
                 last[row[3]] = max(last.get(row[3], 0), row[4])
         for stream, seq in expected.items():
             if last.get(stream, 0) != seq:
                 raise Conflict(f"{stream}: expected {seq}, found {last.get(stream, 0)}")
-        raw = b"".join(json.dumps({k: v for k, v in e.items() if v is not None}, separators=(",", ":"), ensure_ascii=False).encode() + b"\n" for e in events)
-        f.seek(0, 2)
+        raw = b"".join(map(line_of, events))
         if f.write(raw) != len(raw):
             raise OSError("short write")
-        f.flush()
-        os.fsync(f.fileno())
+        return end + len(raw)

@@ -24,7 +24,11 @@ def test_round_trip_and_conflict(spark, tmp_path):
     with pytest.raises(eventlog.Conflict):
         eventlog.append(log, [event(3)], {"lead/a": 2})
     got = rows(spark, log)
-    assert [(r.ordinal, r.stream, r.seq) for r in got] == [(1, "lead/a", 1), (2, "lead/a", 2), (3, "lead/a", 3), (4, "lead/b", 1)]
+    assert [(r.stream, r.seq) for r in got] == [("lead/a", 1), ("lead/a", 2), ("lead/a", 3), ("lead/b", 1)] and got[0].ordinal == 0
+    end = eventlog.committed_end(log)
+    assert eventlog.append(log, [event(4)], {"lead/a": 3}, end) == eventlog.committed_end(log)
+    with pytest.raises(eventlog.Conflict):
+        eventlog.append(log, [event(4)], {"lead/a": 3}, end)
     assert json.loads(got[0].payload) == {"composite": 1} and got[0].causation_id is None
 
 
@@ -60,7 +64,46 @@ def test_stream_reads_what_is_committed(spark, tmp_path):
     q = spark.readStream.format("eventlog").option("path", str(log)).load().writeStream.format("memory").queryName("log_rows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     q.stop()
-    assert [r.ordinal for r in spark.table("log_rows").orderBy("ordinal").collect()] == [1, 2]
+    assert [r.seq for r in spark.table("log_rows").orderBy("ordinal").collect()] == [1, 2]
+
+
+def test_ranges_of_any_size_hold_each_line_once(tmp_path):
+    log = tmp_path / "log"
+    parts = [b"a" * (i % 7) + b"\xc3\xa9" * (i % 3) for i in range(90)]
+    log.write_bytes(b"\n".join(parts) + b"\ntorn")
+    whole = list(eventlog.lines(str(log), 0, 10**6))
+    assert [x for _, x in whole] == parts and all(log.read_bytes()[at : at + len(x)] == x for at, x in whole)
+    for size in (1, 2, 5, 64, 300):
+        assert [x for at in range(0, log.stat().st_size, size) for x in eventlog.lines(str(log), at, at + size)] == whole
+    assert eventlog.committed_end(str(log)) == log.stat().st_size - 4 and eventlog.committed_end(str(tmp_path / "none")) == 0
+
+
+def test_upcasts_and_overlay(spark, tmp_path):
+    log = str(tmp_path / "log.jsonl")
+    eventlog.append(log, [event(1), event(2, schema_version=2), event(1, "lead/b", schema_version=3)], {})
+    steps = {("scored", 1): lambda p: p | {"two": True}, ("scored", 2): lambda p: p | {"three": p["composite"]}}
+    eventlog.register(spark, steps, {"scored": 3})
+    df = spark.read.format("eventlog").option("path", log).load()
+    got = [(r.schema_version, json.loads(r.payload)) for r in df.orderBy("ordinal").collect()]
+    assert got == [(3, {"composite": 1, "two": True, "three": 1}), (3, {"composite": 2, "three": 2}), (3, {"composite": 1})]
+    more = spark.createDataFrame([(5, "lead/a", 3), (6, "lead/c", 1)], "ordinal long, stream string, seq long")
+    both = eventlog.overlay(df, more)
+    assert [r.stream for r in both.orderBy("ordinal").collect()] == ["lead/a", "lead/a", "lead/b", "lead/a", "lead/c"] and eventlog.stream_of(both, "lead/a").count() == 3
+    eventlog.register(spark)
+
+
+def test_writer_appends_what_tasks_stage(spark, tmp_path):
+    log = str(tmp_path / "log.jsonl")
+    eventlog.register(spark)
+    eventlog.append(log, [event(1)], {})
+    df = spark.read.format("eventlog").option("path", log).load()
+    more = df.crossJoin(spark.range(1, 6).withColumnRenamed("id", "n")).selectExpr("ordinal", "envelope_version", "concat(id, '-', n) as id", "stream", "seq + n as seq", "type", "schema_version", "occurred_at", "recorded_at", "id as causation_id", "correlation_id", "payload")
+    more.coalesce(1).write.format("eventlog").option("path", log).option("asof", eventlog.committed_end(log)).mode("append").save()
+    got = rows(spark, log)
+    assert [r.seq for r in got] == [1, 2, 3, 4, 5, 6] and got[5].causation_id == "e1" and got[0].occurred_at == got[5].occurred_at
+    assert [p.name for p in tmp_path.iterdir()] == ["log.jsonl"]
+    with pytest.raises(Exception, match="has grown"):
+        more.write.format("eventlog").option("path", log).option("asof", 1).mode("append").save()
 
 
 @given(st.integers(0, 3000), st.integers(0, 3000), st.one_of(st.none(), st.integers(1, 3000)))
