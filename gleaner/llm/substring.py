@@ -11,22 +11,25 @@ documents share therefore reaches its bucket once for each share, not once for e
 
 Defined cases: null and empty texts have no words; fewer words than `width` have no window and stay whole;
 null doc_id counts as the largest; rows that repeat doc_id and text are one document, judged once, with a
-result row each; rows that share doc_id only are ordered by a hash of their texts; an empty table gives an
-empty result. Other columns are ignored.
+result row each; rows that share doc_id only are ordered, and told apart, by a 64-bit hash of their texts (of 10^7 different
+texts with one id, null for instance, two have the same one with a chance of 3e-6); an empty table gives an
+empty result. Other columns are ignored. A text of any length is looked through in slices of SHARE_BYTES.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import asked, bitmap, doc_key, hash_words, mix, places, runs, settle, ship, trim, words_of
+from .common import asked, bitmap, doc_key, hash_words, mix, places, runs, settle, ship, trim
 
 WIDTH = 20
 #: Words that a minimiser spans.
@@ -105,31 +108,54 @@ def _ranges(mask: np.ndarray, text: np.ndarray, start: np.ndarray) -> list[tuple
     return list(zip(text[head].tolist(), start[head].tolist(), (start[tail] + 1).tolist(), strict=True))
 
 
-_SENT = "bucket int, packed binary, doc long, text_hash long, first int, last int"
-_KINDS = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+_SENT = "bucket int, packed binary, doc long, text_hash long, first long, last long"
+_KINDS = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], names=[x.split()[0] for x in _SENT.split(", ")])
 
 
+def slices(text: str | None, most: int, lap: int):
+    """(number of the first word, words, words again in the next slice) of a text, parted at blanks about every `most`
+    bytes; neighbours share `lap` words, so that each window of lap + 1 words lies in just one slice."""
+    raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+    if len(raw) <= most:
+        yield 0, raw.split(), 0
+        return
+    base, at, left = 0, 0, []
+    while at < len(raw):
+        end = at + most
+        if end < len(raw):
+            blank = BLANK(raw, end)
+            end = blank.end() if blank else len(raw)
+        words, at = left + raw[at:end].split(), end
+        left = words[-lap:] if at < len(raw) and lap else []
+        yield base, words, len(left)
+        base += len(words) - len(left)
+
+
+BLANK = re.compile(rb"[\x20\x09-\x0d]").search
+
+
 def _send(share: list[tuple], width: int, seed_words: int, buckets: int):
-    """Rows of a share of documents: repeats found here, and the packed super-k-mers that travel, by bucket."""
-    share.sort(key=lambda d: (d[0], d[1]))
+    """Rows of a share of documents' slices (doc, text_hash, first word, words): repeats found here, and the packed
+    super-k-mers that travel, by bucket."""
+    share.sort(key=lambda d: d[:3])
     kept, last = [], None
     for d in share:
-        if d[:2] != last and len(d[2]) >= width:
+        if d[:3] != last and len(d[3]) >= width:
             kept.append(d)
-        last = d[:2]
+        last = d[:3]
     if not kept:
         return
-    words = [w for d in kept for w in d[2]]
+    words = [w for d in kept for w in d[3]]
     h = hash_words(b" ".join(words))
-    text, start, place = windows_in(np.array([len(d[2]) for d in kept]), width)
+    text, start, place = windows_in(np.array([len(d[3]) for d in kept]), width)
+    docs, text_hashes, bases = (np.array([d[i] for d in kept], np.int64)[text] for i in range(3))
     repeat = repeats(runs(h, width)[place], text, start, place, words, width)
-    rows = [(kept[t][1] % buckets, None, *kept[t][:2], a, b) for t, a, b in _ranges(repeat, text, start)]  # found already; any bucket hands them on
-    docs, text_hashes = (np.array([d[i] for d in kept], np.int64)[text] for i in (0, 1))
-    rows += _parcels(words, h, text, start, place, ~repeat, docs, text_hashes, width, _seeds(width, seed_words)[0], buckets)
+    rows = [(kept[t][1] % buckets, None, *kept[t][:2], kept[t][2] + a, kept[t][2] + b) for t, a, b in _ranges(repeat, text, start)]  # found already; any bucket hands them on
+    rows += _parcels(words, h, text, bases + start, place, ~repeat, docs, text_hashes, width, _seeds(width, seed_words)[0], buckets)
     for i in range(0, len(rows), 2000):
         yield _batch(rows[i : i + 2000])
 
@@ -156,7 +182,7 @@ def _parcels(words: list[bytes], h: np.ndarray, text: np.ndarray, start: np.ndar
     pack = zstandard.ZstdCompressor(level=3).compress
     rows = []
     for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(target)][: len(edge)], strict=True):
-        head = np.array([z - a], "<i4").tobytes() + docs[a:z].astype("<i8").tobytes() + b"".join(x[a:z].astype("<i4").tobytes() for x in (text_hashes, start, n))
+        head = np.array([z - a], "<i8").tobytes() + b"".join(x[a:z].astype("<i8").tobytes() for x in (docs, text_hashes, start)) + n[a:z].astype("<i4").tobytes()
         rows.append((int(target[a]), pack(head + b" ".join(lines[a:z])), None, None, None, None))
     return rows
 
@@ -179,11 +205,12 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 for doc, text_hash, x in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
-                    share.append((doc, text_hash, words_of(x)))
-                    size += len(x)
-                    if size > SHARE_BYTES:
-                        yield from _send(share, width, seed_words, buckets)
-                        share, size = [], 0
+                    for first, words, _ in slices(x, SHARE_BYTES, width - 1):
+                        share.append((doc, text_hash, first, words))
+                        size += min(len(x), SHARE_BYTES)
+                        if size > SHARE_BYTES:
+                            yield from _send(share, width, seed_words, buckets)
+                            share, size = [], 0
         yield from _send(share, width, seed_words, buckets)
         trim()
 
@@ -227,9 +254,9 @@ def _judge(packed: list[bytes], width: int, onward: tuple[tuple[int, int], int]
     heads, texts = [], []
     for blob in packed:
         raw = unpack(blob)
-        n = int(np.frombuffer(raw, "<i4", 1)[0])
-        heads.append((np.frombuffer(raw, "<i8", n, 4), *(np.frombuffer(raw, "<i4", n, 4 + 8 * n + 4 * n * i).astype(np.int64) for i in range(3))))
-        texts.append(raw[4 + 20 * n :])
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        heads.append((*(np.frombuffer(raw, "<i8", n, 8 + 8 * n * i) for i in range(3)), np.frombuffer(raw, "<i4", n, 8 + 24 * n).astype(np.int64)))
+        texts.append(raw[8 + 28 * n :])
     raw = b" ".join(texts)
     words = raw.split(b" ")
     doc, text_hash, first, lengths = map(np.concatenate, zip(*heads, strict=True))
@@ -247,18 +274,23 @@ def _judge(packed: list[bytes], width: int, onward: tuple[tuple[int, int], int]
         yield _batch(rows[i : i + step])
 
 
-def _kept(words: list, ranges: list[tuple[int, int]], width: int) -> list:
-    covered = np.zeros(len(words) + 1, np.int32)
-    for a, b in ranges:
-        covered[a] += 1
-        covered[min(b + width - 1, len(words))] -= 1
-    keep = np.cumsum(covered[:-1]) == 0
-    return [w for w, k in zip(words, keep, strict=True) if k]
+def kept_of(text: str | None, ranges: list[tuple[int, int]], width: int):
+    """(number of words, kept words) of each slice of a text; ranges: runs of windows by first word, `last` excluded."""
+    cover = np.array([(a, b + width - 1) for a, b in ranges], np.int64).reshape(-1, 2)
+    for base, words, _ in slices(text, SHARE_BYTES, 0):
+        own = cover[(cover[:, 0] < base + len(words)) & (cover[:, 1] > base)]
+        if len(own):
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, np.maximum(own[:, 0] - base, 0), 1)
+            np.add.at(edge, np.minimum(own[:, 1] - base, len(words)), -1)
+            yield len(words), [w for w, gone in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not gone]
+        else:
+            yield len(words), words
 
 
 def _text_hash(text: str):
-    """31 bits that tell rows apart that share an id."""
-    return F.pmod(F.xxhash64(text), F.lit(2**31))
+    """Tells rows apart that share an id."""
+    return F.xxhash64(text)
 
 
 def _found(docs: DataFrame, key: str, text: str, width: int, seed_words: int, hot_bytes: int) -> DataFrame:
@@ -266,8 +298,13 @@ def _found(docs: DataFrame, key: str, text: str, width: int, seed_words: int, ho
     return settle(repeated_windows(docs, key, text, width, seed_words, hot_bytes).groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges")))
 
 
-def _digests(words: list[bytes], kept: list[bytes]) -> tuple[int, int, str]:
-    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+def _digests(text: str | None, ranges: list[tuple[int, int]], width: int) -> tuple[int, int, str]:
+    sha, n, stay = hashlib.sha256(), 0, 0
+    for size, kept in kept_of(text, ranges, width):
+        if kept:
+            sha.update((b" " if stay else b"") + b" ".join(kept))
+        n, stay = n + size, stay + len(kept)
+    return n, n - stay, sha.hexdigest()
 
 
 def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed_words: int = SEED_WORDS, hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -286,8 +323,7 @@ def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
                 part = batch.slice(at, 500)
                 hit, out = asked(bits.value, part.columns[4:7]).tolist(), []
                 for x, h in zip(part.column(1).to_pylist(), hit, strict=True):
-                    words = [] if h else words_of(x)
-                    out.append((None, None, None, x) if h else (*_digests(words, words), None))
+                    out.append((None, None, None, x) if h else (*_digests(x, [], width), None))
                 yield pa.record_batch([part.column(0), part.column(2), part.column(3), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))], names=[key, "doc", "text_hash", "n_words", "n_removed", "kept_sha256", "text"])
 
     def second(batches):
@@ -295,8 +331,7 @@ def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
             for at in range(0, batch.num_rows, 200):
                 part, out = batch.slice(at, 200), []
                 for x, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    words = words_of(x)
-                    out.append(_digests(words, _kept(words, [(r["first"], r["last"]) for r in ranges], width) if ranges else words))
+                    out.append(_digests(x, [(r["first"], r["last"]) for r in ranges or ()], width))
                 yield pa.record_batch([part.column(0), *(pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string())))], names=names)
 
     names = [key, "n_words", "n_removed", "kept_sha256"]
@@ -309,14 +344,28 @@ def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed_words: int = SEED_WORDS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """docs with repeated passages cut out of text. Texts without one stay as they are, blanks included;
-    of others the kept words are joined by one space. Other columns pass through."""
-    found = _found(docs, key, text, width, seed_words, hot_bytes).withColumnsRenamed({"doc": "_doc_", "text_hash": "_hash_", "ranges": "_ranges_"})
-    joined = docs.withColumns({"_doc_": doc_key(key), "_hash_": _text_hash(text)}).join(found, ["_doc_", "_hash_"], "left")
+    of others the kept words are joined by one space. Other columns, of any name, pass through.
 
-    @F.pandas_udf("string")
-    def cut(texts, ranges):
-        import pandas as pd
+    Rows that the bitmap of documents with repeats rules out don't travel.
+    """
+    spark = docs.sparkSession
+    found = _found(docs, key, text, width, seed_words, hot_bytes)
+    bits = spark.sparkContext.broadcast(bitmap(found))
+    names = {c: f"_{i}_" for i, c in enumerate(docs.columns)}
+    at = names[next(c for c in docs.columns if c.lower() == text.lower())]
 
-        return pd.Series([x if r is None or x is None else b" ".join(_kept(words_of(x), [(a["first"], a["last"]) for a in r], width)).decode("utf-8", "surrogatepass") for x, r in zip(texts, ranges, strict=True)])
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(asked(bits.value, [pa.array(x) for x in (a, b, c)]))
 
-    return joined.withColumn(text, F.when(F.col("_ranges_").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("_ranges_")))).select(*docs.columns)
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
+        whole = lambda x, r: b" ".join(b" ".join(k) for _, k in kept_of(x, [(a["first"], a["last"]) for a in r], width) if k).decode("utf-8", "surrogatepass")
+        return pd.Series([x if r is None or x is None else whole(x, r) for x, r in zip(texts, ranges, strict=True)])
+
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), doc_key(key).alias("doc"), _text_hash(text).alias("text_hash"))
+    keyed = keyed.withColumn("may", may(*places()))
+    joined = keyed.where("may").join(found, ["doc", "text_hash"], "left")
+    done = joined.withColumn(at, F.when(F.col("ranges").isNull(), F.col(at)).otherwise(cut(F.col(at), F.col("ranges"))))
+    back = [F.col(n).alias(c) for c, n in names.items()]
+    return keyed.where("not may").select(*back).union(done.select(*back))
