@@ -202,8 +202,8 @@ def most_frequent(counts: DataFrame, size: int, least: int = 1) -> list:
             back = F.lit(2**63 - 1) - F.col("_h")
             own = own & (back >= _narrowed(rows.where(own), back, size - above, near)[0])
         found = rows.where((n > high) | own).collect()
-    best = sorted(found, key=lambda r: (-r["n"], r["_h"], bytes(r["word"])))[:size]
-    return sorted(best, key=lambda r: (-r["n"], bytes(r["word"])))
+    best = sorted(found, key=lambda r: (-r["n"], r["_h"], r["word"]))[:size]
+    return sorted(best, key=lambda r: (-r["n"], r["word"]))
 
 
 # -- which ids are asked for: a bitmap of fixed size that only prunes ------------------------
