@@ -54,7 +54,7 @@ def fetch_facts(fetches: DataFrame) -> DataFrame:
 
 def batch_summary(results: DataFrame, facts: DataFrame, remote_only: bool, floor: int | None, dry_run: bool = False) -> DataFrame:
     """One row of a run: results are rows of ingest.ingest (with remote and comp), facts one of fetch_facts()."""
-    rejected = F.size("rejected") > 0
+    rejected = F.coalesce(F.size("rejected"), F.lit(0)) > 0
     kind = lambda k: F.count_if(~rejected & (F.col("kind") == k))
     counts = results.agg(kind("ingested").alias("new"), kind("updated").alias("updated"), kind("reingest_suppressed").alias("suppressed"), F.count_if(rejected).alias("rejected"))
     by = results.where(rejected).groupBy("source").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("rejected_by_source"))

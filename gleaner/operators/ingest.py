@@ -122,15 +122,13 @@ def edit(corrected: DataFrame, state: DataFrame, index: DataFrame, c: triage.Con
     known = state.select("lead_id", F.col("exists").alias("_exists"), F.col("revision").alias("_revision"), F.col("snapshot").alias("_stored"), F.coalesce("snapshot.raw_text", F.lit("")).alias("raw_text"))
     rows = corrected.join(known, "lead_id", "left").withColumn("identity", triage.identity())
     rows = evaluated(rows, c)
-    i = F.col("identity")
-    owners = rows.select("lead_id", F.explode(F.array_distinct(F.array_compact(F.array(i["req"], i["url"], i["tc"], i["dedupe_key"])))).alias("form")).join(index.select("form", F.col("lead_id").alias("_owner")), "form")
-    owned = owners.where(F.col("_owner").cast("string") != F.col("lead_id").cast("string")).groupBy("lead_id").agg(F.min(F.struct("_owner", "form")).alias("_other"))
+    owned = triage.collisions(rows, index).select("lead_id", F.struct("owner", "form").alias("_other"))
     rows = rows.join(owned, "lead_id", "left")
     old = F.struct(*(F.col(f"_stored.extracted.{f}").alias(f) for f in triage.FIELDS[:6]), *(F.col(f"_stored.{f}").alias(f) for f in ("raw_text", "url", "adapter", "source")))
     rows = rows.withColumns({"_old": old, "_new": F.struct(*triage.FIELDS, "source")})
     fields = F.filter(F.array_compact(F.concat(triage.changed("_old", "_new"), F.array(F.when(~F.col("_old.source").eqNullSafe(F.col("source")), F.lit("source"))))), lambda f: f != "raw_text")
     rows = rows.withColumn("_fields", fields)
-    collides = F.concat(F.lit("edit would collide with lead "), F.col("_other._owner").cast("string"), F.lit(" on identity "), F.col("_other.form"))
+    collides = F.concat(F.lit("edit would collide with lead "), F.col("_other.owner").cast("string"), F.lit(" on identity "), F.col("_other.form"))
     error = F.when(~F.coalesce("_exists", F.lit(False)), "no such lead").otherwise(F.coalesce(collides, _unclear(F.col("failures"), F.col("composite")), F.when(F.size("_fields") == 0, "nothing to edit")))
     full = F.array_compact(F.concat(F.col("_fields"), F.array(F.when(~F.col("_old.adapter").eqNullSafe(F.lit("user")), F.lit("adapter")))))
     made = F.concat(F.array(_event("edited")), _judged(F.col("failures"), F.col("composite"), F.col("_revision") + 1))

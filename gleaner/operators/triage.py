@@ -152,3 +152,16 @@ def lookup(postings: DataFrame, index: DataFrame) -> DataFrame:
     for name, key in keys.items():
         out = out.join(index.select(F.col("form").alias("_form"), F.col("lead_id").alias(name)), key == F.col("_form"), "left").drop("_form")
     return out.withColumn("matched_lead", F.coalesce(*keys)).drop(*keys)
+
+
+def forms() -> Column:
+    """All forms of a row's identity that there are."""
+    i = F.col("identity")
+    return F.array_distinct(F.array_compact(F.array(i["req"], i["url"], i["tc"], i["dedupe_key"])))
+
+
+def collisions(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """(lead_id, owner, form): of rows (lead_id, identity) those of whose identifiers another lead owns; the least owner."""
+    asked = rows.select("lead_id", F.explode(forms()).alias("form")).join(index.select("form", F.col("lead_id").alias("owner")), "form")
+    other = asked.where(~F.col("owner").cast("string").eqNullSafe(F.col("lead_id").cast("string")))
+    return other.groupBy("lead_id").agg(F.min(F.struct("owner", "form")).alias("o")).select("lead_id", "o.owner", "o.form")

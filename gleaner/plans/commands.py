@@ -101,9 +101,3 @@ def cheat_sheet(spark, d):
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 101 <= 50 THEN 255 ELSE floor((100 - s_suppkey % 101) * 255 / 50.0)::INT END AS r, CASE WHEN s_suppkey % 101 >= 50 THEN 255 ELSE floor((s_suppkey % 101) * 255 / 50.0)::INT END AS g FROM supplier")
 def score_colour(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", commands.score_rgb(F.col("s_suppkey") % 101).alias("c")).select("s_suppkey", "c.r", "c.g")
-
-
-@query(f"WITH {POSTINGS_SQL} SELECT pos, lpad(pos::VARCHAR, greatest(3, length(pos::VARCHAR))::INT, ' ') || '.  ' || left(pos::VARCHAR, 8) || '  -  ' || title || ' - ' || company || '  [pending]' AS line FROM p")
-def list_lines(spark, d):
-    p = postings(spark, d)
-    return p.select("pos", commands.list_line(F.col("pos"), F.col("pos"), F.col("title"), F.col("company"), F.lit(None), F.lit("pending")).alias("line"))

@@ -72,9 +72,9 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "k as pos", "concat('feed', cast(k % 3 as string)) as source", "trim(concat(element_at(array('Staff', 'Senior', 'Junior', '', 'Principal'), cast(k % 5 + 1 as int)), ' ', p_name)) as title", "s_name as company",
         "if(k % 3 = 0, null, concat('R-', cast(k % 700 as string))) as req_id", "element_at(array(null, 'Remote, US', 'Berlin', 'Austin'), cast(k % 4 + 1 as int)) as location",
         "if(k % 7 = 0, null, concat('https://Jobs.example.com/p/', cast(k % 900 as string), '/?utm_source=x&b=', cast(k % 2 as string), '&a=1#top')) as url",
-        """concat('We build things. ', case k % 6 when 0 then concat('pays $', cast(100 + k % 50 as string), ',000 - $', cast(130 + k % 50 as string), ',000 a year') when 1 then '$120k - $150k'
-           when 2 then '$60 - $80 per hour' when 3 then '$130,000 base' when 4 then '' else '$5 - $7' end, '. ', case cast(floor(k / 6) as bigint) % 3 when 0 then '5+ years of experience' when 1 then '3 years in business and 8 years experience' else '' end,
-           '. ', case cast(floor(k / 2) as bigint) % 4 when 0 then 'This role is fully remote.' when 1 then 'This role is not remote.' when 2 then 'Hybrid schedule.' else 'Not hybrid; remote.' end, ' Requisition ID: ', if(k % 4 = 0, 'none', concat('REQ-', cast(k as string))), '. python and Java')  as raw_text""",
+        """concat('We build things. ', case k % 6 when 0 then concat('pays $', cast(100 + k % 50 as string), ',000 - $', cast(130 + k % 50 as string), ',000 a year') when 1 then '$120k\u00a0-\u00a0$150k'
+           when 2 then '$60 - $80 per hour' when 3 then '$130,000 base' when 4 then '' else '$5 - $7' end, '. ', case cast(floor(k / 6) as bigint) % 3 when 0 then '5+\u00a0years of\u00a0experience' when 1 then '3 years in business and 8 years experience' else '' end,
+           '. ', case cast(floor(k / 2) as bigint) % 4 when 0 then 'This role is fully remote.' when 1 then 'This role is not remote.' when 2 then 'Hybrid schedule.' else 'Not\u00a0hybrid; remote.' end, ' Requisition\u00a0ID:\u00a0', if(k % 4 = 0, 'none', concat('REQ-', cast(k as string))), '. python and Java')  as raw_text""",
     )
 
 
@@ -87,5 +87,37 @@ POSTINGS_SQL = """p AS (SELECT k AS pos, 'feed' || (k % 3) AS source, trim((['St
     CASE WHEN k % 6 = 2 THEN 'hour' WHEN k % 6 < 4 THEN 'year' END AS period,
     CASE (k // 6) % 3 WHEN 0 THEN 5 WHEN 1 THEN 8 END AS years,
     CASE (k // 2) % 4 WHEN 0 THEN true WHEN 1 THEN CASE WHEN k % 4 = 1 THEN true END WHEN 2 THEN false ELSE true END AS remote,
-    CASE WHEN k % 4 <> 0 THEN 'REQ-' || k END AS found_req, k
+    CASE WHEN k % 4 <> 0 THEN 'REQ-' || k END AS found_req, k,
+    CASE k % 6 WHEN 0 THEN '$' || (100 + k % 50) || ',000 - $' || (130 + k % 50) || ',000' WHEN 1 THEN '$120k\u00a0-\u00a0$150k' WHEN 2 THEN '$60 - $80' WHEN 3 THEN '$130,000' END AS comp_raw,
+    'We build things. ' || CASE k % 6 WHEN 0 THEN 'pays $' || (100 + k % 50) || ',000 - $' || (130 + k % 50) || ',000 a year' WHEN 1 THEN '$120k\u00a0-\u00a0$150k' WHEN 2 THEN '$60 - $80 per hour' WHEN 3 THEN '$130,000 base' WHEN 4 THEN '' ELSE '$5 - $7' END ||
+      '. ' || CASE (k // 6) % 3 WHEN 0 THEN '5+\u00a0years of\u00a0experience' WHEN 1 THEN '3 years in business and 8 years experience' ELSE '' END || '. ' ||
+      CASE (k // 2) % 4 WHEN 0 THEN 'This role is fully remote.' WHEN 1 THEN 'This role is not remote.' WHEN 2 THEN 'Hybrid schedule.' ELSE 'Not\u00a0hybrid; remote.' END || ' Requisition\u00a0ID:\u00a0' || CASE WHEN k % 4 = 0 THEN 'none' ELSE 'REQ-' || k END || '. python and Java' AS raw_text
   FROM (SELECT p_partkey AS k, p_name, p_partkey % (SELECT count(*) FROM supplier) AS sk FROM part) JOIN supplier ON s_suppkey = sk)"""
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with whole payloads: also seq, note, snapshot, score and rejection, made of each event's ordinal."""
+    e = events(spark, sf_dir)
+    return e.selectExpr(
+        "*", "ordinal as seq", "if(ordinal % 4 = 0, concat('n', cast(ordinal % 9 as string)), null) as note",
+        """if(type in ('ingested', 'updated', 'edited'), named_struct('dedupe_key', concat('k:', cast(ordinal % 500 as string)),
+             'identifiers', named_struct('req', if(ordinal % 3 = 0, null, concat('req:', cast(ordinal % 50 as string))), 'url', if(ordinal % 7 = 0, null, concat('url:', cast(ordinal % 200 as string))), 'tc', concat('tc:', cast(ordinal % 90 as string))),
+             'adapter', element_at(array('drop-in', 'feed', 'user'), cast(ordinal % 3 + 1 as int)), 'source', concat('feed', cast(ordinal % 5 as string)), 'url', if(ordinal % 7 = 0, null, concat('https://ex.com/j/', cast(ordinal % 200 as string))), 'raw_text', concat('text ', cast(ordinal as string)),
+             'extracted', named_struct('title', if(ordinal % 11 = 0, null, concat('Role ', cast(ordinal % 97 as string), if(ordinal % 10 = 0, concat(' at Co ', cast(ordinal % 13 as string)), ''))), 'company', if(ordinal % 6 = 0, null, concat('Co ', cast(ordinal % 13 as string))), 'req_id', if(ordinal % 3 = 0, null, concat('R', cast(ordinal % 50 as string))),
+               'location', element_at(array(null, 'Oslo', 'Remote'), cast(ordinal % 3 + 1 as int)), 'remote', element_at(array(true, false, null), cast(ordinal % 3 + 1 as int)),
+               'comp', if(ordinal % 2 = 0, null, named_struct('min', 100000 + ordinal % 7 * 1000, 'max', 140000 + ordinal % 7 * 1000, 'currency', 'USD', 'period', 'year', 'raw', concat('$', cast(100 + ordinal % 7 as string), 'k'))))), null) as snapshot""",
+        "if(type = 'scored', named_struct('composite', composite, 'revision', revision, 'breakdown', concat(cast(composite as string), ' = all')), null) as score",
+        "if(type = 'rejected', named_struct('gate', gate, 'reason', concat('because ', gate), 'revision', revision), null) as rejection",
+    )
+
+
+#: What the latest snapshot of a lead holds, from its ordinal `so`; `g`, `gr`: the latest rejection's ordinal and revision.
+RECORD_SQL = f"""{BOOK_SQL}, x AS (SELECT lead_id, arg_max_null(ordinal, ordinal) FILTER (type IN {_SNAP}) AS so,
+    arg_max_null(CASE WHEN type = 'scored' THEN revision END, ordinal) FILTER (type IN {_EVAL}) AS score_revision, arg_max_null(CASE WHEN type = 'rejected' THEN revision END, ordinal) FILTER (type IN {_EVAL}) AS gate_revision,
+    arg_max_null(CASE WHEN ordinal % 4 = 0 THEN 'n' || (ordinal % 9) END, (occurred_at, ordinal)) FILTER (type IN {_OUT}) AS outcome_note, max((occurred_at, ordinal)) FILTER (type IN {_OUT}) AS oa
+  FROM v JOIN f USING (lead_id) WHERE ordinal >= o1 GROUP BY lead_id),
+r AS (SELECT s.*, so, score_revision, gate_revision, outcome_note, oa[1] AS outcome_at, 'k:' || (so % 500) AS dedupe_key, CASE WHEN so % 3 <> 0 THEN 'req:' || (so % 50) END AS form_req, CASE WHEN so % 7 <> 0 THEN 'url:' || (so % 200) END AS form_url, 'tc:' || (so % 90) AS form_tc,
+    (['drop-in', 'feed', 'user'])[so % 3 + 1] AS adapter, 'feed' || (so % 5) AS source, CASE WHEN so % 7 <> 0 THEN 'https://ex.com/j/' || (so % 200) END AS url, 'text ' || so AS raw_text,
+    CASE WHEN so % 11 <> 0 THEN 'Role ' || (so % 97) || CASE WHEN so % 10 = 0 THEN ' at Co ' || (so % 13) ELSE '' END END AS title, CASE WHEN so % 6 <> 0 THEN 'Co ' || (so % 13) END AS company, CASE WHEN so % 3 <> 0 THEN 'R' || (so % 50) END AS req_id,
+    ([NULL, 'Oslo', 'Remote'])[so % 3 + 1] AS location, ([true, false, NULL])[so % 3 + 1] AS remote, CASE WHEN so % 2 = 1 THEN 140000 + so % 7 * 1000 END AS comp_max, CASE WHEN so % 2 = 1 THEN '$' || (100 + so % 7) || 'k' END AS comp_raw
+  FROM s JOIN x USING (lead_id))"""

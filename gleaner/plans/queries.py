@@ -175,9 +175,24 @@ def sha_dedupe(spark, d):
     return docs.join(n, "dedupe_key").select("doc_id", "dedupe_key", "copies")
 
 
-@query(r"SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
+@query(r"SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title FROM pages")
 def title_from_html(spark, d):
-    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+    return table(spark, d, "pages").select("page_id", extraction.main_text("html")["title"].alias("title"))
+
+
+@query(r"""SELECT page_id, 'http://u@ex.com/b%20c/' || page_id || '/%C3%A9?a=%25zz+1&z=' || (page_id % 7) AS canonical FROM pages UNION ALL SELECT -page_id - 1, 'https://[2001:db8::1]:8443/' || page_id FROM pages""")
+def canonical_url_forms(spark, d):
+    k = F.col("page_id")
+    odd = F.concat(F.lit(" HTTP://u@Ex.com:80/a/../b c/"), k.cast("string"), F.lit("/./é/?z="), (k % 7).cast("string"), F.lit("&utm_x=2&a=%zz+1&&gclid=3#top "))
+    six = F.concat(F.lit("https:\\\\[2001:DB8::1]:8443/x/%2e%2E/"), k.cast("string"), F.lit("//"))
+    p = table(spark, d, "pages")
+    return p.select("page_id", text.canonical_url(odd).alias("canonical")).union(p.select(-k - 1, text.canonical_url(six)))
+
+
+@query("SELECT s_suppkey, 'οδοσ-όμιλος-' || trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, lower(s_name) || ' οδος όμιλος' AS normal, lower(s_name) || 'οδος' AS req FROM supplier")
+def sigma_forms(spark, d):
+    name = F.col("s_name")
+    return table(spark, d, "supplier").select("s_suppkey", text.slugify(F.concat(F.lit("ΟΔΟΣ Όμιλος & "), name)).alias("slug"), text.normalize_text(F.concat(name, F.lit("\u00a0ΟΔΟΣ  Όμιλος "))).alias("normal"), text.normalize_req(F.concat(name, F.lit("\u2003ΟΔΟΣ"))).alias("req"))
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN s_name ELSE NULL END AS company FROM supplier")
@@ -200,11 +215,6 @@ def normalize_watermark_ts(spark, d):
     return table(spark, d, "events").select("event_id", text.watermark(s).alias("watermark"))
 
 
-@query()
-def html_main_text(spark, d):
-    return table(spark, d, "pages").select("page_id", extraction.html_text("html").alias("text"))
-
-
 # -- postings -------------------------------------------------------------------------------------
 
 
@@ -247,9 +257,10 @@ def level_score(spark, d):
     return postings(spark, d).select("pos", extraction.level("title", "raw_text").alias("level"))
 
 
-@query(f"WITH {POSTINGS_SQL} SELECT pos, k % 5 = 0 AS staff, true AS python, false AS pyth FROM p")
+@query(f"WITH {POSTINGS_SQL} SELECT pos, k % 5 = 0 AS staff, k % 3 < 2 AS python, k % 3 = 2 AS pythons FROM p")
 def token_match(spark, d):
-    return postings(spark, d).select("pos", text.token_in("staff", "title").alias("staff"), text.token_in("Python", "raw_text").alias("python"), text.token_in("pyth", "raw_text").alias("pyth"))
+    t = F.element_at(F.array(*map(F.lit, ("uses PYTHON, daily", "a.python3_python", "éPythons"))), (F.col("pos") % 3 + 1).cast("int"))
+    return postings(spark, d).select("pos", text.token_in("staff", "title").alias("staff"), text.token_in("Python", t).alias("python"), text.token_in("pythons", t).alias("pythons"))
 
 
 _GATES = f"""(list_concat(CASE WHEN remote = false THEN ['remote_only'] ELSE [] END, CASE WHEN {_QUOTED} < 135000 THEN ['compensation_floor'] ELSE [] END,
@@ -292,9 +303,11 @@ def comp_plausibility(spark, d):
     return _extracted(spark, d).select("pos", triage.compensation(CONFIG)["kind"].alias("kind"))
 
 
-@query(f"WITH {POSTINGS_SQL} SELECT pos, 20::BIGINT AS skills FROM p")
+@query(f"WITH {POSTINGS_SQL} SELECT pos, 10 * ((k % 2 = 0 OR k % 11 = 0)::BIGINT + (k % 3 = 0)::BIGINT + (k % 5 = 0 OR k % 13 = 0)::BIGINT + (k % 7 = 0)::BIGINT) AS skills FROM p")
 def skills_overlap(spark, d):
-    return postings(spark, d).select("pos", triage.skills_score(F.concat_ws("\n", "title", "raw_text"), CONFIG).alias("skills"))
+    k = F.col("pos")
+    words = [(2, "python."), (11, "py"), (3, "JAVA"), (5, "cplusplus,"), (13, "(C++)"), (7, "learning a machine")]
+    return postings(spark, d).select("pos", triage.skills_score(F.concat_ws(" ", F.lit("javascript pythons"), *(F.when(k % n == 0, w) for n, w in words)), CONFIG).alias("skills"))
 
 
 _IDENTITY = """i AS (SELECT pos, 'req:' || trim(regexp_replace(lower(company), '[^a-z0-9]+', '-', 'g'), '-') || ':' || lower(req_id) AS req, 'url:' || url AS url, 'tc:' || sha256(lower(title) || chr(10) || lower(company)) AS tc FROM p)"""
@@ -313,12 +326,12 @@ def identity_lookup_priority(spark, d):
     return triage.lookup(p, views.lead_index(known)).select("pos", F.col("matched_lead").alias("lead"))
 
 
-@query(f"""WITH {POSTINGS_SQL}, {_IDENTITY}, x AS (SELECT unnest([req, url]) AS form, pos FROM i), n AS (SELECT form, max(pos) AS owner FROM x WHERE form IS NOT NULL GROUP BY form)
-SELECT DISTINCT x.pos FROM x JOIN n USING (form) WHERE n.owner <> x.pos""")
+@query(f"""WITH {POSTINGS_SQL}, {_IDENTITY}, x AS (SELECT unnest([req, url, tc]) AS form, pos FROM i), n AS (SELECT form, max(pos) AS owner FROM x WHERE form IS NOT NULL GROUP BY form)
+SELECT x.pos, min(n.owner) AS owner FROM x JOIN n USING (form) WHERE n.owner <> x.pos GROUP BY x.pos""")
 def edit_collision(spark, d):
-    x = postings(spark, d).select("pos", triage.identity().alias("i")).select("pos", F.explode(F.array_compact(F.array("i.req", "i.url"))).alias("form"))
-    owner = x.groupBy("form").agg(F.max("pos").alias("owner"))
-    return x.join(owner, (x["form"] == owner["form"]) & (x["pos"] != owner["owner"]), "left_semi").select("pos").distinct()
+    p = postings(spark, d).select(F.col("pos").alias("lead_id"), F.col("pos").alias("ordinal"), triage.identity().alias("identity"))
+    index = views.lead_index(p.withColumn("forms", triage.forms()))
+    return triage.collisions(p, index).select(F.col("lead_id").alias("pos"), "owner")
 
 
 @query()
@@ -356,13 +369,13 @@ def board_json_map(spark, d):
     return postings(spark, d).withColumn("g", records.greenhouse(j, F.lit("acme-corp"))).select("pos", "g.title", "g.company", "g.req_id", "g.location")
 
 
-@query("SELECT doc_id, (contains(lower(text), 'reha') OR contains(lower(text), 'thion')) AS hit FROM documents")
+@query("SELECT doc_id, contains(lower(text), 'reha')::BIGINT + contains(lower(text), 'thion')::BIGINT AS lines, CASE WHEN contains(lower(text), 'reha') THEN substr(text, strpos(lower(text), 'reha')::INT, 4) END AS first_words FROM documents")
 def gate_red_lines(spark, d):
-    lines = ["reha", "thion"]
-    hit = F.lit(False)
-    for x in lines:
-        hit = hit | F.col("text").rlike("(?iu)" + text.java_quote(x))
-    return table(spark, d, "documents").select("doc_id", hit.alias("hit"))
+    c = triage.Config(remote_only=False, red_lines=("reha", "", "thion"))
+    none = {"location": "string", "remote": "boolean", "company": "string", "comp": "struct<min:bigint,max:bigint>"}
+    f = table(spark, d, "documents").select("doc_id", F.col("text").alias("raw_text"), *(F.lit(None).cast(t).alias(n) for n, t in none.items())).withColumn("f", triage.gate_failures(c))
+    first = F.get(F.filter("f", lambda x: x["reason"].startswith("posting matches red line 'reha'")), F.lit(0))["reason"]
+    return f.select("doc_id", F.size("f").cast("long").alias("lines"), F.substring(first, 35, 4).alias("first_words"))
 
 
 @query("SELECT s_suppkey, format('{:,}', round(s_acctbal)::BIGINT) AS grouped FROM supplier")
@@ -371,3 +384,4 @@ def thousands(spark, d):
 
 
 from . import commands as _commands  # noqa: E402, F401  registers its queries here
+from . import cores as _cores  # noqa: E402, F401  and here
