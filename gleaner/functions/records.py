@@ -6,7 +6,7 @@ it has the expected JSON type; what has another type is null, and so is a record
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .extraction import HOURS_A_YEAR, comp, html_text, remote, req_id
@@ -131,16 +131,17 @@ def workday(json, tenant) -> Column:
     return F.when(_kind(v, "$.jobPostingInfo").isNotNull(), _api(g("title"), F.coalesce(g("company"), g("companyName"), prettify_slug(tenant)), g("jobReqId"), g("location"), F.lit(None), g("jobDescription")))
 
 
-def finalize(api: str) -> Column:
-    """Fields of a posting from an API struct column: HTML becomes text only where there is a tag; what the API states wins."""
+def finalize(df: DataFrame, api: str, out: str) -> DataFrame:
+    """df with fields of a posting from an API struct column: HTML becomes text only where there is a tag; what the API states wins."""
     body = F.col(f"{api}.body")
     tagged = body.contains("<")
-    raw = F.when(tagged, html_text(F.when(tagged, body))).otherwise(body)
-    place = F.col(f"{api}.location")
-    return F.struct(
+    df = df.withColumn("_raw", F.when(tagged, html_text(F.when(tagged, body))).otherwise(body))
+    raw, place = F.col("_raw"), F.col(f"{api}.location")
+    fields = F.struct(
         F.col(f"{api}.title").alias("title"), F.col(f"{api}.company").alias("company"), F.coalesce(F.col(f"{api}.req_id"), req_id(raw)).alias("req_id"), place.alias("location"),
         F.coalesce(F.col(f"{api}.remote"), remote(place, raw)).alias("remote"), comp(raw).alias("comp"), raw.alias("raw_text"),
     )
+    return df.withColumn(out, fields).drop("_raw")
 
 
 # -- a paid feed ----------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boards, extraction, records
-from ..functions.text import canonical_url, company_from_title, url_path
+from ..functions.text import canonical_url, company_from_title, url_host, url_path
 from . import triage
 from .commands import _judged, _unclear
 from .decide import _event, classify, decide_ingest
@@ -33,14 +33,14 @@ def extract(pages: DataFrame) -> DataFrame:
     failure, which never falls back). The API's answer comes first, then JSON-LD, then the main text.
     """
     where = F.coalesce("final_url", "url")
-    kind, body = boards.platform(where), F.col("api_body")
-    two = lambda i: F.try_element_at(F.filter(F.split(url_path(where), "/"), lambda x: x != ""), F.lit(i))
+    kind, body, part = F.col("_kind"), F.col("api_body"), lambda i: F.get(F.col("_path"), F.lit(i))
+    pages = pages.withColumns({"_kind": boards.platform(where), "_path": F.filter(F.split(url_path(where), "/"), lambda x: x != ""), "_tenant": F.substring_index(url_host(where), ".", 1)})
     api = (
-        F.when(kind == "greenhouse", records.greenhouse(body, two(1))).when(kind == "ashby", records.ashby(body, two(1), two(2))).when(kind == "lever", records.lever(body, two(1)))
-        .when(kind == "workday", records.workday(body, F.substring_index(F.regexp_extract(where, "://([^/]*)", 1), ".", 1)))
+        F.when(kind == "greenhouse", records.greenhouse(body, part(0))).when(kind == "ashby", records.ashby(body, part(0), part(1))).when(kind == "lever", records.lever(body, part(0)))
+        .when(kind == "workday", records.workday(body, "_tenant"))
     )
-    rows = pages.withColumns({"_api": F.when(body.isNotNull(), api), "_kind": kind, "_ld": records.json_ld("html"), "_main": F.when(F.col("html").isNotNull(), extraction.main_text("html"))})
-    rows = rows.withColumns({"_a": records.finalize("_api"), "_b": extraction.html_text(F.when(F.col("_ld").isNotNull(), F.col("_ld.body")))})
+    rows = pages.withColumns({"_api": F.when(body.isNotNull(), api), "_ld": records.json_ld("html"), "_main": extraction.main_text("html")})
+    rows = records.finalize(rows, "_api", "_a").withColumn("_b", extraction.html_text(F.when(F.col("_ld").isNotNull(), F.col("_ld.body"))))
 
     def fields(adapter, title, company, req, location, remote, comp, raw, url):
         made = {"title": title, "company": company, "req_id": req, "location": location, "remote": remote, "comp": comp, "raw_text": raw, "url": url, "adapter": adapter, "source": F.lit("unknown")}
@@ -58,7 +58,7 @@ def extract(pages: DataFrame) -> DataFrame:
     fetched = F.col("fetch_error").isNull()
     posting = F.when(fetched, F.when(F.col("_api").isNotNull() & ~_blank(a("raw_text")), by_api).when(F.col("_ld").isNotNull() & ~_blank(text), by_ld).when(~_blank(m), by_text))
     error = F.coalesce("fetch_error", F.when(F.col("posting").isNull(), F.concat(F.lit("no text could be extracted from "), F.col("url"))))
-    return rows.withColumn("posting", posting).withColumn("error", error).drop("_api", "_kind", "_ld", "_main", "_a", "_b")
+    return rows.withColumn("posting", posting).withColumn("error", error).drop("_api", "_kind", "_path", "_tenant", "_ld", "_main", "_a", "_b")
 
 
 # -- the core ------------------------------------------------------------------------------------------

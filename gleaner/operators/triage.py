@@ -114,15 +114,15 @@ def with_score(df: DataFrame, c: Config) -> DataFrame:
     """df with dimensions (level, skills, compensation, remote; unknown ones dropped), composite and breakdown."""
     text = F.concat_ws("\n", "title", "raw_text")
     df = df.withColumn("_comp", compensation(c))
-    scores = {"level": level("title", "raw_text"), "skills": F.lit(None).cast("long") if c.skills is None else skills_score(text, c), "compensation": F.col("_comp.score"), "remote": F.when(F.col("remote"), 100).when(F.col("remote").isNull(), 50).otherwise(0).cast("long")}
-    one = [F.struct(F.lit(n).alias("name"), s.alias("score"), F.lit(float(c.weights.get(n, 1.0))).alias("weight")) for n, s in scores.items()]
+    scores = {"level": level("title", "raw_text"), "skills": F.lit(None).cast("long") if not c.skills else skills_score(text, c), "compensation": F.col("_comp.score"), "remote": F.when(F.col("remote"), 100).when(F.col("remote").isNull(), 50).otherwise(0).cast("long")}
+    one = [F.struct(F.lit(n).alias("name"), s.alias("score"), F.lit(float(c.weights.get(n, 1.0))).alias("weight"), F.lit(1.0).alias("confidence")) for n, s in scores.items()]
     df = df.withColumn("dimensions", F.filter(F.array(*one), lambda d: d["score"].isNotNull()))
     d = F.col("dimensions")
     total = F.aggregate(d, F.lit(0.0), lambda a, x: a + x["weight"])
     df = df.withColumn("composite", F.when(total > 0, F.round(F.aggregate(d, F.lit(0.0), lambda a, x: a + x["weight"] * x["score"]) / total)).otherwise(0).cast("long"))
     parts = F.array_join(F.transform(d, lambda x: F.concat(weight_text(F.when(total > 0, x["weight"] / total).otherwise(0.0)), F.lit("·"), x["name"], F.lit("("), x["score"].cast("string"), F.lit(")"))), " + ")
     implausible = F.concat(F.lit("compensation: implausible ("), F.col("_comp.value").cast("string"), F.lit(f" exceeds cap {c.cap}), weight renormalized"))
-    notes = F.array_join(F.array_compact(F.array(F.lit("skills: no resume, weight renormalized") if c.skills is None else F.lit(None), F.when(F.col("_comp.kind") == "unknown", "compensation: unknown, weight renormalized").when(F.col("_comp.kind") == "implausible", implausible))), "; ")
+    notes = F.array_join(F.array_compact(F.array(F.lit("skills: no resume, weight renormalized") if not c.skills else F.lit(None), F.when(F.col("_comp.kind") == "unknown", "compensation: unknown, weight renormalized").when(F.col("_comp.kind") == "implausible", implausible))), "; ")
     return df.withColumn("breakdown", F.concat(F.col("composite").cast("string"), F.lit(" = "), parts, F.when(notes != "", F.concat(F.lit(" ["), notes, F.lit("]"))).otherwise(""))).drop("_comp")
 
 

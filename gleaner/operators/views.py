@@ -23,6 +23,37 @@ def _latest(value: Column, among: Column, order: Column) -> Column:
     return F.max_by(F.when(among, F.struct(value.alias("v"))), F.when(among, order))["v"]
 
 
+_EXTRACTED = "struct<title:string,company:string,req_id:string,location:string,remote:boolean,comp:struct<min:bigint,max:bigint,currency:string,period:string,raw:string>>"
+_FORMS = "struct<req:string,url:string,tc:string>"
+_PAYLOAD = f"dedupe_key string, identifiers {_FORMS}, adapter string, source string, url string, raw_text string, extracted {_EXTRACTED}, mark string, note string, method string, composite bigint, breakdown string, gate string, reason string, revision bigint, discovered_at map<string,string>"
+
+
+def typed(log: DataFrame) -> DataFrame:
+    """Rows of the event log with the columns that views read. A payload of the wrong shape, or a snapshot without an adapter,
+    a score without a number or a mark without a word, is an error, never a null."""
+    t, p = F.col("type"), F.col("_p")
+    rows = log.withColumn("_p", F.from_json("payload", _PAYLOAD, {"mode": "FAILFAST"}))
+    snap = t.isin(SNAPSHOTS)
+    lacks = (snap & p["adapter"].isNull()) | ((t == "scored") & p["composite"].isNull()) | ((t == "rejected") & p["gate"].isNull()) | ((t == "reviewed") & p["mark"].isNull())
+    rows = rows.withColumn("_p", F.when(lacks, F.raise_error(F.concat(F.lit("payload of event "), "id", F.lit(" lacks a field"))).cast(rows.schema["_p"].dataType)).otherwise(p))
+    only = lambda when, value: F.when(when, value)
+    fields = F.struct("_p.dedupe_key", "_p.identifiers", "_p.adapter", F.coalesce("_p.source", F.lit("unknown")).alias("source"), "_p.url", "_p.raw_text", "_p.extracted")
+    return rows.select(
+        "ordinal", "seq", "type", "occurred_at", "recorded_at", F.when(F.col("stream").startswith("lead/"), F.expr("substring(stream, 6)")).alias("lead_id"),
+        only(t == "reviewed", p["mark"]).alias("mark"), only(t == "scored", p["composite"]).alias("composite"), only(t == "rejected", p["gate"]).alias("gate"), only(t.isin(OUTCOMES), p["method"]).alias("method"), p["note"].alias("note"),
+        only(t.isin("scored", "rejected"), p["revision"]).alias("revision"), only(snap, fields).alias("snapshot"), only(t == "scored", F.struct("_p.composite", "_p.revision", "_p.breakdown")).alias("score"),
+        only(t == "rejected", F.struct("_p.gate", "_p.reason", "_p.revision")).alias("rejection"),
+        # suppressed re-ingests carry identifiers too
+        only(snap | (t == "reingest_suppressed"), F.array_distinct(F.array_compact(F.array("_p.identifiers.req", "_p.identifiers.url", "_p.identifiers.tc", "_p.dedupe_key")))).alias("forms"),
+        only(t == "discovery", p["discovered_at"]).alias("discovered_at"),
+    )
+
+
+def index_of(events: DataFrame) -> DataFrame:
+    """(form, lead_id) of a typed log."""
+    return lead_index(events.where("forms is not null and lead_id is not null"))
+
+
 def _from_first_snapshot(events: DataFrame) -> DataFrame:
     """Events of leads that have a snapshot, from the first one on."""
     first = events.where(F.col("type").isin(SNAPSHOTS)).groupBy("lead_id").agg(F.min("ordinal").alias("_first"))

@@ -26,7 +26,7 @@ def ashby_board_jobs(spark, d):
     board = """concat('{"jobs":[{"id":"other","title":"no"},{"id":', pos, ',"title":"T', pos, '","workplaceType":"', element_at(array('remote', 'Hybrid', 'OnSite', 'Moon'), cast(pos % 4 + 1 as int)), '","descriptionHtml":"<p>We build.</p>"',
       if(pos % 2 = 0, ',"compensation":{"compensationTierSummary":"$120k - $150k"}', ''), '}]}')"""
     a = postings(spark, d).select("pos", records.ashby(F.expr(board), F.lit("acme"), F.col("pos").cast("string")).alias("api"))
-    return a.select("pos", records.finalize("api").alias("f")).select("pos", "f.title", "f.req_id", "f.remote", F.col("f.comp.min").alias("low"))
+    return records.finalize(a, "api", "f").select("pos", "f.title", "f.req_id", "f.remote", F.col("f.comp.min").alias("low"))
 
 
 _PAID = """concat('{"data":[{"job_title":"T', pos, '","company_object":{"name":"Acme"},"final_url":"https://Ex.com/j/', pos, '/?utm_a=1","remote":', element_at(array('true', 'false', 'null', 'null'), cast(pos % 4 + 1 as int)), ',"hybrid":', if(pos % 4 in (0, 2), 'true', 'null'),

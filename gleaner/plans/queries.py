@@ -334,7 +334,15 @@ def edit_collision(spark, d):
     return triage.collisions(p, index).select(F.col("lead_id").alias("pos"), "owner")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POSTINGS_SQL}, {_IDENTITY}, q AS (SELECT pos, req, url, tc, coalesce(req, url, tc) AS dedupe_key, row_number() OVER (ORDER BY pos) AS step FROM i),
+h(form, lead, step) USING KEY (form) AS (
+  SELECT form, 'lead-' || max(lead), 0::BIGINT FROM (SELECT dedupe_key AS form, pos::VARCHAR AS lead FROM q WHERE pos % 10 = 0) GROUP BY form
+  UNION ALL SELECT 'step', '', 0::BIGINT
+  UNION
+  (WITH n AS (SELECT q.* FROM q JOIN recurring.h s ON s.form = 'step' AND q.step = s.step + 1),
+    l AS (SELECT n.*, coalesce(a.lead, b.lead, c.lead, e.lead, 'new-' || n.pos) AS lead FROM n LEFT JOIN recurring.h a ON a.form = n.req LEFT JOIN recurring.h b ON b.form = n.url LEFT JOIN recurring.h c ON c.form = n.tc AND n.req IS NULL AND n.url IS NULL LEFT JOIN recurring.h e ON e.form = n.dedupe_key)
+   SELECT form, lead, step FROM (SELECT unnest([req, url, tc, 'pos:' || pos]) AS form, lead, step FROM l) WHERE form IS NOT NULL UNION ALL SELECT 'step', '', step FROM l))
+SELECT substr(form, 5)::BIGINT AS pos, lead AS lead_id, lead = 'new-' || substr(form, 5) AS is_new FROM h WHERE starts_with(form, 'pos:')""")
 def batch_resolution(spark, d):
     p = postings(spark, d).select("pos", triage.identity().alias("identity"))
     index = p.where("pos % 10 = 0").select(F.col("identity.dedupe_key").alias("form"), F.concat(F.lit("lead-"), F.col("pos").cast("string")).alias("lead_id")).groupBy("form").agg(F.max("lead_id").alias("lead_id"))

@@ -20,7 +20,7 @@ from ..functions.text import company_from_title, url_host
 
 # Seconds of the pause, of a wait that no one named, and of the longest one; retries.
 PAUSE, USUAL_WAIT, LONGEST_WAIT, RETRIES = 0.3, 2.0, 30.0, 1
-_ANSWER = "url string, status int, final_url string, body string, error string"
+_ANSWER = "url string, status int, final_url string, body string, error string, kind string"
 
 Fetcher = Callable[[str], dict]
 
@@ -56,24 +56,30 @@ def politely(fetcher: Fetcher, url: str, sleep: Callable[[float], None] = time.s
 
 
 def pages(urls: DataFrame, fetcher: Fetcher, pause: float = PAUSE) -> DataFrame:
-    """(url, status, final_url, body, error) of the distinct urls; hosts are spread over tasks, each whole in one."""
+    """(url, status, final_url, body, error, kind) of the distinct urls; hosts are spread over tasks, each whole in one.
+
+    kind tells what went wrong: `transport` or `rate_limited`, after which the host is not to be asked again for the same
+    posting, or `status`, which says nothing about other pages of it.
+    """
 
     def read(batches):
         import pandas as pd
 
         for batch in batches:
             for url in batch["url"]:
-                status = final = body = error = None
+                status = final = body = error = kind = None
                 try:
                     a = politely(fetcher, url, pause=pause)
                     status, final = a["status"], a.get("final_url", url)
                     if 200 <= status < 300:
                         body = a["body"]
                     else:
-                        error = f"status {status}"
+                        error, kind = f"status {status}", "rate_limited" if status in (429, 503) else "status"
+                except RateLimited as e:
+                    error, kind = f"RateLimited: {e}", "rate_limited"
                 except Exception as e:  # one url's failure is that row's
-                    error = f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({"url": [url], "status": pd.array([status], "Int32"), "final_url": [final], "body": [body], "error": [error]})
+                    error, kind = f"{type(e).__name__}: {e}", "transport"
+                yield pd.DataFrame({"url": [url], "status": pd.array([status], "Int32"), "final_url": [final], "body": [body], "error": [error], "kind": [kind]})
 
     todo = urls.select("url").where("url is not null").distinct().withColumn("host", url_host("url")).repartition("host").select("url")
     return todo.mapInPandas(read, _ANSWER)
