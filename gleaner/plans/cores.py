@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction
 from ..operators import commands, discovery, ingest, triage, views
+from ..operators.resolve import _keep
 from ..sources import eventlog
 from .inputs import EVENTS_SQL, POSTINGS_SQL, RECORD_SQL, log, postings, table
 from .queries import _GATES, CONFIG, query
@@ -137,7 +138,7 @@ y AS (SELECT string_agg(source || ':' || n, ',' ORDER BY source) AS rejected_by_
 
 def _summary(spark, d):
     state, index = _prior(spark, d)
-    out = ingest.ingest(_batch(spark, d), state, index, CONFIG)
+    out = _keep(ingest.ingest(_batch(spark, d), state, index, CONFIG))
     return discovery.batch_summary(out, discovery.fetch_facts(_fetches(spark, d)), CONFIG.remote_only, CONFIG.floor)
 
 
@@ -191,7 +192,7 @@ def edit_core(spark, d):
     return out.select("lead_id", F.regexp_replace("error", " on identity .*", "").alias("error"), F.array_join("changed", ",").alias("changed"), F.size("events").cast("long").alias("events"))
 
 
-@query("""SELECT event_id AS seq, 'lead/' || (event_id % 5) AS stream, event_id * 2 AS composite FROM events WHERE event_id <= 200""")
+@query("""SELECT event_id AS seq, 'lead/' || (event_id % 5) AS stream, event_id * 2 AS composite FROM events""")
 def event_log_scan(spark, d):
     """Written by the log's own writer, torn at the end, and read back by byte ranges."""
     import os
@@ -201,7 +202,7 @@ def event_log_scan(spark, d):
     path = os.path.join(base, f"log-{os.urandom(8).hex()}", "log.jsonl")
     eventlog.register(spark)
     k = F.col("event_id")
-    e = table(spark, d, "events").where("event_id <= 200").select(
+    e = table(spark, d, "events").select(
         F.lit(1).alias("envelope_version"), F.concat(F.lit("e"), k.cast("string")).alias("id"), F.concat(F.lit("lead/"), (k % 5).cast("string")).alias("stream"), k.alias("seq"), F.lit("scored").alias("type"), F.lit(1).alias("schema_version"),
         F.col("ts").alias("occurred_at"), F.col("ts").alias("recorded_at"), F.lit(None).cast("string").alias("causation_id"), F.lit("c").alias("correlation_id"), F.to_json(F.struct((k * 2).alias("composite"))).alias("payload"), k.alias("ordinal"),
     )
@@ -209,5 +210,23 @@ def event_log_scan(spark, d):
     e.select(*[c.split()[0] for c in eventlog.SCHEMA.split(", ")]).write.format("eventlog").option("path", path).mode("append").save()
     with open(path, "ab") as f:
         f.write(b'{"torn')
-    rows = spark.read.format("eventlog").option("path", path).option("splitbytes", "4096").load()
+    rows = spark.read.format("eventlog").option("path", path).option("splitbytes", str(1 << 20)).load()
     return rows.select("seq", "stream", F.get_json_object("payload", "$.composite").cast("long").alias("composite"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'greenhouse' WHEN 3 THEN NULL ELSE 'drop-in' END AS adapter, CASE page_id % 4 WHEN 0 THEN 'T' || page_id WHEN 1 THEN 'From LD at Beta' WHEN 2 THEN replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') END AS title,
+CASE page_id % 4 WHEN 0 THEN 'Acme Corp' WHEN 1 THEN 'Beta' END AS company, CASE page_id % 4 WHEN 0 THEN page_id::VARCHAR WHEN 1 THEN 'LD-7' END AS req_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN true END AS remote,
+CASE page_id % 4 WHEN 0 THEN 160000 WHEN 1 THEN NULL END::BIGINT AS comp_max, CASE WHEN page_id % 4 = 3 THEN 'RateLimited: wait' END AS error FROM pages""")
+def ingest_by_url(spark, d):
+    """What was fetched, as columns: an API's answer, JSON-LD behind an answer of another shape, a plain page, a refusal."""
+    k, page = F.col("page_id"), F.col("page_id").cast("string")
+    board = F.concat(F.lit("https://job-boards.greenhouse.io/acme-corp/jobs/"), page)
+    answer = F.concat(F.lit('{"title":"T'), page, F.lit('","id":'), page, F.lit(',"content":"<p>Remote, $140k - $160k a year</p>"}'))
+    ld = F.lit('<script type="application/ld+json">{"@type":"JobPosting","title":"From LD at Beta","description":"<p>remote, pays $150,000. Req ID: LD-7</p>"}</script>')
+    kind = k % 4
+    got = table(spark, d, "pages").select(
+        "page_id", F.when(kind < 2, board).otherwise(F.col("url")).alias("url"), F.lit(None).cast("string").alias("final_url"), F.when(kind == 0, answer).when(kind == 1, '{"shape":"changed"}').alias("api_body"),
+        F.when(kind == 1, ld).when(kind == 2, F.col("html")).alias("html"), F.when(kind == 3, "RateLimited: wait").alias("fetch_error"),
+    )
+    p = F.col("posting")
+    return ingest.extract(got).select("page_id", p["adapter"].alias("adapter"), p["title"].alias("title"), p["company"].alias("company"), p["req_id"].alias("req_id"), p["remote"].alias("remote"), p["comp"]["max"].alias("comp_max"), "error")
