@@ -79,10 +79,25 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, m.c = d.do
 """
 
 
+_WARC_SQL = r"""
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages), f AS (SELECT x, min(page_id) AS first FROM d GROUP BY x),
+g AS (SELECT page_id, n, first, list_transform(range(0, 8), lambda i: ('0x' || substr(x, 5 * i + 1, 5))::BIGINT) AS v FROM d JOIN f USING (x))
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(v, lambda b: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((b >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM g
+"""
+
+_COVER_SQL = r"""
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE label IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT p.a, r.c FROM r JOIN p ON p.b = r.id), m AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, m.c = vec_id AS kept FROM embeddings JOIN m ON m.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_bpe_lexicon, op2_language_mixture, op3_warc_segments, op4_projection_forest, op5_cover_tree, op6_super_kmers, op7_url_rules, op8_setsketch, op9_cutting_stock, op10_log_bilinear)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_super_kmers": _SUBSTRING_SQL, "op8_setsketch": _NEAR_SQL}
+    return {"op3_warc_segments": _WARC_SQL, "op5_cover_tree": _COVER_SQL, "op6_super_kmers": _SUBSTRING_SQL, "op8_setsketch": _NEAR_SQL}
