@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import io
 import re
 import tempfile
 import uuid
@@ -22,11 +21,12 @@ _folders: dict[str, str] = {}
 def ship(spark: SparkSession) -> None:
     """Make this package importable in every Python worker, once for each application.
 
-    Also keeps batches for Python small, in rows and in bytes: a batch is held twice by the executor and once by the
-    worker, and texts may have any length. A value that the session sets itself stays.
+    Also keeps batches for Python small, in rows and in bytes, and those that are read in rows: a batch is held twice by
+    the executor and once by the worker, and texts may have any length. A value that the session sets itself stays.
     """
     sc = spark.sparkContext
-    for name, usual, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")):
+    small = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"), ("spark.sql.parquet.columnarReaderBatchSize", "4096", "1024"))
+    for name, usual, own in small:
         if spark.conf.get(name, usual) in (usual, usual.rstrip("b")):
             spark.conf.set(name, own)
     if sc.applicationId in _shipped:
@@ -63,11 +63,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{_folders[sc.applicationId]}/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends at files that outlive executors."""
+def settle(df: DataFrame, rows: int | None = None, each: int = 200_000) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends at files that outlive executors.
+
+    rows: a bound of df's rows where one is known; then there are no more files (and tasks that write them) than
+    `each` rows a file take, as a file costs calls to its store whatever it holds.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // each)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -244,12 +248,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Loops (a = b) and repeated or reversed edges are harmless; no edges give no rows.
     """
     both = settle(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    n = both.count()  # no fewer than there are ids
+    labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), n)
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         up = labels.select(F.col("id").alias("to"), F.col("component").alias("above"))
-        new = settle(step.join(up, "to", "left").select("id", F.least("to", "above").alias("component"), "was"))
+        new = settle(step.join(up, "to", "left").select("id", F.least("to", "above").alias("component"), "was"), n)
         labels = new.select("id", "component")
         if not new.where("component <> was").limit(1).count():
             return labels
@@ -291,23 +296,19 @@ def once(kind: str, of, make):
 # -- memory-mapped blobs ------------------------------------------------------------------
 
 
-def mapped(blob: bytes):
-    """blob as a memory map of an unlinked file: its pages are the system's to drop and nothing stays behind."""
-    import mmap
-
-    f = tempfile.TemporaryFile()
-    f.write(blob)
-    f.flush()
-    return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-
+def share(spark: SparkSession, blob: bytes) -> str:
+    """The name of a file with blob that Spark gives to each executor, also to those that come later."""
+    path = Path(tempfile.mkdtemp()) / f"{uuid.uuid4().hex}.bin"
+    path.write_bytes(blob)
+    spark.sparkContext.addFile(str(path))
+    return path.name
 
-def pack_arrays(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
 
+def shared_map(name: str):
+    """That file as a memory map, whose pages all workers of an executor share."""
+    import mmap
 
-def unpack_arrays(blob: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(blob)) as z:
-        return {k: z[k] for k in z.files}
+    from pyspark import SparkFiles
 
+    with open(SparkFiles.get(name), "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)

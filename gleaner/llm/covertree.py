@@ -206,7 +206,8 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec
             yield pa.record_batch([pa.array([cell]), pa.array([held[0][0]]), pa.array([held[0][1]], pa.int32()), pa.array([c.tolist()]), pa.array([float(np.sqrt(((x - c) ** 2).sum(1)).max())])], names=["cell", "label", "dims", "c", "r"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    balls = settle(celled.select("cell", "label", "dims", "u").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(ball, "cell string, label string, dims int, c array<double>, r double"))
+    cells = celled.select("cell").distinct().count()
+    balls = settle(celled.select("cell", "label", "dims", "u").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(ball, "cell string, label string, dims int, c array<double>, r double"), cells, 200)
     bound = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
     a, b = (balls.select("label", "dims", *(F.col(c).alias(f"{c}{s}") for c in ("cell", "c", "r"))) for s in ("1", "2"))
     apart = F.sqrt(F.aggregate(F.zip_with("c1", "c2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))

@@ -173,7 +173,7 @@ def _sets(docs: DataFrame, needed: DataFrame, key: str, text: str, size: int) ->
 
 def _needed(reps: DataFrame, classes: DataFrame) -> DataFrame:
     """(rep, doc, digest) of these classes, settled."""
-    return settle(reps.distinct().join(classes.select("rep", "doc", "digest"), "rep"))
+    return settle(reps.distinct().join(classes.select("rep", "doc", "digest"), "rep"), classes.count())
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -284,19 +284,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rows = settle(sketch(docs, key, text, size))
     # doc, the smallest id of a class, may be that of other classes too: rep is a number of its own
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-    classes = settle(classes.select(F.monotonically_increasing_id().alias("rep"), "doc", "sketch", "n", "digest"))
+    classes = settle(classes.select(F.monotonically_increasing_id().alias("rep"), "doc", "sketch", "n", "digest"), rows.count(), 50_000)
+    m = classes.count()
     leaders = [F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep"))]
     bands = _bands(classes)
     buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.array_distinct(F.array(*leaders)).alias("leaders")).where("n > 1").select("band", "leaders")
-    members = settle(bands.join(buckets, "band"))
+    members = settle(bands.join(buckets, "band"), BANDS * m, 500_000)
     pairs = members.select("rep", F.explode("leaders").alias("leader")).where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    links = settle(_verified(settle(_likely(pairs, classes, threshold)), classes, docs, key, text, size, percent))
+    likely = settle(_likely(pairs, classes, threshold), len(leaders) * members.count(), 500_000)
+    links = settle(_verified(likely, classes, docs, key, text, size, percent), likely.count(), 10_000)
     labels = components(links)
 
     # the sweep: buckets that hold several components still
-    now = settle(members.select("band", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    now = settle(members.select("band", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), members.count(), 500_000)
     mixed = now.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("band", "size")
-    mixed = settle(now.join(mixed, "band").join(classes.select("rep", "n"), "rep"))
+    mixed = settle(now.join(mixed, "band").join(classes.select("rep", "n"), "rep"), now.count(), 500_000)
     blocks = mixed.groupBy("band").agg(F.greatest(F.ceil(F.max("size") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     more = settle(_sweep(mixed.select("band", "rep", "component").join(blocks, "band"), classes, docs, key, text, size, percent))
     if more.limit(1).count():
