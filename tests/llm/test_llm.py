@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from conftest import SF, same
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -214,6 +215,7 @@ def test_op4_few_vectors(spark, n):
 def test_op5(spark, monkeypatch):
     monkeypatch.setattr(covertree, "CELL", 40)
     monkeypatch.setattr(covertree, "LEAF", 4)
+    monkeypatch.setattr(covertree, "SPREAD", 1)
     rows = vectors()
     got = table(covertree.components_of(spark.createDataFrame(rows, VECTORS)), "vec_id")
     unit = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
@@ -299,6 +301,23 @@ def test_op5_dense_group(spark):
     assert (count[:600] == 599).all() and (count[600:] == 39).all() and len(forest) == 599 + 39
 
 
+def test_null_ids(spark):
+    """Rows without an id, with different texts and a repeated one, are rows like others."""
+    texts = ["one two three", "four five", "four five", None, ""]
+    df = spark.createDataFrame([(None, x) for x in texts] + [(7, "one two")], "doc_id long, text string")
+    t = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted([hashlib.sha256(np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for x in texts])
+    assert sorted(r.ids_sha256 for r in bpe.encode_digests(df, path).collect() if r.doc_id is None) == want
+    packed = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sum(r.doc_id is None for r in packed) == 5 and len({(r.sequence_id, r.offset) for r in packed}) == 6
+    fold = language.fold()
+    scored = lm.score(df, df.where(fold != 1), fold == 1, classes=8, frequent=4).collect()
+    assert len(scored) == 6 and all(r.held_out is None for r in scored if r.doc_id is None)
+    vectors_ = spark.createDataFrame([(None, [1.0, 0.0]), (0, [1.0, 0.1]), (100, [0.0, 1.0]), (100, [0.5, 1.0])], "vec_id long, embedding array<double>")
+    got = forest.search(vectors_).collect()
+    assert {(r.query_id, r.vec_id) for r in got} <= {(0, 100), (100, 0)} and got
+
+
 LONG_WORDS = 9_000_000
 
 
@@ -315,6 +334,10 @@ def test_long_text(spark):
     got = table(substring.dedup_digests(df), "doc_id")
     assert (got[1].n_words, got[1].n_removed, got[2].n_removed, got[2].kept_sha256) == (n, 0, own, hashlib.sha256(b"and its own end").hexdigest())
     assert got[1].kept_sha256 == hashlib.sha256(x.encode()).hexdigest()
+    w = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
+    assert table(bpe.encode_digests(df, path), "doc_id")[1].ids_sha256 == hashlib.sha256(np.array(w.encode(x, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+    scored = table(lm.score(df, df, F.lit(False), classes=16, frequent=50), "doc_id")
+    assert (scored[1].n_tokens, scored[1].n_known, scored[2].n_tokens) == (n + 1, n + 1, own + 5) and np.isfinite(scored[1].score)
     held = df
     for _, stage in corpus_pipeline.STAGES:
         held = common.settle(stage(spark, held, SF))
