@@ -92,9 +92,12 @@ def _api(title, company, req, location, remote_, body) -> Column:
 
 
 def greenhouse(json, board) -> Column:
-    v = F.try_parse_json(col(json))
-    title = str_at(v, "$.title")
-    return F.when(title.isNotNull(), _api(title, prettify_slug(board), id_at(v, "$.id"), str_at(v, "$.location.name"), F.lit(None), str_at(v, "$.content")))
+
+    def made(v):
+        title = str_at(v, "$.title")
+        return F.when(title.isNotNull(), _api(title, prettify_slug(board), id_at(v, "$.id"), str_at(v, "$.location.name"), F.lit(None), str_at(v, "$.content")))
+
+    return let(F.try_parse_json(col(json)), made)
 
 
 def ashby(json, board, job_id) -> Column:

@@ -101,3 +101,44 @@ def cheat_sheet(spark, d):
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 101 <= 50 THEN 255 ELSE floor((100 - s_suppkey % 101) * 255 / 50.0)::INT END AS r, CASE WHEN s_suppkey % 101 >= 50 THEN 255 ELSE floor((s_suppkey % 101) * 255 / 50.0)::INT END AS g FROM supplier")
 def score_colour(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", commands.score_rgb(F.col("s_suppkey") % 101).alias("c")).select("s_suppkey", "c.r", "c.g")
+
+
+@query(f"""WITH {POSTINGS_SQL} SELECT pos, CASE WHEN k % 9 <> 0 THEN 'T' || k END AS title, CASE WHEN k % 9 <> 0 THEN 'Acme Corp' END AS company, CASE WHEN k % 9 <> 0 THEN k::VARCHAR END AS req_id,
+CASE WHEN k % 9 <> 0 THEN CASE WHEN k % 2 = 0 THEN 'intro' || chr(10) || 'one' || chr(10) || 'two & three' || CASE WHEN k % 3 = 0 THEN chr(10) || 'more' ELSE '' END ELSE '<p>intro</p><li>one</li><li>two &amp; three</li>' || CASE WHEN k % 5 = 0 THEN 'tail' ELSE '' END END END AS body FROM p""")
+def lever_board_jobs(spark, d):
+    j = """concat('{"id":"', pos, '",', if(pos % 9 = 0, '', concat('"text":"T', pos, '",')), if(pos % 2 = 0, concat('"descriptionPlain":"intro",', if(pos % 3 = 0, '"additionalPlain":"more",', '')), concat('"description":"<p>intro</p>",', if(pos % 5 = 0, '"additional":"tail",', ''))),
+      '"lists":[{"content":"<li>one</li>"},{},{"content":"<li>two &amp; three</li>"}],"categories":{"location":"Oslo"}}')"""
+    return postings(spark, d).select("pos", records.lever(F.expr(j), F.lit("acme-corp")).alias("a")).select("pos", "a.title", "a.company", "a.req_id", "a.body")
+
+
+@query(f"""WITH {POSTINGS_SQL} SELECT pos, CASE WHEN k % 7 <> 0 THEN 'T' || k END AS title, CASE WHEN k % 7 <> 0 THEN (['Big Co', 'Named', 'Other Name'])[k % 3 + 1] END AS company, CASE WHEN k % 7 <> 0 THEN 'JR' || k END AS req_id, CASE WHEN k % 7 <> 0 THEN '<p>x</p>' END AS body FROM p""")
+def workday_board_jobs(spark, d):
+    j = """concat('{"', if(pos % 7 = 0, 'x', 'jobPostingInfo'), '":{"title":"T', pos, '","jobReqId":"JR', pos, '",', element_at(array('', '"company":"Named",', '"company":5,"companyName":"Other Name",'), cast(pos % 3 + 1 as int)), '"jobDescription":"<p>x</p>"}}')"""
+    return postings(spark, d).select("pos", records.workday(F.expr(j), F.lit("big-co")).alias("a")).select("pos", "a.title", "a.company", "a.req_id", "a.body")
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_suppkey ELSE 0 END::BIGINT AS unreturned FROM supplier")
+def refused_credits(spark, d):
+    k = F.col("s_suppkey")
+    body = F.when(k % 3 == 0, F.concat(F.lit('{"error":{"description":"Not enough. Required: '), k.cast("string"), F.lit(' API credits"}}'))).when(k % 3 == 1, '{"error":{}}').otherwise("no json")
+    return table(spark, d, "supplier").select("s_suppkey", records.unreturned(body).alias("unreturned"))
+
+
+@query("SELECT s_suppkey, 'a' || s_name || 'b c' AS clean FROM supplier")
+def sanitized(spark, d):
+    from ..functions.text import sanitize
+
+    return table(spark, d, "supplier").select("s_suppkey", sanitize(F.concat(F.lit("a\x1b\x07"), "s_name", F.lit("\x85b\n c\x7f"))).alias("clean"))
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT ordinal, '{{"ordinal_":' || ordinal || ',"lead_id":' || lead_id || ',"type":"' || type || '"' || CASE WHEN composite IS NOT NULL THEN ',"composite":' || composite ELSE '' END || '}}' AS value FROM v WHERE type = 'scored' OR lead_id % 10 = 3""")
+def event_dump(spark, d):
+    e = events(spark, d).select("ordinal", F.col("ordinal").alias("ordinal_"), "lead_id", "type", "composite")
+    lines = commands.dump(e, kind="scored").union(commands.dump(e.where("lead_id % 10 = 3 and type <> 'scored'")))
+    return lines.select(F.get_json_object("value", "$.ordinal_").cast("long").alias("ordinal"), "value")
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT pos, 'New' AS title, company, NULL::VARCHAR AS location, CASE WHEN cmin IS NOT NULL OR cmax IS NOT NULL THEN cmin END::BIGINT AS low, 5::BIGINT AS high, NULL::BOOLEAN AS remote FROM p")
+def patched_fields(spark, d):
+    p = commands.patched(_extracted(spark, d), {"title": "New", "comp": {"max": 5}, "remote": None}, {"location"})
+    return p.select("pos", "title", "company", "location", F.col("comp.min").alias("low"), F.col("comp.max").alias("high"), "remote")

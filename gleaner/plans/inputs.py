@@ -72,7 +72,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(k % 3 = 0, null, concat('R-', cast(k % 700 as string))) as req_id", "element_at(array(null, 'Remote, US', 'Berlin', 'Austin'), cast(k % 4 + 1 as int)) as location",
         "if(k % 7 = 0, null, concat('https://Jobs.example.com/p/', cast(k % 900 as string), '/?utm_source=x&b=', cast(k % 2 as string), '&a=1#top')) as url",
         """concat('We build things. ', case k % 6 when 0 then concat('pays $', cast(100 + k % 50 as string), ',000 - $', cast(130 + k % 50 as string), ',000 a year') when 1 then '$120k\u00a0-\u00a0$150k'
-           when 2 then '$60 - $80 per hour' when 3 then '$130,000 base' when 4 then '' else '$5 - $7' end, '. ', case cast(floor(k / 6) as bigint) % 3 when 0 then '5+\u00a0years of\u00a0experience' when 1 then '3 years in business and 8 years experience' else '' end,
+           when 2 then '$60 - $80 per hour' when 3 then '$130,000 base' when 4 then if(k % 12 = 4, 'from $150,000 - $110,000 a year', '') else '$5 - $7' end, '. ', case cast(floor(k / 6) as bigint) % 3 when 0 then '5+\u00a0years of\u00a0experience' when 1 then '3 years in business and 8 years experience' else '' end,
            '. ', case cast(floor(k / 2) as bigint) % 4 when 0 then 'This role is fully remote.' when 1 then 'This role is not remote.' when 2 then 'Hybrid schedule.' else 'Not\u00a0hybrid; remote.' end, ' Requisition\u00a0ID:\u00a0', if(k % 4 = 0, 'none', concat('REQ-', cast(k as string))), '. python and Java')  as raw_text""",
     )
 
@@ -81,14 +81,14 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 POSTINGS_SQL = """p AS (SELECT k AS pos, 'feed' || (k % 3) AS source, trim((['Staff', 'Senior', 'Junior', '', 'Principal'])[k % 5 + 1] || ' ' || p_name) AS title, s_name AS company,
     CASE WHEN k % 3 <> 0 THEN 'R-' || (k % 700) END AS req_id, ([NULL, 'Remote, US', 'Berlin', 'Austin'])[k % 4 + 1] AS location,
     CASE WHEN k % 7 <> 0 THEN 'https://jobs.example.com/p/' || (k % 900) || '?a=1&b=' || (k % 2) END AS url,
-    CASE k % 6 WHEN 0 THEN (100 + k % 50) * 1000 WHEN 1 THEN 120000 WHEN 2 THEN 60 * 2080 WHEN 3 THEN 130000 END AS cmin,
-    CASE k % 6 WHEN 0 THEN (130 + k % 50) * 1000 WHEN 1 THEN 150000 WHEN 2 THEN 80 * 2080 END AS cmax,
-    CASE WHEN k % 6 = 2 THEN 'hour' WHEN k % 6 < 4 THEN 'year' END AS period,
+    CASE k % 6 WHEN 0 THEN (100 + k % 50) * 1000 WHEN 1 THEN 120000 WHEN 2 THEN 60 * 2080 WHEN 3 THEN 130000 WHEN 4 THEN CASE WHEN k % 12 = 4 THEN 150000 END END AS cmin,
+    CASE k % 6 WHEN 0 THEN (130 + k % 50) * 1000 WHEN 1 THEN 150000 WHEN 2 THEN 80 * 2080 WHEN 4 THEN CASE WHEN k % 12 = 4 THEN 110000 END END AS cmax,
+    CASE WHEN k % 6 = 2 THEN 'hour' WHEN k % 6 < 4 OR k % 12 = 4 THEN 'year' END AS period,
     CASE (k // 6) % 3 WHEN 0 THEN 5 WHEN 1 THEN 8 END AS years,
     CASE (k // 2) % 4 WHEN 0 THEN true WHEN 1 THEN CASE WHEN k % 4 = 1 THEN true END WHEN 2 THEN false ELSE true END AS remote,
     CASE WHEN k % 4 <> 0 THEN 'REQ-' || k END AS found_req, k,
-    CASE k % 6 WHEN 0 THEN '$' || (100 + k % 50) || ',000 - $' || (130 + k % 50) || ',000' WHEN 1 THEN '$120k\u00a0-\u00a0$150k' WHEN 2 THEN '$60 - $80' WHEN 3 THEN '$130,000' END AS comp_raw,
-    'We build things. ' || CASE k % 6 WHEN 0 THEN 'pays $' || (100 + k % 50) || ',000 - $' || (130 + k % 50) || ',000 a year' WHEN 1 THEN '$120k\u00a0-\u00a0$150k' WHEN 2 THEN '$60 - $80 per hour' WHEN 3 THEN '$130,000 base' WHEN 4 THEN '' ELSE '$5 - $7' END ||
+    CASE k % 6 WHEN 0 THEN '$' || (100 + k % 50) || ',000 - $' || (130 + k % 50) || ',000' WHEN 1 THEN '$120k\u00a0-\u00a0$150k' WHEN 2 THEN '$60 - $80' WHEN 3 THEN '$130,000' WHEN 4 THEN CASE WHEN k % 12 = 4 THEN '$150,000 - $110,000' END END AS comp_raw,
+    'We build things. ' || CASE k % 6 WHEN 0 THEN 'pays $' || (100 + k % 50) || ',000 - $' || (130 + k % 50) || ',000 a year' WHEN 1 THEN '$120k\u00a0-\u00a0$150k' WHEN 2 THEN '$60 - $80 per hour' WHEN 3 THEN '$130,000 base' WHEN 4 THEN CASE WHEN k % 12 = 4 THEN 'from $150,000 - $110,000 a year' ELSE '' END ELSE '$5 - $7' END ||
       '. ' || CASE (k // 6) % 3 WHEN 0 THEN '5+\u00a0years of\u00a0experience' WHEN 1 THEN '3 years in business and 8 years experience' ELSE '' END || '. ' ||
       CASE (k // 2) % 4 WHEN 0 THEN 'This role is fully remote.' WHEN 1 THEN 'This role is not remote.' WHEN 2 THEN 'Hybrid schedule.' ELSE 'Not\u00a0hybrid; remote.' END || ' Requisition\u00a0ID:\u00a0' || CASE WHEN k % 4 = 0 THEN 'none' ELSE 'REQ-' || k END || '. python and Java' AS raw_text
   FROM (SELECT p_partkey AS k, p_name, p_partkey % (SELECT count(*) FROM supplier) AS sk FROM part) JOIN supplier ON s_suppkey = sk)"""

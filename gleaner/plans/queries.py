@@ -247,7 +247,7 @@ def req_id_extract(spark, d):
 
 
 _LEVEL = "(CASE k % 5 WHEN 0 THEN 100 WHEN 1 THEN 70 WHEN 2 THEN 10 WHEN 4 THEN 100 ELSE CASE years WHEN 5 THEN 33 WHEN 8 THEN 53 ELSE 50 END END)"
-_QUOTED = "coalesce(cmax, cmin)"
+_QUOTED = "(CASE WHEN cmin > cmax THEN cmin ELSE coalesce(cmax, cmin) END)"
 _COMP = f"(CASE WHEN {_QUOTED} IS NULL OR {_QUOTED} > 173250 THEN NULL ELSE round(least(greatest(({_QUOTED} - 135000) / 30000.0 * 100, 0), 100))::BIGINT END)"
 _REMOTE = "(CASE WHEN remote THEN 100 WHEN remote IS NULL THEN 50 ELSE 0 END)"
 
@@ -277,7 +277,7 @@ def gate_counts(spark, d):
     return _extracted(spark, d).select(F.explode(triage.gate_failures(CONFIG)).alias("f")).groupBy(F.col("f.gate").alias("gate")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {POSTINGS_SQL} SELECT pos, 'quoted max $' || {_QUOTED} || ' below floor $135000' AS reason FROM p WHERE {_QUOTED} < 135000")
+@query(f"WITH {POSTINGS_SQL} SELECT pos, 'quoted max $' || ({_QUOTED}) || ' below floor $135000' AS reason FROM p WHERE {_QUOTED} < 135000")
 def gate_comp_floor(spark, d):
     f = _extracted(spark, d).select("pos", F.explode(triage.gate_failures(CONFIG)).alias("f"))
     return f.where("f.gate = 'compensation_floor'").select("pos", F.col("f.reason").alias("reason"))
