@@ -626,6 +626,19 @@ def test_pipeline_language_with_clashing_columns(spark):
     assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
 
 
+def test_stages_with_clashing_columns(spark):
+    """Columns with the names that stages and operators use themselves stay as they are; the last stage has its own."""
+    clash = ["score", "lang_pred", "mixture", "_doc_", "_hash_", "_ranges_", "_text_", "doc", "text_hash", "ranges", "may", "first", "n", "digest", "component", "_1_", "a b", "length", "start"]
+    rows = [(i, x, None if i % 4 == 0 else "xx", *(f"{c}{i}" for c in clash)) for i, x in enumerate([BASE, BASE, LONG, text(200) + " " + LONG, "..."])]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", *clash])
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        df = common.settle(stage(spark, df, SF))
+        assert df.columns == ["doc_id", "text", "lang", *clash]
+    got = {r[0]: r for r in df.collect()}
+    assert set(got) == {0, 2, 3} and all(tuple(r)[2:] == rows[i][2:] for i, r in got.items()) and len(got[3].text.split()) == 200
+    assert corpus_pipeline.packing_plan(spark, df, SF).count() >= 3
+
+
 def test_pipeline(spark, docs, empty):
     held = docs
     kept = []
