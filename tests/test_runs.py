@@ -157,3 +157,24 @@ def test_stream_of_the_book(spark, tmp_path):
     for k, w in want.items():
         g = last[k]
         assert (g.latest_mark, g.deferral_count, g.apply_queued, g.latest_score, g.latest_rejection, g.latest_outcome, g.first_seen, g.last_event, g.event_count) == (w.latest_mark, w.deferral_count, w.apply_queued, w.latest_score, w.latest_rejection, w.latest_outcome and w.latest_outcome.type, w.first_seen, w.last_event, w.event_count)
+
+
+def test_paid_feed_pushes_its_bound(spark, tmp_path):
+    from gleaner.sources import feeds
+
+    asked = str(tmp_path / "asked")
+    data = [record(i) for i in range(1, 9)]
+
+    def post(query):
+        with open(asked, "a") as f:
+            f.write(json.dumps(query) + "\n")
+        found = [r for r in data if r["discovered_at"] >= query.get("discovered_at_gte", "")]
+        return {"data": found[query["offset"] : query["offset"] + query["limit"]]}
+
+    feeds.register(spark, post)
+    feed = spark.read.format("paidfeed").option("query", '{"q":1}').load()
+    assert feed.where("discovered_at >= '2024-01-05T00:00:00+01:00'").count() == 4
+    assert feed.where("discovered_at > '2024-01-05T00:00:00+01:00' and position >= 1").count() == 3
+    assert spark.read.format("paidfeed").option("budget", "3").load().count() == 3
+    queries = [json.loads(x) for x in open(asked)]
+    assert queries[0] == {"q": 1, "discovered_at_gte": "2024-01-05T00:00:00+01:00", "offset": 0, "limit": 500} and queries[-1]["limit"] == 3 and all("discovered_at_gte" in q for q in queries[:2])
