@@ -154,7 +154,8 @@ def _send(share: list[tuple], width: int, seed_words: int, buckets: int):
     text, start, place = windows_in(np.array([len(d[3]) for d in kept]), width)
     docs, text_hashes, bases = (np.array([d[i] for d in kept], np.int64)[text] for i in range(3))
     repeat = repeats(runs(h, width)[place], text, start, place, words, width)
-    rows = [(kept[t][1] % buckets, None, *kept[t][:2], kept[t][2] + a, kept[t][2] + b) for t, a, b in _ranges(repeat, text, start)]  # found already; any bucket hands them on
+    # found already: any bucket hands them on, so copies of one text are dealt by their ids and places too
+    rows = [(hash((*kept[t][:2], a)) % buckets, None, *kept[t][:2], kept[t][2] + a, kept[t][2] + b) for t, a, b in _ranges(repeat, text, start)]
     rows += _parcels(words, h, text, bases + start, place, ~repeat, docs, text_hashes, width, _seeds(width, seed_words)[0], buckets)
     for i in range(0, len(rows), 2000):
         yield _batch(rows[i : i + 2000])
