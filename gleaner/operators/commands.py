@@ -153,6 +153,7 @@ def list_line(rank: Column, lead_id: Column, title: Column, company: Column, com
 
 def card(status: Column) -> Column:
     """A record (row of views.lead_record) as a card in Markdown: heading, score or rejection, a table, the url."""
+    # The card's labels.
     f, clean = (lambda n: F.col(n)), sanitize
     line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     row = lambda name, v: F.when(v.isNotNull(), line(f"| {name} | ", v, " |\n"))

@@ -52,6 +52,7 @@ def company_matches(company: Column, entry: Column) -> Column:
 
 def gate_failures(c: Config) -> Column:
     """array<struct<gate, reason>>: all failures, in fixed order; empty if the posting passes."""
+    # Names of gates and the wording of their reasons.
     out, location, remote = [], F.col("location"), F.col("remote")
     if c.remote_only:
         out.append(_failure(remote.eqNullSafe(False), "remote_only", F.concat(F.lit("confident non-remote signals (location: "), F.coalesce(location, F.lit("none")), F.lit(")"))))
@@ -120,6 +121,7 @@ def with_score(df: DataFrame, c: Config) -> DataFrame:
     d = F.col("dimensions")
     total = F.aggregate(d, F.lit(0.0), lambda a, x: a + x["weight"])
     df = df.withColumn("composite", F.when(total > 0, F.round(F.aggregate(d, F.lit(0.0), lambda a, x: a + x["weight"] * x["score"]) / total)).otherwise(0).cast("long"))
+    # The wording of a breakdown and its notes.
     parts = F.array_join(F.transform(d, lambda x: F.concat(weight_text(F.when(total > 0, x["weight"] / total).otherwise(0.0)), F.lit("·"), x["name"], F.lit("("), x["score"].cast("string"), F.lit(")"))), " + ")
     implausible = F.concat(F.lit("compensation: implausible ("), F.col("_comp.value").cast("string"), F.lit(f" exceeds cap {c.cap}), weight renormalized"))
     notes = F.array_join(F.array_compact(F.array(F.lit("skills: no resume, weight renormalized") if not c.skills else F.lit(None), F.when(F.col("_comp.kind") == "unknown", "compensation: unknown, weight renormalized").when(F.col("_comp.kind") == "implausible", implausible))), "; ")
