@@ -63,6 +63,17 @@ def test_most_frequent_is_exact(spark, counts, size):
     assert [r.n for r in got] == want and len({bytes(r.word) for r in got}) == len(want)
 
 
+def test_looked_up(spark):
+    """Hot keys, others, keys that aren't there and null: each row gets its value, and stays as often as it stands."""
+    keys = ["hot"] * 300 + [f"k{i % 40}" for i in range(200)] + ["unknown"] * 5 + [None] * 90
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, i int")
+    known = common.settle(spark.createDataFrame([("hot", 7, 300)] + [(f"k{i}", i, 5) for i in range(40)], "key string, value int, n int"), 41)
+    want = {i: None if k in (None, "unknown") else 7 if k == "hot" else int(k[1:]) for i, k in enumerate(keys)}
+    for share in (1, 2, 1000):
+        got = common.looked_up(rows, "key", known, "value", "n", share).collect()
+        assert len(got) == len(keys) and {r.i: r.value for r in got} == want
+
+
 def test_op1_characters_that_tables_do_not_agree_on(spark):
     """Each assigned block's edges and every unassigned character, by the library."""
     t = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
