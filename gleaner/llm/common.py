@@ -210,6 +210,20 @@ def most_frequent(counts: DataFrame, size: int, least: int = 1) -> list:
     return sorted(best, key=lambda r: (-r["n"], r["word"]))
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, size: str, share: int = 1000) -> DataFrame:
+    """rows with `value` of a settled table with one row for each key; null for other keys. size: about how many rows ask for it.
+
+    Keys that one in `share` of all rows ask for, so `share` at most, are looked up in a broadcast, and all others joined.
+    What is found by then, and rows without a key, are dealt by numbers of their own: no task gets a key's rows.
+    """
+    total = table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.col(size) * share >= total
+    known = rows.join(F.broadcast(table.where(hot).select(key, F.col(value).alias("_hot"))), key, "left")
+    dealt = known.withColumn("_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1))
+    rest = table.where(~hot).select(key, F.lit(0).cast("long").alias("_salt"), F.col(value).alias("_rest"))
+    return dealt.join(rest, [key, "_salt"], "left").withColumn(value, F.coalesce("_hot", "_rest")).drop("_hot", "_rest", "_salt")
+
+
 # -- which ids are asked for: a bitmap of fixed size that only prunes ------------------------
 
 BITS = 1 << 24

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, asked, bitmap, components, doc_key, groups, lower_words_of, odd_numbers, places, runs, settle, ship, trim
+from .common import Hashes, asked, bitmap, components, doc_key, groups, looked_up, lower_words_of, odd_numbers, places, runs, settle, ship, trim
 
 #: SetSketch parameters: base, rate, largest register value; bands and registers in each.
 BASE, RATE, LIMIT = 1.02, 20.0, 2**14 - 2
@@ -283,8 +283,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     threshold = percent / 100
     rows = settle(sketch(docs, key, text, size))
     # doc, the smallest id of a class, may be that of other classes too: rep is a number of its own
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-    classes = settle(classes.select(F.monotonically_increasing_id().alias("rep"), "doc", "sketch", "n", "digest"), rows.count(), 50_000)
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = settle(classes.select(F.monotonically_increasing_id().alias("rep"), "doc", "sketch", "n", "digest", "copies"), rows.count(), 50_000)
     m = classes.count()
     leaders = [F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep"))]
     bands = _bands(classes)
@@ -305,10 +305,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         labels = components(links.union(more))
 
     # a component is named by the smallest id of its classes
-    labelled = classes.select("digest", "rep", "doc").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    lowest = labelled.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
-    of_class = labelled.join(lowest, "component", "left").select("digest", F.coalesce("least", "doc").alias("component"))
-    return rows.join(of_class, "digest", "left").select("doc", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
+    labelled = classes.select("digest", "rep", "doc", "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    lowest = settle(labelled.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("size")), m)
+    named = looked_up(labelled, "component", lowest, "least", "size")
+    of_class = settle(named.select("digest", F.coalesce("least", "doc").alias("component"), "copies"), m)
+    return looked_up(rows, "digest", of_class, "component", "copies").select("doc", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
