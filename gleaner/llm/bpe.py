@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a minimal acyclic transducer lexicon.
 
 Frequent pre-tokens are compiled, with the ids of their merges, into a minimal acyclic (subsequential)
-transducer that shares prefixes and suffixes; its flat form is memory-mapped by every Python worker.
+transducer that shares prefixes and suffixes; its flat form is a file that Spark brings to each executor once, and
+all Python workers there map the same one. The new words of a batch are walked through it together.
 Words that it doesn't hold are merged exactly, lowest rank first. The results are those of the
 tokenizers library for a vocabulary of kind BPE with byte-level symbols and an end-of-word suffix.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, most_frequent, once, settle, ship
+from .common import most_frequent, once, settle, share, shared_map, ship
 
 #: Words that the lexicon holds at most; its size is bounded by this, whatever the corpus is.
 LEXICON_SIZE = 65_536
@@ -153,6 +154,10 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
+#: Mark of a state where no word ends.
+NO_WORD = 2**32 - 1
+
+
 class _State:
     __slots__ = ("arcs", "final", "tail")
 
@@ -220,7 +225,7 @@ def build_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
                 number[id(s)] = len(order)
                 order.append(s)
                 todo.append(s)
-    starts, labels, targets, outs, pool, pooled = [0], bytearray(), [], [], [], {(): (0, 0)}
+    keys, targets, outs, pool, pooled = [], [], [], [], {(): (0, 0)}
 
     def place(out: tuple) -> int:
         if out not in pooled:
@@ -230,56 +235,74 @@ def build_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
         return at << 12 | n
 
     finals = []
-    for s in order:
-        finals.append(place(s.tail) if s.final else 2**32 - 1)
-        for b, (t, out) in s.arcs.items():
-            labels.append(b)
+    for i, s in enumerate(order):
+        finals.append(place(s.tail) if s.final else NO_WORD)
+        for b, (t, out) in s.arcs.items():  # words came in byte order, so keys ascend
+            keys.append(i << 8 | b)
             targets.append(number[id(t)])
             outs.append(place(out))
-        starts.append(len(labels))
-    head = struct.pack("<4I", len(order), len(labels), len(pool), 0)
-    parts = [np.array(x, "<u4").tobytes() for x in (starts, finals, targets, outs, pool)]
-    return head + b"".join(parts) + bytes(labels)
+    head = struct.pack("<4I", len(order), len(keys), len(pool), 0)
+    return head + b"".join(np.array(x, "<u4").tobytes() for x in (finals, keys, targets, outs, pool))
 
 
 class Lexicon:
-    """A lexicon's flat form, memory-mapped, searched arc by arc."""
-
-    def __init__(self, blob: bytes):
-        self.map = mapped(blob)
-        states, arcs, pool, _ = struct.unpack_from("<4I", self.map)
-        view, at = memoryview(self.map), 16
-        self.states, self.arcs, self.parts = states, arcs, []
-        for n in (states + 1, states, arcs, arcs, pool):
-            self.parts.append(view[at : at + 4 * n].cast("I"))
+    """A lexicon's flat form, memory-mapped; words are walked through it together, byte by byte."""
+
+    def __init__(self, view):
+        states, arcs, pool, _ = struct.unpack_from("<4I", view)
+        at, parts = 16, []
+        for n in (states, arcs, arcs, arcs, pool):
+            parts.append(np.frombuffer(view, "<u4", n, at))
             at += 4 * n
-        self.labels = at
+        self.finals, self.keys, self.targets, self.outs, self.pool = parts
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word as little-endian 32-bit integers, or None for a word that isn't there."""
+        if not words or not len(self.keys):
+            return [None] * len(words)
+        n, size = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        text, begin = np.frombuffer(b"".join(words) + b"\0", np.uint8), np.cumsum(size) - size
+        state, on, met = np.zeros(n, np.int64), np.flatnonzero(size), []
+        there = size > 0
+        for i in range(int(size.max())):
+            key = (state[on] << 8 | text[begin[on] + i]).astype(np.uint32)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            there[on[~hit]] = False
+            on, at = on[hit], at[hit]
+            state[on] = self.targets[at]
+            out = self.outs[at]
+            some = out & 4095 > 0
+            met.append((on[some], np.full(int(some.sum()), i), out[some]))
+            on = on[size[on] > i + 1]
+        last = self.finals[state]
+        there &= last != NO_WORD
+        some = np.flatnonzero(there & (last & 4095 > 0))
+        met.append((some, size[some], last[some]))
+        word, step, out = map(np.concatenate, zip(*met, strict=True))
+        own = there[word]
+        word, step, out = word[own], step[own], out[own].astype(np.int64)
+        order = np.lexsort((step, word))
+        word, at, length = word[order], out[order] >> 12, out[order] & 4095
+        ends = np.cumsum(length)
+        ids = self.pool[np.repeat(at - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(word, length, n).astype(np.int64))]) * 4
+        return [ids[a:z] if t else None for a, z, t in zip(bounds[:-1].tolist(), bounds[1:].tolist(), there.tolist(), strict=True)]
 
     def get(self, word: bytes) -> list[int] | None:
-        starts, finals, targets, outs, pool = self.parts
-        find, base, state, ids = self.map.find, self.labels, 0, []
-        for i in range(len(word)):
-            k = find(word[i : i + 1], base + starts[state], base + starts[state + 1]) - base
-            if k < 0:
-                return None
-            o = outs[k]
-            if o & 4095:
-                ids += pool[o >> 12 : (o >> 12) + (o & 4095)]
-            state = targets[k]
-        o = finals[state]
-        if o == 2**32 - 1:
-            return None
-        return ids + [*pool[o >> 12 : (o >> 12) + (o & 4095)]]
+        found = self.find([word])[0]
+        return None if found is None else array("I", found).tolist()
 
 
 class Encoder:
     """Whole texts to ids and back. One for each worker process, with its lexicon's map and its memo."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: bytes | None = None):
+    def __init__(self, vocabulary: Vocabulary, lexicon=None):
+        """lexicon: the flat form as bytes or a memory map."""
         import regex
 
         self.v = vocabulary
-        self.lexicon = Lexicon(lexicon) if lexicon else None
+        self.lexicon = Lexicon(lexicon) if lexicon is not None else None
         self.merge = vocabulary.ranked() or vocabulary.merge
         self.names = [b""] * (1 + max(vocabulary.tokens))
         for i, t in vocabulary.tokens.items():
@@ -311,28 +334,21 @@ class Encoder:
             return [piece[:-1], piece[-1]]
         return self.find(piece)
 
-    def ids_of(self, piece: str) -> list[int]:
-        ids: list[int] = []
-        for word in self.words_in(piece):
-            raw = word.encode("utf-8", "surrogatepass")
-            known = self.lexicon.get(raw) if self.lexicon else None
-            ids += self.merge(raw) if known is None else known
-        return ids
-
-    def learn(self, piece: str) -> tuple[bytes, bytes]:
-        """A piece's ids and decoded text, from now on remembered."""
-        base = None
-        if piece[-1] in ",.;:!?" and piece[:-1].isalpha():  # letters and a mark: the letters alone are worth knowing
-            base = self.memo.get(piece[:-1]) or self.learn(piece[:-1])
-            got = self.merge(piece[-1].encode())
-        else:
-            got = self.ids_of(piece)
-        known = array("I", got).tobytes(), b" ".join([self.names[x] for x in got])
-        if base:
-            known = base[0] + known[0], base[1] + b" " + known[1]
-        if len(piece) < 64:
-            self.memo[piece] = known
-        return known
+    def learn(self, pieces: set[str]) -> None:
+        """Ids and decoded texts of pieces, from now on remembered: words that the lexicon has from it, all at once, others merged."""
+        parts = [(p, self.words_in(p)) for p in pieces]
+        words = list({w for _, ws in parts for w in ws})
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        found = self.lexicon.find(raw) if self.lexicon else [None] * len(raw)
+        of = {}
+        for word, own, ids in zip(words, raw, found, strict=True):
+            got = array("I", self.merge(own)) if ids is None else array("I", ids)
+            of[word] = got.tobytes(), b" ".join([self.names[x] for x in got])
+        for piece, ws in parts:
+            if len(ws) == 1:
+                self.memo[piece] = of[ws[0]]
+            else:
+                self.memo[piece] = b"".join([of[w][0] for w in ws]), b" ".join([of[w][1] for w in ws if of[w][1]])
 
     def agreed(self, text: str) -> bool:
         """Whether all characters have a meaning in the tables of Python and of `regex`: without one, libraries may differ in them."""
@@ -354,29 +370,41 @@ class Encoder:
         return array("I", ids).tobytes(), self.library.decode(ids, skip_special_tokens=False).encode()
 
     def __call__(self, text: str | None) -> tuple[bytes, bytes]:
-        """The ids as little-endian 32-bit integers, and the decoded text in UTF-8."""
-        if not text:
-            return b"", b""
-        if not text.isascii() and not self.agreed(text):
-            return self.by_library(text)
-        ids, decoded = [], []
-        parts = self.split_special(text) if self.split_special and "<|" in text else [text]
-        for i, part in enumerate(parts):
-            if i % 2:
-                ids.append(struct.pack("<I", self.v.special[part]))
-                decoded.append(part.encode())
+        return self.encode([text])[0]
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Of each text the ids as little-endian 32-bit integers, and the decoded text in UTF-8."""
+        if len(self.memo) > MEMO_SIZE:
+            self.memo.clear()
+        plans: list = []  # for each text: what the library says, or parts: a special token's string, or pieces
+        new: set[str] = set()
+        for text in texts:
+            if not text:
+                plans.append([])
+            elif not text.isascii() and not self.agreed(text):
+                plans.append(self.by_library(text))
+            else:
+                parts = self.split_special(text) if self.split_special and "<|" in text else [text]
+                plans.append([part if i % 2 else self.pieces(self.normal(part)) for i, part in enumerate(parts)])
+                for part in plans[-1][::2]:
+                    new.update(part)
+        self.learn(new.difference(self.memo))
+        out, memo = [], self.memo
+        for plan in plans:
+            if isinstance(plan, tuple):
+                out.append(plan)
                 continue
-            pieces = self.pieces(self.normal(part))
-            if len(self.memo) > MEMO_SIZE:
-                self.memo.clear()
-            found = list(map(self.memo.get, pieces))
-            if None in found:
-                for at, known in enumerate(found):
-                    if known is None:
-                        found[at] = self.memo.get(pieces[at]) or self.learn(pieces[at])
-            ids += [f[0] for f in found]
-            decoded += [f[1] for f in found if f[1]]
-        return b"".join(ids), b" ".join(decoded)
+            ids, decoded = [], []
+            for part in plan:
+                if isinstance(part, str):
+                    ids.append(struct.pack("<I", self.v.special[part]))
+                    decoded.append(part.encode())
+                else:
+                    found = [memo[p] for p in part]
+                    ids += [f[0] for f in found]
+                    decoded += [f[1] for f in found if f[1]]
+            out.append((b"".join(ids), b" ".join(decoded)))
+        return out
 
 
 def count_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -428,16 +456,17 @@ def _mapped(docs: DataFrame, path: str, key: str, text: str, size: int, out: str
     spark = docs.sparkSession
     ship(spark)
     vocabulary = Vocabulary(path)
-    shared = spark.sparkContext.broadcast((vocabulary, fit_lexicon(docs, vocabulary, text, size)))  # bounded by the vocabulary and `size`
+    shared = spark.sparkContext.broadcast(vocabulary)
+    lexicon = share(spark, fit_lexicon(docs, vocabulary, text, size))  # bounded by `size`
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [(n, kinds[k]) for n, k in (x.split() for x in out.split(", "))]
 
     def run(batches):
-        encoder = once("bpe", shared.value, lambda of: Encoder(*of))
+        encoder = once("bpe", (shared.value, lexicon), lambda x: Encoder(x[0], shared_map(x[1])))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [of(*encoder(x)) for x in part.column(1).to_pylist()]
+                rows = [of(*x) for x in encoder.encode(part.column(1).to_pylist())]
                 yield pa.record_batch([part.column(0), *(pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(fields))], names=[key, *(n for n, _ in fields)])
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(run, f"{key} long, {out}")
