@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     members = settle(bands.join(buckets, "band"), BANDS * m, 500_000)
     pairs = members.select("rep", F.explode("leaders").alias("leader")).where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     likely = settle(_likely(pairs, classes, threshold), len(leaders) * members.count(), 500_000)
-    links = settle(_verified(likely, classes, docs, key, text, size, percent), likely.count(), 10_000)
+    links = settle(_verified(likely, classes, docs, key, text, size, percent), likely.count(), 2_000)
     labels = components(links)
 
     # the sweep: buckets that hold several components still
