@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, doc_key, groups, settle, ship, trim
+from .common import components, doc_key, groups, looked_up, settle, ship, trim
 from .forest import usable
 
 THRESHOLD = 0.93
@@ -242,8 +242,8 @@ def components_of(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "
     labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
     labelled = classes.join(labels, "rep", "left")
     # a component is named by the smallest id of its classes
-    lowest = labelled.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
-    of_class = labelled.join(lowest, "component", "left").join(counts, "rep", "left").select(F.col("label").alias("_label"), F.col("v").alias("_v"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("least", "doc").alias("_component"))
+    lowest = settle(labelled.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("size")))
+    of_class = looked_up(labelled, "component", lowest, "least", "size").join(counts, "rep", "left").select(F.col("label").alias("_label"), F.col("v").alias("_v"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("least", "doc").alias("_component"))
     rows = vectors.select(doc_key(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), F.col(label).alias("_label"))
     null = F.lit(2**63 - 1)
     back = lambda c: F.when(c != null, c)
