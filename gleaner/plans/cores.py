@@ -195,7 +195,9 @@ def edit_core(spark, d):
 @query("""SELECT event_id AS seq, 'lead/' || (event_id % 5) AS stream, event_id * 2 AS composite FROM events""")
 def event_log_scan(spark, d):
     """Written by the log's own writer, torn at the end, and read back by byte ranges."""
+    import atexit
     import os
+    import shutil
     import tempfile
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "").removeprefix("file://") or tempfile.gettempdir()
@@ -207,6 +209,7 @@ def event_log_scan(spark, d):
         F.col("ts").alias("occurred_at"), F.col("ts").alias("recorded_at"), F.lit(None).cast("string").alias("causation_id"), F.lit("c").alias("correlation_id"), F.to_json(F.struct((k * 2).alias("composite"))).alias("payload"), k.alias("ordinal"),
     )
     os.makedirs(os.path.dirname(path), exist_ok=True)
+    atexit.register(shutil.rmtree, os.path.dirname(path), True)  # the result is read lazily
     e.select(*[c.split()[0] for c in eventlog.SCHEMA.split(", ")]).write.format("eventlog").option("path", path).mode("append").save()
     with open(path, "ab") as f:
         f.write(b'{"torn')
