@@ -50,7 +50,7 @@ def decide_edit(old: str, new: str, failures: Column, composite: Column, exists:
     fields = F.array_compact(F.concat(fields, F.array(F.when(~o("source").eqNullSafe(n("source")), F.lit("source")))))
     error = F.when(~exists, "no such lead").otherwise(F.coalesce(_unclear(failures, composite), F.when(F.size(fields) == 0, "nothing to edit")))
     full = F.array_compact(F.concat(fields, F.array(F.when(~o("adapter").eqNullSafe(F.lit("user")), F.lit("adapter")))))
-    return _done(error, F.concat(F.array(_event("edited")).cast(_PENDING), _judged(failures, composite, F.coalesce(revision, F.lit(0)) + 1)), changed=full)
+    return _done(error, F.concat(F.array(_event("edited")).cast(_PENDING), _judged(failures, composite, revision)), changed=full)
 
 
 def decide_reevaluate(failures: Column, composite: Column, exists: Column, revision: Column) -> Column:

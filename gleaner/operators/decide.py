@@ -16,10 +16,11 @@ def _event(kind, gate=None, reason=None, composite=None, revision=None) -> Colum
 def decide_ingest(exists: Column, mark: Column, revision: Column, failures: Column, composite: Column) -> Column:
     """array of events: suppressed for an ignored lead; else a snapshot, and all rejections or one score.
 
-    revision: the lead's before this evaluation (0 for a new one); the snapshot and the evaluation add one each.
+    revision: the lead's before this evaluation (0 for a new one), one further with it: the snapshot and what it is
+    judged to be share a revision.
     """
     snapshot = F.when(exists, "updated").otherwise("ingested")
-    r = F.coalesce(revision, F.lit(0)).cast("bigint") + F.lit(2)
+    r = F.coalesce(revision, F.lit(0)).cast("bigint") + F.lit(1)
     judged = F.when(F.size(failures) > 0, F.transform(failures, lambda f: _event("rejected", f["gate"], f["reason"], None, r)).cast(_PENDING)).otherwise(F.array(_event("scored", None, None, composite.cast("bigint"), r)).cast(_PENDING))
     return F.when(mark.eqNullSafe("ignore"), F.array(_event("reingest_suppressed")).cast(_PENDING)).otherwise(F.concat(F.array(_event(snapshot)).cast(_PENDING), judged))
 

@@ -98,11 +98,11 @@ class Fetched:
     error: str | None = None
 
 
-def fetch_within_budget(page: Callable[[int, int], tuple[list, int]], balance: Callable[[], int | None], budget: int | None = None) -> Fetched:
+def fetch_within_budget(page: Callable[[int, int], tuple[list, int]], balance: Callable[[], int | None], budget: int | None = None, start: int = 0) -> Fetched:
     """Read pages (offset, limit) -> (records, more matches) until the source, the balance or the budget ends.
 
     No credit before the first page is an error; none later means one more request without that bound, which tells how
-    much is left. A refusal for credits ends the run with what there is, as does any error after a first record.
+    much is left. start: records of the query that are there already, behind which it goes on. A refusal for credits ends the run with what there is, as does any error after a first record.
     """
     out, first = Fetched(), True
     while True:
@@ -114,7 +114,7 @@ def fetch_within_budget(page: Callable[[int, int], tuple[list, int]], balance: C
             raise CreditsExhausted()
         limit = min(x for x in (PAGE, left, credit or None) if x is not None)
         try:
-            records, more = page(len(out.records), limit)
+            records, more = page(start + len(out.records), limit)
         except CreditsExhausted as e:
             out.truncated += e.required
             out.error = "credits exhausted"

@@ -36,11 +36,14 @@ def extract(pages: DataFrame) -> DataFrame:
     kind, body, part = F.col("_kind"), F.col("api_body"), lambda i: F.get(F.col("_path"), F.lit(i))
     pages = pages.withColumns({"_kind": boards.platform(where), "_path": F.filter(F.split(url_path(where), "/"), lambda x: x != ""), "_tenant": F.substring_index(url_host(where), ".", 1)})
     api = (
-        F.when(kind == "greenhouse", records.greenhouse(body, part(0))).when(kind == "ashby", records.ashby(body, part(0), part(1))).when(kind == "lever", records.lever(body, part(0)))
+        F.when(kind == "greenhouse", records.greenhouse(body, part(0))).when(kind == "ashby", records.ashby(body, part(0), F.try_element_at("_path", F.lit(-1)))).when(kind == "lever", records.lever(body, part(0)))
         .when(kind == "workday", records.workday(body, "_tenant"))
     )
-    rows = pages.withColumns({"_api": F.when(body.isNotNull(), api), "_ld": records.json_ld("html"), "_main": extraction.main_text("html")})
-    rows = records.finalize(rows, "_api", "_a").withColumn("_b", extraction.html_text(F.when(F.col("_ld").isNotNull(), F.col("_ld.body"))))
+    # a page is read only where what comes before it gave nothing
+    rows = records.finalize(pages.withColumn("_api", F.when(body.isNotNull(), api)), "_api", "_a")
+    rows = rows.withColumn("_page", F.when(F.col("fetch_error").isNull() & (F.col("_api").isNull() | _blank(F.col("_a.raw_text"))), F.col("html"))).withColumn("_ld", records.json_ld("_page"))
+    rows = rows.withColumn("_b", extraction.html_text(F.when(F.col("_ld").isNotNull(), F.col("_ld.body"))))
+    rows = rows.withColumn("_main", extraction.main_text(F.when(_blank(F.col("_b")), F.col("_page"))))
 
     def fields(adapter, title, company, req, location, remote, comp, raw, url):
         made = {"title": title, "company": company, "req_id": req, "location": location, "remote": remote, "comp": comp, "raw_text": raw, "url": url, "adapter": adapter, "source": F.lit("unknown")}
@@ -58,7 +61,7 @@ def extract(pages: DataFrame) -> DataFrame:
     fetched = F.col("fetch_error").isNull()
     posting = F.when(fetched, F.when(F.col("_api").isNotNull() & ~_blank(a("raw_text")), by_api).when(F.col("_ld").isNotNull() & ~_blank(text), by_ld).when(~_blank(m), by_text))
     error = F.coalesce("fetch_error", F.when(F.col("posting").isNull(), F.concat(F.lit("no text could be extracted from "), F.col("url"))))
-    return rows.withColumn("posting", posting).withColumn("error", error).drop("_api", "_kind", "_path", "_tenant", "_ld", "_main", "_a", "_b")
+    return rows.withColumn("posting", posting).withColumn("error", error).drop("_api", "_kind", "_path", "_tenant", "_page", "_ld", "_main", "_a", "_b")
 
 
 # -- the core ------------------------------------------------------------------------------------------
@@ -88,12 +91,12 @@ def ingest(postings: DataFrame, state: DataFrame, index: DataFrame, c: triage.Co
     rows = evaluated(rows, c)
     exists, muted = F.col("_old").isNotNull(), F.col("_mark").eqNullSafe("ignore")
     changed = F.array_compact(F.concat(triage.changed("_old", "_new"), F.array(*(F.when(~F.col(f"_old.{f}").eqNullSafe(F.col(f)), F.lit(f)) for f in ("adapter", "source")))))
-    revision = F.coalesce("_revision", F.lit(0)) + 2 * F.col("_nth")
+    revision = F.coalesce("_revision", F.lit(0)) + F.col("_nth")
     events = decide_ingest(exists, F.col("_mark"), revision, F.col("failures"), F.col("composite"))
     kind = F.when(muted, "reingest_suppressed").when(exists, "updated").otherwise("ingested")
     return rows.withColumns({
         "kind": kind, "changed": F.when(~muted & exists, changed), "rejected": F.when(~muted & (F.size("failures") > 0), F.col("failures")),
-        "composite": F.when(~muted, F.col("composite")), "breakdown": F.when(~muted, F.col("breakdown")), "dimensions": F.when(~muted, F.col("dimensions")), "revision": F.when(~muted, revision + 2).cast("long"), "events": events, "dedupe_key": F.col("identity.dedupe_key"),
+        "composite": F.when(~muted, F.col("composite")), "breakdown": F.when(~muted, F.col("breakdown")), "dimensions": F.when(~muted, F.col("dimensions")), "revision": F.when(~muted, revision + 1).cast("long"), "events": events, "dedupe_key": F.col("identity.dedupe_key"),
     }).drop("_mark", "_revision", "_stored", "_nth", "_old", "_new", "failures")
 
 
@@ -131,7 +134,7 @@ def edit(corrected: DataFrame, state: DataFrame, index: DataFrame, c: triage.Con
     collides = F.concat(F.lit("edit would collide with lead "), F.col("_other.owner").cast("string"), F.lit(" on identity "), F.col("_other.form"))
     error = F.when(~F.coalesce("_exists", F.lit(False)), "no such lead").otherwise(F.coalesce(collides, _unclear(F.col("failures"), F.col("composite")), F.when(F.size("_fields") == 0, "nothing to edit")))
     full = F.array_compact(F.concat(F.col("_fields"), F.array(F.when(~F.col("_old.adapter").eqNullSafe(F.lit("user")), F.lit("adapter")))))
-    made = F.concat(F.array(_event("edited")), _judged(F.col("failures"), F.col("composite"), F.col("_revision") + 1))
+    made = F.concat(F.array(_event("edited")), _judged(F.col("failures"), F.col("composite"), F.col("_revision")))
     rows = rows.withColumn("error", error)
     fine = F.col("error").isNull()
     return rows.select("lead_id", "error", F.when(fine, full).alias("changed"), F.when(fine & (F.size("failures") > 0), F.col("failures")).alias("rejected"), F.when(fine, F.col("composite")).alias("composite"), F.when(fine, made).alias("events"))

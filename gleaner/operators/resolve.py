@@ -15,16 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import keep as _keep
 from .triage import lookup
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """df, computed once: checkpointed where a folder is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def _components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, component) by least labels with pointer jumping; what a round no longer needs is given back."""
+    """(id, component) by least labels with pointer jumping."""
     both = _keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = _keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     for _ in range(rounds):
@@ -33,10 +29,8 @@ def _components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         up = labels.select(F.col("id").alias("to"), F.col("component").alias("above"))
         new = _keep(step.join(up, "to", "left").select("id", F.least("to", "above").alias("component"), "was"))
         moved = new.where("component <> was").limit(1).count()
-        labels.unpersist()
         labels = new.select("id", "component")
         if not moved:
-            both.unpersist()
             return labels
     raise RuntimeError("components did not settle")
 

@@ -55,12 +55,12 @@ def gate_failures(c: Config) -> Column:
     # Names of gates and the wording of their reasons.
     out, location, remote = [], F.col("location"), F.col("remote")
     if c.remote_only:
-        out.append(_failure(remote.eqNullSafe(False), "remote_only", F.concat(F.lit("confident non-remote signals (location: "), F.coalesce(location, F.lit("none")), F.lit(")"))))
+        out.append(_failure(remote.eqNullSafe(False), "remote-only", F.concat(F.lit("confident non-remote signals (location: "), F.coalesce(location, F.lit("none")), F.lit(")"))))
         if c.reject_location_only:
-            out.append(_failure(remote.isNull() & location.isNotNull(), "remote_only", F.concat(F.lit("location '"), location, F.lit("' listed with no remote signal (reject_location_only)"))))
+            out.append(_failure(remote.isNull() & location.isNotNull(), "remote-only", F.concat(F.lit("location '"), location, F.lit("' listed with no remote signal (reject_location_only)"))))
     if c.floor is not None:
         quoted = compared_value(F.col("comp"))
-        out.append(_failure(quoted < c.floor, "compensation_floor", F.concat(F.lit("quoted max $"), quoted.cast("string"), F.lit(f" below floor ${c.floor}"))))
+        out.append(_failure(quoted < c.floor, "compensation-floor", F.concat(F.lit("quoted max $"), quoted.cast("string"), F.lit(f" below floor ${c.floor}"))))
     for entry in c.blacklist:
         out.append(_failure(F.coalesce(company_matches(F.col("company"), F.lit(entry)), F.lit(False)), "blacklist", F.concat(F.lit("company '"), F.col("company"), F.lit(f"' matches blacklist entry '{entry}'"))))
     for line in c.red_lines:

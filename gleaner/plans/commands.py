@@ -49,7 +49,7 @@ def free_feed_links(spark, d):
 
 @query(f"""WITH {POSTINGS_SQL} SELECT pos, CASE WHEN k % 13 = 0 THEN 'no such lead' WHEN k % 5 <> 0 AND k % 2 = 0 THEN 'nothing to edit' END AS error,
 array_to_string(list_concat(list_concat(CASE WHEN k % 5 = 0 THEN ['title'] ELSE [] END, CASE WHEN k % 2 = 1 THEN ['source'] ELSE [] END), CASE WHEN k % 3 <> 0 THEN ['adapter'] ELSE [] END), ',') AS changed,
-CASE WHEN k % 13 = 0 OR (k % 5 <> 0 AND k % 2 = 0) THEN 0 ELSE 2 END::BIGINT AS events FROM p""")
+CASE WHEN k % 13 = 0 OR (k % 5 <> 0 AND k % 2 = 0) THEN 0 ELSE 2 END::BIGINT AS events, CASE WHEN k % 13 <> 0 AND (k % 5 = 0 OR k % 2 = 1) THEN k % 4 + 1 END::BIGINT AS revision FROM p""")
 def decide_edit_events(spark, d):
     p = triage.with_score(_extracted(spark, d), CONFIG)
     k = F.col("pos")
@@ -60,7 +60,7 @@ def decide_edit_events(spark, d):
     })
     passed = F.array().cast("array<struct<gate:string,reason:string>>")
     e = commands.decide_edit("old", "new", passed, F.col("composite"), k % 13 != 0, k % 4)
-    return p.withColumn("e", e).select("pos", "e.error", F.array_join("e.changed", ",").alias("changed"), F.size("e.events").cast("long").alias("events"))
+    return p.withColumn("e", e).select("pos", "e.error", F.array_join("e.changed", ",").alias("changed"), F.size("e.events").cast("long").alias("events"), F.array_max(F.transform("e.events", lambda x: x["revision"])).alias("revision"))
 
 
 @query(f"""WITH {BOOK_SQL} SELECT lead_id, CASE WHEN lead_id % 6 = 5 THEN 'unknown outcome' WHEN lead_id % 6 = 4 THEN 'reason is for archived only' END AS error,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..functions import extraction
+from ..functions.text import canonical_url
 from ..operators import commands, discovery, ingest, triage, views
 from ..operators.resolve import _keep
 from ..sources import eventlog
+from ..sources.shared import shared_dir
 from .inputs import EVENTS_SQL, POSTINGS_SQL, RECORD_SQL, log, postings, table
-from .queries import _GATES, CONFIG, query
+from .queries import _GATES, _IDENTITY, CONFIG, query
 
 _RANK = "cast(row_number() OVER (ORDER BY coalesce(latest_score, 0) DESC, first_seen, lead_id) AS BIGINT)"
 
@@ -88,34 +92,41 @@ def html_main_text(spark, d):
 
 # -- ingest -----------------------------------------------------------------------------------------------
 
-_BASE = """, c AS (SELECT pos, k, source, title, company, location, cmin, cmax, remote, comp_raw, raw_text, 'req:' || trim(regexp_replace(lower(company), '[^a-z0-9]+', '-', 'g'), '-') || ':' || lower(req_id) AS key FROM p WHERE req_id IS NOT NULL)"""
-
-
 def _batch(spark, d):
-    """Postings with a requisition and without a url, so that one identifier decides."""
-    p = postings(spark, d).where("req_id is not null")
-    return p.withColumns({"url": F.lit(None).cast("string"), "adapter": F.lit("feed"), "comp": extraction.comp("raw_text"), "remote": extraction.remote("location", "raw_text")})
+    p = postings(spark, d)
+    return p.withColumns({"adapter": F.lit("feed"), "comp": extraction.comp("raw_text"), "remote": extraction.remote("location", "raw_text")})
 
 
 def _prior(spark, d):
     """State and index of the leads that the log knows: of every tenth posting, ignored every twentieth; with another title."""
-    p = _batch(spark, d).where("pos % 10 = 0").withColumn("identity", triage.identity())
+    p = _batch(spark, d).where("pos % 10 = 0").withColumn("url", canonical_url("url")).withColumn("identity", triage.identity())
     s = F.struct("identity.dedupe_key", F.col("adapter"), F.col("source"), F.col("url"), F.col("raw_text"), F.struct(F.lit("Old title").alias("title"), *triage.FIELDS[1:6]).alias("extracted"))
     one = p.groupBy("identity.dedupe_key").agg(F.max_by(s, "pos").alias("snapshot"), F.max("pos").alias("pos"))
     state = one.select(F.concat(F.lit("lead-"), F.col("pos").cast("string")).alias("lead_id"), F.lit(True).alias("exists"), "snapshot", F.when(F.col("pos") % 20 == 0, "ignore").alias("latest_mark"), (F.col("pos") % 4).alias("revision"), "pos")
     return state, state.select(F.col("snapshot.dedupe_key").alias("form"), "lead_id")
 
 
-_PAST = "struct_pack(title := title, location := location, remote := remote, comp := comp_raw, raw := raw_text, source := source)"
-_INGEST = f"""WITH {POSTINGS_SQL}{_BASE}, n AS (SELECT key, max(pos) AS prior FROM c WHERE pos % 10 = 0 GROUP BY key),
-s AS (SELECT n.key, prior, struct_pack(title := 'Old title', location := location, remote := remote, comp := comp_raw, raw := raw_text, source := source) AS stored FROM n JOIN c ON c.pos = n.prior),
-w AS (SELECT c.*, prior, row_number() OVER (PARTITION BY c.key ORDER BY pos) - 1 AS nth, min(pos) OVER (PARTITION BY c.key) AS head, coalesce(lag({_PAST}) OVER (PARTITION BY c.key ORDER BY pos), stored) AS old FROM c LEFT JOIN s USING (key)),
-o AS (SELECT w.*, coalesce('lead-' || prior, 'new-' || head) AS lead_id, prior IS NOT NULL AND prior % 20 = 0 AS muted, prior IS NOT NULL OR nth > 0 AS known, {_GATES} AS gates FROM w)"""
+#: Each posting's lead, in order, by what the log knows (`known`: form, lead) and what the batch has made of it.
+RESOLVED_SQL = """q AS (SELECT pos, req, url, tc, coalesce(req, url, tc) AS dedupe_key, row_number() OVER (ORDER BY pos) AS step FROM i),
+h(form, lead, step) USING KEY (form) AS (
+  SELECT form, lead, 0::BIGINT FROM known UNION ALL SELECT 'step', '', 0::BIGINT
+  UNION
+  (WITH n AS (SELECT q.* FROM q JOIN recurring.h s ON s.form = 'step' AND q.step = s.step + 1),
+    l AS (SELECT n.*, coalesce(a.lead, b.lead, c.lead, e.lead, 'new-' || n.pos) AS lead FROM n LEFT JOIN recurring.h a ON a.form = n.req LEFT JOIN recurring.h b ON b.form = n.url LEFT JOIN recurring.h c ON c.form = n.tc AND n.req IS NULL AND n.url IS NULL LEFT JOIN recurring.h e ON e.form = n.dedupe_key)
+   SELECT form, lead, step FROM (SELECT unnest([req, url, tc, 'pos:' || pos]) AS form, lead, step FROM l) WHERE form IS NOT NULL UNION ALL SELECT 'step', '', step FROM l)),
+leads AS (SELECT substr(form, 5)::BIGINT AS pos, lead FROM h WHERE starts_with(form, 'pos:'))"""
+
+_FIELDS = "company := {0}.company, req_id := {0}.req_id, location := {0}.location, remote := {0}.remote, comp := {0}.comp_raw, raw := {0}.raw_text, url := {0}.url, source := {0}.source"
+_PAST = f"struct_pack(title := c.title, {_FIELDS.format('c')})"
+_INGEST = f"""WITH RECURSIVE {POSTINGS_SQL}, {_IDENTITY}, c AS (SELECT p.*, coalesce(i.req, i.url, i.tc) AS key FROM p JOIN i USING (pos)), n AS (SELECT key, max(pos) AS prior FROM c WHERE pos % 10 = 0 GROUP BY key),
+known AS (SELECT key AS form, 'lead-' || prior AS lead FROM n), {RESOLVED_SQL},
+w AS (SELECT c.*, lead AS lead_id, s.pos AS prior, row_number() OVER (PARTITION BY lead ORDER BY c.pos) - 1 AS nth, coalesce(lag({_PAST}) OVER (PARTITION BY lead ORDER BY c.pos), CASE WHEN s.pos IS NOT NULL THEN struct_pack(title := 'Old title', {_FIELDS.format('s')}) END) AS old
+  FROM c JOIN leads ON leads.pos = c.pos LEFT JOIN c s ON lead = 'lead-' || s.pos),
+o AS (SELECT w.*, prior IS NOT NULL AND prior % 20 = 0 AS muted, prior IS NOT NULL OR nth > 0 AS known, {_GATES} AS gates FROM w)"""
 
 
-@query(f"""{_INGEST} SELECT pos, lead_id, key AS dedupe_key, CASE WHEN muted THEN 'reingest_suppressed' WHEN known THEN 'updated' ELSE 'ingested' END AS kind, CASE WHEN NOT muted THEN coalesce(prior % 4, 0) + 2 * nth + 2 END::BIGINT AS revision,
-CASE WHEN known AND NOT muted THEN concat_ws(',', CASE WHEN old.title <> title THEN 'title' END, CASE WHEN old.location IS DISTINCT FROM location THEN 'location' END, CASE WHEN old.remote IS DISTINCT FROM remote THEN 'remote' END,
-  CASE WHEN old.comp IS DISTINCT FROM comp_raw THEN 'comp' END, CASE WHEN old.raw <> raw_text THEN 'raw_text' END, CASE WHEN old.source <> source THEN 'source' END) END AS changed,
+@query(f"""{_INGEST} SELECT pos, lead_id, key AS dedupe_key, CASE WHEN muted THEN 'reingest_suppressed' WHEN known THEN 'updated' ELSE 'ingested' END AS kind, CASE WHEN NOT muted THEN coalesce(prior % 4, 0) + nth + 1 END::BIGINT AS revision,
+CASE WHEN known AND NOT muted THEN concat_ws(',', CASE WHEN old.title IS DISTINCT FROM title THEN 'title' END, CASE WHEN old.company IS DISTINCT FROM company THEN 'company' END, CASE WHEN old.req_id IS DISTINCT FROM req_id THEN 'req_id' END, CASE WHEN old.location IS DISTINCT FROM location THEN 'location' END, CASE WHEN old.remote IS DISTINCT FROM remote THEN 'remote' END, CASE WHEN old.comp IS DISTINCT FROM comp_raw THEN 'comp' END, CASE WHEN old.raw IS DISTINCT FROM raw_text THEN 'raw_text' END, CASE WHEN old.url IS DISTINCT FROM url THEN 'url' END, CASE WHEN old.source IS DISTINCT FROM source THEN 'source' END) END AS changed,
 CASE WHEN NOT muted AND len(gates) > 0 THEN array_to_string(gates, ',') END AS rejected, CASE WHEN muted THEN 1 ELSE 1 + greatest(len(gates), 1) END::BIGINT AS events FROM o""")
 def ingest_core(spark, d):
     state, index = _prior(spark, d)
@@ -167,7 +178,7 @@ _PAY = "round(least(greatest((comp_max - 135000) / 30000.0 * 100, 0), 100))"
 
 
 @query(f"""WITH {RECORD_SQL}, e AS (SELECT *, so % 3 = 1 AS fails, CASE WHEN so % 3 <> 1 THEN round((100 + coalesce(3 * {_PAY}, 0) + CASE WHEN remote THEN 100 ELSE 50 END) / (4.0 + CASE WHEN comp_max IS NULL THEN 0 ELSE 3 END))::BIGINT END AS now FROM r WHERE NOT terminal AND NOT buried)
-SELECT lead_id, title, latest_score AS old_composite, now AS new_composite, CASE WHEN fails THEN CASE WHEN gated THEN 'unchanged' ELSE 'newly_rejected' END WHEN gated THEN 'revived' WHEN latest_score IS NOT DISTINCT FROM now THEN 'unchanged' ELSE 'changed' END AS delta, CASE WHEN fails THEN 'remote_only' ELSE '' END AS gates FROM e""")
+SELECT lead_id, title, latest_score AS old_composite, now AS new_composite, CASE WHEN fails THEN CASE WHEN gated THEN 'unchanged' ELSE 'newly_rejected' END WHEN gated THEN 'revived' WHEN latest_score IS NOT DISTINCT FROM now THEN 'unchanged' ELSE 'changed' END AS delta, CASE WHEN fails THEN 'remote-only' ELSE '' END AS gates FROM e""")
 def rescore_core(spark, d):
     events = log(spark, d)
     targets = views.rescore_targets(views.lead_record(events))
@@ -175,46 +186,39 @@ def rescore_core(spark, d):
     return out.select("lead_id", "title", "old_composite", "new_composite", "delta", F.array_join("rejected_gates", ",").alias("gates"))
 
 
-@query(f"""{_INGEST}, z AS (SELECT prior AS pos, s.key, remote, cmin, cmax, company, (prior + 1) % 3 = 0 AS retitled, prior % 50 = 0 AS taken FROM s JOIN c ON c.pos = s.prior AND c.key = s.key), m AS (SELECT min(prior) AS least FROM s),
-g AS (SELECT z.*, least, k.gates FROM z, m, LATERAL (SELECT gates FROM o WHERE o.pos = z.pos) k)
-SELECT 'lead-' || pos AS lead_id, CASE WHEN taken AND pos <> least THEN 'edit would collide with lead lead-' || least WHEN NOT retitled THEN 'nothing to edit' END AS error,
-CASE WHEN retitled AND NOT (taken AND pos <> least) THEN 'title,adapter' END AS changed, CASE WHEN retitled AND NOT (taken AND pos <> least) THEN 1 + greatest(len(gates), 1) END::BIGINT AS events FROM g""")
+@query(f"""{_INGEST}, m AS (SELECT min(prior) AS least FROM n JOIN c ON c.pos = n.prior WHERE req_id IS NOT NULL),
+z AS (SELECT prior AS pos, o.gates, least, o.url IS NOT NULL AS linked, (prior + 1) % 3 = 0 AS retitled, n.prior % 50 = 0 AND n.prior <> least AS taken FROM n JOIN (SELECT pos, url, gates FROM o) o ON o.pos = n.prior, m)
+SELECT 'lead-' || pos AS lead_id, CASE WHEN taken THEN 'edit would collide with lead lead-' || least WHEN NOT retitled AND NOT linked THEN 'nothing to edit' END AS error,
+CASE WHEN NOT taken AND (retitled OR linked) THEN concat_ws(',', CASE WHEN retitled THEN 'title' END, CASE WHEN linked THEN 'url' END, 'adapter') END AS changed,
+CASE WHEN NOT taken AND (retitled OR linked) THEN 1 + greatest(len(gates), 1) END::BIGINT AS events, CASE WHEN NOT taken AND (retitled OR linked) THEN pos % 4 + 1 END::BIGINT AS revision FROM z""")
 def edit_core(spark, d):
     state, index = _prior(spark, d)
-    first = state.agg(F.min_by(F.struct("snapshot.extracted.company", "snapshot.extracted.req_id"), "pos").alias("first"))
+    """Each known lead loses its url; some get another title, some the company and requisition of the first lead that has one."""
+    first = state.where("snapshot.extracted.req_id is not null").agg(F.min_by(F.struct("snapshot.extracted.company", "snapshot.extracted.req_id"), "pos").alias("first"))
     taken = F.col("pos") % 50 == 0
     e = lambda f: F.col(f"snapshot.extracted.{f}")
     corrected = state.join(F.broadcast(first)).select(
         "lead_id", F.when((F.col("pos") + 1) % 3 == 0, "New title").otherwise(e("title")).alias("title"), F.when(taken, F.col("first.company")).otherwise(e("company")).alias("company"), F.when(taken, F.col("first.req_id")).otherwise(e("req_id")).alias("req_id"),
-        e("location").alias("location"), e("remote").alias("remote"), e("comp").alias("comp"), F.col("snapshot.url").alias("url"), F.col("snapshot.source").alias("source"),
+        e("location").alias("location"), e("remote").alias("remote"), e("comp").alias("comp"), F.lit(None).cast("string").alias("url"), F.col("snapshot.source").alias("source"),
     )
     out = ingest.edit(corrected, state, index, CONFIG)
-    return out.select("lead_id", F.regexp_replace("error", " on identity .*", "").alias("error"), F.array_join("changed", ",").alias("changed"), F.size("events").cast("long").alias("events"))
+    return out.select("lead_id", F.regexp_replace("error", " on identity .*", "").alias("error"), F.array_join("changed", ",").alias("changed"), F.size("events").cast("long").alias("events"), F.array_max(F.transform("events", lambda x: x["revision"])).alias("revision"))
 
 
 @query("""SELECT event_id AS seq, 'lead/' || (event_id % 5) AS stream, event_id * 2 AS composite FROM events""")
 def event_log_scan(spark, d):
     """Written by the log's own writer, torn at the end, and read back by byte ranges."""
-    import atexit
-    import os
-    import shutil
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "").removeprefix("file://") or tempfile.gettempdir()
-    path = os.path.join(base, f"log-{os.urandom(8).hex()}", "log.jsonl")
-    eventlog.register(spark)
+    path = shared_dir(spark).removeprefix("file://") + "/log.jsonl"
     k = F.col("event_id")
     e = table(spark, d, "events").select(
         F.lit(1).alias("envelope_version"), F.concat(F.lit("e"), k.cast("string")).alias("id"), F.concat(F.lit("lead/"), (k % 5).cast("string")).alias("stream"), k.alias("seq"), F.lit("scored").alias("type"), F.lit(1).alias("schema_version"),
         F.col("ts").alias("occurred_at"), F.col("ts").alias("recorded_at"), F.lit(None).cast("string").alias("causation_id"), F.lit("c").alias("correlation_id"), F.to_json(F.struct((k * 2).alias("composite"))).alias("payload"), k.alias("ordinal"),
     )
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    atexit.register(shutil.rmtree, os.path.dirname(path), True)  # the result is read lazily
-    e.select(*[c.split()[0] for c in eventlog.SCHEMA.split(", ")]).write.format("eventlog").option("path", path).mode("append").save()
+    eventlog.write(e, path)
     with open(path, "ab") as f:
         f.write(b'{"torn')
-    rows = spark.read.format("eventlog").option("path", path).option("splitbytes", str(1 << 20)).load()
-    return rows.select("seq", "stream", F.get_json_object("payload", "$.composite").cast("long").alias("composite"))
+    return eventlog.read(spark, path, splitbytes=1 << 20).select("seq", "stream", F.get_json_object("payload", "$.composite").cast("long").alias("composite"))
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'greenhouse' WHEN 3 THEN NULL ELSE 'drop-in' END AS adapter, CASE page_id % 4 WHEN 0 THEN 'T' || page_id WHEN 1 THEN 'From LD at Beta' WHEN 2 THEN replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') END AS title,

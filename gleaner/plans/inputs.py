@@ -22,7 +22,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
            else element_at(array('accepted', 'rejected_by_employer', 'withdrawn', 'declined', 'unresponsive', 'archived'), cast((d - 7) * 2 + user_id % 2 + 1 as int)) end end as type""",
         "if(event_type = 'click', element_at(array('defer', 'ignore', 'apply-automatically', 'apply-manual'), cast(d % 4 + 1 as int)), null) as mark",
         "if(event_type = 'view', cast(floor(value) as bigint) % 101, null) as composite",
-        "if(event_type = 'error', element_at(array('remote_only', 'compensation_floor', 'blacklist', 'ideological'), cast(d % 4 + 1 as int)), null) as gate",
+        "if(event_type = 'error', element_at(array('remote-only', 'compensation-floor', 'blacklist', 'ideological'), cast(d % 4 + 1 as int)), null) as gate",
         "if(event_type = 'purchase' and d = 3 and user_id % 2 = 0, 'referral', null) as method",
         "if(event_type in ('view', 'error'), d + 1, null) as revision",
     )
@@ -35,7 +35,7 @@ EVENTS_SQL = """v AS (
       ELSE (['accepted', 'rejected_by_employer', 'withdrawn', 'declined', 'unresponsive', 'archived'])[(d - 7) * 2 + user_id % 2 + 1] END END AS type,
     CASE WHEN event_type = 'click' THEN (['defer', 'ignore', 'apply-automatically', 'apply-manual'])[d % 4 + 1] END AS mark,
     CASE WHEN event_type = 'view' THEN floor(value)::BIGINT % 101 END AS composite,
-    CASE WHEN event_type = 'error' THEN (['remote_only', 'compensation_floor', 'blacklist', 'ideological'])[d % 4 + 1] END AS gate,
+    CASE WHEN event_type = 'error' THEN (['remote-only', 'compensation-floor', 'blacklist', 'ideological'])[d % 4 + 1] END AS gate,
     CASE WHEN event_type = 'purchase' AND d = 3 AND user_id % 2 = 0 THEN 'referral' END AS method,
     CASE WHEN event_type IN ('view', 'error') THEN d + 1 END AS revision
   FROM (SELECT *, k // 10 AS d FROM (SELECT *, (props::JSON ->> '$.k')::BIGINT AS k FROM events)))"""

@@ -263,7 +263,7 @@ def token_match(spark, d):
     return postings(spark, d).select("pos", text.token_in("staff", "title").alias("staff"), text.token_in("Python", t).alias("python"), text.token_in("pythons", t).alias("pythons"))
 
 
-_GATES = f"""(list_concat(CASE WHEN remote = false THEN ['remote_only'] ELSE [] END, CASE WHEN {_QUOTED} < 135000 THEN ['compensation_floor'] ELSE [] END,
+_GATES = f"""(list_concat(CASE WHEN remote = false THEN ['remote-only'] ELSE [] END, CASE WHEN {_QUOTED} < 135000 THEN ['compensation-floor'] ELSE [] END,
 CASE WHEN right(company, 9) = '000000007' THEN ['blacklist'] ELSE [] END, CASE WHEN right(company, 9) = '000000011' THEN ['blacklist'] ELSE [] END, CASE WHEN (k // 2) % 4 = 2 THEN ['ideological'] ELSE [] END))"""
 
 
@@ -280,7 +280,7 @@ def gate_counts(spark, d):
 @query(f"WITH {POSTINGS_SQL} SELECT pos, 'quoted max $' || ({_QUOTED}) || ' below floor $135000' AS reason FROM p WHERE {_QUOTED} < 135000")
 def gate_comp_floor(spark, d):
     f = _extracted(spark, d).select("pos", F.explode(triage.gate_failures(CONFIG)).alias("f"))
-    return f.where("f.gate = 'compensation_floor'").select("pos", F.col("f.reason").alias("reason"))
+    return f.where("f.gate = 'compensation-floor'").select("pos", F.col("f.reason").alias("reason"))
 
 
 @query(f"""WITH {POSTINGS_SQL} SELECT pos, {_LEVEL}::BIGINT AS level, {_COMP} AS compensation, {_REMOTE}::BIGINT AS remote_points,
@@ -358,7 +358,7 @@ def field_diff(spark, d):
 
 
 @query(f"""WITH {POSTINGS_SQL}, g AS (SELECT pos, k, {_GATES} AS g FROM p)
-SELECT pos, CASE WHEN k % 11 = 0 THEN 'reingest_suppressed' ELSE array_to_string(list_concat([CASE WHEN k % 2 = 0 THEN 'updated' ELSE 'ingested' END], CASE WHEN len(g) > 0 THEN list_transform(g, lambda x: 'rejected') ELSE ['scored'] END), ',') END AS events, CASE WHEN k % 11 <> 0 THEN (k % 4 + 2)::BIGINT END AS revision FROM g""")
+SELECT pos, CASE WHEN k % 11 = 0 THEN 'reingest_suppressed' ELSE array_to_string(list_concat([CASE WHEN k % 2 = 0 THEN 'updated' ELSE 'ingested' END], CASE WHEN len(g) > 0 THEN list_transform(g, lambda x: 'rejected') ELSE ['scored'] END), ',') END AS events, CASE WHEN k % 11 <> 0 THEN (k % 4 + 1)::BIGINT END AS revision FROM g""")
 def decide_ingest_events(spark, d):
     p = triage.with_score(_extracted(spark, d), CONFIG)
     k = F.col("pos")
@@ -393,3 +393,4 @@ def thousands(spark, d):
 
 from . import commands as _commands  # noqa: E402, F401  registers its queries here
 from . import cores as _cores  # noqa: E402, F401  and here
+from . import logs as _logs  # noqa: E402, F401  and here

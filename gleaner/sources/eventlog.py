@@ -1,16 +1,18 @@
-"""The event log: JSON lines, append-only. A Python data source reads and writes it, in batches and as a stream.
+"""The event log: JSON lines, append-only. A Python data source gives and takes whole lines, in Arrow batches, as a batch and
+as a stream; what a line holds is decoded, checked and brought to its type's version by Spark.
 
 A file that doesn't end in a line feed has an uncommitted last line, which is dropped (by bytes, so a character
 cut in two does no harm). A committed line that can't be read, or has an unknown version, is an error.
 
 `ordinal`, the order of the log, is the byte at which a line begins: so neither the driver nor a task has to know
-what lies before its own range, and ranges of one file are read, and streamed, by many tasks. The number of a
-line is counted only for the message of an error. Files are reached through pyarrow's file systems; appending
-needs a local or mounted one, as it locks.
+what lies before its own range, and ranges of one file are read, and streamed, by many tasks. Errors name a line by
+it; line_number() counts. Files are reached through pyarrow's file systems; appending needs a local or mounted one, as
+it locks. segments.py has a log without a lock, in many files.
 """
 
 from __future__ import annotations
 
+import contextlib
 import fcntl
 import json
 import os
@@ -18,17 +20,21 @@ import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "ordinal long, envelope_version int, id string, stream string, seq long, type string, schema_version int, occurred_at timestamp, recorded_at timestamp, causation_id string, correlation_id string, payload string"
 _REQUIRED = ["envelope_version", "id", "stream", "seq", "type", "schema_version", "occurred_at", "recorded_at", "correlation_id", "payload"]
 SPLIT_BYTES = 32 << 20
 _STEP = 1 << 16
 
-#: What brings a payload of (type, version) to the next version.
-Upcasts = dict[tuple[str, int], Callable[[dict], dict]]
+_BLOCK = 4 << 20
+
+#: What brings a payload (a VARIANT) of (type, version) to the next version.
+Upcasts = dict[tuple[str, int], Callable[[Column], Column]]
 
 
 def _store(path: str):
@@ -61,8 +67,8 @@ def committed_end(path: str, least: int = 0) -> int:
     return least
 
 
-def lines(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(byte, line) of the committed lines that begin in [start, end); the last one may go on behind it."""
+def blocks(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(byte, whole committed lines) of the lines that begin in [start, end); the last one may go on behind it."""
     store, name = _store(path)
     with store.open_input_file(name) as f:
         at, held = start, b""
@@ -74,21 +80,29 @@ def lines(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
                 return
             at, held = at + cut, part[cut + 1 :]
         while at < end:
-            while (cut := held.find(b"\n")) < 0:
+            # the line with the range's last byte is the last one
+            cut = held.find(b"\n", max(0, end - 1 - at)) if at + len(held) >= end else -1
+            cut = held.rfind(b"\n") if cut < 0 else cut
+            if cut < 0 or (at + len(held) < end and len(held) < _BLOCK):
                 part = f.read(max(_STEP, len(held)))
-                if not part:
-                    return  # not committed
                 held += part
-            begin = 0
-            while cut >= 0 and at < end:
-                yield at, held[begin:cut]
-                at += cut + 1 - begin
-                begin = cut + 1
-                cut = held.find(b"\n", begin)
-            held = held[begin:]
+                if part:
+                    continue
+                if cut < 0:
+                    return  # not committed
+            yield at, held[: cut + 1]
+            at, held = at + cut + 1, held[cut + 1 :]
+
+
+def lines(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(byte, line) of the committed lines that begin in [start, end)."""
+    for at, block in blocks(path, start, end):
+        for line in block.split(b"\n")[:-1]:
+            yield at, line
+            at += len(line) + 1
 
 
-def _number(path: str, ordinal: int) -> int:
+def line_number(path: str, ordinal: int) -> int:
     """The number of the line that begins at this byte."""
     store, name = _store(path)
     n = 1
@@ -98,23 +112,60 @@ def _number(path: str, ordinal: int) -> int:
     return n
 
 
-def decode(line: bytes, ordinal: int, upcasts: Upcasts | None = None, current: dict[str, int] | None = None) -> tuple | None:
-    """A line as a row; None for a blank one. Older payloads are brought to the type's current version (1 if none is named)."""
-    if not line.strip():
-        return None
-    try:
-        e = json.loads(line.decode("utf-8"))
-    except ValueError as x:
-        raise ValueError(f"not JSON: {x}") from None
-    if not isinstance(e, dict) or (missing := [k for k in _REQUIRED if k not in e]):
-        raise ValueError(f"fields are missing: {missing if isinstance(e, dict) else 'all'}")
-    version, wanted, payload = e["schema_version"], (current or {}).get(e["type"], 1), e["payload"]
-    while version != wanted and (step := (upcasts or {}).get((e["type"], version))) is not None:
-        version, payload = version + 1, step(payload)
-    if e["envelope_version"] != 1 or version != wanted:
-        raise ValueError(f"unknown version {e['envelope_version']}/{e['schema_version']} of {e['type']}")
-    when = lambda k: datetime.fromisoformat(e[k].replace("Z", "+00:00"))
-    return (ordinal, 1, e["id"], e["stream"], int(e["seq"]), e["type"], version, when("occurred_at"), when("recorded_at"), e.get("causation_id"), e["correlation_id"], json.dumps(payload, separators=(",", ":"), ensure_ascii=False))
+# -- what a line holds ------------------------------------------------------------------------------------
+
+_ENVELOPE = SCHEMA.replace("ordinal long, ", "") + ", _bad string"
+
+
+def _upcast(e: Column, upcasts: Upcasts, current: dict[str, int]) -> tuple[Column, Column, Column]:
+    """(payload, its version, the version that its type is at) of an envelope."""
+    payload, version = e["payload"], e["schema_version"]
+    for kind, of in sorted(upcasts):
+        due = (e["type"] == kind) & (version == of)
+        payload, version = F.when(due, F.to_json(upcasts[kind, of](F.parse_json(payload)))).otherwise(payload), F.when(due, version + 1).otherwise(version)
+    wanted = F.lit(1)
+    for kind, v in current.items():
+        wanted = F.when(e["type"] == kind, v).otherwise(wanted)
+    return payload, version, wanted
+
+
+def decoded(raw: DataFrame, upcasts: Upcasts | None = None, current: dict[str, int] | None = None, *keys: str) -> DataFrame:
+    """Rows of SCHEMA from (ordinal, line, keys); blank lines give none. Older payloads are brought to the type's current
+    version (1 if none is named). A line that isn't an event of a known version is an error, whatever is read of it."""
+    text = F.col("line").cast("string")
+    names = [c.split()[0] for c in SCHEMA.split(", ")][1:]
+
+    def checked(e: Column) -> Column:
+        payload, version, wanted = _upcast(e, upcasts or {}, current or {})
+        missing = F.array_compact(F.array(*(F.when(e[k].isNull(), F.lit(k)) for k in _REQUIRED)))
+        found = (
+            F.when(~F.is_valid_utf8(text), "not UTF-8").when(e.isNull() | e["_bad"].isNotNull(), "not JSON of an event")
+            .when(F.size(missing) > 0, F.concat(F.lit("fields are missing: "), F.array_join(missing, ", ")))
+            .when((e["envelope_version"] != 1) | (version != wanted), F.concat(F.lit("unknown version "), e["envelope_version"].cast("string"), F.lit("/"), e["schema_version"].cast("string"), F.lit(" of "), e["type"]))
+        )
+        out = F.struct(*((payload if n == "payload" else version if n == "schema_version" else e[n]).alias(n) for n in names))
+        error = F.raise_error(F.concat(F.lit("line at byte "), F.col("ordinal").cast("string"), F.lit(": "), found))
+        return F.when(found.isNull(), out).otherwise(error.cast(_TYPE))
+
+    one = F.from_json(text, _ENVELOPE, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    # rows come out of a generator, so that no projection passes over the check
+    blank = F.length(F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))) == 0
+    events = F.when(blank, F.array().cast(f"array<{_TYPE}>")).otherwise(F.transform(F.array(one), checked))
+    return raw.select(*keys, "ordinal", F.inline(events))
+
+
+_TYPE = "struct<" + ",".join(":".join(c.split()) for c in SCHEMA.split(", ")[1:]) + ">"
+
+
+def encoded(events: DataFrame) -> DataFrame:
+    """(line) of rows of SCHEMA: an event's JSON and a line feed; fields without a value are left out, a payload that isn't JSON is an error."""
+    fields = [c.split()[0] for c in SCHEMA.split(", ")][1:-1]
+    head = F.to_json(F.struct(*fields), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"})
+    payload = F.when(F.try_parse_json("payload").isNotNull(), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload of event "), "id", F.lit(" is not JSON"))))
+    return events.select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"payload":'), F.regexp_replace(payload, "[\r\n]", " "), F.lit("}\n")).alias("line"))
+
+
+# -- the source of lines ------------------------------------------------------------------------------------
 
 
 class _Range(InputPartition):
@@ -123,27 +174,26 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options, upcasts: Upcasts, current: dict[str, int]):
+    def __init__(self, options):
         self.path, self.split = options["path"], int(options.get("splitbytes", SPLIT_BYTES))
-        self.upcasts, self.current = upcasts, current
+        self.since, self.until = int(options.get("since", 0)), int(options["until"]) if "until" in options else None
 
     def ranges(self, start: int, end: int):
         return [_Range(at, min(end, at + self.split)) for at in range(start, end, self.split)] or [_Range(0, 0)]
 
     def partitions(self):
         """Ranges of bytes, from the file's size alone."""
-        return self.ranges(0, _size(self.path))
+        end = _size(self.path)
+        return self.ranges(self.since, end if self.until is None else min(end, self.until))
 
     def read(self, partition):
         if partition.at == partition.end:
             return
-        for at, line in lines(self.path, partition.at, partition.end):
-            try:
-                row = decode(line, at, self.upcasts, self.current)
-            except ValueError as x:
-                raise ValueError(f"line {_number(self.path, at)}: {x}") from None
-            if row is not None:
-                yield row
+        for at, block in blocks(self.path, partition.at, partition.end):
+            ends = np.flatnonzero(np.frombuffer(block, np.uint8) == 10) + 1
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            whole = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(block)])
+            yield pa.RecordBatch.from_arrays([pa.array(offsets[:-1].astype(np.int64) + at), whole], ["ordinal", "line"])
 
 
 class _StreamReader(_Reader, DataSourceStreamReader):
@@ -166,59 +216,72 @@ class _StreamReader(_Reader, DataSourceStreamReader):
 
 
 class _Staged(WriterCommitMessage):
-    def __init__(self, file: str, size: int):
-        self.file, self.size = file, size
+    def __init__(self, file: str):
+        self.file = file
 
 
-class _Writer(DataSourceWriter):
-    """Tasks put their events, which have ids and sequence numbers, in files beside the log; the driver's commit appends them."""
+class _Writer(DataSourceArrowWriter):
+    """Tasks put their lines in files beside the log; the driver's commit appends them, all or none."""
 
     def __init__(self, options):
         self.path, self.batch = options["path"], uuid.uuid4().hex
         self.as_of = int(options["asof"]) if "asof" in options else None
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
         context = TaskContext.get()
         file = f"{self.path}.{self.batch}-{context.partitionId()}-{context.taskAttemptId()}"
         with open(file, "wb") as f:
-            size = sum(f.write(line_of(r.asDict())) for r in rows)
-        return _Staged(file, size)
+            for batch in batches:
+                # lines lie behind one another in an Arrow column
+                column = batch.column(0).cast(pa.large_binary())
+                _, places, data = column.buffers()
+                places = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1]
+                if len(column):
+                    f.write(memoryview(data)[places[0] : places[-1]])
+        return _Staged(file)
 
     def commit(self, messages):
-        with _locked(self.path, self.as_of) as log:
-            for m in messages:
-                if m is not None:
-                    with open(m.file, "rb") as f:
-                        while part := f.read(1 << 20):
-                            log.write(part)
-        self.abort(messages)
+        try:
+            with _locked(self.path, self.as_of) as log:
+                for m in messages:
+                    if m is not None:
+                        with open(m.file, "rb") as f:
+                            while part := f.read(1 << 20):
+                                log.write(part)
+        finally:
+            self.abort(messages)
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.file):
-                os.remove(m.file)
+        """Nothing that this batch has staged stays, files of attempts that failed included."""
+        folder = os.path.dirname(self.path) or "."
+        mine = f"{os.path.basename(self.path)}.{self.batch}-"
+        for name in os.listdir(folder) if os.path.isdir(folder) else ():
+            if name.startswith(mine):
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(os.path.join(folder, name))
 
 
-class EventLog(DataSource):
-    """format("eventlog").option("path", ...): see the module. Subclasses may name UPCASTS, and a CURRENT version by type."""
+class EventLines(DataSource):
+    """format("eventlines").option("path", ...): (ordinal, line) of committed lines, to be read as a batch or a stream; lines to append.
 
-    UPCASTS: Upcasts = {}
-    CURRENT: dict[str, int] = {}
+    Options: splitbytes; since and until, bytes between which lines begin (batches); asof, the committed end that a
+    writer's caller has read.
+    """
 
     @classmethod
     def name(cls):
-        return "eventlog"
+        return "eventlines"
 
     def schema(self):
-        return SCHEMA
+        return "ordinal long, line binary"
 
     def reader(self, schema):
-        return _Reader(self.options, self.UPCASTS, self.CURRENT)
+        return _Reader(self.options)
 
     def streamReader(self, schema):
-        return _StreamReader(self.options, self.UPCASTS, self.CURRENT)
+        return _StreamReader(self.options)
 
     def writer(self, schema, overwrite):
         if overwrite:
@@ -226,9 +289,22 @@ class EventLog(DataSource):
         return _Writer(self.options)
 
 
-def register(spark: SparkSession, upcasts: Upcasts | None = None, current: dict[str, int] | None = None) -> None:
-    """Make the source known, with upcasts if there are any; types without a current version are at version 1."""
-    spark.dataSource.register(type("EventLog", (EventLog,), {"UPCASTS": upcasts or {}, "CURRENT": current or {}}) if upcasts or current else EventLog)
+def read(spark: SparkSession, path: str, upcasts: Upcasts | None = None, current: dict[str, int] | None = None, **options) -> DataFrame:
+    """Rows of SCHEMA of a log's committed lines; none if there is no file."""
+    spark.dataSource.register(EventLines)
+    return decoded(spark.read.format("eventlines").options(path=path, **options).load(), upcasts, current)
+
+
+def read_stream(spark: SparkSession, path: str, upcasts: Upcasts | None = None, current: dict[str, int] | None = None, **options) -> DataFrame:
+    spark.dataSource.register(EventLines)
+    return decoded(spark.readStream.format("eventlines").options(path=path, **options).load(), upcasts, current)
+
+
+def write(events: DataFrame, path: str, as_of: int | None = None) -> None:
+    """Append rows of SCHEMA, which have ids and sequence numbers, in the order of their partitions: one commit."""
+    events.sparkSession.dataSource.register(EventLines)
+    out = encoded(events).write.format("eventlines").option("path", path).mode("append")
+    (out if as_of is None else out.option("asof", as_of)).save()
 
 
 def stream_of(log: DataFrame, stream: str) -> DataFrame:
@@ -277,9 +353,12 @@ class _locked:
         return self.f
 
     def __exit__(self, kind, *_):
-        if kind is None:
-            self.f.flush()
-            os.fsync(self.f.fileno())
+        if kind is not None:  # half a batch is none
+            with contextlib.suppress(OSError):
+                self.f.flush()
+            os.truncate(self.path, self.end)
+        self.f.flush()
+        os.fsync(self.f.fileno())
         self.f.close()
 
 
@@ -293,8 +372,9 @@ def append(path: str, events: list[dict], expected: dict[str, int], as_of: int =
         last = dict(expected) if as_of else dict.fromkeys(expected, 0)
         end = committed_end(path)
         for at, line in lines(path, as_of, end) if end > as_of else ():
-            if row := decode(line, at):
-                last[row[3]] = max(last.get(row[3], 0), row[4])
+            if line.strip():
+                e = json.loads(line)
+                last[e["stream"]] = max(last.get(e["stream"], 0), e["seq"])
         for stream, seq in expected.items():
             if last.get(stream, 0) != seq:
                 raise Conflict(f"{stream}: expected {seq}, found {last.get(stream, 0)}")

@@ -15,7 +15,7 @@ from email.utils import parsedate_to_datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.extraction import comp, html_text, remote, req_id
+from ..functions.extraction import comp, main_text, remote, req_id
 from ..functions.text import company_from_title, url_host
 
 # Seconds of the pause, of a wait that no one named, and of the longest one; retries.
@@ -88,14 +88,14 @@ def pages(urls: DataFrame, fetcher: Fetcher, pause: float = PAUSE) -> DataFrame:
 def local_files(spark: SparkSession, path: str) -> DataFrame:
     """Postings dropped as files: path, title, company, req_id, location, remote, comp, url, raw_text, error.
 
-    HTML gives its text and the title element; other files are taken as they are, titled by their first line that isn't
+    HTML gives its title and its main text, as a fetched page does; other files are taken as they are, titled by their first line that isn't
     blank, without leading #. The company comes from the title. A file without text is an error.
     """
     f = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     is_html = F.col("path").rlike(r"(?i)\.html?$")
-    head = F.trim(F.regexp_extract("value", r"(?is)<title[^>]*>(.*?)</title>", 1))
     first = F.regexp_replace(F.trim(F.regexp_extract("value", r"(?m)^[ \t]*(\S[^\r\n]*)", 1)), r"^#+\s*", "")
-    f = f.withColumns({"raw_text": F.when(is_html, html_text(F.when(is_html, F.col("value")))).otherwise(F.col("value")), "title": F.when(is_html, F.nullif(head, F.lit(""))).otherwise(F.nullif(first, F.lit("")))})
+    f = f.withColumn("_main", main_text(F.when(is_html, F.col("value"))))
+    f = f.withColumns({"raw_text": F.when(is_html, F.col("_main.text")).otherwise(F.col("value")), "title": F.when(is_html, F.col("_main.title")).otherwise(F.nullif(first, F.lit("")))})
     empty = F.coalesce(F.trim(F.regexp_replace("raw_text", r"\s+", " ")) == "", F.lit(True))
     nothing = F.lit(None).cast("string")
     return f.select(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import records
-from gleaner.operators import commands
+from gleaner.operators import commands, decide, ingest
 from gleaner.sources import config, fetch
 
 
@@ -107,3 +107,24 @@ def test_local_files(spark, tmp_path):
     assert (rows["a.md"[-4:]].title, rows["a.md"[-4:]].company, rows["a.md"[-4:]].req_id, rows["a.md"[-4:]].remote) == ("Dev — Acme", "Acme", "R-77", True)
     assert (rows["html"].title, rows["html"].raw_text, rows["html"].company) == ("Ops at Beta Corp", "hi", "Beta Corp")
     assert rows[".txt"].error == "no text"
+
+
+def test_dropped_html_gives_its_main_text(spark, tmp_path):
+    """Navigation is no part of a posting: a word in it must not make a remote one local."""
+    (tmp_path / "a.HTM").write_text("<title>Dev at Beta Corp</title><nav>hybrid jobs</nav><article><p>We are remote. $120k - $150k</p></article>")
+    (r,) = fetch.local_files(spark, str(tmp_path)).collect()
+    assert (r.title, r.company, r.raw_text, r.remote, r.comp.max) == ("Dev at Beta Corp", "Beta Corp", "We are remote. $120k - $150k", True, 150_000)
+
+
+def test_ashby_job_is_named_by_the_last_segment(spark):
+    body = '{"jobs":[{"id":"j7","title":"T","descriptionHtml":"<p>remote</p>"}]}'
+    rows = [(u, None, body, None, None) for u in ("https://jobs.ashbyhq.com/b/j7", "https://jobs.ashbyhq.com/b/j7/", "https://jobs.ashbyhq.com/b/team/j7", "https://jobs.ashbyhq.com/b/j7/application", "https://jobs.ashbyhq.com/")]
+    got = ingest.extract(spark.createDataFrame(rows, "url string, final_url string, api_body string, html string, fetch_error string")).collect()
+    assert [r.posting and r.posting.title for r in got] == ["T", "T", "T", None, None]
+
+
+@pytest.mark.parametrize(("before", "failures", "revision"), [(None, [], 1), (0, ["remote-only"], 1), (1, ["blacklist", "ideological"], 2), (1, [], 2)])
+def test_a_snapshot_and_its_evaluation_share_a_revision(spark, before, failures, revision):
+    df = spark.createDataFrame([(before, [(g, "why") for g in failures], None if failures else 50)], "r long, f array<struct<gate:string,reason:string>>, c long")
+    for events in (decide.decide_ingest(F.lit(True), F.lit(None), F.col("r"), F.col("f"), F.col("c")), commands._judged(F.col("f"), F.col("c"), F.col("r"))):
+        assert {e.revision for e in df.select(events.alias("e")).first().e if e.type in ("scored", "rejected")} == {revision}

@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gleaner.operators.discovery import PAGE, CreditsExhausted, fetch_within_budget
 from gleaner.sources import eventlog
@@ -13,8 +15,7 @@ def event(i, stream="lead/a", **more):
 
 
 def rows(spark, path):
-    eventlog.register(spark)
-    return spark.read.format("eventlog").option("path", str(path)).option("splitbytes", "300").load().orderBy("ordinal").collect()
+    return eventlog.read(spark, str(path), splitbytes="300").orderBy("ordinal").collect()
 
 
 def test_round_trip_and_conflict(spark, tmp_path):
@@ -47,8 +48,12 @@ def test_torn_tail(spark, tmp_path):
 def test_committed_damage_raises(spark, tmp_path, line):
     log = tmp_path / "log.jsonl"
     log.write_text(json.dumps(event(1)) + "\n" + line + "\n")
-    with pytest.raises(Exception, match="line 2"):
+    at = len(json.dumps(event(1))) + 1
+    with pytest.raises(Exception, match=f"line at byte {at}: "):
         rows(spark, log)
+    with pytest.raises(Exception, match=f"line at byte {at}: "):  # nothing of the line is read
+        eventlog.read(spark, str(log)).count()
+    assert eventlog.line_number(str(log), at) == 2
 
 
 def test_missing_file_is_empty(spark, tmp_path):
@@ -60,8 +65,7 @@ def test_stream_reads_what_is_committed(spark, tmp_path):
     eventlog.append(str(log), [event(1), event(2)], {})
     with log.open("ab") as f:
         f.write(b'{"torn')
-    eventlog.register(spark)
-    q = spark.readStream.format("eventlog").option("path", str(log)).load().writeStream.format("memory").queryName("log_rows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = eventlog.read_stream(spark, str(log)).writeStream.format("memory").queryName("log_rows").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     q.stop()
     assert [r.seq for r in spark.table("log_rows").orderBy("ordinal").collect()] == [1, 2]
@@ -81,29 +85,62 @@ def test_ranges_of_any_size_hold_each_line_once(tmp_path):
 def test_upcasts_and_overlay(spark, tmp_path):
     log = str(tmp_path / "log.jsonl")
     eventlog.append(log, [event(1), event(2, schema_version=2), event(1, "lead/b", schema_version=3)], {})
-    steps = {("scored", 1): lambda p: p | {"two": True}, ("scored", 2): lambda p: p | {"three": p["composite"]}}
-    eventlog.register(spark, steps, {"scored": 3})
-    df = spark.read.format("eventlog").option("path", log).load()
+    n = lambda p: F.variant_get(p, "$.composite", "long")
+    steps = {("scored", 1): lambda p: F.to_variant_object(F.struct(n(p).alias("composite"), F.lit(True).alias("two"))), ("scored", 2): lambda p: F.parse_json(F.concat(F.regexp_replace(F.to_json(p), "}$", ""), F.lit(',"three":'), n(p).cast("string"), F.lit("}")))}
+    df = eventlog.read(spark, log, steps, {"scored": 3})
     got = [(r.schema_version, json.loads(r.payload)) for r in df.orderBy("ordinal").collect()]
     assert got == [(3, {"composite": 1, "two": True, "three": 1}), (3, {"composite": 2, "three": 2}), (3, {"composite": 1})]
     more = spark.createDataFrame([(5, "lead/a", 3), (6, "lead/c", 1)], "ordinal long, stream string, seq long")
     both = eventlog.overlay(df, more)
     assert [r.stream for r in both.orderBy("ordinal").collect()] == ["lead/a", "lead/a", "lead/b", "lead/a", "lead/c"] and eventlog.stream_of(both, "lead/a").count() == 3
-    eventlog.register(spark)
+    with pytest.raises(Exception, match="unknown version 1/1 of scored"):
+        eventlog.read(spark, log, {}, {"scored": 3}).collect()
 
 
 def test_writer_appends_what_tasks_stage(spark, tmp_path):
     log = str(tmp_path / "log.jsonl")
-    eventlog.register(spark)
     eventlog.append(log, [event(1)], {})
-    df = spark.read.format("eventlog").option("path", log).load()
+    df = eventlog.read(spark, log)
     more = df.crossJoin(spark.range(1, 6).withColumnRenamed("id", "n")).selectExpr("ordinal", "envelope_version", "concat(id, '-', n) as id", "stream", "seq + n as seq", "type", "schema_version", "occurred_at", "recorded_at", "id as causation_id", "correlation_id", "payload")
-    more.coalesce(1).write.format("eventlog").option("path", log).option("asof", eventlog.committed_end(log)).mode("append").save()
+    eventlog.write(more.coalesce(1), log, eventlog.committed_end(log))
     got = rows(spark, log)
     assert [r.seq for r in got] == [1, 2, 3, 4, 5, 6] and got[5].causation_id == "e1" and got[0].occurred_at == got[5].occurred_at
     assert [p.name for p in tmp_path.iterdir()] == ["log.jsonl"]
     with pytest.raises(Exception, match="has grown"):
-        more.write.format("eventlog").option("path", log).option("asof", 1).mode("append").save()
+        eventlog.write(more, log, 1)
+    assert [p.name for p in tmp_path.iterdir()] == ["log.jsonl"]
+
+
+def test_a_commit_that_fails_leaves_nothing(spark, tmp_path, monkeypatch):
+    log = str(tmp_path / "log.jsonl")
+    eventlog.append(log, [event(1)], {})
+    before = (tmp_path / "log.jsonl").read_bytes()
+    w = eventlog._Writer({"path": log})
+    parts = []
+    for i in (1, 2):
+        parts.append(f"{log}.{w.batch}-{i}-0")
+        with open(parts[-1], "wb") as f:
+            f.write(json.dumps(event(i + 1)).encode() + b"\n")
+    os.remove(parts[1])  # the second part can't be read
+    with pytest.raises(FileNotFoundError):
+        w.commit([eventlog._Staged(p) for p in parts])
+    assert (tmp_path / "log.jsonl").read_bytes() == before and [p.name for p in tmp_path.iterdir()] == ["log.jsonl"]
+    # a task that fails ends the batch: no part of it is appended, none stays
+    bad = eventlog.read(spark, log).withColumn("payload", F.lit("{"))
+    with pytest.raises(Exception, match="payload of event e1 is not JSON"):
+        eventlog.write(bad, log)
+    assert (tmp_path / "log.jsonl").read_bytes() == before and [p.name for p in tmp_path.iterdir()] == ["log.jsonl"]
+
+
+def test_blocks_of_long_lines_and_odd_bytes(spark, tmp_path):
+    log = tmp_path / "log.jsonl"
+    big = event(1, payload={"t": "é" * 300_000})
+    log.write_bytes(b"\n \n" + json.dumps(big, ensure_ascii=False).encode() + b"\n\n" + json.dumps(event(2)).encode() + b"\n")
+    for size in (1000, 100_000, 10**7):
+        assert [(r.seq, r.ordinal) for r in eventlog.read(spark, str(log), splitbytes=size).orderBy("ordinal").collect()] == [(1, 3), (2, log.stat().st_size - len(json.dumps(event(2))) - 1)]
+    log.write_bytes(json.dumps(event(1)).encode()[:-2] + b',"x":"\xff"}}\n')
+    with pytest.raises(Exception, match="line at byte 0: not UTF-8"):
+        rows(spark, log)
 
 
 @given(st.integers(0, 3000), st.integers(0, 3000), st.one_of(st.none(), st.integers(1, 3000)))

@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.operators import discovery, ingest, run, triage, views
-from gleaner.sources import config, eventlog
+from gleaner.sources import config, eventlog, segments
 from gleaner.streaming import fold
 
 LD = '<script type="application/ld+json">{"@type":"JobPosting","title":"From LD at Beta","description":"<p>remote, pays $150,000 a year. Req ID: LD-7</p>"}</script>'
@@ -64,7 +65,7 @@ def record(i, **more):
 
 
 def test_discover(spark, tmp_path):
-    log, asked = str(tmp_path / "log.jsonl"), []
+    log, asked = str(tmp_path / "log"), []
     s = settings()
     data = [record(1), record(2, company="Evil Inc"), record(3), record(3, description="other words")]
 
@@ -79,21 +80,22 @@ def test_discover(spark, tmp_path):
     assert run.discover(spark, log, s, sources, dry_run=True, ask=lambda names: False) is None and not asked
     want = {"new": 3, "updated": 1, "suppressed": 0, "rejected": 1, "failed": 1, "failed_sources": [], "truncated_results": 4, "unknown_workplace": 0, "unknown_salary": 1, "strict_would_drop": 1, "rejected_by_source": {"paid": 1}, "failed_source_reasons": {}, "credits_spent_by_source": {"paid": 4}}
     dry = run.discover(spark, log, s, sources, dry_run=True, yes=True).asDict()
-    assert {k: dry[k] for k in want} == want and dry["dry_run"] and not eventlog.committed_end(log)
+    assert {k: dry[k] for k in want} == want and dry["dry_run"] and not segments.last(spark, log)
+    # what the dry run has paid for is not asked for again
     real = run.discover(spark, log, s, sources).asDict()
-    assert {k: real[k] for k in want} == want and "discovered_at_gte" not in asked[-1]
+    assert {k: real[k] for k in want if k not in ("credits_spent_by_source", "truncated_results")} == {k: v for k, v in want.items() if k not in ("credits_spent_by_source", "truncated_results")} and not real["credits_spent_by_source"]
+    assert len(asked) == 1 and "discovered_at_gte" not in asked[-1]
 
-    eventlog.register(spark)
-    events = views.typed(spark.read.format("eventlog").option("path", log).load())
+    events = views.typed(segments.read(spark, log))
     kinds = [(r.type, r.seq) for r in events.orderBy("ordinal").collect()]
     assert [k for k, _ in kinds] == ["ingested", "scored", "ingested", "scored", "ingested", "rejected", "ingested", "scored", "updated", "scored", "discovery"] and [n for _, n in kinds] == [1, 2, 1, 2, 1, 2, 1, 2, 3, 4, 1]
     book = {r.extracted.title: r for r in views.lead_record(events.where("lead_id is not null")).collect()}
-    assert set(book) == {"Ops — Gamma", "T1", "T2", "T3"} and book["T3"].source == "paid" and book["T3"].url == "https://ex.com/3" and book["T2"].latest_rejection.gate == "blacklist" and book["T3"].latest_score.revision == 4
+    assert set(book) == {"Ops — Gamma", "T1", "T2", "T3"} and book["T3"].source == "paid" and book["T3"].url == "https://ex.com/3" and book["T2"].latest_rejection.gate == "blacklist" and book["T3"].latest_score.revision == 2
 
     # the next run: the cursor, marks that hold, a source that fails
     t1 = book["T1"].lead_id
-    mark = {"envelope_version": 1, "id": "m", "stream": f"lead/{t1}", "seq": 3, "type": "reviewed", "schema_version": 1, "occurred_at": "2024-02-01T00:00:00Z", "recorded_at": "2024-02-01T00:00:00Z", "correlation_id": "c", "payload": {"mark": "ignore"}}
-    eventlog.append(log, [mark], {f"lead/{t1}": 2})
+    mark = {"envelope_version": 1, "id": "m", "stream": f"lead/{t1}", "seq": 3, "type": "reviewed", "schema_version": 1, "occurred_at": "2024-02-01T00:00:00Z", "recorded_at": "2024-02-01T00:00:00Z", "correlation_id": "c", "payload": '{"mark":"ignore"}'}
+    segments.append(spark.createDataFrame([mark], "envelope_version int, id string, stream string, seq long, type string, schema_version int, occurred_at string, recorded_at string, correlation_id string, payload string").withColumns({"ordinal": F.lit(0).cast("long"), "causation_id": F.lit(None).cast("string"), **{c: F.col(c).cast("timestamp") for c in ("occurred_at", "recorded_at")}}), log, 1)
     free.get = lambda: "{}"
     again = run.discover(spark, log, s, sources).asDict()
     assert asked[-1]["discovered_at_gte"] == "2024-01-02T23:00:00Z" and asked[-1]["q"] == 1
@@ -102,7 +104,7 @@ def test_discover(spark, tmp_path):
     assert run.discover(spark, log, s, sources, only="off").asDict()["failed_sources"] == ["off"]
     with pytest.raises(ValueError, match="no such source"):
         run.discover(spark, log, s, sources, only="none")
-    state = views.aggregate_state(views.typed(spark.read.format("eventlog").option("path", log).load()).where("lead_id is not null"))
+    state = views.aggregate_state(views.typed(segments.read(spark, log)).where("lead_id is not null"))
     assert state.where("latest_mark = 'ignore'").first().seq == 4
 
 
@@ -116,9 +118,8 @@ def test_selection_and_typed_errors(spark, tmp_path):
     log = str(tmp_path / "log.jsonl")
     bad = {"envelope_version": 1, "id": "e", "stream": "lead/a", "seq": 1, "type": "ingested", "schema_version": 1, "occurred_at": "2024-01-01T00:00:00Z", "recorded_at": "2024-01-01T00:00:00Z", "correlation_id": "c", "payload": {"url": "u"}}
     eventlog.append(log, [bad], {})
-    eventlog.register(spark)
     with pytest.raises(Exception, match="lacks a field"):
-        views.typed(spark.read.format("eventlog").option("path", log).load()).collect()
+        views.typed(eventlog.read(spark, log)).collect()
 
 
 def test_edit_and_rescore_errors(spark):
@@ -178,3 +179,55 @@ def test_paid_feed_pushes_its_bound(spark, tmp_path):
     assert spark.read.format("paidfeed").option("budget", "3").load().count() == 3
     queries = [json.loads(x) for x in open(asked)]
     assert queries[0] == {"q": 1, "discovered_at_gte": "2024-01-05T00:00:00+01:00", "offset": 0, "limit": 500} and queries[-1]["limit"] == 3 and all("discovered_at_gte" in q for q in queries[:2])
+
+
+def test_a_run_that_is_overtaken_decides_anew_and_pays_once(spark, tmp_path, monkeypatch):
+    """Someone writes while the run fetches and while it decides: it is decided on what is there then."""
+    log, asked, s = str(tmp_path / "log"), [], settings()
+    other = str(tmp_path / "other")
+
+    def post(query):
+        asked.append(query)
+        return json.dumps({"data": [record(1), record(3)]})
+
+    feed = run.PaidFeed(s, "paid", post, lambda: None)
+    run.discover(spark, other, s, {"free": feed, "paid": feed, "off": feed}, only="paid", now="2024-01-01T00:00:00Z")
+    rows, real, n = segments.read(spark, other), ingest.ingest, []
+
+    def overtaken(*a):
+        if not n:
+            n.append(segments.append(rows, log))
+        return real(*a)
+
+    monkeypatch.setattr(ingest, "ingest", overtaken)
+    got = run.discover(spark, log, s, {"free": feed, "paid": feed, "off": feed}, only="paid").asDict()
+    assert len(asked) == 2 and (got["new"], got["updated"]) == (0, 2) and segments.last(spark, log) == 2
+    assert [(r.type, r.seq) for r in segments.read(spark, log, since=2).orderBy("ordinal").collect()] == [("updated", 3), ("scored", 4), ("updated", 3), ("scored", 4), ("discovery", 1)]
+
+
+def test_pages_that_are_paid_for_outlive_a_run_that_fails(spark, tmp_path, monkeypatch):
+    log, asked, s = str(tmp_path / "log"), [], settings()
+    monkeypatch.setattr(discovery, "PAGE", 2)
+    data = [record(i) for i in range(1, 6)]
+
+    def post(query):
+        asked.append((query["offset"], query["limit"]))
+        return json.dumps({"data": data[query["offset"] :][: query["limit"]]})
+
+    feed, fail = run.PaidFeed(s, "paid", post, lambda: None), ingest.ingest
+    sources = {"free": feed, "paid": feed, "off": feed}
+
+    def lost(*a):
+        raise RuntimeError("the driver is lost")
+
+    monkeypatch.setattr(ingest, "ingest", lost)
+    feed.post = lambda q: post(q) if q["offset"] < 2 else (_ for _ in ()).throw(OSError("down"))
+    with pytest.raises(RuntimeError, match="lost"):
+        run.discover(spark, log, s, sources, only="paid")
+    monkeypatch.setattr(ingest, "ingest", fail)
+    feed.post = post
+    got = run.discover(spark, log, s, sources, only="paid").asDict()
+    assert asked == [(0, 2), (2, 2), (4, 2)] and got["new"] == 5 and got["credits_spent_by_source"] == {"paid": 3}
+    # the inbox is done, the cursor has moved: the next run asks anew
+    run.discover(spark, log, s, sources, only="paid")
+    assert asked[3][0] == 0 and run.Inbox(spark, log, "paid").pages() == []
