@@ -30,6 +30,8 @@ from .common import most_frequent, once, settle, share, shared_map, ship
 
 #: Words that the lexicon holds at most; its size is bounded by this, whatever the corpus is.
 LEXICON_SIZE = 65_536
+#: Bytes of them at most: the driver builds a state for a byte (half a kilobyte of memory each until equal ones are shared).
+LEXICON_BYTES = 1 << 20
 #: Pieces of text whose ids a worker remembers.
 MEMO_SIZE = 400_000
 
@@ -155,7 +157,10 @@ class Vocabulary:
 
 
 #: Mark of a state where no word ends.
-NO_WORD = 2**32 - 1
+NO_WORD = -1
+#: Bits of an output's length in a word of 64, of which the rest is its place in the pool.
+_LENGTH = 24
+_ONES = (1 << _LENGTH) - 1
 
 
 class _State:
@@ -232,7 +237,7 @@ def build_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
             pooled[out] = (len(pool), len(out))
             pool.extend(out)
         at, n = pooled[out]
-        return at << 12 | n
+        return at << _LENGTH | n
 
     finals = []
     for i, s in enumerate(order):
@@ -241,8 +246,14 @@ def build_lexicon(entries: dict[bytes, tuple[int, ...]]) -> bytes:
             keys.append(i << 8 | b)
             targets.append(number[id(t)])
             outs.append(place(out))
+    if len(order) >= 1 << 24 or max(map(len, pooled)) >= 1 << _LENGTH:
+        raise ValueError("a lexicon of too many states, or a word of too many ids")
     head = struct.pack("<4I", len(order), len(keys), len(pool), 0)
-    return head + b"".join(np.array(x, "<u4").tobytes() for x in (finals, keys, targets, outs, pool))
+    return head + b"".join(np.array(x, kind).tobytes() for x, kind in zip((finals, outs, keys, targets, pool), _KINDS, strict=True))
+
+
+#: Of the flat form's arrays: what ends in a state, outputs of arcs, their states and bytes, where they lead, ids.
+_KINDS = ("<i8", "<i8", "<u4", "<u4", "<u4")
 
 
 class Lexicon:
@@ -251,10 +262,10 @@ class Lexicon:
     def __init__(self, view):
         states, arcs, pool, _ = struct.unpack_from("<4I", view)
         at, parts = 16, []
-        for n in (states, arcs, arcs, arcs, pool):
-            parts.append(np.frombuffer(view, "<u4", n, at))
-            at += 4 * n
-        self.finals, self.keys, self.targets, self.outs, self.pool = parts
+        for n, kind in zip((states, arcs, arcs, arcs, pool), _KINDS, strict=True):
+            parts.append(np.frombuffer(view, kind, n, at))
+            at += parts[-1].nbytes
+        self.finals, self.outs, self.keys, self.targets, self.pool = parts
 
     def find(self, words: list[bytes]) -> list[bytes | None]:
         """The ids of each word as little-endian 32-bit integers, or None for a word that isn't there."""
@@ -272,18 +283,18 @@ class Lexicon:
             on, at = on[hit], at[hit]
             state[on] = self.targets[at]
             out = self.outs[at]
-            some = out & 4095 > 0
+            some = out & _ONES > 0
             met.append((on[some], np.full(int(some.sum()), i), out[some]))
             on = on[size[on] > i + 1]
         last = self.finals[state]
         there &= last != NO_WORD
-        some = np.flatnonzero(there & (last & 4095 > 0))
+        some = np.flatnonzero(there & (last & _ONES > 0))
         met.append((some, size[some], last[some]))
         word, step, out = map(np.concatenate, zip(*met, strict=True))
         own = there[word]
-        word, step, out = word[own], step[own], out[own].astype(np.int64)
+        word, step, out = word[own], step[own], out[own]
         order = np.lexsort((step, word))
-        word, at, length = word[order], out[order] >> 12, out[order] & 4095
+        word, at, length = word[order], out[order] >> _LENGTH, out[order] & _ONES
         ends = np.cumsum(length)
         ids = self.pool[np.repeat(at - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
         bounds = np.concatenate([[0], np.cumsum(np.bincount(word, length, n).astype(np.int64))]) * 4
@@ -437,9 +448,10 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") ->
 
 
 def fit_lexicon(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = LEXICON_SIZE) -> bytes:
-    """The lexicon of the most frequent words, `size` at most, that occur twice at least."""
+    """The lexicon of the most frequent words, `size` and LEXICON_BYTES at most, that occur twice at least."""
     top = most_frequent(settle(count_words(docs, vocabulary, text).where("n > 1 and length(word) < 256")), size, 2)
-    return build_lexicon({bytes(r.word): tuple(vocabulary.merge(bytes(r.word))) for r in top})
+    room = np.cumsum([len(r.word) for r in top]) <= LEXICON_BYTES
+    return build_lexicon({bytes(r.word): tuple(vocabulary.merge(bytes(r.word))) for r, fits in zip(top, room, strict=True) if fits})
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = LEXICON_SIZE) -> DataFrame:
