@@ -141,8 +141,8 @@ def with_types(pages: DataFrame, least: int = 0, hot_share: int = HOT_SHARE) ->
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, least: int = 0) -> DataFrame:
     """Write pages to .warc.gz files in `path`; (file, records, bytes) of each, already written.
 
-    A file's name holds only its partition and its number; a task that is run again writes the same
-    names, each at first under another name and then moved, so a lost executor leaves no half file.
+    A file's name holds the attempt that wrote it: an attempt that is lost, or loses to another, leaves files that this
+    list doesn't have. The list, not the folder, says what the archives are; it is settled with the attempts that won.
     """
     ship(pages.sparkSession)
 
@@ -155,13 +155,11 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, le
         held, size, number, n = [], 0, 0, 0
 
         def flush():
-            name = f"{folder}/part-{context.partitionId():05d}-{number:04d}.warc.gz"
-            aside = f"{folder}/_{context.taskAttemptId()}-{number}.tmp"
-            with store.open_output_stream(aside) as f:
+            name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{number:04d}.warc.gz"
+            with store.open_output_stream(f"{folder}/{name}", compression=None) as f:
                 for x in held:
                     f.write(x)
-            store.move(aside, name)
-            return pa.record_batch([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
+            return pa.record_batch([pa.array([f"{path.rstrip('/')}/{name}"]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["file", "records", "bytes"])
 
         for batch in batches:
             for page, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -177,14 +175,17 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES, le
     return settle(with_types(pages, least).select("page_key", "url", "payload", "refers_key").mapInArrow(run, "file string, records long, bytes long"))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives in `path`; blocks as they stand."""
+def read_records(spark: SparkSession, archives: DataFrame) -> DataFrame:
+    """One row for each record of the archives, which are rows with a `file`; blocks as they stand. A task reads a file at a time."""
     ship(spark)
     key = lambda x: int(x.split(":")[2].rstrip(">"))
 
     def run(batches):
         for batch in batches:
-            for data in batch.column(0).to_pylist():
+            for file in batch.column(0).to_pylist():
+                store, name = _store(file)
+                with store.open_input_stream(name, compression=None) as f:
+                    data = f.read()
                 rows = []
                 for h, block in parse(data):
                     origin = h.get("warc-segment-origin-id") or h["warc-record-id"]
@@ -198,7 +199,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _records(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content").mapInArrow(run, RECORDS)
+    files = archives.select("file")
+    return files.repartition(max(1, files.count()), "file").mapInArrow(run, RECORDS)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
@@ -292,9 +294,10 @@ def round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES, least: int = 0) -
     """Write, read back, and tell for each page row what its record says."""
     spark = pages.sparkSession
     path = shared_dir(spark)
-    if not write_archives(pages, path, segment, least).limit(1).count():
+    archives = write_archives(pages, path, segment, least)
+    if not archives.limit(1).count():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    found = reassemble(read_records(spark, path), payloads=False)
+    found = reassemble(read_records(spark, archives), payloads=False)
     null = F.lit(2**63 - 1)
     back = lambda c: F.when(F.col(c) != null, F.col(c))
     return found.select(back("page_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", back("refers_key").alias("refers_to"))
