@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, doc_key, groups, looked_up, settle, ship, trim
-from .forest import usable
+from .forest import fine, usable
 
 THRESHOLD = 0.93
 CELL, CELL_BYTES = 4096, 16 << 20
@@ -243,9 +243,11 @@ def components_of(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "
     labelled = classes.join(labels, "rep", "left")
     # a component is named by the smallest id of its classes
     lowest = settle(labelled.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("size")))
-    of_class = looked_up(labelled, "component", lowest, "least", "size").join(counts, "rep", "left").select(F.col("label").alias("_label"), F.col("v").alias("_v"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.coalesce("least", "doc").alias("_component"))
-    rows = vectors.select(doc_key(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), F.col(label).alias("_label"))
+    of_class = looked_up(labelled, "component", lowest, "least", "size").join(counts, "rep", "left").select(F.struct("label", "v").alias("_key"), F.struct((F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("least", "doc").alias("component")).alias("_found"), "n")
+    # vectors that many rows share are looked up in a broadcast; rows that take no part have no key, and are dealt apart
+    v = F.col(vector).cast("array<double>")
+    rows = vectors.select(doc_key(key).alias("_id"), F.when(F.col(label).isNotNull() & fine(v), F.struct(F.col(label).alias("label"), v.alias("v"))).alias("_key"))
     null = F.lit(2**63 - 1)
     back = lambda c: F.when(c != null, c)
-    component = F.coalesce("_component", "_id")
-    return rows.join(of_class, ["_label", "_v"], "left").select(back(F.col("_id")).alias(key), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), back(component).alias("component_id"), (F.col("_id") == component).alias("kept"))
+    component = F.coalesce("_found.component", "_id")
+    return looked_up(rows, "_key", settle(of_class), "_found", "n").select(back(F.col("_id")).alias(key), F.coalesce("_found.links", F.lit(0)).cast("long").alias("n_links"), back(component).alias("component_id"), (F.col("_id") == component).alias("kept"))

@@ -25,7 +25,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix, settle, ship
@@ -39,12 +39,16 @@ MOST_DEPTH = 12
 BLOCK_ROWS = 8192
 
 
+def fine(v: Column) -> Column:
+    """Whether a vector (array<double>) takes part; null for null."""
+    return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", extra: tuple[str, ...] = ()) -> DataFrame:
     """(key, v array<double>, *extra) of rows that take part."""
     v = F.col("v")
     rows = vectors.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"), *extra)
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.where(F.col(key).isNotNull() & v.isNotNull()).where(fine)
+    return rows.where(F.col(key).isNotNull() & v.isNotNull()).where(fine(v))
 
 
 class Forest:
