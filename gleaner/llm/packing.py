@@ -240,18 +240,19 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", se
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
     capacity = sequence // grain
-    cut = settle(pieces(docs, path, key, text, sequence))
+    names = [key, "start", "length", "ids_crc32", "doc_tokens"]  # rows that tie in all of these are equal
     salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # a third of all pieces may be of one class: ranks are counted by class and salt, then shifted
-    dealt = cut.withColumns({"_class": F.expr(f"cast((length + {grain - 1}) div {grain} - 1 as int)"), "_salt": F.pmod(F.xxhash64(key, "start"), F.lit(salts))})
+    # a third of all pieces may be of one class: ranks are counted by class and salt, then shifted. Salts are written with
+    # the pieces and come from where they lie, so that rows without an id, and equal ones, are dealt too
+    cut = settle(pieces(docs, path, key, text, sequence).withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))))
+    dealt = cut.withColumn("_class", F.expr(f"cast((length + {grain - 1}) div {grain} - 1 as int)"))
     counts = settle(dealt.groupBy("_class", "_salt").agg(F.count("*").alias("_n")).coalesce(8))  # capacity * salts rows at most
     demand = np.zeros(capacity, np.int64)
     for r in counts.groupBy("_class").agg(F.sum("_n").alias("n")).collect():  # a row for each class: `capacity` at most
         demand[r["_class"]] = r["n"]
     shared = spark.sparkContext.broadcast(ranges(plan(demand, capacity)))
     shift = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_class", "_salt").orderBy(key, "start")) - 1).join(shift, ["_class", "_salt"])
-    names = [key, "start", "length", "ids_crc32", "doc_tokens"]
+    ranked = dealt.withColumn("_row", F.row_number().over(Window.partitionBy("_class", "_salt").orderBy(*names)) - 1).join(shift, ["_class", "_salt"])
 
     def place(batches):
         plans = shared.value
@@ -266,5 +267,5 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", se
 
     placed = ranked.select(*names, "_class", (F.col("_row") + F.col("_before")).alias("_rank")).mapInArrow(place, ", ".join(f"{n} long" for n in [*names, "sequence_id"]))
     # a sequence holds `sequence` pieces at most, so this window's groups are bounded
-    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), key, "start").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *names).rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
