@@ -37,7 +37,7 @@ MOST_BLOCKS = 500_000_000
 #: Sources come to the driver, one row each; more are an error.
 MOST_SOURCES = 100_000
 #: Rows of one window while documents are laid out.
-BAND_ROWS = 50_000
+BAND_ROWS = 4_000
 
 TAKEN = "source_no int, block long, copy int, shard long, place int, words long"
 
@@ -212,7 +212,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard: int = SHARD_WORDS, see
                     types = {"source_no": pa.int32(), "copy": pa.int32(), "place": pa.int32()}
                     yield pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.int64())) for k, v in columns.items()})
 
-    taken = spark.range(0, tasks, 1, tasks).mapInArrow(drawn, TAKEN)
+    taken = settle(spark.range(0, tasks, 1, tasks).mapInArrow(drawn, TAKEN))  # the plan of the shards; as files its size is known
     facts = spark.createDataFrame([(r["source"], i, r["words"], float(t)) for i, (r, t) in enumerate(zip(totals, targets, strict=True))], "_source string, source_no int, source_size long, target double")
     rows = rows.join(F.broadcast(facts), rows["source"].eqNullSafe(F.col("_source"))).drop("_source")  # MOST_SOURCES rows
     # equal rows become rows again, in slices so that no task makes them all
