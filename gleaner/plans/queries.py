@@ -393,4 +393,5 @@ def thousands(spark, d):
 
 from . import commands as _commands  # noqa: E402, F401  registers its queries here
 from . import cores as _cores  # noqa: E402, F401  and here
+from . import lists as _lists  # noqa: E402, F401  and here
 from . import logs as _logs  # noqa: E402, F401  and here
