@@ -1,17 +1,14 @@
 """Fields out of a posting's text: compensation, requisition id, remote work, years; text out of HTML.
 
-Matching and arithmetic stay in the JVM; Arrow functions serve HTML only.
+Matching and arithmetic stay in the JVM; Arrow functions serve HTML only (`html`).
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
+from .html import html_text, main_text  # noqa: F401
 from .text import col, let, prefix_bytes, strip, token_in
 
 # Patterns, bounds and factors that results depend on.
@@ -122,87 +119,3 @@ def level(title, text) -> Column:
         out = F.when(hit, points) if out is None else out.when(hit, points)
     by_years = let(years(text), lambda y: F.when(y.isNotNull(), F.floor(F.least(y, F.lit(15)) * 100 / 15)).otherwise(50))
     return out.otherwise(by_years).cast("long")
-
-
-# Elements whose text doesn't show, that begin a line, and that hold no article.
-_HIDDEN = {"script", "style", "head", "title", "template", "noscript"}
-_BLOCKS = {"p", "div", "li", "ul", "ol", "br", "tr", "table", "article", "main", "section", "nav", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
-_ASIDE = {"nav", "header", "footer", "aside", "form", "button", "select"}
-_VOID = {"br", "img", "hr", "input", "meta", "link", "source", "area", "base", "col", "embed", "track", "wbr"}
-
-
-class _Reader(HTMLParser):
-    """Lines of a page, with the title and, for each article, main, section or div, what it holds."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.hidden, self.title, self.in_title = [], 0, [], False
-        self.open: list[tuple[str, int]] = []  # elements that are open, and where they began
-        self.spans: list[tuple[str, int, int]] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in _HIDDEN
-        self.in_title = self.in_title or tag == "title"
-        if tag in _BLOCKS:
-            self.out.append("\n")
-        if tag not in _VOID:
-            self.open.append((tag, len(self.out)))
-
-    def handle_endtag(self, tag):
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        if tag == "title":
-            self.in_title = False
-        if tag in _BLOCKS:
-            self.out.append("\n")
-        for i in range(len(self.open) - 1, -1, -1):  # elements that were never closed end with the one around them
-            if self.open[i][0] == tag:
-                self.spans += [(t, at, len(self.out)) for t, at in self.open[i:]]
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title.append(data)
-        if not self.hidden:
-            self.out.append(data)
-
-    def finish(self, html: str) -> _Reader:
-        self.feed(html)
-        self.close()
-        self.spans += [(t, at, len(self.out)) for t, at in self.open]
-        return self
-
-
-def _lines(parts: list[str]) -> str:
-    lines = (" ".join(line.split()) for line in "".join(parts).split("\n"))
-    return "\n".join(line for line in lines if line)
-
-
-def _main(r: _Reader) -> str:
-    """The longest article, else the longest main; else the smallest section or div with half of the page's text outside
-    of navigation, forms and the like; else all of that text."""
-    aside = [False] * len(r.out)
-    for t, a, b in r.spans:
-        if t in _ASIDE:
-            aside[a:b] = [True] * (b - a)
-    kept = lambda a, b: [x for x, gone in zip(r.out[a:b], aside[a:b], strict=True) if not gone]
-    for tag in ("article", "main"):
-        if found := max((_lines(kept(a, b)) for t, a, b in r.spans if t == tag), key=len, default=""):
-            return found
-    whole = _lines(kept(0, len(r.out)))
-    blocks = [x for x in (_lines(kept(a, b)) for t, a, b in r.spans if t in ("section", "div")) if 2 * len(x) > len(whole)]
-    return min(blocks, key=len, default=whole)
-
-
-@F.pandas_udf(StringType())
-def html_text(html: pd.Series) -> pd.Series:
-    """Visible text of HTML in lines, one for each block; scripts, styles and heads don't show."""
-    return html.map(lambda x: None if x is None else _lines(_Reader().finish(x).out))
-
-
-@F.pandas_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))
-def main_text(html: pd.Series) -> pd.DataFrame:
-    """A page's title (null if it has none) and the text of its article."""
-    read = [None if x is None else _Reader().finish(x) for x in html]
-    return pd.DataFrame({"title": [None if r is None else " ".join("".join(r.title).split()) or None for r in read], "text": [None if r is None else _main(r) for r in read]})

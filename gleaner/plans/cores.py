@@ -82,14 +82,27 @@ def lead_cards(spark, d):
     return _records(spark, d).select("lead_id", commands.card(views.lifecycle_status()).alias("card"))
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS x, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages),
+_MAIN_SQL = r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS x, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages),
 b AS (SELECT page_id, t, regexp_replace(regexp_replace(x, '</?(b|i|a|em|strong|span)( [^>]*)?>', '', 'g'), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g') AS x FROM a)
-SELECT page_id, trim(replace(t, '&amp;', '&')) AS title, trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b""")
+SELECT page_id, trim(replace(t, '&amp;', '&')) AS title, trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b"""
+
+
+@query(_MAIN_SQL)
 def html_main_text(spark, d):
     m = table(spark, d, "pages").select("page_id", extraction.main_text("html").alias("m"))
     return m.select("page_id", F.trim("m.title").alias("title"), F.trim(F.regexp_replace("m.text", r"\s+", " ")).alias("text"))
 
 
+@query(f"SELECT page_id, text FROM ({_MAIN_SQL})")
+def html_body_text(spark, d):
+    """Pages that name no article: navigation within, shared links and postings of others beside the text."""
+    inside = F.lit('<div class="entry"><nav><a href="/x">Hybrid jobs, on-site jobs</a></nav><div>')
+    beside = F.lit('</div><ul class="share"><li><a href="/y">Share, with all, your friends, today</a></li></ul></div><div class="links"><p><a href="/z">Another posting that is linked, from here, and here, and here</a></p></div>')
+    html = F.replace(F.replace("html", F.lit("<article>"), inside), F.lit("</article>"), beside)
+    m = table(spark, d, "pages").select("page_id", extraction.main_text(html)["text"].alias("text"))
+    return m.select("page_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+
+
 # -- ingest -----------------------------------------------------------------------------------------------
 
 def _batch(spark, d):

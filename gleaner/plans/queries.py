@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boards, extraction, records, text
+from ..functions.html import page_title
 from ..operators import decide, discovery, resolve, triage, views
 from ..streaming.fold import marks_and_outcomes
 from .inputs import BOOK_SQL, EVENTS_SQL, POSTINGS_SQL, events, postings, table
@@ -177,7 +178,7 @@ def sha_dedupe(spark, d):
 
 @query(r"SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title FROM pages")
 def title_from_html(spark, d):
-    return table(spark, d, "pages").select("page_id", extraction.main_text("html")["title"].alias("title"))
+    return table(spark, d, "pages").select("page_id", page_title("html").alias("title"))
 
 
 @query(r"""SELECT page_id, 'http://u@ex.com/b%20c/' || page_id || '/%C3%A9?a=%25zz+1&z=' || (page_id % 7) AS canonical FROM pages UNION ALL SELECT -page_id - 1, 'https://[2001:db8::1]:8443/' || page_id FROM pages""")
