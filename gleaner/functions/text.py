@@ -90,9 +90,82 @@ def _resolved(path: Column) -> Column:
     return F.regexp_replace(F.when(dots, folded).otherwise(path), "/+$", "")
 
 
+# The numbers of Punycode (RFC 3492), its digits, dots of other scripts, and characters that a host ignores.
+_BASE, _LOW, _HIGH, _SKEW, _DAMP, _BIAS, _FIRST = 36, 1, 26, 38, 700, 72, 128
+_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+_DOTS, _IGNORED = "\u3002\uff0e\uff61", r"[\u00ad\u200b\u2060\ufeff\ufe00-\ufe0f]"
+# Steps that suffice for a host: digits of a number below 2 ** 31 (one of 26 at least after the first), halvings of a bias.
+_NUMBER_STEPS, _BIAS_STEPS = 9, 8
+
+
+def _number(q: Column, bias: Column) -> Column:
+    """A number in digits of growing worth, the least first."""
+
+    def step(s, k):
+        t = F.greatest(F.lit(_LOW), F.least(F.lit(_HIGH), k - bias)).cast("long")
+        more, rest, base = s["q"] >= t, s["q"] - t, F.lit(_BASE).cast("long") - t
+        digit = F.when(more, t + rest % base).otherwise(s["q"])
+        written = F.concat(s["out"], F.substring(F.lit(_DIGITS), (digit + 1).cast("int"), F.lit(1)))
+        after = F.struct(F.when(more, F.floor(rest / base)).otherwise(0).cast("long").alias("q"), written.alias("out"), (~more).alias("done"))
+        return F.when(s["done"], s).otherwise(after)
+
+    start = F.struct(q.cast("long").alias("q"), F.lit("").alias("out"), F.lit(False).alias("done"))
+    places = F.array(*(F.lit(_BASE * (j + 1)) for j in range(_NUMBER_STEPS)))
+    return F.aggregate(places, start, step, lambda s: s["out"])
+
+
+def _bias(delta: Column, points: Column, first: Column) -> Column:
+    """The bias after a number: it follows the numbers' size."""
+    d = let(F.floor(delta / F.when(first, _DAMP).otherwise(2)).cast("long"), lambda x: x + F.floor(x / points).cast("long"))
+
+    def step(s, _):
+        large = s["d"] > (_BASE - _LOW) * _HIGH // 2
+        return F.when(large, F.struct(F.floor(s["d"] / (_BASE - _LOW)).cast("long").alias("d"), (s["k"] + _BASE).alias("k"))).otherwise(s)
+
+    start = F.struct(d.alias("d"), F.lit(0).cast("long").alias("k"))
+    times = F.array(*(F.lit(j) for j in range(_BIAS_STEPS)))
+    return F.aggregate(times, start, step, lambda s: s["k"] + F.floor(F.lit(_BASE) * s["d"] / (s["d"] + _SKEW)).cast("long"))
+
+
+def punycode(label) -> Column:
+    """A label in Punycode (RFC 3492), without xn--: its ASCII characters, then for each other one, ascending, how far
+    code point and place lie from the last."""
+
+    def made(chars):
+        plain = F.filter(chars, lambda x: x["c"] < _FIRST)
+        others = F.array_sort(F.filter(chars, lambda x: x["c"] >= _FIRST))
+
+        def step(s, x):
+            # of what is there already, how much stands before this one
+            before = F.size(F.filter(chars, lambda y: (y["at"] < x["at"]) & (y["c"] <= x["c"]))).cast("long")
+            put = F.struct(((x["c"] - s["n"]) * (s["h"] + 1) + before - s["i"]).alias("delta"), before.alias("before"))
+            return let(put, lambda p: F.struct(
+                x["c"].alias("n"), (p["before"] + 1).alias("i"), (s["h"] + 1).alias("h"), _bias(p["delta"], s["h"] + 1, s["first"]).alias("bias"), F.lit(False).alias("first"), F.concat(s["out"], _number(p["delta"], s["bias"])).alias("out"),
+            ))
+
+        zero = lambda n: F.lit(n).cast("long")
+        start = F.struct(zero(_FIRST).alias("n"), zero(0).alias("i"), F.size(plain).cast("long").alias("h"), zero(_BIAS).alias("bias"), F.lit(True).alias("first"), F.lit("").alias("out"))
+        head = F.array_join(F.transform(plain, lambda x: F.char(x["c"])), "")
+        return F.concat(head, F.when(F.size(plain) > 0, "-").otherwise(""), F.aggregate(others, start, step, lambda s: s["out"]))
+
+    chars = F.transform(F.regexp_extract_all(col(label), F.lit("(?s)."), F.lit(0)), lambda x, i: F.struct(F.ascii(x).cast("long").alias("c"), i.cast("long").alias("at")))
+    return let(chars, made)
+
+
+def ascii_host(host) -> Column:
+    """A host in lower case, and in ASCII if it has other letters: mapped as UTS 46 does without its transitional forms
+    (case, width, dots of other scripts, ignored characters), each label in Punycode. Marks that combine with the letter
+    before them aren't composed."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) not in _DOTS)
+    narrow = "".join(chr(ord(c) - 0xFEE0) for c in wide)
+    mapped = F.regexp_replace(F.lower(F.translate(col(host), wide + _DOTS + "Σ", narrow + "..." + "σ")), _IGNORED, "")
+    labels = F.transform(F.split(mapped, r"\."), lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.concat(F.lit("xn--"), punycode(x))).otherwise(x))
+    return F.when(col(host).rlike(r"[^\x00-\x7F]"), F.array_join(labels, ".")).otherwise(F.lower(col(host)))
+
+
 def canonical_url(u) -> Column:
     """Without fragment, tracking parameters and trailing slashes; dots resolved, the path escaped, other parameters sorted
-    and encoded anew. Hosts are lower-cased; those with letters beyond ASCII stay in letters."""
+    and encoded anew. Hosts are in lower case and in ASCII."""
 
     def made(u):
         scheme = F.lower(F.regexp_extract(u, _SCHEME, 1))
@@ -110,7 +183,7 @@ def canonical_url(u) -> Column:
         end = let(path, lambda p: F.when(p == "", "/").otherwise(p))
         # a user without a name or a password leaves no trace
         at = F.when(user.isin("", ":"), "").otherwise(F.concat(F.regexp_replace(user, ":$", ""), F.lit("@")))
-        return F.concat(scheme, F.lit("://"), at, F.lower(F.regexp_extract(u, _AUTHORITY, 3)), port, end, let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
+        return F.concat(scheme, F.lit("://"), at, let(F.regexp_extract(u, _AUTHORITY, 3), ascii_host), port, end, let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
 
     return F.when(col(u).isNotNull(), let(_tidy(col(u)), made))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -181,13 +182,18 @@ def title_from_html(spark, d):
     return table(spark, d, "pages").select("page_id", page_title("html").alias("title"))
 
 
-@query(r"""SELECT page_id, 'http://u@ex.com/b%20c/' || page_id || '/%C3%A9?a=%25zz+1&z=' || (page_id % 7) AS canonical FROM pages UNION ALL SELECT -page_id - 1, 'https://[2001:db8::1]:8443/' || page_id FROM pages""")
+@query(r"""SELECT page_id, 'http://u@ex.com/b%20c/' || page_id || '/%C3%A9?a=%25zz+1&z=' || (page_id % 7) AS canonical FROM pages UNION ALL SELECT -page_id - 1, 'https://[2001:db8::1]:8443/' || page_id FROM pages
+UNION ALL SELECT page_id, 'https://' || CASE page_id % 5 WHEN 0 THEN 'xn--bcher-kva.example' WHEN 1 THEN 'jobs.xn--e1afmkfd.xn--80akhbyknj4f' WHEN 2 THEN 'xn--r8jz45g.xn--zckzah' WHEN 3 THEN 'xn--strae-oqa.de' ELSE 'xn--bcher-kva.example' END || '/' || page_id FROM pages""")
 def canonical_url_forms(spark, d):
     k = F.col("page_id")
     odd = F.concat(F.lit(" HTTP://u@Ex.com:80/a/../b c/"), k.cast("string"), F.lit("/./é/?z="), (k % 7).cast("string"), F.lit("&utm_x=2&a=%zz+1&&gclid=3#top "))
     six = F.concat(F.lit("https:\\\\[2001:DB8::1]:8443/x/%2e%2E/"), k.cast("string"), F.lit("//"))
     p = table(spark, d, "pages")
-    return p.select("page_id", text.canonical_url(odd).alias("canonical")).union(p.select(-k - 1, text.canonical_url(six)))
+    # hosts beyond ASCII, and one that is in ASCII already: forms of both spellings meet
+    hosts = ["Bücher.Example", "jobs.Пример。испытание", "例え.テスト", "Stra\u00adße.DE", "XN--Bcher-KVA.Example"]
+    far = F.concat(F.lit("https://"), F.element_at(F.array(*(F.lit(h) for h in hosts)), (k % 5 + 1).cast("int")), F.lit("/"), k.cast("string"))
+    urls = [("page_id", odd), (-k - 1, six), ("page_id", far)]
+    return functools.reduce(DataFrame.union, (p.select(i, text.canonical_url(u).alias("canonical")) for i, u in urls))
 
 
 @query("SELECT s_suppkey, 'οδοσ-όμιλος-' || trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, lower(s_name) || ' οδος όμιλος' AS normal, lower(s_name) || 'οδος' AS req FROM supplier")
