@@ -6,6 +6,8 @@ is empty, so that one bad row ends no job. Patches and options, which come from
 
 from __future__ import annotations
 
+from pathlib import PurePath
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,23 @@ def cheat_sheet(resume) -> Column:
     return F.filter(F.array(*(F.struct(F.lit(q).alias("question"), a.alias("answer")) for q, a in answers)), lambda x: x["answer"].isNotNull())
 
 
+def packages(book: DataFrame, resume: str | None = None, cover_letter: str | None = None, resume_path: str | None = None) -> DataFrame:
+    """(lead_id, error, events, payload, value) of packaging each lead of a book (lead_id, latest_mark, url): the guard, the
+    cheat sheet from a résumé's JSON (none: an empty one) and paths come to one result.
+
+    payload: what the event apply_queued holds, without fields that are null. value: the command's JSON result, where a url
+    that isn't there is null. Both are null where the guard says no. The résumé to send is the PDF beside `resume_path`.
+    """
+    pdf = None if resume_path is None else str(PurePath(resume_path).with_suffix(".pdf"))
+    text = lambda v: F.lit(v).cast("string")
+    package = F.struct(text(cover_letter).alias("cover_letter_path"), text(pdf).alias("resume_path"), F.coalesce(cheat_sheet(text(resume)), F.array().cast("array<struct<question:string,answer:string>>")).alias("cheat_sheet"))
+    decided = book.select("lead_id", "url", decide_package(F.lit(True), F.col("latest_mark")).alias("d"), package.alias("package"))
+    lead = F.col("lead_id").cast("string").alias("lead_id")
+    value = F.when(F.col("url").isNotNull(), F.to_json(F.struct(lead, "package", "url"))).otherwise(F.regexp_replace(F.to_json(F.struct(lead, "package")), r"\}$", ',"url":null}'))
+    done = lambda c: F.when(F.col("d.error").isNull(), c)
+    return decided.select("lead_id", "d.error", "d.events", done(F.to_json(F.struct("package", "url"))).alias("payload"), done(value).alias("value"))
+
+
 # -- what is shown -----------------------------------------------------------------------------------
 
 

@@ -93,6 +93,16 @@ def lead_record(events: DataFrame) -> DataFrame:
     return rows.select("lead_id", *(F.col(f"snapshot.{f}").alias(f) for f in ("dedupe_key", "identifiers", "adapter", "source", "url", "extracted")), *(c for c in rows.columns if c not in ("lead_id", "snapshot")))
 
 
+def raw_text(events: DataFrame, lead=None) -> DataFrame:
+    """(lead_id, raw_text): the text of each lead's latest snapshot, or of one lead's. Losers of a partition go before the
+    shuffle; other parts of a snapshot aren't read."""
+    found = events.where(F.col("type").isin(SNAPSHOTS) & F.col("lead_id").isNotNull())
+    if lead is not None:
+        found = found.where(F.col("lead_id") == lead)
+    texts = found.select("lead_id", "ordinal", F.struct(F.col("snapshot.raw_text").alias("v")).alias("t"))
+    return texts.groupBy("lead_id").agg(F.max_by("t", "ordinal")["v"].alias("raw_text"))
+
+
 def aggregate_state(events: DataFrame) -> DataFrame:
     """What decisions need of each stream: latest snapshot, mark and score, the revision counter, the last seq.
 

@@ -82,6 +82,23 @@ def lead_cards(spark, d):
     return _records(spark, d).select("lead_id", commands.card(views.lifecycle_status()).alias("card"))
 
 
+@query(f"WITH {EVENTS_SQL} SELECT lead_id, 'text ' || max(ordinal) AS raw_text FROM v WHERE type IN ('ingested', 'updated', 'edited') GROUP BY lead_id")
+def posting_text(spark, d):
+    return views.raw_text(log(spark, d))
+
+
+_RESUME = '{"basics":{"name":"Ada \\"A\\" Li","email":"a@ex.com","location":{"city":"Oslo","countryCode":"NO"}},"work":[{"position":"Dev","name":"Acme"},{"position":"no"}]}'
+_SHEET = r"""'{"cover_letter_path":"/me/letter.md","resume_path":"/me/cv.pdf","cheat_sheet":[{"question":"Full name","answer":"Ada \"A\" Li"},{"question":"Email address","answer":"a@ex.com"},{"question":"Location","answer":"Oslo, NO"},{"question":"Current or most recent title","answer":"Dev"},{"question":"Current or most recent employer","answer":"Acme"}]}'"""
+
+
+@query(f"""WITH {RECORD_SQL}, y AS (SELECT lead_id, url, coalesce(latest_mark = 'apply-automatically', false) AS yes, {_SHEET} AS package FROM r)
+SELECT lead_id, CASE WHEN NOT yes THEN 'not marked apply-automatically' END AS error, CASE WHEN yes THEN 1 ELSE 0 END::BIGINT AS events, CASE WHEN yes THEN '{{"package":' || package || coalesce(',"url":"' || url || '"', '') || '}}' END AS payload,
+CASE WHEN yes THEN '{{"lead_id":"' || lead_id || '","package":' || package || ',"url":' || coalesce('"' || url || '"', 'null') || '}}' END AS value FROM y""")
+def apply_packages(spark, d):
+    p = commands.packages(_records(spark, d), _RESUME, "/me/letter.md", "/me/cv.json")
+    return p.withColumn("events", F.size("events").cast("long"))
+
+
 _MAIN_SQL = r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS x, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages),
 b AS (SELECT page_id, t, regexp_replace(regexp_replace(x, '</?(b|i|a|em|strong|span)( [^>]*)?>', '', 'g'), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g') AS x FROM a)
 SELECT page_id, trim(replace(t, '&amp;', '&')) AS title, trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b"""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import records
-from gleaner.operators import commands, decide, ingest
+from gleaner.operators import commands, decide, ingest, views
 from gleaner.sources import config, fetch
 
 
@@ -128,3 +128,18 @@ def test_a_snapshot_and_its_evaluation_share_a_revision(spark, before, failures,
     df = spark.createDataFrame([(before, [(g, "why") for g in failures], None if failures else 50)], "r long, f array<struct<gate:string,reason:string>>, c long")
     for events in (decide.decide_ingest(F.lit(True), F.lit(None), F.col("r"), F.col("f"), F.col("c")), commands._judged(F.col("f"), F.col("c"), F.col("r"))):
         assert {e.revision for e in df.select(events.alias("e")).first().e if e.type in ("scored", "rejected")} == {revision}
+
+
+def test_packages_without_a_resume(spark):
+    book = spark.createDataFrame([(1, "apply-automatically", None), (2, "apply-automatically", 'https://ex.com/"x"'), (3, None, "u"), (4, "defer", None)], "lead_id long, latest_mark string, url string")
+    got = {r.lead_id: r for r in commands.packages(book).collect()}
+    assert (got[1].error, got[1].payload, got[1].value) == (None, '{"package":{"cheat_sheet":[]}}', '{"lead_id":"1","package":{"cheat_sheet":[]},"url":null}')
+    assert json.loads(got[2].payload) == {"package": {"cheat_sheet": []}, "url": 'https://ex.com/"x"'} and [e.type for e in got[2].events] == ["apply_queued"]
+    assert all((got[i].error, got[i].payload, got[i].value, got[i].events) == ("not marked apply-automatically", None, None, []) for i in (3, 4))
+
+
+def test_raw_text_is_the_latest_snapshots(spark):
+    rows = [(1, "a", "ingested", "v1"), (2, "a", "updated", "v2"), (3, "a", "reviewed", None), (4, "b", "ingested", None), (5, None, "discovery", None), (6, "c", "reviewed", None)]
+    df = spark.createDataFrame(rows, "ordinal long, lead_id string, type string, t string").selectExpr("ordinal", "lead_id", "type", "named_struct('raw_text', t) as snapshot")
+    assert {r.lead_id: r.raw_text for r in views.raw_text(df).collect()} == {"a": "v2", "b": None}
+    assert [r.raw_text for r in views.raw_text(df, "a").collect()] == ["v2"] and views.raw_text(df, "c").count() == 0
