@@ -64,6 +64,17 @@ def test_empty_log(spark):
     assert views.ranked(views.lead_book(spark.createDataFrame([], SCHEMA))).count() == 0
 
 
+def test_ranks_within_a_second_and_across_ranges_of_ids(spark):
+    g = random.Random(4)
+    at = ["2024-01-01 10:00:00.000300", "2024-01-01 10:00:00.000200", "2024-01-01 10:00:01", "2024-01-02 00:00:00", None]
+    rows = [(i * 30_011, g.choice([None, 0, 5]), g.choice(at)) for i in range(200)]
+    for kind in ("long", "string"):
+        book = spark.createDataFrame(rows, "lead_id long, latest_score long, first_seen string").select(F.col("lead_id").cast(kind), "latest_score", F.col("first_seen").cast("timestamp"))
+        got = [r.lead_id for r in views.ranked(book).orderBy("rank").collect()]
+        same = (lambda x: x) if kind == "long" else str
+        assert got == [same(r[0]) for r in sorted(rows, key=lambda r: (-(r[1] or 0), r[2] is None, r[2] or "", same(r[0])))]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     log = spark.createDataFrame(random_log(5), SCHEMA)
     for i in range(3):  # three files, the last events first: order of arrival doesn't matter
