@@ -5,6 +5,7 @@ import threading
 import time
 from collections import defaultdict
 
+import duckdb
 import pytest
 from conftest import SF, same
 
@@ -47,6 +48,18 @@ def test_pages_of_the_table(spark, duck, name):
     same(QUERIES[name](spark, SF).toPandas(), duck.sql(SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["html_body_text", "html_main_text", "title_from_html"])
+def test_pages_with_references_and_prose_as_titles(spark, tmp_path, name):
+    """References that are cut off, quoted or unknown, and a title that says ` at `: the SQL takes them as they stand."""
+    words = "Words of the page, one &amp;&amp; two &lt;three&gt;, &quot;four&quot;&nbsp;five, and on &auml; and&amp"
+    titles = ["Cut &amp;&amp; off&amp", "One token = &quot;0b96", "Was at the erhe the was eainat. Enesble", "&am", "&auml; & &#228; &lt;"]
+    rows = [(4 * i + 2, "http://ex.com/", f"<html><head><title>{t}</title></head><body><article><p>{words}</p><p>{words} again, at length</p></article></body></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    same(QUERIES[name](spark, str(tmp_path)).toPandas(), duck.sql(SQL[name]).df())
+
+
 class Server:
     """Answers of hosts, with the times at which they were asked."""
 
