@@ -48,7 +48,7 @@ def test_pages_of_the_table(spark, duck, name):
     same(QUERIES[name](spark, SF).toPandas(), duck.sql(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["html_body_text", "html_main_text", "title_from_html"])
+@pytest.mark.parametrize("name", ["html_body_text", "html_main_text", "title_from_html", "ingest_by_url"])
 def test_pages_with_references_and_prose_as_titles(spark, tmp_path, name):
     """References that are cut off, quoted or unknown, and a title that says ` at `: the SQL takes them as they stand."""
     words = "Words of the page, one &amp;&amp; two &lt;three&gt;, &quot;four&quot;&nbsp;five, and on &auml; and&amp"
