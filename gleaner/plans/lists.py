@@ -22,7 +22,7 @@ def blacklist_table(spark, d):
 
 @query(f"""WITH {POSTINGS_SQL} SELECT pos, 'posting matches red line ''req-' || k || '. PYTHON'': …REQ-' || k || '. python and Java…' AS reason FROM p WHERE k % 4 <> 0""")
 def red_line_table(spark, d):
-    """A line for each posting that states a requisition: thousands of lines, one pass over each text."""
+    """A line for each posting that states a requisition: as many lines as there are, as a table."""
     p = postings(spark, d)
-    lines = [f"req-{r.pos}. PYTHON" for r in p.where("pos % 4 <> 0").select("pos").orderBy("pos").collect()]  # LINE_BYTES at most
-    return p.select("pos", F.explode(lists.red_lined("raw_text", lines)).alias("f")).select("pos", "f.reason")
+    lines = p.where("pos % 4 <> 0").select(F.col("pos").alias("at"), F.concat(F.lit("req-"), F.col("pos").cast("string"), F.lit(". PYTHON")).alias("line"))
+    return lists.red_lined_by(p, lines, "pos", "raw_text").select("pos", "reason")

@@ -39,6 +39,24 @@ def test_ten_thousand_lines(spark):
     assert all(len(v) == (1 if i == 0 else 2) for i, v in got.items())
 
 
+def test_lines_as_a_table_are_those_of_the_list(spark, rows):
+    texts = [(r[0], r[2]) for r in rows] + [(0, "Tabs again, STRASSE"), (999, "y" * 20 + "tabs" + "z" * 2_200_000 + "the very END of it")]
+    lines = [*LINES, "end of it", "zzzzzzzz", "very end of nothing", "TABS", "😀"]
+    df = spark.createDataFrame(texts, "pos long, raw_text string")
+    listed = df.select("pos", F.explode(lists.red_lined("raw_text", lines)).alias("f")).select("pos", "f.gate", "f.reason")
+    table = lists.red_lined_by(df, spark.createDataFrame(list(enumerate(lines)), "at long, line string"), "pos", "raw_text").select("pos", "gate", "reason")
+    want = sorted(map(tuple, listed.collect()))
+    assert sorted(map(tuple, table.collect())) == want and len(want) > 200
+    assert lists.red_lined_by(df, spark.createDataFrame([], "at long, line string"), "pos", "raw_text").count() == 0
+
+
+def test_a_table_of_lines_beyond_what_a_worker_holds(spark, monkeypatch):
+    from gleaner.plans.queries import QUERIES
+
+    monkeypatch.setattr(lists, "LINE_BYTES", 1000)
+    assert QUERIES["red_line_table"](spark, "/root/testdata/sf0.001").count() == 150
+
+
 def test_a_hundred_thousand_entries(spark):
     entries = spark.range(100_000).selectExpr("id as at", "concat('company ', id, if(id % 2 = 0, ' inc', '')) as entry")
     companies = spark.createDataFrame([(c,) for c in ("Company 7", "company 8", "Company-8 Inc.", "Inc 12 company group", "company12inc", "company 100001")], "company string")
