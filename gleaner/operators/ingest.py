@@ -81,9 +81,9 @@ def ingest(postings: DataFrame, state: DataFrame, index: DataFrame, c: triage.Co
     """
     rows = postings.withColumn("url", canonical_url("url")).withColumn("identity", triage.identity())
     found = resolve(rows.select("pos", "identity"), index)
-    rows = rows.join(found, "pos")
+    rows = rows.join(found.hint("merge"), "pos")
     known = state.select(F.col("lead_id").cast("string").alias("lead_id"), F.col("latest_mark").alias("_mark"), F.col("revision").alias("_revision"), F.col("snapshot").alias("_stored"))
-    rows = rows.join(known, "lead_id", "left")
+    rows = rows.join(known.hint("merge"), "lead_id", "left")  # both grow with the batch or the log
     w = Window.partitionBy("lead_id").orderBy("pos")
     before = F.lag(F.struct(*_KEPT)).over(w)
     stored = F.struct(*(F.col(f"_stored.extracted.{f}").alias(f) for f in triage.FIELDS[:6]), *(F.col(f"_stored.{f}").alias(f) for f in ("raw_text", "url", "adapter", "source")))

@@ -5,6 +5,9 @@ independent. Those with one posting need joins only; the others are replayed in
 identifier to another lead for those behind it. A component's rows are streamed in order, so a task holds the
 identifiers that it has met, never a frame of rows.
 
+Both sides of a join grow with the batch, so they are sorted and merged: a side that is just small enough to be broadcast
+would pass through the driver, once for each join of each round.
+
 A title and company alone find a lead only for a posting that has neither requisition nor url, so they link the
 postings of a batch only where there is such a one among them.
 """
@@ -24,10 +27,10 @@ def _components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     both = _keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = _keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
+        near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        step = labels.join(near.hint("merge"), "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         up = labels.select(F.col("id").alias("to"), F.col("component").alias("above"))
-        new = _keep(step.join(up, "to", "left").select("id", F.least("to", "above").alias("component"), "was"))
+        new = _keep(step.join(up.hint("merge"), "to", "left").select("id", F.least("to", "above").alias("component"), "was"))
         moved = new.where("component <> was").limit(1).count()
         labels = new.select("id", "component")
         if not moved:
@@ -64,13 +67,13 @@ def resolve(postings: DataFrame, index: DataFrame) -> DataFrame:
     # a title and company that no posting asks for links nothing
     groups = forms.groupBy("form").agg(F.min("pos").alias("a"), F.max("bare").alias("asked"), F.count("*").alias("n"))
     groups = groups.where(F.col("n") > 1).where(F.col("asked") | ~F.col("form").startswith("tc:"))
-    edges = forms.join(groups, "form").where("a <> pos").select("a", F.col("pos").alias("b"))
+    edges = forms.join(groups.hint("merge"), "form").where("a <> pos").select("a", F.col("pos").alias("b"))
     labels = _components(edges).withColumnRenamed("id", "pos")
-    grouped = postings.join(labels, "pos", "left")
+    grouped = postings.join(labels.hint("merge"), "pos", "left")
 
     alone = lookup(grouped.where("component is null"), index).select("pos", F.coalesce("matched_lead", F.concat(F.lit("new-"), F.col("pos").cast("string"))).alias("lead_id"), F.col("matched_lead").isNull().alias("is_new"))
-    own = forms.join(index, "form").groupBy("pos").agg(F.collect_list(F.struct("form", "lead_id")).alias("known"))
+    own = forms.join(index.hint("merge"), "form").groupBy("pos").agg(F.collect_list(F.struct("form", "lead_id")).alias("known"))
     columns = ("component", "pos", i["req"].alias("req"), i["url"].alias("url"), i["tc"].alias("tc"), i["dedupe_key"].alias("dedupe_key"))
-    together = grouped.where("component is not null").join(own, "pos", "left").select(*columns, F.transform("known", lambda k: F.array(k["form"], k["lead_id"])).alias("known"))
+    together = grouped.where("component is not null").join(own.hint("merge"), "pos", "left").select(*columns, F.transform("known", lambda k: F.array(k["form"], k["lead_id"])).alias("known"))
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return alone.union(together.repartition(parts, "component").sortWithinPartitions("component", "pos").mapInArrow(_replay, "pos long, lead_id string, is_new boolean"))

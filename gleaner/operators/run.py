@@ -175,7 +175,7 @@ def _uuid(c: Column) -> Column:
 def events_of(results: DataFrame, state: DataFrame, run_id: str, now: str) -> DataFrame:
     """Rows of the log that a run's results lead to: stamped, each caused by the one before in its posting's batch."""
     seen = state.select(F.col("lead_id").cast("string").alias("lead_id"), F.col("seq").alias("expected_seq"))
-    each = results.join(seen, "lead_id", "left").withColumn("expected_seq", F.coalesce("expected_seq", F.lit(0))).select("*", F.posexplode("events").alias("_i", "_e"))
+    each = results.join(seen.hint("merge"), "lead_id", "left").withColumn("expected_seq", F.coalesce("expected_seq", F.lit(0))).select("*", F.posexplode("events").alias("_i", "_e"))
     lead = F.when(F.col("lead_id").startswith("new-"), _uuid(F.concat(F.lit(run_id), "lead_id"))).otherwise(F.col("lead_id"))
     at = F.lit(now).cast("timestamp")
     rows = each.select(

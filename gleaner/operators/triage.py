@@ -147,12 +147,12 @@ def changed(old: str, new: str) -> Column:
 
 def lookup(postings: DataFrame, index: DataFrame) -> DataFrame:
     """postings (with struct `identity`) and the lead that they match: by req, else url, else tc where neither
-    req nor url is known, else the dedupe key. Plain equi-joins: each may broadcast, sort or be split if skewed."""
+    req nor url is known, else the dedupe key. Equi-joins of sorted sides, split if skewed; the index grows with the log, so none is broadcast."""
     i = F.col("identity")
     keys = {"_by_req": i["req"], "_by_url": i["url"], "_by_tc": F.when(i["req"].isNull() & i["url"].isNull(), i["tc"]), "_by_key": i["dedupe_key"]}
     out = postings
     for name, key in keys.items():
-        out = out.join(index.select(F.col("form").alias("_form"), F.col("lead_id").alias(name)), key == F.col("_form"), "left").drop("_form")
+        out = out.join(index.select(F.col("form").alias("_form"), F.col("lead_id").alias(name)).hint("merge"), key == F.col("_form"), "left").drop("_form")
     return out.withColumn("matched_lead", F.coalesce(*keys)).drop(*keys)
 
 

@@ -101,3 +101,17 @@ def test_resolution_equals_replay(spark):
     df = spark.createDataFrame(posts, "pos long, identity struct<dedupe_key string, req string, url string, tc string>")
     got = resolve.resolve(df, spark.createDataFrame(list(index.items()), "form string, lead_id string")).collect()
     assert {r.pos: (r.lead_id, r.is_new) for r in got} == want
+
+
+def test_no_side_that_grows_is_broadcast(spark):
+    p = spark.range(40).selectExpr("id as pos", "named_struct('dedupe_key', concat('k', id % 30), 'req', concat('r', id % 25), 'url', cast(null as string), 'tc', concat('tc:', id % 7)) as identity")
+    index = spark.range(10).selectExpr("concat('k', id) as form", "concat('lead-', id) as lead_id")
+    out = resolve.resolve(p, index)
+    assert out.count() == 40
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_dealt_to_all_tasks(spark):
+    from gleaner.plans import inputs
+
+    assert inputs.postings(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
