@@ -26,7 +26,8 @@ def decide_batch(postings: DataFrame, number: int, root: str, config: triage.Con
         at = segments.last(spark, root)
         known = book.Book(spark, root).update(at)
         state = book.aggregate_state(known.leads())
-        results = ingest.ingest(postings, state, book.index(known.forms()), config)
+        # kept: gates, scores and events are made once, not again for each condition on them that Spark moves down
+        results = keep(ingest.ingest(postings, state, book.index(known.forms()), config))
         events = run.events_of(results, state, f"{name}/{number}", now)
         try:
             return segments.append(events, root, at, ["ordinal"], (name, number), whole=True)
