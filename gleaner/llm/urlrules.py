@@ -1,15 +1,19 @@
 """URL filtering by association rules.
 
-Explicit rules (host, path) decide the urls that they fit. These urls are also the labels from which Spark's
+Explicit rules (host, path) decide the urls that they fit. These urls are also the labels from which
 FP-growth mines combinations of url tokens (host suffixes, path words, query keys) that imply
 `block` or `allow`; rules are pruned by support and confidence, and those that add a token without gaining
-confidence are dropped. An inverted index from each rule's rarest token finds the rules that a url meets;
+confidence are dropped. A join on each rule's rarest token finds the rules that a url meets;
 of these the most confident decides the urls that no explicit rule fits; without one they are allowed.
 
-Bounds of mining: tokens that occur in the same urls are one item; infrequent tokens make no rule and go first; and
-of a url's items the TOKENS that tell most by themselves (their confidence is farthest from the verdicts' share; then the
-rarest) can stand in rules. So a url has 2 ** (TOKENS + 1) sets of items with its verdict at most, and there
-are no more than 2 ** (TOKENS + 1) / SUPPORT frequent sets, whatever the number of urls and the tokens of a host.
+Patterns grow as in FP-growth, from the rarest token to more frequent ones, each in the urls that hold it (its conditional
+table), but a level at a time, so that the tables of all patterns of a level are one DataFrame that Spark shuffles. All
+tokens of a url take part. Three exact cuts keep the patterns few: tokens that occur in the same urls are one item; a set that
+occurs as often as a part of it says nothing new, and neither does any set around it; a set whose urls all
+have one verdict can't gain confidence. Sets, rules and matches are tables in the shared folder, whatever their number; to
+the driver come the frequent items alone. The time follows the number of sets that are frequent, mixed and rarer than each of
+their parts: nested tokens (suffixes of a host, steps of a path) add one each, tokens that are independent of each other
+and of the verdict multiply until support ends them.
 
 Defined cases: null urls and urls without `://` have empty host and path, no rule, and are allowed; an empty
 host fits no rule; no labelled url gives no mined rule; repeated rows give a row each; an empty table gives an
@@ -18,21 +22,18 @@ empty result. Runs of digits in tokens become `#`, as numbers of pages carry no
 
 from __future__ import annotations
 
-import itertools
+from functools import reduce
 
-import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import looked_up, settle, ship
 
 #: The explicit rules, (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 SUPPORT, CONFIDENCE = 0.005, 0.8
-#: Items of a url that can stand in mined rules.
-TOKENS = 8
-_LABEL = "verdict="
+#: Items of a url that can stand in mined rules: all.
+TOKENS = None
 
 
 def host_of(url):
@@ -72,13 +73,13 @@ def tokens(host, path, query):
     return F.array_distinct(F.concat(F.when(host == "", F.array().cast("array<string>")).otherwise(suffixes), words, keys))
 
 
-def items_of(labelled: DataFrame, support: float = SUPPORT) -> tuple[dict[str, str], dict[str, tuple[float, int]]]:
-    """token -> item, for frequent tokens, and item -> (how much it tells, how often it occurs), from rows (items, verdict).
+def items_of(labelled: DataFrame, support: float = SUPPORT) -> tuple[dict[str, str], dict[str, int]]:
+    """token -> item, for frequent tokens, and item -> how often it occurs, from rows (items, verdict).
 
     To the driver come tokens of at least `support` of the rows, so no more than a url has tokens, divided by `support`.
     """
-    rows = labelled.select(F.monotonically_increasing_id().alias("row"), "items", (F.col("verdict") == "block").cast("int").alias("block"))
-    n, block = rows.agg(F.count("*"), F.coalesce(F.sum("block"), F.lit(0))).first()
+    rows = labelled.select("items", (F.col("verdict") == "block").cast("int").alias("block"))
+    n = rows.count()
     if not n:
         return {}, {}
     # tokens of the same urls have the same sums of two hashes of their urls' items, which stand for the rows
@@ -87,42 +88,81 @@ def items_of(labelled: DataFrame, support: float = SUPPORT) -> tuple[dict[str, s
     found = sorted(each.where(F.col("n") >= support * n).collect(), key=lambda r: r.token)
     same: dict[tuple, str] = {}
     item = {r.token: same.setdefault((r.n, r.block, r.a, r.b), r.token) for r in found}
-    return item, {r.token: (abs(r.block / r.n - block / n), r.n) for r in found if item[r.token] == r.token}
+    return item, {r.token: r.n for r in found if item[r.token] == r.token}
 
 
-def baskets(items: Column, item: dict[str, str], tells: dict[str, tuple[float, int]], most: int = TOKENS) -> Column:
-    """A url's items in order of what they tell, `most` of them."""
-    order = sorted(tells, key=lambda t: (-tells[t][0], tells[t][1], t))
-    rank = {t: i for i, t in enumerate(order)}
+def ordered(often: dict[str, int]) -> list[str]:
+    """Items, the rarest first."""
+    return sorted(often, key=lambda t: (often[t], t))
+
+
+def baskets(items: Column, item: dict[str, str], order: list[str]) -> Column:
+    """A url's items as their places in `order`, ascending; null for none."""
     if not order:
-        return F.array().cast("array<string>")
+        return F.lit(None).cast("array<int>")
+    rank = {t: i for i, t in enumerate(order)}
     at = F.create_map(*(F.lit(x) for t, i in item.items() for x in (t, rank[i])))
-    ranks = F.array_sort(F.array_distinct(F.array_compact(F.transform(items, lambda t: F.try_element_at(at, t)))))
-    return F.transform(F.slice(ranks, 1, most), lambda i: F.element_at(F.array(*(F.lit(t) for t in order)), i + 1))
+    found = F.array_sort(F.array_distinct(F.array_compact(F.transform(items, lambda t: F.try_element_at(at, t)))))
+    return F.when(F.size(found) > 0, found)
+
+
+def grow(labelled: DataFrame, order: list[str], support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(lead, set, items, verdict, n, confidence): all rules of rows (basket, verdict), but those of which a part says as much; settled.
+
+    set: places in `order`, lead the first of them; n: the rows with the set and the verdict.
+    """
+    block = F.sum((F.col("verdict") == "block").cast("long"))
+    held = settle(labelled.groupBy("basket").agg(F.count("*").alias("n"), block.alias("block")))
+    total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least, none = support * total, F.array().cast("array<int>")
+    # a pattern with those of its rows' items that it can grow by; rows that agree in them are one
+    table = held.where("basket is not null").select(none.alias("set"), F.col("basket").alias("rest"), "n", "block")
+    live = labelled.sparkSession.range(1).select(none.alias("set"), F.lit(total + 1).alias("n"), *(F.lit(-1.0).alias(c) for c in ("block_by_part", "allow_by_part")))
+    levels, size = [], 0
+    while True:
+        size += 1
+        grown = table.select("set", F.explode("rest").alias("x"), "n", "block").groupBy("set", "x").agg(F.sum("n").alias("n"), F.sum("block").alias("block"))
+        sets = grown.where(F.greatest("block", F.col("n") - F.col("block")) >= least).select(F.array_append("set", F.col("x")).alias("set"), "n", "block")
+        parts = F.array(*(F.concat(F.slice("set", 1, i), F.slice("set", i + 2, size)) for i in range(size)))
+        known = sets.withColumn("part", F.explode(parts)).join(live.select(F.col("set").alias("part"), F.col("n").alias("of"), "block_by_part", "allow_by_part"), "part")
+        known = known.groupBy("set", "n", "block").agg(F.count("*").alias("parts"), F.min("of").alias("of"), F.max("block_by_part").alias("block_by_part"), F.max("allow_by_part").alias("allow_by_part"))
+        found = settle(known.where((F.col("parts") == size) & (F.col("n") < F.col("of"))).drop("parts", "of"))
+        levels.append(found)
+        sure = lambda verdict, hits: F.greatest(f"{verdict}_by_part", hits / F.col("n")).alias(f"{verdict}_by_part")
+        live = found.where("block > 0 and block < n").select("set", "n", sure("block", F.col("block")), sure("allow", F.col("n") - F.col("block")))
+        if not live.limit(1).count():
+            break
+        by = live.groupBy(F.slice("set", 1, size - 1).alias("set")).agg(F.collect_list(F.element_at("set", -1)).alias("by"))  # as many as there are items at most
+        rows = table.join(F.broadcast(by) if size == 1 else by, "set").select("set", F.array_sort(F.array_intersect("rest", "by")).alias("rest"), "n", "block")
+        rows = rows.select("set", "rest", F.posexplode("rest").alias("at", "x"), "n", "block").select(F.array_append("set", F.col("x")).alias("set"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), "n", "block")
+        table = settle(rows.where(F.size("rest") > 0).groupBy("set", "rest").agg(F.sum("n").alias("n"), F.sum("block").alias("block")))
+    says = lambda verdict, hits: F.struct(F.lit(verdict).alias("verdict"), hits.alias("hits"), F.col(f"{verdict}_by_part").alias("part"))
+    each = reduce(DataFrame.union, levels).select("set", "n", F.inline(F.array(says("block", F.col("block")), says("allow", F.col("n") - F.col("block")))))
+    each = each.withColumn("confidence", F.col("hits") / F.col("n")).where((F.col("hits") >= least) & (F.col("confidence") >= confidence) & (F.col("confidence") > F.col("part")))
+    names = F.array(*(F.lit(t) for t in order)) if order else F.array().cast("array<string>")
+    items = F.array_sort(F.transform("set", lambda i: F.element_at(names, i + 1)))
+    return settle(each.select(F.element_at("set", 1).alias("lead"), "set", items.alias("items"), "verdict", F.col("hits").alias("n"), "confidence"))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """(items, verdict, confidence, support), best first, from rows (items, verdict); for their number see the module."""
-    made = labelled.select(F.array_append("items", F.concat(F.lit(_LABEL), "verdict")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(made)
-    found = model.associationRules.where(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL))).select("antecedent", "consequent", "confidence", "support").collect()
-    return pruned([(tuple(sorted(r.antecedent)), r.consequent[0].removeprefix(_LABEL), r.confidence, r.support) for r in found])
+    """(items, verdict, confidence, support), best first, from rows (items, verdict); a list of all rules, for a look at them."""
+    n = labelled.count()
+    item, often = items_of(labelled, support)
+    order = ordered(often)
+    rules = grow(labelled.select(baskets(F.col("items"), item, order).alias("basket"), "verdict"), order, support, confidence).collect()
+    return sorted(((tuple(r["items"]), r.verdict, r.confidence, r.n / n) for r in rules), key=lambda r: (-r[2], -r[3], r[0], r[1]))
 
 
-def pruned(rules: list[tuple[tuple[str, ...], str, float, float]]) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """Best first, without those that a part of their items says as surely. Each looks its parts up: 2 ** TOKENS of them."""
-    kept: dict[tuple[tuple[str, ...], str], float] = {}
-    out = []
-    for items, verdict, conf, supp in sorted(rules, key=lambda r: (len(r[0]), -r[2], -r[3], r[0], r[1])):
-        parts = (part for n in range(len(items)) for part in itertools.combinations(items, n))
-        if all(kept.get((part, verdict), -1.0) < conf for part in parts):
-            kept[items, verdict] = conf
-            out.append((items, verdict, conf, supp))
-    return sorted(out, key=lambda r: (-r[2], -r[3], r[0], r[1]))
+def best_rules(baskets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(basket, times, found) for each basket that is not null; found: verdict and confidence of the best rule that it has all items of, or nulls."""
+    own = settle(baskets.where("basket is not null").groupBy("basket").agg(F.count("*").alias("times")))
+    met = own.select("basket", F.explode("basket").alias("lead")).join(rules, "lead").where(F.size(F.array_except("set", "basket")) == 0)
+    best = met.groupBy("basket").agg(F.min(F.struct((-F.col("confidence")).alias("confidence"), (-F.col("n")).alias("n"), "items", "verdict")).alias("best"))
+    return settle(own.join(best, "basket", "left").select("basket", "times", F.struct(F.col("best.verdict").alias("mined"), (-F.col("best.confidence")).alias("confidence")).alias("found")))
 
 
 class Index:
-    """Rules by their rarest token."""
+    """Rules by their rarest token, for single urls; tables of them are joined with the rules."""
 
     def __init__(self, rules: list[tuple[tuple[str, ...], str, float, float]]):
         often: dict[str, int] = {}
@@ -147,19 +187,9 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     rows = decide(parse(pages.select(F.col(key).cast("long").alias(key), F.col(url).alias("_source")), "_source"), rules)
     rows = rows.withColumn("items", tokens(F.col("host"), F.col("path"), F.col("_query"))).drop("_source", "_query")
     labelled = rows.where("ruled is not null and size(items) > 0").select("items", F.col("ruled").alias("verdict"))
-    item, tells = items_of(labelled, support)
-    mined = mine(labelled.withColumn("items", baskets(F.col("items"), item, tells)), support, confidence) if item else []
-    shared = spark.sparkContext.broadcast((Index(mined), item))  # bounded: see the module
-
-    @F.pandas_udf("struct<mined string, confidence double>")
-    def match(items: pd.Series) -> pd.DataFrame:
-        (index, item), memo, out = shared.value, {}, []
-        for x in items:
-            k = frozenset(item[t] for t in x if t in item)
-            if k not in memo:
-                memo[k] = index.match(k) or (None, None)
-            out.append(memo[k])
-        return pd.DataFrame(out, columns=["mined", "confidence"])
-
-    found = rows.withColumn("_m", match("items"))
-    return found.select(key, "host", "path", "rule", F.coalesce("ruled", "_m.mined", F.lit("allow")).alias("verdict"), F.col("_m.mined").alias("mined"), F.col("_m.confidence").alias("confidence"))
+    item, often = items_of(labelled, support)
+    order = ordered(often)
+    rows = rows.withColumn("basket", baskets(F.col("items"), item, order))
+    mined = grow(rows.where("ruled is not null and size(items) > 0").select("basket", F.col("ruled").alias("verdict")), order, support, confidence)
+    found = looked_up(rows.drop("items"), "basket", best_rules(rows, mined), "found", "times")
+    return found.select(key, "host", "path", "rule", F.coalesce("ruled", "found.mined", F.lit("allow")).alias("verdict"), F.col("found.mined").alias("mined"), F.col("found.confidence").alias("confidence"))

@@ -439,6 +439,48 @@ def test_op7_many_tokens_that_stand_together(spark):
     assert urlrules.filter_urls(spark.createDataFrame([(i, f"http://a.net/{deep}/{i % 3}") for i in range(60)], "page_id long, url string")).count() == 60
 
 
+def test_op7_rules_over_more_than_eight_items(spark):
+    """Two keys that say nothing one by one, and all together, count on urls with ten other items that each say a little."""
+    import itertools
+
+    r = random.Random(11)
+    url = lambda host, keys: f"http://{host}/?" + "&".join(f"{k}=1" for k in keys)
+    learn = []
+    for verdict, host in (("block", "a.io"), ("allow", "b.io")):
+        for i in range(200):
+            noise = [f"n{chr(97 + j)}" for j in range(10) if r.random() < (0.75 if verdict == "block" else 0.6)]
+            x, y = (i % 2, i % 2) if verdict == "allow" else (i % 2, 1 - i % 2)
+            learn.append((host, [*noise, *["x"] * x, *["y"] * y], verdict))
+    asked = [[*(f"n{chr(97 + j)}" for j in range(10)), *more] for more in ([], ["x"], ["x", "y"])] + [["x", "y"], ["y"], ["nothing"]]
+    urls = [url(h, keys) for h, keys, _ in learn] + [url("c.com", keys) for keys in asked]
+    support, confidence = 0.05, 0.6
+    rules = [("a.io", "/", "block"), ("b.io", "/", "allow")]
+    got = table(urlrules.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules, support=support, confidence=confidence), "page_id")
+    rows = [(frozenset(keys), v) for _, keys, v in learn]
+    best = {}
+    for keys in asked:
+        found = []
+        for n in range(1, len(keys) + 1):
+            for c in itertools.combinations(sorted(f"key:{k}" for k in keys), n):
+                hits = [v for own, v in rows if all(k[4:] in own for k in c)]
+                found += [(-hits.count(v) / len(hits), -hits.count(v), c, v) for v in ("block", "allow") if hits.count(v) >= support * len(rows) and hits.count(v) / len(hits) >= confidence]
+        # of sets that occur as often, the one that has no part among them
+        found = [f for f in found if not any(set(p[2]) < set(f[2]) and p[3] == f[3] and p[0] <= f[0] for p in found)]
+        best[tuple(keys)] = min(found, default=(None, None, None, None))
+    for i, keys in enumerate(asked, len(learn)):
+        confidence_, _, _, verdict = best[tuple(keys)]
+        assert (got[i].mined, got[i].verdict, got[i].confidence) == (verdict, verdict or "allow", confidence_ and -confidence_), keys
+    assert got[len(learn) + 2].mined == "allow" and got[len(learn) + 2].confidence == 1.0
+
+
+def test_op7_nested_items_do_not_multiply(spark):
+    """A host of 24 labels whose suffixes are frequent to different degrees: 2 ** 24 frequent sets, of which few are worth a look."""
+    labels = [f"l{i}" for i in range(24)]
+    urls = [f"http://{'.'.join(labels[i % 24 :])}.{'net' if j % 5 else 'org'}/{'fr' if j % 3 else 'de'}" for j in range(20) for i in range(24)]
+    got = urlrules.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    assert got.count() == len(urls)
+
+
 def brute_near(texts, size, percent):
     sets = []
     for x in texts:
