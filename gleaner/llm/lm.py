@@ -2,9 +2,10 @@
 
 The model predicts the class of the next token from the CONTEXT tokens before it: each has a vector, each place a
 matrix, s(w | v1, v2) = (r_v1 C1 + r_v2 C2) . q_w + b_w. Classes are the most frequent words, one for all other words,
-and the end. How often each class follows each context is counted over all training rows; the model is trained in numpy
-on the most frequent contexts with all that follows them. The noise-contrastive objective is taken over
-these counts in full (its expectation; no noise is drawn), with noise from the class frequencies. As scores add
+and the end. How often each class follows each context is counted over all training rows, and the model is trained on all
+contexts with all that follows them. They are dealt by hash to shards of CONTEXTS each; in an epoch a task a shard takes the
+model through its shard in numpy, and the mean of what the shards make of it goes into the next. The noise-contrastive objective is
+taken over these counts in full (its expectation; no noise is drawn), with noise from the class frequencies. As scores add
 up over places, a table for each place and the normalisers of all contexts, made by batched matrix products, give every
 token's normalised log-probability. A word of the class of other words has that class's probability times its own
 smoothed share among them, so the probabilities of all words, one unseen word and the end sum to one.
@@ -23,21 +24,23 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words_of, most_frequent, settle, ship
+from .common import lower_words_of, mix, most_frequent, settle, ship
 
 CLASSES = 512
 #: Tokens before that the model looks at. The normalisers are a table of CLASSES ** CONTEXT numbers.
 CONTEXT = 2
-#: Contexts that the model is trained on, the most frequent ones; all others it knows through their tokens.
+#: Contexts of a shard, on average; a task holds one, with CLASSES counts for each context.
 CONTEXTS = 8192
 WIDTH = 24
 NOISE = 10
 EPOCHS, BATCH = 24, 512
 FREQUENT = 150_000
-#: Tokens drawn by class frequency that each context is taken to have been followed by, besides those counted.
+#: Tokens drawn by class frequency that each context is taken to have been followed by, besides those counted. Beyond a shard's
+#: contexts all share those of one shard: else what many seldom seen contexts fall back to outweighs all that was counted.
 PRIOR = 100
 
 OTHER, END = 0, 1
@@ -70,35 +73,62 @@ class LogBilinear:
         g = np.random.default_rng(seed)
         self.context, self.target = (g.normal(0, 0.1, (classes, width)) for _ in range(2))
         self.turn, self.bias = np.stack([np.eye(width)] * CONTEXT), np.zeros(classes)
+        self.moments = [[np.zeros_like(p) for p in self.parameters()] for _ in range(2)]
+
+    def parameters(self) -> list[np.ndarray]:
+        return [self.context, self.turn, self.target, self.bias]
+
+    def state(self) -> np.ndarray:
+        """All parameters and what the optimiser keeps of each, as one row."""
+        return np.concatenate([x.ravel() for xs in (self.parameters(), *self.moments) for x in xs])
+
+    def restore(self, state: np.ndarray) -> LogBilinear:
+        at = 0
+        for xs in (self.parameters(), *self.moments):
+            for x in xs:
+                x[...] = state[at : at + x.size].reshape(x.shape)
+                at += x.size
+        return self
 
     def fit(self, contexts: np.ndarray, counts: np.ndarray, unigram: np.ndarray, epochs: int = EPOCHS, noise: int = NOISE, rate: float = 0.03) -> LogBilinear:
         """counts: a row for each context, of how often each class follows it."""
-        if not len(contexts):
-            return self
-        self.bias = np.log(unigram)
-        total, shift = counts.sum(dtype=float) + PRIOR * len(counts), np.log(noise * unigram)
-        params = [self.context, self.turn, self.target, self.bias]
-        m, v = ([np.zeros_like(p) for p in params] for _ in range(2))
-        g, t, steps = np.random.default_rng(2), 0, epochs * -(-len(contexts) // BATCH)
-        for _ in range(epochs):
-            order = g.permutation(len(contexts))
-            for at in range(0, len(order), BATCH):
-                own, t = order[at : at + BATCH], t + 1
-                c, n = contexts[own], counts[own] + PRIOR * unigram  # what a context that is seldom seen falls back to
-                scale = len(order) / (len(own) * total)
-                r = [self.context[c[:, i]] for i in range(CONTEXT)]
-                moved = sum(r[i] @ self.turn[i] for i in range(CONTEXT))
-                odds = 1 / (1 + np.exp(-(moved @ self.target.T + self.bias - shift)))
-                d = (n * (1 - odds) - noise * n.sum(1, keepdims=True) * unigram * odds) * scale
-                back = d @ self.target
-                into = np.zeros_like(self.context)
-                for i in range(CONTEXT):
-                    np.add.at(into, c[:, i], back @ self.turn[i].T)
-                grads = [into, np.stack([x.T @ back for x in r]), d.T @ moved, d.sum(0)]
-                for i, (p, x) in enumerate(zip(params, grads, strict=True)):
-                    m[i] = 0.9 * m[i] + 0.1 * x
-                    v[i] = 0.99 * v[i] + 0.01 * x * x
-                    p += rate * (1 - t / steps) * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-10)
+        if len(contexts):
+            self.bias[:] = np.log(unigram)
+            for epoch in range(epochs):
+                self.take(contexts, counts, unigram, (len(contexts), counts.sum(dtype=float)), epoch, epochs, noise, rate)
+        return self
+
+    def take(self, contexts: np.ndarray, counts: np.ndarray, unigram: np.ndarray, whole: tuple[int, float], epoch: int, epochs: int = EPOCHS, noise: int = NOISE, rate: float = 0.03, prior: float = PRIOR, shard: int = 0) -> LogBilinear:
+        """One epoch over contexts that are part of a whole: the number of all contexts and of all that follows them.
+
+        Scores and gradients are of single precision, parameters and moments of double.
+        """
+        number, total = whole[0], whole[1] + prior * whole[0]
+        single = np.float32
+        unigram = unigram.astype(single)
+        shift, params, (m, v) = np.log(noise * unigram), self.parameters(), self.moments
+        order = np.random.default_rng((2, epoch, shard)).permutation(len(contexts))
+        each = -(-len(order) // BATCH)
+        steps, t = epochs * each, epoch * each
+        for at in range(0, len(order), BATCH):
+            own, t = order[at : at + BATCH], t + 1
+            c, n = contexts[own], counts[own] + single(prior) * unigram  # what a context that is seldom seen falls back to
+            scale = single(number / (len(own) * total))
+            turn, target = self.turn.astype(single), self.target.astype(single)
+            r = [self.context[c[:, i]].astype(single) for i in range(CONTEXT)]
+            moved = sum(r[i] @ turn[i] for i in range(CONTEXT))
+            odds = 1 / (1 + np.exp(-(moved @ target.T + (self.bias.astype(single) - shift))))
+            d = (n * (1 - odds) - noise * n.sum(1, keepdims=True) * unigram * odds) * scale
+            back = d @ target
+            into = np.zeros_like(self.context)
+            for i in range(CONTEXT):
+                np.add.at(into, c[:, i], back @ turn[i].T)
+            grads = [into, np.stack([x.T @ back for x in r]), d.T @ moved, d.sum(0)]
+            for i, (p, x) in enumerate(zip(params, grads, strict=True)):
+                x = x.astype(float)
+                m[i] += 0.1 * (x - m[i])
+                v[i] += 0.01 * (x * x - v[i])
+                p += rate * (1 - t / steps) * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-10)
         return self
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
@@ -159,26 +189,72 @@ def followers(docs: DataFrame, shared, classes: int, text: str = "text") -> Data
     return settle(docs.select(F.col(text).alias("text")).mapInArrow(run, "context long, class int, n long").groupBy("context", "class").agg(F.sum("n").alias("n")))
 
 
+def dealt(found: DataFrame, classes: int, shards: int) -> RDD:
+    """Followers by shard: (shard, contexts, row of each cell, its class, its count), one element for each shard that has any."""
+
+    def pack(batches):
+        held, size = [], 0
+
+        def out():
+            context, now, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            shard = mix(context.astype(np.uint64)) % np.uint64(shards)
+            order = np.argsort(shard, kind="stable")
+            cells, n, edge = (context * classes + now)[order], n.astype(np.float32)[order], np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+            full = [i for i in range(shards) if edge[i] < edge[i + 1]]
+            yield pa.record_batch([pa.array(full, pa.int32()), *(pa.array([x[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary()) for x in (cells, n))], names=["shard", "cells", "n"])
+
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(3)])
+            size += batch.num_rows
+            if size > 500_000:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    def whole(shard, parts):
+        parts = [p for _, p in parts]
+        if parts:
+            cells, n = np.concatenate([np.frombuffer(p[0], np.int64) for p in parts]), np.concatenate([np.frombuffer(p[1], np.float32) for p in parts])
+            order = np.argsort(cells)
+            contexts, row = np.unique(cells[order] // classes, return_inverse=True)
+            yield shard, contexts, row.astype(np.int32), (cells[order] % classes).astype(np.int32), n[order]
+
+    rows = found.select("context", "class", "n").mapInArrow(pack, "shard int, cells binary, n binary").rdd.map(lambda r: (r.shard, (bytes(r.cells), bytes(r.n))))
+    return rows.partitionBy(shards, int).mapPartitionsWithIndex(whole)
+
+
 def train(learn: DataFrame, shared, classes: int, text: str = "text", contexts: int = CONTEXTS) -> LogBilinear:
-    """The model of all that follows the most frequent contexts, with class frequencies from all contexts.
+    """The model of all that follows all contexts; contexts: of a shard.
 
-    To the driver come `contexts` numbers and, of these contexts, `classes` counts each at most.
+    To the driver come the models of `classes` ** CONTEXT / `contexts` shards at most, once an epoch.
     """
+    sc = learn.sparkSession.sparkContext
     found = followers(learn, shared, classes, text)
-    unigram = np.full(classes, 0.5)
+    seen = np.zeros(classes)
     for r in found.groupBy("class").agg(F.sum("n").alias("n")).collect():  # `classes` rows at most
-        unigram[r["class"]] += r["n"]
-    totals = settle(found.groupBy("context").agg(F.sum("n").alias("n")).withColumnRenamed("context", "word"))
-    top = sorted(r.word for r in most_frequent(totals, contexts))
-    if not top:
+        seen[r["class"]] = r["n"]
+    number = found.select("context").distinct().count()
+    if not number:
         return LogBilinear(classes)
-    own = learn.sparkSession.createDataFrame([(c, i) for i, c in enumerate(top)], "context long, row int")
-    rows = found.join(F.broadcast(own), "context").select(F.col("row").cast("int"), "class", F.col("n").cast("float").alias("n")).toArrow()
-    counts = np.zeros((len(top), classes), np.float32)
-    counts[rows["row"].to_numpy(), rows["class"].to_numpy()] = rows["n"].to_numpy()
-    del rows
-    at = np.array(top, np.int64)
-    return LogBilinear(classes).fit(np.stack([at // classes, at % classes], axis=1), counts, unigram / unigram.sum())
+    model, unigram, whole = LogBilinear(classes), (seen + 0.5) / (seen + 0.5).sum(), (number, seen.sum())
+    model.bias[:] = np.log(unigram)
+    prior = PRIOR * min(1.0, contexts / number)
+    shards = dealt(found, classes, -(-number // contexts)).persist(StorageLevel.DISK_ONLY)
+    for epoch in range(EPOCHS):
+        start = sc.broadcast(model.state())
+
+        def take(shard, start=start, epoch=epoch):
+            at, own, row, now, n = shard
+            counts = np.zeros((len(own), classes), np.float32)
+            counts[row, now] = n
+            pairs = np.stack([own // classes, own % classes], axis=1)
+            return LogBilinear(classes).restore(start.value).take(pairs, counts, unigram, whole, epoch, prior=prior, shard=at).state()
+
+        model.restore(np.mean(shards.map(take).collect(), axis=0))  # in the shards' order
+        start.destroy()
+    shards.unpersist()
+    return model
 
 
 def _class_ids(words: list[bytes], known: dict[bytes, tuple]) -> np.ndarray:

@@ -646,6 +646,33 @@ def test_op10_followers_are_all_counted(spark, docs):
     assert got == want
 
 
+def test_op10_learns_from_all_contexts(spark):
+    """Contexts beyond the 64 most frequent ones tell what follows: words that go in a ring, rarer than words drawn at random."""
+    r = random.Random(3)
+    ring = [f"b{i}" for i in range(12)]
+    texts = [" ".join(r.choice("stuvwxyz") for _ in range(20_000)) for _ in range(3)] + [" ".join(ring * 200) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = 24
+    counts, top, known = lm.vocabulary(df, classes, 100)
+    shared = spark.sparkContext.broadcast(known)
+    model = lm.train(df, shared, classes, contexts=64)
+    of, n = {w: known[w.encode()][1] for w in ring}, {bytes(x.word): x.n for x in top}
+    p = model.log_probabilities(np.array([(of[ring[i - 2]], of[ring[i - 1]]) for i in range(12)]))
+    gain = [p[i, of[w]] - np.log10(n[w.encode()] / sum(n.values())) for i, w in enumerate(ring)]
+    assert min(gain) > 0.3
+    again = lm.train(df, shared, classes, contexts=64)
+    assert np.allclose(model.state(), again.state(), rtol=1e-9, atol=1e-12)
+
+
+def test_op10_shards_hold_every_count(spark, docs):
+    known = {b"w%d" % i: (9, i + 2) for i in range(6)}
+    found = lm.followers(docs, spark.sparkContext.broadcast(known), 8)
+    shards = lm.dealt(found, 8, 5).collect()
+    got = [((int(own[i]), int(c)), int(k)) for _, own, row, now, n in shards for i, c, k in zip(row, now, n, strict=True)]
+    assert sorted(got) == sorted(((x.context, x["class"]), x.n) for x in found.collect()) and len(shards) > 1
+    assert sum(len(own) for _, own, *_ in shards) == found.select("context").distinct().count()
+
+
 def test_op10_model():
     """A model of two places learns which classes follow which, and its tables are its probabilities."""
     r = np.random.default_rng(0)
