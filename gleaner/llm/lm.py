@@ -3,7 +3,8 @@
 The model predicts the class of the next token from the CONTEXT tokens before it: each has a vector, each place a
 matrix, s(w | v1, v2) = (r_v1 C1 + r_v2 C2) . q_w + b_w. Classes are the most frequent words, one for all other words,
 and the end. How often each class follows each context is counted over all training rows, and the model is trained on all
-contexts with all that follows them. They are dealt by hash to shards of CONTEXTS each; in an epoch a task a shard takes the
+contexts with all that follows them. They are dealt by hash to shards of CONTEXTS each, but for the most frequent ones, of which each
+shard gets an equal part of the counts, so that shards weigh alike; in an epoch a task a shard takes the
 model through its shard in numpy, and the mean of what the shards make of it goes into the next. The noise-contrastive objective is
 taken over these counts in full (its expectation; no noise is drawn), with noise from the class frequencies. As scores add
 up over places, a table for each place and the normalisers of all contexts, made by batched matrix products, give every
@@ -95,24 +96,23 @@ class LogBilinear:
         if len(contexts):
             self.bias[:] = np.log(unigram)
             for epoch in range(epochs):
-                self.take(contexts, counts, unigram, (len(contexts), counts.sum(dtype=float)), epoch, epochs, noise, rate)
+                self.take(contexts, counts, unigram, np.full(len(contexts), float(PRIOR)), (len(contexts), counts.sum(dtype=float) + PRIOR * len(contexts)), epoch, epochs, noise, rate)
         return self
 
-    def take(self, contexts: np.ndarray, counts: np.ndarray, unigram: np.ndarray, whole: tuple[int, float], epoch: int, epochs: int = EPOCHS, noise: int = NOISE, rate: float = 0.03, prior: float = PRIOR, shard: int = 0) -> LogBilinear:
-        """One epoch over contexts that are part of a whole: the number of all contexts and of all that follows them.
+    def take(self, contexts: np.ndarray, counts: np.ndarray, unigram: np.ndarray, prior: np.ndarray, whole: tuple[int, float], epoch: int, epochs: int = EPOCHS, noise: int = NOISE, rate: float = 0.03, shard: int = 0) -> LogBilinear:
+        """One epoch over contexts that are part of a whole: the number of all rows, and of all that follows them with the priors (one for each row).
 
         Scores and gradients are of single precision, parameters and moments of double.
         """
-        number, total = whole[0], whole[1] + prior * whole[0]
-        single = np.float32
-        unigram = unigram.astype(single)
+        (number, total), single = whole, np.float32
+        unigram, prior = unigram.astype(single), prior.astype(single)[:, None]
         shift, params, (m, v) = np.log(noise * unigram), self.parameters(), self.moments
         order = np.random.default_rng((2, epoch, shard)).permutation(len(contexts))
         each = -(-len(order) // BATCH)
         steps, t = epochs * each, epoch * each
         for at in range(0, len(order), BATCH):
             own, t = order[at : at + BATCH], t + 1
-            c, n = contexts[own], counts[own] + single(prior) * unigram  # what a context that is seldom seen falls back to
+            c, n = contexts[own], counts[own] + prior[own] * unigram  # what a context that is seldom seen falls back to
             scale = single(number / (len(own) * total))
             turn, target = self.turn.astype(single), self.target.astype(single)
             r = [self.context[c[:, i]].astype(single) for i in range(CONTEXT)]
@@ -227,29 +227,41 @@ def dealt(found: DataFrame, classes: int, shards: int) -> RDD:
 def train(learn: DataFrame, shared, classes: int, text: str = "text", contexts: int = CONTEXTS) -> LogBilinear:
     """The model of all that follows all contexts; contexts: of a shard.
 
-    To the driver come the models of `classes` ** CONTEXT / `contexts` shards at most, once an epoch.
+    To the driver come the models of `classes` ** CONTEXT / `contexts` shards at most, once an epoch, and `classes` counts each of
+    the contexts that all shards share, an eighth of a shard's.
     """
     sc = learn.sparkSession.sparkContext
     found = followers(learn, shared, classes, text)
     seen = np.zeros(classes)
     for r in found.groupBy("class").agg(F.sum("n").alias("n")).collect():  # `classes` rows at most
         seen[r["class"]] = r["n"]
-    number = found.select("context").distinct().count()
+    totals = settle(found.groupBy("context").agg(F.sum("n").alias("n")).withColumnRenamed("context", "word"))
+    number = totals.count()
     if not number:
         return LogBilinear(classes)
-    model, unigram, whole = LogBilinear(classes), (seen + 0.5) / (seen + 0.5).sum(), (number, seen.sum())
+    parts = -(-number // contexts)
+    top = np.array(sorted(r.word for r in most_frequent(totals, contexts // 8)) if parts > 1 else [], np.int64)
+    often = learn.sparkSession.createDataFrame([(int(c), i) for i, c in enumerate(top)], "context long, row int")
+    rows = found.join(F.broadcast(often), "context").select("row", "class", F.col("n").cast("float").alias("n")).toArrow()
+    shared_counts = np.zeros((len(top), classes), np.float32)
+    shared_counts[rows["row"].to_numpy(), rows["class"].to_numpy()] = rows["n"].to_numpy() / parts
+    model, unigram = LogBilinear(classes), (seen + 0.5) / (seen + 0.5).sum()
     model.bias[:] = np.log(unigram)
     prior = PRIOR * min(1.0, contexts / number)
-    shards = dealt(found, classes, -(-number // contexts)).persist(StorageLevel.DISK_ONLY)
+    total, every = seen.sum() + prior * number, sc.broadcast((top, shared_counts))
+    shards = dealt(found.join(F.broadcast(often), "context", "left_anti"), classes, parts).persist(StorageLevel.DISK_ONLY)
     for epoch in range(EPOCHS):
         start = sc.broadcast(model.state())
 
         def take(shard, start=start, epoch=epoch):
-            at, own, row, now, n = shard
-            counts = np.zeros((len(own), classes), np.float32)
-            counts[row, now] = n
+            (at, own, row, now, n), (top, first) = shard, every.value
+            counts = np.concatenate([first, np.zeros((len(own), classes), np.float32)])
+            counts[len(top) + row, now] = n
+            own = np.concatenate([top, own])
+            priors = np.full(len(own), prior)
+            priors[: len(top)] /= parts
             pairs = np.stack([own // classes, own % classes], axis=1)
-            return LogBilinear(classes).restore(start.value).take(pairs, counts, unigram, whole, epoch, prior=prior, shard=at).state()
+            return LogBilinear(classes).restore(start.value).take(pairs, counts, unigram, priors, (len(own) * parts, total), epoch, shard=at).state()
 
         model.restore(np.mean(shards.map(take).collect(), axis=0))  # in the shards' order
         start.destroy()
